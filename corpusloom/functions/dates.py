@@ -9,6 +9,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from corpusloom.functions.values import let
+
 # The date forms to look for, in the order in which they are tried. Y stands for
 # four digits, every other letter for two.
 DATE_FORMS = (
@@ -52,8 +54,20 @@ def detect_date(html: Column) -> Column:
     runs of that class and the forms are tried on the runs alone.
     """
     runs = F.array_join(F.regexp_extract_all(html, F.lit("([0-9年月日:/ -]{5,})"), F.lit(1)), "\n")
-    hits = [F.regexp_extract(runs, f"({form_regex(form)})", 1) for form in DATE_FORMS]
-    return F.coalesce(*(F.when(hit != "", hit) for hit in hits))
+    forms = F.array(*(F.lit(f"({form_regex(form)})") for form in DATE_FORMS))
+
+    def first_form(text: Column) -> Column:
+        tried = F.aggregate(
+            forms,
+            F.lit(""),
+            lambda hit, form: F.when(hit != "", hit).otherwise(
+                F.call_function("regexp_extract", text, form, F.lit(1))
+            ),
+        )
+        # Every form has a month and a day, so texts without that shape need no tries.
+        return F.when(text.rlike("[0-9]{2}[-/月][0-9]{2}") & (tried != ""), tried)
+
+    return let(runs, first_form)
 
 
 def _moment(parts: dict[str, Column]) -> Column:
@@ -89,60 +103,66 @@ def parse_detected(hit: Column, current_year: Column) -> Column:
             "second": two(9),
         }
     )
-    return F.when(has_year, moment).otherwise(_in_year(moment, current_year))
+    return F.when(has_year, moment).when(hit.isNotNull(), _in_year(moment, current_year))
 
 
 # Date-format letters by the part they set.
 PART_LETTERS = {
     "year": "y", "month": "M", "day": "d", "hour": "HhKk", "minute": "m", "second": "s", "half": "a",
 }
-_NUMERIC = "yMdHhKkmsSDFwWu"
 _MONTHS = ("jan", "feb", "mar", "apr", "may", "jun", "jul", "aug", "sep", "oct", "nov", "dec")
 
 
-def format_rules(fmt: Column) -> Column:
-    """Struct of regexes, one per date part, with group 1 around that part.
+def format_pieces(fmt: Column) -> Column:
+    """A date format as ``array<struct<letter, body>>``: one regex per field or literal character.
 
-    Computed once per template. Adjacent numeric fields have a fixed width, others take all digits.
+    Adjacent numeric fields have a fixed width, others take all digits. A literal has no letter.
     """
-    tokens = F.regexp_extract_all(fmt, F.lit(r"('[^']*'|([A-Za-z])\2*|[^A-Za-z'])"), F.lit(1))
+    parts = F.regexp_extract_all(fmt, F.lit(r"('[^']*'|([A-Za-z])\2*|[^A-Za-z'])"), F.lit(1))
+    numeric = r"^(?:[ydHhkKmsSDFwWu]+|M{1,2})$"
 
-    def is_numeric(token: Column) -> Column:
-        text_month = token.startswith("M") & (F.length(token) >= 3)
-        return F.coalesce(token.rlike(f"^[{_NUMERIC}]+$") & ~text_month, F.lit(False))
-
-    def field(token: Column, following: Column) -> Column:
+    def body(token: Column, following: Column) -> Column:
+        fixed = F.concat(F.lit("[0-9]{"), F.length(token).cast("string"), F.lit("}"))
         return (
-            F.when(is_numeric(token) & is_numeric(following),
-                   F.concat(F.lit("[0-9]{"), F.length(token).cast("string"), F.lit("}")))
-            .when(is_numeric(token), F.lit("[0-9]{1,4}"))
+            F.when(token == "''", F.lit("'"))
+            .when(token.startswith("'"), F.concat(F.lit(r"\Q"), F.replace(token, F.lit("'"), F.lit("")), F.lit(r"\E")))
+            .when(~token.rlike("^[A-Za-z]"), F.concat(F.lit(r"\Q"), token, F.lit(r"\E")))
+            .when(token.rlike(numeric), F.when(following.rlike(numeric), fixed).otherwise(F.lit("[0-9]{1,4}")))
             .when(token.startswith("a"), F.lit("(?i:am|pm|上午|下午)"))
             .otherwise(F.lit(r"[\p{L}.:+-]+[0-9:]*"))
-        )
-
-    def rule(letters: str | None) -> Column:
-        def piece(token: Column, i: Column) -> Column:
-            body = field(token, F.get(tokens, i + F.lit(1)))
-            if letters:
-                body = F.when(token.rlike(f"^[{letters}]"), F.concat(F.lit("("), body, F.lit(")"))).otherwise(body)
-            return (
-                F.when(token == "''", F.lit("'"))
-                .when(token.startswith("'"), F.concat(F.lit(r"\Q"), F.replace(token, F.lit("'"), F.lit("")), F.lit(r"\E")))
-                .when(token.rlike("^[A-Za-z]"), F.concat(F.lit(r"[ \t]*"), body))
-                .otherwise(F.concat(F.lit(r"\Q"), token, F.lit(r"\E")))
-            )
-
-        return F.concat(F.lit("^"), F.array_join(F.transform(tokens, piece), ""))
-
-    return F.struct(
-        rule(None).alias("whole"),
-        *(
-            F.when(fmt.rlike(f"[{letters}]"), rule(letters)).alias(part)
-            for part, letters in PART_LETTERS.items()
+        )
+
+    return let(
+        parts,
+        lambda tokens: F.transform(
+            tokens,
+            lambda token, i: F.struct(
+                F.regexp_extract(token, "^[A-Za-z]", 0).alias("letter"),
+                body(token, F.get(tokens, i + F.lit(1))).alias("body"),
+            ),
         ),
-        (~fmt.contains("yyyy")).alias("without_year"),
-        # Clocks that start at one write the hour zero as 12 or as 24.
-        F.when(fmt.contains("h"), F.lit(12)).when(fmt.contains("k"), F.lit(24)).alias("midnight"),
+    )
+
+
+def format_rules(fmt: str, pieces: str) -> Column:
+    """Struct of regexes, one per date part, with group 1 around that part.
+
+    Takes the names of the format column and of its ``format_pieces``. Worked out once per template.
+    """
+    lead = r"if(p.letter = '', '', r'[ \t]*')"
+
+    def rule(letters: str) -> str:
+        wrapped = f"if(p.letter rlike '^[{letters}]$', concat('(', p.body, ')'), p.body)"
+        return f"concat('^', array_join(transform({pieces}, p -> concat({lead}, {wrapped})), ''))"
+
+    parts = ", ".join(
+        f"'{part}', if({fmt} rlike '[{letters}]', {rule(letters)}, null)" for part, letters in PART_LETTERS.items()
+    )
+    # Clocks that start at one write the hour zero as 12 or as 24.
+    midnight = f"case when contains({fmt}, 'h') then 12 when contains({fmt}, 'k') then 24 end"
+    return F.expr(
+        f"named_struct('whole', {rule('0')}, {parts}, "
+        f"'without_year', not contains({fmt}, 'yyyy'), 'midnight', {midnight})"
     )
 
 

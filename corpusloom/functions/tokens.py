@@ -61,6 +61,15 @@ def term_counts(terms: Column) -> Column:
     )
 
 
+def grams(terms: Column, n: int) -> Column:
+    """Runs of ``n`` neighbouring tokens, joined by a space. ``terms`` should be bound with ``let``."""
+    joined = terms
+    for skip in range(1, n):
+        shifted = F.slice(terms, F.lit(skip + 1), F.size(terms))
+        joined = F.zip_with(joined, shifted, lambda a, b: F.concat(a, F.lit(" "), b))
+    return F.array_compact(joined)
+
+
 def sentences(text: Column) -> Column:
     """Non-blank sentences in order; cut after ``. ! ?`` plus white space, CJK stops and line ends."""
     cut = F.split(text, r"(?<=[.!?])\s+|(?<=[。！？；])|\n+")

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from corpusloom.functions import dates, markup, rules, selectors, urls, values
 from corpusloom.schema import WEBPAGE
-from corpusloom.session import broadcast_if_small
+from corpusloom.session import is_small_and
 from corpusloom.sources.templates import with_template_columns
 
 _PATH_COLUMNS = ("contentXPath", "titleXPath", "categoryXPath", "publishTimeXPath")
@@ -24,11 +24,12 @@ def prepare_templates(templates: DataFrame) -> DataFrame:
     rules of the template are listed.
     """
     full = with_template_columns(templates)
-    for name in _PATH_COLUMNS + _REGEX_COLUMNS + ("publishTimeFormat",):
-        full = full.withColumn(name, values.blank_to_null(F.col(name)))
-    full = full.withColumn("urlWhole", F.concat(F.lit("^(?:"), F.col("urlReg"), F.lit(")$")))
-    for name in _REGEX_COLUMNS:
-        full = full.withColumn(name, rules.with_group(F.col(name)))
+    rule_names = _PATH_COLUMNS + _REGEX_COLUMNS + ("publishTimeFormat",)
+    full = full.withColumns({name: values.blank_to_null(F.col(name)) for name in rule_names})
+    whole = F.concat(F.lit("^(?:"), F.col("urlReg"), F.lit(")$"))
+    full = full.withColumns(
+        {"urlWhole": whole, **{name: rules.with_group(F.col(name)) for name in _REGEX_COLUMNS}}
+    )
     fields = F.transform(
         "dynamicFields",
         lambda f: F.struct(
@@ -42,15 +43,15 @@ def prepare_templates(templates: DataFrame) -> DataFrame:
     path_rules = F.array_compact(
         F.concat(F.array(*_PATH_COLUMNS), F.transform("dynamicFields", lambda f: f["xpath"]))
     )
-    return full.withColumns(
+    full = full.withColumns(
         {
             "pathRules": F.array_distinct(path_rules),
-            "dateRules": F.when(
-                F.col("publishTimeFormat").isNotNull(), dates.format_rules(F.col("publishTimeFormat"))
-            ),
+            "datePieces": dates.format_pieces(F.col("publishTimeFormat")),
             "linkReg": F.coalesce(F.col("urlReg"), urls.domain_link_regex(F.col("domain"))),
         }
-    ).select(F.col("domain").alias("site"), F.col("id").alias("template_id"), F.struct("*").alias("tpl"))
+    )
+    full = full.withColumn("dateRules", dates.format_rules("publishTimeFormat", "datePieces")).drop("datePieces")
+    return full.select(F.col("domain").alias("site"), F.col("id").alias("template_id"), F.struct("*").alias("tpl"))
 
 
 def match_templates(pages: DataFrame, templates: DataFrame) -> DataFrame:
@@ -61,8 +62,8 @@ def match_templates(pages: DataFrame, templates: DataFrame) -> DataFrame:
     wants path rules are parsed once here; if no template has any, no Python runs at all.
     """
     prepared = prepare_templates(templates)
-    wants_paths = not prepared.filter(F.size("tpl.pathRules") > 0).isEmpty()
-    side = broadcast_if_small(prepared)
+    small, wants_paths = is_small_and(prepared, F.size("tpl.pathRules") > 0)
+    side = F.broadcast(prepared) if small else prepared
     if "template_id" in pages.columns:
         matched = pages.join(side.drop("site"), "template_id")
     else:

@@ -180,17 +180,7 @@ def entity_mentions(docs: DataFrame, gazetteer: DataFrame, longest: int = 3) ->
     """``id, type, surface``, distinct. ``gazetteer`` has ``surface`` (tokens joined by a space) and
     ``type`` (nr person, ns place, nt organisation)."""
     def grams(words: Column) -> Column:
-        longer = [
-            F.when(
-                F.size(words) >= n,
-                F.transform(
-                    F.sequence(F.lit(1), F.size(words) - (n - 1)),
-                    lambda at, n=n: F.array_join(F.slice(words, at, F.lit(n)), " "),
-                ),
-            ).otherwise(F.expr("cast(array() as array<string>)"))
-            for n in range(2, longest + 1)
-        ]
-        return F.array_distinct(F.concat(words, *longer))
+        return F.array_distinct(F.concat(*(tokens.grams(words, n) for n in range(1, longest + 1))))
 
     words = tokens.tokens(plain_content(F.col("content")))
     surfaces = docs.select("id", F.explode(values.let(words, grams)).alias("term"))

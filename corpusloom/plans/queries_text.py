@@ -1,2 +1,169 @@
-QUERIES = {}
-CHECKS = {}
+"""Registered queries: tokens, keywords, summaries and entities."""
+
+from __future__ import annotations
+
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from corpusloom.functions import markup, tokens
+from corpusloom.functions.values import let
+from corpusloom.operators import text_analysis
+from corpusloom.plans import fixtures as fx
+
+# A gazetteer made from the corpus: its most frequent words and pairs of words. The type follows
+# from the hash of the surface.
+SINGLE_NAMES, PAIR_NAMES = 60, 30
+
+
+def _texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fx.documents(spark, sf_dir).select("id", "content")
+
+
+def gazetteer(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = _texts(spark, sf_dir)
+    words = tokens.tokens(F.col("content"))
+
+    def top(terms: Column, n: int) -> DataFrame:
+        listed = found.select(F.explode(F.array_distinct(terms)).alias("surface"))
+        counts = listed.groupBy("surface").agg(F.count("*").alias("n"))
+        return counts.orderBy(F.col("n").desc(), "surface").limit(n).select("surface")
+
+    kind = F.element_at(
+        F.array(F.lit("nr"), F.lit("ns"), F.lit("nt")),
+        F.instr(F.lit(fx.HEX_DIGITS), F.substring(F.md5("surface"), 1, 1)) % 3 + 1,
+    )
+    both = top(words, SINGLE_NAMES).unionByName(top(let(words, lambda w: tokens.grams(w, 2)), PAIR_NAMES))
+    return both.select("surface", kind.alias("type"))
+
+
+GAZETTEER_SQL = rf"""words AS (
+  SELECT id, unnest(parts) AS term, generate_subscripts(parts, 1) AS pos
+  FROM (SELECT id, {fx.TOKENS_SQL} AS parts FROM docs)),
+pairs AS (SELECT id, term || ' ' || lead(term) OVER (PARTITION BY id ORDER BY pos) AS term FROM words),
+names AS (
+  SELECT surface, ['nr', 'ns', 'nt'][instr('0123456789abcdef', substr(md5(surface), 1, 1)) % 3 + 1] AS type FROM (
+    (SELECT term AS surface FROM words GROUP BY 1 ORDER BY count(DISTINCT id) DESC, 1 LIMIT {SINGLE_NAMES})
+    UNION ALL
+    (SELECT term FROM pairs WHERE term IS NOT NULL GROUP BY 1 ORDER BY count(DISTINCT id) DESC, 1 LIMIT {PAIR_NAMES}))),
+mentions AS (
+  SELECT DISTINCT id, type, surface FROM (SELECT id, term FROM words UNION ALL SELECT id, term FROM pairs) g
+  JOIN names ON names.surface = g.term)"""
+
+
+def token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = _texts(spark, sf_dir).select("id", tokens.tokens(F.col("content")).alias("t"))
+    return found.select(
+        "id",
+        F.size("t").cast("long").alias("n_tokens"),
+        F.size(F.array_distinct("t")).cast("long").alias("n_terms"),
+        F.md5(F.array_join("t", " ")).alias("tokens_md5"),
+    )
+
+
+def keywords(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = text_analysis.keywords(_texts(spark, sf_dir))
+    return found.select("id", F.array_join("keywords", " ").alias("keywords"))
+
+
+def rank_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two rounds, over every term of every document."""
+    return text_analysis.rank_scores(_texts(spark, sf_dir), rounds=2)
+
+
+def rank_keywords(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = text_analysis.rank_keywords(_texts(spark, sf_dir))
+    return found.select("id", F.array_join("keywords", " ").alias("keywords"))
+
+
+def summaries(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = text_analysis.summaries(_texts(spark, sf_dir))
+    return found.select("id", F.array_join("summary", " | ").alias("summary"))
+
+
+def named_entities(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = text_analysis.named_entities(_texts(spark, sf_dir), gazetteer(spark, sf_dir))
+    return found.select(
+        "id", *(F.array_join(f"namedEntity.{kind}", "/").alias(kind) for kind in ("nr", "ns", "nt"))
+    )
+
+
+def plain_content(spark: SparkSession, sf_dir: str) -> DataFrame:
+    article = markup.clean_body(F.regexp_extract("html", fx.BODY_RULE, 1))
+    return fx.pages(spark, sf_dir).select("url", text_analysis.plain_content(article).alias("text"))
+
+
+QUERIES = {
+    "f1_tokens": token_counts,
+    "f2_keywords": keywords,
+    "f3_rank_scores": rank_scores,
+    "f3_rank_keywords": rank_keywords,
+    "f4_summaries": summaries,
+    "f5_named_entities": named_entities,
+    "f6_plain_content": plain_content,
+}
+
+_D = fx.DOCUMENTS_SQL
+_WORDS = f"""words AS (
+  SELECT id, unnest(parts) AS term, generate_subscripts(parts, 1) AS pos
+  FROM (SELECT id, {fx.TOKENS_SQL} AS parts FROM docs))"""
+_DF = """n AS (SELECT count(*)::DOUBLE AS n FROM docs),
+tf AS (SELECT id, term, count(*) AS tf FROM words GROUP BY 1, 2),
+df AS (SELECT term, count(*) AS df FROM tf GROUP BY 1)"""
+
+
+def _rank_round(number: int) -> str:
+    return f"""s{number} AS (SELECT e.id, e.neighbour AS term, 0.15 + 0.85 * sum(s.score / g.degree) AS score
+      FROM edges e JOIN s{number - 1} s USING (id, term) JOIN degrees g USING (id, term) GROUP BY 1, 2)"""
+
+
+CHECKS = {
+    "f1_tokens": fx.with_sql(_D)
+    + f"""SELECT id, len(t) AS n_tokens, len(list_distinct(t)) AS n_terms, md5(array_to_string(t, ' ')) AS tokens_md5
+        FROM (SELECT id, {fx.TOKENS_SQL} AS t FROM docs)""",
+    "f2_keywords": fx.with_sql(_D, _WORDS, _DF)
+    + """SELECT id, string_agg(term, ' ' ORDER BY r) AS keywords FROM (
+        SELECT id, term, row_number() OVER (PARTITION BY id ORDER BY round(tf * ln(1 + n / df), 6) DESC, term) AS r
+        FROM tf JOIN df USING (term), n) WHERE r <= 10 GROUP BY id""",
+    "f3_rank_scores": fx.with_sql(
+        _D,
+        _WORDS,
+        """pairs AS (SELECT DISTINCT a.id, a.term, b.term AS neighbour FROM words a JOIN words b
+          ON a.id = b.id AND b.pos BETWEEN a.pos + 1 AND a.pos + 4 WHERE a.term <> b.term)""",
+        "edges AS (SELECT id, term, neighbour FROM pairs UNION SELECT id, neighbour, term FROM pairs)",
+        "degrees AS (SELECT id, term, count(*) AS degree FROM edges GROUP BY 1, 2)",
+        "s0 AS (SELECT id, term, 1.0::DOUBLE AS score FROM degrees)",
+        _rank_round(1),
+        _rank_round(2),
+    )
+    + "SELECT id, term, round(score, 6) AS score FROM s2",
+    "f4_summaries": fx.with_sql(
+        _D,
+        _WORDS,
+        _DF,
+        r"""sentences AS (SELECT id, unnest(parts) AS sentence, generate_subscripts(parts, 1) AS pos FROM (
+          SELECT id, list_filter(list_transform(string_split(regexp_replace(regexp_replace(
+            content, '([.!?])\s+', '\1' || chr(1), 'g'), '\n+', chr(1), 'g'), chr(1)),
+            lambda s: trim(s)), lambda s: regexp_matches(s, '[\p{L}\p{N}]')) AS parts FROM docs))""",
+        r"""scored AS (SELECT id, pos, any_value(sentence) AS sentence, round(sum(ln(1 + n / df)) / count(*), 6) AS score
+          FROM (SELECT id, pos, sentence, unnest(regexp_extract_all(lower(sentence), '[\p{L}\p{N}]+')) AS term
+                FROM sentences) JOIN df USING (term), n GROUP BY id, pos)""",
+    )
+    + """SELECT id, string_agg(sentence, ' | ' ORDER BY pos) AS summary FROM (
+        SELECT *, row_number() OVER (PARTITION BY id ORDER BY score DESC, pos) AS r FROM scored) WHERE r <= 5 GROUP BY id""",
+    "f5_named_entities": fx.with_sql(_D, GAZETTEER_SQL)
+    + "SELECT id, "
+    + ", ".join(
+        f"coalesce(string_agg(surface, '/' ORDER BY surface) FILTER (type = '{k}'), '') AS {k}" for k in ("nr", "ns", "nt")
+    )
+    + " FROM mentions GROUP BY id",
+}
+
+
+def _plain_sql() -> str:
+    from corpusloom.plans.queries_extraction import _clean
+
+    body = _clean(f"regexp_extract(html, '{fx.BODY_RULE}', 1)")
+    return f"SELECT url, replace({body}, '<br/>', ' ') AS text FROM pages"
+
+
+CHECKS["f6_plain_content"] = _plain_sql()

@@ -5,7 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Limits below which a lookup side may be copied to every executor.
@@ -69,6 +69,19 @@ def is_small(
     return n_rows <= max_rows and (n_bytes or 0) <= max_bytes
 
 
+def is_small_and(
+    df: DataFrame, condition: Column, max_rows: int = BROADCAST_MAX_ROWS, max_bytes: int = BROADCAST_MAX_BYTES
+) -> tuple[bool, bool]:
+    """Whether ``df`` is inside the broadcast limits, and whether ``condition`` holds for any row.
+
+    One job over the whole frame, for tables that are read in full anyway.
+    """
+    row_bytes = F.length(F.to_json(F.struct("*")))
+    measured = df.select(row_bytes.alias("n"), condition.alias("found"))
+    n_rows, n_bytes, found = measured.agg(F.count("*"), F.sum("n"), F.bool_or("found")).first()
+    return n_rows <= max_rows and (n_bytes or 0) <= max_bytes, bool(found)
+
+
 def broadcast_if_small(df: DataFrame, **limits: int) -> DataFrame:
     """``df`` with a broadcast hint if it is small enough; otherwise unchanged.
 
