@@ -134,8 +134,10 @@ def rank_scores(docs: DataFrame, rounds: int = RANK_ROUNDS, window: int = RANK_W
     A graph never leaves its document, so the rounds run where the row is and nothing is shuffled.
     """
     words = tokens.tokens(plain_content(F.col("content")))
-    ranked = docs.select("id", F.explode(_rank_terms(words, F.lit(rounds), F.lit(window))).alias("t"))
-    return ranked.select("id", "t.term", F.round("t.score", 6).alias("score"))
+    ranked = docs.select("id", _rank_terms(words, F.lit(rounds), F.lit(window)).alias("ranked"))
+    # The outer form: Spark would test the array of a plain explode first, and rank twice for it.
+    listed = ranked.select("id", F.explode_outer("ranked").alias("t")).filter(F.col("t").isNotNull())
+    return listed.select("id", "t.term", F.round("t.score", 6).alias("score"))
 
 
 def rank_keywords(docs: DataFrame, k: int = KEYWORDS, rounds: int = RANK_ROUNDS) -> DataFrame:

@@ -156,7 +156,7 @@ def _log(shrink: int, task: str, text: str) -> str:
     """Anchors one after the other: the next is the first message two seconds or more after the last."""
     return f"""WITH RECURSIVE m AS (
       SELECT {task} AS task_id, event_id AS seq, event_type AS message,
-             (epoch_ms(ts) - 1704067200000) // {shrink} AS ts_ms FROM events),
+             (epoch_us(ts) // 1000 - 1704067200000) // {shrink} AS ts_ms FROM events),
     anchors AS (
       SELECT task_id, min(ts_ms) AS anchor_ms FROM m GROUP BY task_id
       UNION ALL

@@ -1,2 +1,134 @@
-QUERIES = {}
-CHECKS = {}
+"""Registered queries: the index, ranked search, field search, similar pages."""
+
+from __future__ import annotations
+
+from datetime import datetime
+
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+from corpusloom.operators import documents, search
+from corpusloom.operators.search import Clause
+from corpusloom.plans import fixtures as fx
+from corpusloom.session import new_path
+
+QUERY = "the que nonsenseword Ening tion"
+
+
+def _texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fx.documents(spark, sf_dir).select("id", "content")
+
+
+def index_terms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Written to disk and read back: every term with its figures."""
+    path = new_path(spark, "index")
+    search.write_index(search.build_index(_texts(spark, sf_dir)), path, buckets=8, files_per_bucket=1)
+    index = search.read_index(spark, path)
+    spans = index.postings.groupBy("term").agg(
+        F.max("tf").alias("max_tf"), F.min("id").alias("first_id"), F.max("id").alias("last_id")
+    )
+    return index.terms.join(spans, "term").select("term", "df", "cf", "max_tf", "first_id", "last_id")
+
+
+def ranked_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _texts(spark, sf_dir)
+    index = search.build_index(docs, only=search.query_terms(spark, QUERY))
+    return search.search(index, QUERY, 20, 2)
+
+
+def all_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _texts(spark, sf_dir)
+    terms = search.query_terms(spark, QUERY)
+    return search.score_documents(search.build_index(docs, only=terms), terms)
+
+
+CLAUSES = (
+    Clause("content", "match", "ening que", "must"),
+    Clause("domain", "is", "src3", "not"),
+    Clause("gatherTime", "from", datetime(2024, 1, 5), "must"),
+    Clause("gatherTime", "to", datetime(2024, 1, 20), "must"),
+    Clause("category", "is", "fr", "should"),
+    Clause("spiderUUID", "is", "run-3", "should"),
+)
+
+
+def field_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = search.search_fields(fx.documents(spark, sf_dir), CLAUSES, 30, 1)
+    return found.select("id", "domain", "category", F.col("n_should").cast("long").alias("n_should"))
+
+
+def more_like_one(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _texts(spark, sf_dir)
+    found = search.more_like_this(search.build_index(docs), documents.by_id(docs, 7), 15)
+    return found.select("seed_id", "id", "score", F.col("position").cast("long").alias("position"))
+
+
+def more_like_newest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Similar pages for the newest document of every domain."""
+    docs = fx.documents(spark, sf_dir)
+    latest = Window.partitionBy("domain").orderBy(F.col("gatherTime").desc(), "id")
+    seeds = docs.withColumn("r", F.row_number().over(latest)).filter("r = 1").select("id", "content")
+    index = search.build_index(docs.select("id", "content"))
+    return search.more_like_this(index, seeds, 5).select("seed_id", "id", "score")
+
+
+QUERIES = {
+    "g1_index_terms": index_terms,
+    "g2_ranked_search": ranked_search,
+    "g2_all_scores": all_scores,
+    "g3_field_search": field_search,
+    "g4_more_like_one": more_like_one,
+    "g5_more_like_newest": more_like_newest,
+}
+
+_BASE = fx.with_sql(
+    fx.DOCUMENTS_SQL,
+    f"words AS (SELECT id, unnest({fx.TOKENS_SQL}) AS term FROM docs)",
+    f"""lengths AS (SELECT id, len({fx.TOKENS_SQL}) AS dl FROM docs)""",
+    "totals AS (SELECT count(*)::DOUBLE AS n, avg(dl) AS mean FROM lengths)",
+    "tf AS (SELECT id, term, count(*) AS tf FROM words GROUP BY 1, 2)",
+    "df AS (SELECT term, count(*) AS df, sum(tf)::BIGINT AS cf FROM tf GROUP BY 1)",
+)
+_PART = "ln(1 + (n - df + 0.5) / (df + 0.5)) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * dl / mean))"
+_SCORED = f"""scored AS (SELECT id, round(sum({_PART}), 6) AS score, count(*) AS n_matched
+  FROM tf JOIN df USING (term) JOIN lengths USING (id), totals
+  WHERE term IN ('the', 'que', 'nonsenseword', 'ening', 'tion') GROUP BY id)"""
+
+
+def _similar(seeds: str, size: int) -> str:
+    return (
+        _BASE.rstrip()
+        + f""",
+    seeds AS ({seeds}),
+    typical AS (SELECT * FROM (SELECT id AS seed_id, term, df, row_number() OVER (PARTITION BY id ORDER BY
+        round(tf * (ln((n + 1) / (df + 1)) + 1), 6) DESC, term) AS r
+      FROM tf JOIN seeds USING (id) JOIN df USING (term), totals WHERE df >= 5) WHERE r <= 12),
+    needs AS (SELECT seed_id, greatest(floor(count(*) * 0.3), 1) AS needed FROM typical GROUP BY 1),
+    alike AS (SELECT seed_id, id, round(sum({_PART}), 6) AS score
+      FROM tf JOIN typical USING (term) JOIN lengths USING (id) JOIN needs USING (seed_id), totals
+      WHERE id <> seed_id GROUP BY seed_id, id HAVING count(*) >= max(needed)),
+    best AS (SELECT *, row_number() OVER (PARTITION BY seed_id ORDER BY score DESC, id) AS position FROM alike)
+    SELECT * FROM best WHERE position <= {size}"""
+    )
+
+
+CHECKS = {
+    "g1_index_terms": _BASE
+    + """SELECT term, any_value(df) AS df, any_value(cf) AS cf, max(tf) AS max_tf, min(id) AS first_id,
+        max(id) AS last_id FROM tf JOIN df USING (term) GROUP BY term""",
+    "g2_ranked_search": _BASE.rstrip() + ",\n" + _SCORED + " SELECT id, score FROM scored ORDER BY score DESC, id LIMIT 20 OFFSET 20",
+    "g2_all_scores": _BASE.rstrip() + ",\n" + _SCORED + " SELECT id, score, n_matched FROM scored",
+    "g3_field_search": fx.with_sql(fx.DOCUMENTS_SQL)
+    + f"""SELECT id, domain, category, ((category = 'fr')::BIGINT + ("spiderUUID" = 'run-3')::BIGINT) AS n_should FROM docs
+        WHERE list_has_any({fx.TOKENS_SQL}, ['ening', 'que']) AND domain <> 'src3'
+          AND "gatherTime" BETWEEN TIMESTAMP '2024-01-05' AND TIMESTAMP '2024-01-20'
+        ORDER BY n_should DESC, "gatherTime" DESC, id LIMIT 30""",
+    "g4_more_like_one": _similar("SELECT 7 AS id", 15),
+    "g5_more_like_newest": "SELECT seed_id, id, score FROM ("
+    + _similar(
+        'SELECT id FROM (SELECT id, row_number() OVER (PARTITION BY domain ORDER BY "gatherTime" DESC, id) AS r FROM docs) '
+        "WHERE r = 1",
+        5,
+    )
+    + ")",
+}

@@ -65,9 +65,10 @@ def known_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The templates of some hashes come again under new ids, those of another with another time limit."""
     stored = _parsed(spark, sf_dir)
     h = F.instr(F.lit(fx.HEX_DIGITS), F.substring("id", 5, 1)) - 1
-    again = stored.withColumn("id", F.concat(F.lit("new-"), F.col("id")))
-    changed = again.withColumn("timeout", F.when(h % 3 == 0, F.lit(9000)).otherwise(F.col("timeout")))
-    incoming = changed.unionByName(again.withColumn("id", F.concat(F.lit("newer-"), F.col("id"))))
+    changed = stored.withColumn("timeout", F.when(h % 3 == 0, F.lit(9000)).otherwise(F.col("timeout")))
+    incoming = changed.withColumn("id", F.concat(F.lit("new-"), F.col("id"))).unionByName(
+        stored.withColumn("id", F.concat(F.lit("newer-"), F.col("id")))
+    )
     return template_admin.known_ids(incoming, stored).select("id", "domain", "timeout", "is_new")
 
 

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from functools import wraps
+
 from pyspark.sql import DataFrame, SparkSession
 
 from corpusloom.operators import aggregates, extraction
@@ -18,6 +21,7 @@ from corpusloom.plans import (
     queries_templates,
     queries_text,
 )
+from corpusloom.session import ship_package
 
 _GROUPS = (
     queries_stores,
@@ -32,11 +36,26 @@ _GROUPS = (
     queries_streams,
 )
 
-QUERIES = {name: query for group in _GROUPS for name, query in group.QUERIES.items()}
+Query = Callable[[SparkSession, str], DataFrame]
+
+
+def _shipped(query: Query) -> Query:
+    """The query, run only once the workers have this package."""
+
+    @wraps(query)
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        ship_package(spark)
+        return query(spark, sf_dir)
+
+    return run
+
+
+QUERIES = {name: _shipped(query) for group in _GROUPS for name, query in group.QUERIES.items()}
 CHECKS = {name: sql for group in _GROUPS for name, sql in group.CHECKS.items()}
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ship_package(spark)
     extracted = extraction.extract_documents(
         fixtures.pages(spark, sf_dir), fixtures.templates(spark, sf_dir), fixtures.RUN, fixtures.GATHERED
     )

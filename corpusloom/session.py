@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -28,6 +30,21 @@ def get_session(app_name: str = "corpusloom", master: str | None = None, **conf:
     return builder.getOrCreate()
 
 
+def ship_package(spark: SparkSession) -> None:
+    """Give the Python workers this package, for sessions started without ``--py-files``."""
+    context = spark.sparkContext
+    if getattr(context, "_corpusloom_shipped", False):
+        return
+    root = Path(__file__).resolve().parent
+    # Executors fetch the archive from the driver for as long as the application runs.
+    archive = Path(tempfile.mkdtemp(prefix="corpusloom-py-")) / "corpusloom.zip"
+    with zipfile.ZipFile(archive, "w") as out:
+        for source in sorted(root.rglob("*.py")):
+            out.write(source, Path(root.name) / source.relative_to(root))
+    context.addPyFile(str(archive))
+    context._corpusloom_shipped = True
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder every executor can reach.
 
