@@ -6,6 +6,8 @@ Documents come as ``id, content``. The three analyses can be replaced one by one
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
@@ -97,11 +99,6 @@ def gather_terms(ranked: DataFrame) -> DataFrame:
     return ranked.groupBy("id").agg(F.transform(ordered, lambda t: t["term"]).alias("keywords"))
 
 
-_RANKED = T.ArrayType(
-    T.StructType([T.StructField("term", T.StringType()), T.StructField("score", T.DoubleType())])
-)
-
-
 def _rank_one(words: np.ndarray, rounds: int, window: int) -> list[tuple[str, float]]:
     terms, codes = np.unique(words.astype(str), return_inverse=True)
     n = len(terms)
@@ -121,11 +118,6 @@ def _rank_one(words: np.ndarray, rounds: int, window: int) -> list[tuple[str, fl
     return list(zip(terms.tolist(), score.tolist()))
 
 
-@F.pandas_udf(_RANKED)
-def _rank_terms(words: pd.Series, rounds: pd.Series, window: pd.Series) -> pd.Series:
-    return pd.Series([_rank_one(*row) for row in zip(words, rounds, window)], dtype=object)
-
-
 def rank_scores(docs: DataFrame, rounds: int = RANK_ROUNDS, window: int = RANK_WINDOW) -> DataFrame:
     """``id, term, score`` from rank rounds on the graph of neighbouring terms of each document.
 
@@ -133,16 +125,30 @@ def rank_scores(docs: DataFrame, rounds: int = RANK_ROUNDS, window: int = RANK_W
     round gives it 0.15 plus 0.85 of what its neighbours pass on, each sharing its score equally.
     A graph never leaves its document, so the rounds run where the row is and nothing is shuffled.
     """
-    words = tokens.tokens(plain_content(F.col("content")))
-    ranked = docs.select("id", _rank_terms(words, F.lit(rounds), F.lit(window)).alias("ranked"))
-    # The outer form: Spark would test the array of a plain explode first, and rank twice for it.
-    listed = ranked.select("id", F.explode_outer("ranked").alias("t")).filter(F.col("t").isNotNull())
-    return listed.select("id", "t.term", F.round("t.score", 6).alias("score"))
+    schema = T.StructType(
+        [
+            T.StructField("id", docs.schema["id"].dataType),
+            T.StructField("term", T.StringType()),
+            T.StructField("score", T.DoubleType()),
+        ]
+    )
+
+    def rank_batches(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            for doc_id, words in zip(batch["id"], batch["words"]):
+                ranked = _rank_one(words, rounds, window)
+                if ranked:
+                    terms, scores = zip(*ranked)
+                    yield pd.DataFrame({"id": doc_id, "term": terms, "score": scores})
+
+    words = docs.select("id", tokens.tokens(plain_content(F.col("content"))).alias("words"))
+    return words.mapInPandas(rank_batches, schema)
 
 
 def rank_keywords(docs: DataFrame, k: int = KEYWORDS, rounds: int = RANK_ROUNDS) -> DataFrame:
     """``id, keywords`` by co-occurrence rank."""
-    return gather_terms(top_terms(rank_scores(docs, rounds), k))
+    scored = rank_scores(docs, rounds).withColumn("score", F.round("score", 6))
+    return gather_terms(top_terms(scored, k))
 
 
 def sentence_scores(docs: DataFrame) -> DataFrame:

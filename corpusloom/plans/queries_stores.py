@@ -127,9 +127,9 @@ CHECKS = {
     "a1_raw_pages": """SELECT url, md5(html) AS html_md5, NULL::INTEGER AS status, NULL::VARCHAR AS content_type FROM pages""",
     "a3_json_sink": _D + 'SELECT key AS id, domain, "spiderUUID", md5(content) AS content_md5 FROM t',
     "a4_document_sink": _D
-    + """SELECT id, domain, category, strftime(at, '%Y-%m-%d %H:%M:%S') AS gathered FROM (
+    + """SELECT id, domain, category, strftime(written, '%Y-%m-%d %H:%M:%S') AS gathered FROM (
         SELECT key AS id, domain, CASE WHEN number % 3 = 0 THEN 'again' ELSE category END AS category,
-          CASE WHEN number % 3 = 0 THEN "gatherTime" + INTERVAL 60 DAY ELSE "gatherTime" END AS at FROM t
+          CASE WHEN number % 3 = 0 THEN "gatherTime" + INTERVAL 60 DAY ELSE "gatherTime" END AS written FROM t
         UNION ALL SELECT 'new-' || key, domain, 'new', "gatherTime" FROM t
         UNION ALL SELECT 'hot', domain, key, TIMESTAMP '2024-03-05 08:00:00' + to_days(number::INTEGER) FROM t
           WHERE number = (SELECT max(number) FROM t))""",

@@ -97,7 +97,7 @@ def main() -> int:
         try:
             fault = compare(spark, f"/root/testdata/sf{args.sf}", name)
         except Exception as error:  # noqa: BLE001
-            fault = f"{type(error).__name__}: {str(error)[:1500]}"
+            fault = f"{type(error).__name__}: {str(error)[:300]} ... {str(error)[str(error).rfind("Caused by"):][:900]}"
         bad += fault is not None
         kind = "sql" if name in checked else "rows"
         print(f"{'FAIL' if fault else 'ok':5}{kind:5}{time.time() - start:6.1f}s {name} {fault or ''}", flush=True)
