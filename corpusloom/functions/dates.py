@@ -54,18 +54,12 @@ def detect_date(html: Column) -> Column:
     runs of that class and the forms are tried on the runs alone.
     """
     runs = F.array_join(F.regexp_extract_all(html, F.lit("([0-9年月日:/ -]{5,})"), F.lit(1)), "\n")
-    forms = F.array(*(F.lit(f"({form_regex(form)})") for form in DATE_FORMS))
 
     def first_form(text: Column) -> Column:
-        tried = F.aggregate(
-            forms,
-            F.lit(""),
-            lambda hit, form: F.when(hit != "", hit).otherwise(
-                F.call_function("regexp_extract", text, form, F.lit(1))
-            ),
-        )
+        hits = [F.regexp_extract(text, f"({form_regex(form)})", 1) for form in DATE_FORMS]
+        tried = F.coalesce(*(F.when(hit != "", hit) for hit in hits))
         # Every form has a month and a day, so texts without that shape need no tries.
-        return F.when(text.rlike("[0-9]{2}[-/月][0-9]{2}") & (tried != ""), tried)
+        return F.when(text.rlike("[0-9]{2}[-/月][0-9]{2}"), tried)
 
     return let(runs, first_form)
 

@@ -54,7 +54,7 @@ def term_counts(terms: Column) -> Column:
 
     empty = F.expr("cast(array() as array<struct<term:string,tf:bigint>>)")
     return let(
-        F.array_sort(terms),
+        F.sort_array(terms),
         lambda ordered: F.when(
             F.size(ordered) > 0, let(starts(ordered), lambda first: counted(ordered, first))
         ).otherwise(empty),

@@ -132,10 +132,14 @@ def publish_time(current_year: Column) -> Column:
     html, tpl = F.col("html"), F.col("tpl")
     by_rule = _by_rule(tpl["publishTimeXPath"], tpl["publishTimeReg"])
     has_format = tpl["publishTimeFormat"].isNotNull()
-    detects = tpl["autoDetectPublishDate"] & values.is_blank(by_rule)
-    return F.when(has_format, dates.parse_by_format(by_rule, tpl["dateRules"], current_year)).when(
-        detects, dates.parse_detected(dates.detect_date(html), current_year)
-    )
+
+    def moment(found: Column) -> Column:
+        hit = F.when(tpl["autoDetectPublishDate"] & values.is_blank(found), dates.detect_date(html))
+        return F.when(has_format, dates.parse_by_format(found, tpl["dateRules"], current_year)).otherwise(
+            values.let(hit, lambda text: dates.parse_detected(text, current_year))
+        )
+
+    return values.let(by_rule, moment)
 
 
 def _skip_reason() -> Column:
@@ -158,11 +162,9 @@ def extract_documents(
     gathered = F.lit(gather_time).cast("timestamp")
     tpl = F.col("tpl")
     matched = match_templates(pages, templates)
-    # One pass over the markup: nothing here leaves the row.
-    fields = matched.select(
-        "url",
-        "html",
-        "tpl",
+    # One pass over the markup: nothing here leaves the row. Plain columns would be worked out again
+    # by every filter on the verdict, which Spark moves below the select; a generator stays in place.
+    read = F.struct(
         markup.clean_body(raw_body()).alias("content"),
         title().alias("title"),
         category().alias("category"),
@@ -170,6 +172,7 @@ def extract_documents(
         publish_time(F.year(gathered)).alias("publishTime"),
         is_start_page().alias("is_start_page"),
     )
+    fields = matched.select("url", "html", "tpl", F.inline(F.array(read)))
     computed = {
         "id": F.md5("url"),
         "domain": tpl["domain"],

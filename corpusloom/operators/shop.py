@@ -189,7 +189,7 @@ def explode_skus(products: DataFrame, id_column: str, json_column: str) -> DataF
 def with_skus(products: DataFrame, id_column: str, json_column: str) -> DataFrame:
     """Products that have a price table, with ``skus`` and the ``sizes`` of those; others unchanged."""
     skus = explode_skus(products, id_column, json_column).groupBy(id_column).agg(
-        F.array_sort(F.collect_list(F.struct("sku", "size", "price"))).alias("_skus")
+        F.sort_array(F.collect_list(F.struct("sku", "size", "price"))).alias("_skus")
     )
     empty = F.expr("cast(array() as array<struct<sku:string,size:string,price:string>>)")
     found = F.when(F.col(json_column).isNotNull(), F.coalesce("_skus", empty))

@@ -165,10 +165,10 @@ def log_anchors(messages: DataFrame) -> DataFrame:
     pieces = (
         messages.select("task_id", piece.alias("piece"), (F.col("ts_ms") - piece * LOG_PIECE_MS).cast("int").alias("at"))
         .groupBy("task_id", "piece")
-        .agg(F.array_sort(F.collect_set("at")).alias("times"))
+        .agg(F.sort_array(F.collect_set("at")).alias("times"))
     )
     summed = pieces.select("task_id", F.struct("piece", _piece_exits("times").alias("exits")).alias("p"))
-    in_order = summed.groupBy("task_id").agg(F.array_sort(F.collect_list("p")).alias("pieces"))
+    in_order = summed.groupBy("task_id").agg(F.sort_array(F.collect_list("p")).alias("pieces"))
     blocks = in_order.select(
         "task_id",
         F.explode(F.arrays_zip(F.col("pieces.piece").alias("piece"), _piece_blocks("pieces").alias("blocked"))).alias("b"),
@@ -203,7 +203,7 @@ def coalesce_log(messages: DataFrame) -> DataFrame:
             F.count("*").alias("n_messages"),
             F.array_join(
                 F.transform(
-                    F.array_sort(F.collect_list(F.struct("ts_ms", "seq", "message"))), lambda m: m["message"]
+                    F.sort_array(F.collect_list(F.struct("ts_ms", "seq", "message"))), lambda m: m["message"]
                 ),
                 "<br/>",
             ).alias("text"),

@@ -22,6 +22,8 @@ SUMMARY_SENTENCES = 5
 RANK_WINDOW = 5
 RANK_DAMPING = 0.85
 RANK_ROUNDS = 30
+#: A term of one document in this many is joined by broadcast.
+HOT_SHARE = 100
 #: Copies of the per-term side of a join; a term of every document is spread over as many tasks.
 TERM_SALTS = 16
 
@@ -51,6 +53,12 @@ def term_statistics(vectors: DataFrame) -> DataFrame:
     return vectors.groupBy("term").agg(F.count("*").alias("df"), F.sum("tf").alias("cf"))
 
 
+def document_frequencies(docs: DataFrame) -> DataFrame:
+    """``term, df`` alone, which needs no counting inside the documents."""
+    terms = F.array_distinct(tokens.tokens(plain_content(F.col("content"))))
+    return docs.select(F.explode(terms).alias("term")).groupBy("term").agg(F.count("*").alias("df"))
+
+
 def join_on_term(left: DataFrame, per_term: DataFrame, spread: str, salts: int = TERM_SALTS) -> DataFrame:
     """Inner join on ``term`` in which the rows of a frequent term are dealt out by ``spread``.
 
@@ -62,6 +70,23 @@ def join_on_term(left: DataFrame, per_term: DataFrame, spread: str, salts: int =
     return salted.join(copies, ["term", "_salt"]).drop("_salt")
 
 
+def with_frequencies(vectors: DataFrame, frequencies: DataFrame, n_docs: Column) -> DataFrame:
+    """Add ``df`` to rows of ``id, term``.
+
+    Terms of at least one document in a hundred are the hot keys of this join. There are at most a
+    hundred times as many of them as a document has distinct terms on average, whatever the size of
+    the corpus, so they are broadcast. All other terms meet their row by shuffle; the rows that
+    have been served already travel under a key of their own, dealt evenly.
+    """
+    frequent = frequencies.filter(F.col("df") * HOT_SHARE >= n_docs).select("term", F.col("df").alias("_hot_df"))
+    rest = frequencies.select(F.col("term").alias("_key"), F.col("df").alias("_df"))
+    served = F.concat(F.lit("\u0000"), values.salt_of(F.col("id"), 1024).cast("string"))
+    marked = vectors.join(F.broadcast(frequent), "term", "left")
+    keyed = marked.withColumn("_key", F.when(F.col("_hot_df").isNull(), F.col("term")).otherwise(served))
+    joined = keyed.join(rest, "_key", "left")
+    return joined.withColumn("df", F.coalesce("_hot_df", "_df")).drop("_key", "_hot_df", "_df")
+
+
 def inverse_frequency(df: Column, n_docs: Column) -> Column:
     return F.log(1 + n_docs / df)
 
@@ -82,9 +107,9 @@ def document_count(docs: DataFrame) -> Column:
 
 def keyword_scores(docs: DataFrame) -> DataFrame:
     """``id, term, score`` with score = tf * ln(1 + N / df)."""
-    vectors = term_vectors(docs)
-    joined = join_on_term(vectors, term_statistics(vectors).select("term", "df"), "id")
-    weight = F.col("tf") * inverse_frequency(F.col("df"), document_count(docs))
+    n_docs = document_count(docs)
+    joined = with_frequencies(term_vectors(docs), document_frequencies(docs), n_docs)
+    weight = F.col("tf") * inverse_frequency(F.col("df"), n_docs)
     return joined.select("id", "term", F.round(weight, 6).alias("score"))
 
 
@@ -95,7 +120,7 @@ def keywords(docs: DataFrame, k: int = KEYWORDS) -> DataFrame:
 
 def gather_terms(ranked: DataFrame) -> DataFrame:
     """Put at most ``k`` ranked terms per document back into one array."""
-    ordered = F.array_sort(F.collect_list(F.struct("position", "term")))
+    ordered = F.sort_array(F.collect_list(F.struct("position", "term")))
     return ranked.groupBy("id").agg(F.transform(ordered, lambda t: t["term"]).alias("keywords"))
 
 
@@ -157,9 +182,9 @@ def sentence_scores(docs: DataFrame) -> DataFrame:
     terms = cut.select(
         "id", "at", F.explode(tokens.term_counts(tokens.tokens(F.col("sentence")))).alias("t")
     ).select("id", "at", "t.term", "t.tf")
-    df = term_statistics(term_vectors(docs)).select("term", "df")
-    weighted = join_on_term(terms, df, "id").select(
-        "id", "at", "tf", (F.col("tf") * inverse_frequency(F.col("df"), document_count(docs))).alias("weight")
+    n_docs = document_count(docs)
+    weighted = with_frequencies(terms, document_frequencies(docs), n_docs).select(
+        "id", "at", "tf", (F.col("tf") * inverse_frequency(F.col("df"), n_docs)).alias("weight")
     )
     return weighted.groupBy("id", "at").agg(F.round(F.sum("weight") / F.sum("tf"), 6).alias("score"))
 
@@ -176,7 +201,7 @@ def summaries(docs: DataFrame, k: int = SUMMARY_SENTENCES) -> DataFrame:
         .withColumn("rank", F.row_number().over(best))
         .filter(F.col("rank") <= k)
         .groupBy("id")
-        .agg(F.array_sort(F.collect_list("at")).alias("chosen"))
+        .agg(F.sort_array(F.collect_list("at")).alias("chosen"))
     )
     cut = docs.select("id", tokens.sentences(plain_content(F.col("content"))).alias("cut"))
     return cut.join(chosen, "id").select(
@@ -184,9 +209,10 @@ def summaries(docs: DataFrame, k: int = SUMMARY_SENTENCES) -> DataFrame:
     )
 
 
-def entity_mentions(docs: DataFrame, gazetteer: DataFrame, longest: int = 3) -> DataFrame:
-    """``id, type, surface``, distinct. ``gazetteer`` has ``surface`` (tokens joined by a space) and
-    ``type`` (nr person, ns place, nt organisation)."""
+def entity_mentions(docs: DataFrame, gazetteer: DataFrame) -> DataFrame:
+    """``id, type, surface``, distinct. ``gazetteer`` is a stored table with ``surface`` (tokens joined
+    by a space) and ``type`` (nr person, ns place, nt organisation)."""
+    longest = gazetteer.agg(F.max(F.size(F.split("surface", " ")))).first()[0] or 1
     def grams(words: Column) -> Column:
         return F.array_distinct(F.concat(*(tokens.grams(words, n) for n in range(1, longest + 1))))
 
@@ -200,7 +226,7 @@ def entity_mentions(docs: DataFrame, gazetteer: DataFrame, longest: int = 3) ->
 def named_entities(docs: DataFrame, gazetteer: DataFrame) -> DataFrame:
     """``id, namedEntity`` with one array per type."""
     per_type = [
-        F.array_sort(F.collect_set(F.when(F.col("type") == kind, F.col("surface")))).alias(kind)
+        F.sort_array(F.collect_set(F.when(F.col("type") == kind, F.col("surface")))).alias(kind)
         for kind in ("nr", "ns", "nt")
     ]
     found = entity_mentions(docs, gazetteer).groupBy("id").agg(*per_type)

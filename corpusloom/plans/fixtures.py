@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from corpusloom.functions import urls
+from corpusloom.session import spread
 
 RUN = "run-1"
 GATHERED = datetime(2024, 3, 5, 8, 0, 0)
@@ -22,7 +23,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def pages(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "pages").select("page_id", "url", "html")
+    return spread(table(spark, sf_dir, "pages").select("page_id", "url", "html"))
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -39,6 +40,11 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Id and content only, for work on every word."""
+    return spread(documents(spark, sf_dir).select("id", "content"))
+
+
 DOCUMENTS_SQL = """docs AS (
   SELECT doc_id AS id, text AS content, source AS domain, lang AS category,
          TIMESTAMP '2024-01-01' + to_days((doc_id % 30)::INTEGER) AS "gatherTime",
@@ -188,7 +194,7 @@ def dated_html(spark: SparkSession, sf_dir: str) -> DataFrame:
     # January becomes month 13: the first "01" followed by a month separator.
     text = F.when(F.col("event_id") % 11 == 0, F.regexp_replace(text, r"(^|[-/年])01([-/月])", "$113$2")).otherwise(text)
     body = F.when(F.col("event_id") % 7 == 0, F.lit("none")).otherwise(text)
-    return table(spark, sf_dir, "events").select(
+    return spread(table(spark, sf_dir, "events").select("event_id", "ts")).select(
         "event_id",
         "ts",
         number.alias("fmt_no"),
@@ -226,11 +232,11 @@ def price_json(spark: SparkSession, sf_dir: str) -> DataFrame:
         table(spark, sf_dir, "lineitem")
         .select("l_partkey", outer.alias("outer_key"), unit.alias("unit"))
         .groupBy("l_partkey", "outer_key")
-        .agg(F.array_join(F.array_sort(F.collect_list("unit")), ",").alias("units"))
+        .agg(F.array_join(F.sort_array(F.collect_list("unit")), ",").alias("units"))
     )
     inner = F.concat(F.lit("'"), F.col("outer_key"), F.lit("':{"), F.col("units"), F.lit("}"))
     return groups.groupBy("l_partkey").agg(
-        F.concat(F.lit("{"), F.array_join(F.array_sort(F.collect_list(inner)), ","), F.lit("}")).alias("price_json")
+        F.concat(F.lit("{"), F.array_join(F.sort_array(F.collect_list(inner)), ","), F.lit("}")).alias("price_json")
     ).select(F.col("l_partkey").alias("id"), "price_json")
 
 

@@ -37,7 +37,7 @@ def daily_histogram(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _analysed(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = fx.documents(spark, sf_dir)
-    texts = docs.select("id", "content")
+    texts = fx.texts(spark, sf_dir)
     names = text_analysis.named_entities(texts, gazetteer(spark, sf_dir))
     words = text_analysis.keywords(texts)
     return docs.join(names, "id", "left").join(words, "id", "left")

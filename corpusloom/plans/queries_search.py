@@ -15,14 +15,10 @@ from corpusloom.session import new_path
 QUERY = "the que nonsenseword Ening tion"
 
 
-def _texts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return fx.documents(spark, sf_dir).select("id", "content")
-
-
 def index_terms(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Written to disk and read back: every term with its figures."""
     path = new_path(spark, "index")
-    search.write_index(search.build_index(_texts(spark, sf_dir)), path, buckets=8, files_per_bucket=1)
+    search.write_index(search.build_index(fx.texts(spark, sf_dir)), path, buckets=8, files_per_bucket=1)
     index = search.read_index(spark, path)
     spans = index.postings.groupBy("term").agg(
         F.max("tf").alias("max_tf"), F.min("id").alias("first_id"), F.max("id").alias("last_id")
@@ -31,13 +27,13 @@ def index_terms(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def ranked_search(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = _texts(spark, sf_dir)
+    docs = fx.texts(spark, sf_dir)
     index = search.build_index(docs, only=search.query_terms(spark, QUERY))
     return search.search(index, QUERY, 20, 2)
 
 
 def all_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = _texts(spark, sf_dir)
+    docs = fx.texts(spark, sf_dir)
     terms = search.query_terms(spark, QUERY)
     return search.score_documents(search.build_index(docs, only=terms), terms)
 
@@ -58,7 +54,7 @@ def field_search(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def more_like_one(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = _texts(spark, sf_dir)
+    docs = fx.texts(spark, sf_dir)
     found = search.more_like_this(search.build_index(docs), documents.by_id(docs, 7), 15)
     return found.select("seed_id", "id", "score", F.col("position").cast("long").alias("position"))
 
@@ -68,7 +64,7 @@ def more_like_newest(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = fx.documents(spark, sf_dir)
     latest = Window.partitionBy("domain").orderBy(F.col("gatherTime").desc(), "id")
     seeds = docs.withColumn("r", F.row_number().over(latest)).filter("r = 1").select("id", "content")
-    index = search.build_index(docs.select("id", "content"))
+    index = search.build_index(fx.texts(spark, sf_dir))
     return search.more_like_this(index, seeds, 5).select("seed_id", "id", "score")
 
 

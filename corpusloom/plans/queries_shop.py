@@ -24,7 +24,7 @@ def _list_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
     number = F.floor(F.col("p_partkey") / 25).cast("long")
     parts = fx.table(spark, sf_dir, "part").select(number.alias("number"), "p_partkey", item.alias("item"))
-    body = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("p_partkey", "item"))), lambda i: i["item"]), "")
+    body = F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("p_partkey", "item"))), lambda i: i["item"]), "")
     return parts.groupBy("number").agg(body.alias("body")).select(
         F.concat(F.lit("https://shop.example.com/list?p="), F.col("number").cast("string")).alias("url"),
         F.concat(F.lit("<html><body><div class='items'>"), "body", F.lit("</div></body></html>")).alias("html"),
@@ -113,7 +113,7 @@ def pushed_attributes(spark: SparkSession, sf_dir: str) -> DataFrame:
     catalogue = fx.catalogue(spark, sf_dir)
     fetched = shop.attribute_work(catalogue).select("id", F.create_map(F.lit("from"), "url").alias("attr_map"))
     done = shop.push_attributes(catalogue, fetched)
-    values = F.array_sort(F.flatten(F.transform("attrs", lambda m: F.map_values(m))))
+    values = F.sort_array(F.flatten(F.transform("attrs", lambda m: F.map_values(m))))
     return done.select("id", F.array_join(values, ",").alias("values"), "fetchAttrs")
 
 

@@ -9,18 +9,15 @@ from corpusloom.functions import markup, tokens
 from corpusloom.functions.values import let
 from corpusloom.operators import text_analysis
 from corpusloom.plans import fixtures as fx
+from corpusloom.session import new_path
 
 # A gazetteer made from the corpus: its most frequent words and pairs of words. The type follows
 # from the hash of the surface.
 SINGLE_NAMES, PAIR_NAMES = 60, 30
 
 
-def _texts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return fx.documents(spark, sf_dir).select("id", "content")
-
-
 def gazetteer(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = _texts(spark, sf_dir)
+    found = fx.texts(spark, sf_dir)
     words = tokens.tokens(F.col("content"))
 
     def top(terms: Column, n: int) -> DataFrame:
@@ -33,7 +30,9 @@ def gazetteer(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.instr(F.lit(fx.HEX_DIGITS), F.substring(F.md5("surface"), 1, 1)) % 3 + 1,
     )
     both = top(words, SINGLE_NAMES).unionByName(top(let(words, lambda w: tokens.grams(w, 2)), PAIR_NAMES))
-    return both.select("surface", kind.alias("type"))
+    path = new_path(spark, "gazetteer")
+    both.select("surface", kind.alias("type")).write.parquet(path)
+    return spark.read.parquet(path)
 
 
 GAZETTEER_SQL = rf"""words AS (
@@ -51,7 +50,7 @@ mentions AS (
 
 
 def token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = _texts(spark, sf_dir).select("id", tokens.tokens(F.col("content")).alias("t"))
+    found = fx.texts(spark, sf_dir).select("id", tokens.tokens(F.col("content")).alias("t"))
     return found.select(
         "id",
         F.size("t").cast("long").alias("n_tokens"),
@@ -61,29 +60,29 @@ def token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def keywords(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = text_analysis.keywords(_texts(spark, sf_dir))
+    found = text_analysis.keywords(fx.texts(spark, sf_dir))
     return found.select("id", F.array_join("keywords", " ").alias("keywords"))
 
 
 def rank_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Two rounds, over every term of every document."""
-    scored = text_analysis.rank_scores(_texts(spark, sf_dir), rounds=2)
+    scored = text_analysis.rank_scores(fx.texts(spark, sf_dir), rounds=2)
     # Two rounds give short decimals; the shift keeps those that end in 5 on one side.
     return scored.select("id", "term", F.round(F.col("score") + 1e-9, 6).alias("score"))
 
 
 def rank_keywords(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = text_analysis.rank_keywords(_texts(spark, sf_dir))
+    found = text_analysis.rank_keywords(fx.texts(spark, sf_dir))
     return found.select("id", F.array_join("keywords", " ").alias("keywords"))
 
 
 def summaries(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = text_analysis.summaries(_texts(spark, sf_dir))
+    found = text_analysis.summaries(fx.texts(spark, sf_dir))
     return found.select("id", F.array_join("summary", " | ").alias("summary"))
 
 
 def named_entities(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = text_analysis.named_entities(_texts(spark, sf_dir), gazetteer(spark, sf_dir))
+    found = text_analysis.named_entities(fx.texts(spark, sf_dir), gazetteer(spark, sf_dir))
     return found.select(
         "id", *(F.array_join(f"namedEntity.{kind}", "/").alias(kind) for kind in ("nr", "ns", "nt"))
     )
