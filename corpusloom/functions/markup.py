@@ -7,9 +7,6 @@ from pyspark.sql import functions as F
 
 from corpusloom.functions.values import let
 
-#: Placeholder for a paragraph end while tags are being stripped.
-PARAGRAPH_MARK = "***"
-
 # Fixed values of the line-block density method, with blocks of three lines.
 BLOCK_THRESHOLD = 86
 MIN_LINE_LENGTH = 5
@@ -36,17 +33,26 @@ def page_title(html: Column) -> Column:
     return F.trim(F.regexp_replace(unescape(raw), r"\s+", " "))
 
 
+# What is replaced in extracted markup, in this order. Entries without pattern signs
+# are plain text.
+CLEAN_STEPS = (
+    (r"<script([\s\S]*?)</script>", ""),
+    (r"<style([\s\S]*?)</style>", ""),
+    ("</p>", "***"),
+    ("<BR>", "***"),
+    (r"<([\s\S]*?)>", ""),
+    (r"\*\*\*", "<br/>"),
+    (r"\n", "<br/>"),
+    (r"(<br/>\s*){2,}", "<br/> "),
+    (r"(&nbsp;\s*)+", " "),
+)
+
+
 def clean_body(raw: Column) -> Column:
-    """Turn extracted markup into text with ``<br/>`` marks. The order of the steps matters."""
-    text = F.regexp_replace(raw, r"<script([\s\S]*?)</script>", "")
-    text = F.regexp_replace(text, r"<style([\s\S]*?)</style>", "")
-    text = F.replace(text, F.lit("</p>"), F.lit(PARAGRAPH_MARK))
-    text = F.replace(text, F.lit("<BR>"), F.lit(PARAGRAPH_MARK))
-    text = F.regexp_replace(text, r"<([\s\S]*?)>", "")
-    text = F.replace(text, F.lit(PARAGRAPH_MARK), F.lit("<br/>"))
-    text = F.replace(text, F.lit("\n"), F.lit("<br/>"))
-    text = F.regexp_replace(text, r"(<br/>\s*){2,}", "<br/> ")
-    return F.regexp_replace(text, r"(&nbsp;\s*)+", " ")
+    """Turn extracted markup into text with ``<br/>`` marks."""
+    for pattern, by in CLEAN_STEPS:
+        raw = F.regexp_replace(raw, pattern, by)
+    return raw
 
 
 def visible_lines(html: Column) -> Column:

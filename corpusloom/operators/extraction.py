@@ -157,7 +157,8 @@ def extract_documents(
 ) -> DataFrame:
     """Documents with two verdict columns, ``is_start_page`` and ``skip_reason``.
 
-    ``gather_time`` is a job parameter; its year completes dates that name none.
+    ``gather_time`` is a job parameter; its year completes dates that name none. A page column
+    ``stored`` is passed through.
     """
     gathered = F.lit(gather_time).cast("timestamp")
     tpl = F.col("tpl")
@@ -172,7 +173,8 @@ def extract_documents(
         publish_time(F.year(gathered)).alias("publishTime"),
         is_start_page().alias("is_start_page"),
     )
-    fields = matched.select("url", "html", "tpl", F.inline(F.array(read)))
+    carried = [c for c in ("stored",) if c in pages.columns]
+    fields = matched.select("url", "html", "tpl", *carried, F.inline(F.array(read)))
     computed = {
         "id": F.md5("url"),
         "domain": tpl["domain"],
@@ -199,6 +201,7 @@ def extract_documents(
         ),
         "is_start_page",
         _skip_reason().alias("skip_reason"),
+        *carried,
     )
 
 
@@ -209,6 +212,13 @@ def collected(extracted: DataFrame) -> DataFrame:
     )
 
 
+def _known_template(templates: DataFrame, template_id: str) -> DataFrame:
+    chosen = templates.filter(F.col("id") == template_id)
+    if chosen.isEmpty():
+        raise ValueError(f"template {template_id!r} is not in the template table")
+    return chosen
+
+
 def re_extract(
     store: DataFrame,
     old_template_id: str,
@@ -222,9 +232,7 @@ def re_extract(
     Documents that the new template rejects, and those stored without markup, are left out and so
     stay as they are. Start pages are updated like any other.
     """
-    chosen = templates.filter(F.col("id") == new_template_id)
-    if chosen.isEmpty():
-        raise ValueError(f"template {new_template_id!r} is not in the template table")
+    chosen = _known_template(templates, new_template_id)
     pages = store.filter((F.col("spiderInfoId") == old_template_id) & F.col("rawHTML").isNotNull()).select(
         "url", F.col("rawHTML").alias("html"), F.lit(new_template_id).alias("template_id")
     )
@@ -232,6 +240,43 @@ def re_extract(
     return extracted.filter(F.col("skip_reason").isNull()).drop("is_start_page", "skip_reason")
 
 
-def preview(pages: DataFrame, templates: DataFrame, gather_time: datetime, sample_pages: int = 10) -> DataFrame:
-    """Try templates on a few pages of each; nothing is stored."""
-    return extract_documents(pages.limit(sample_pages), templates, "preview", gather_time)
+def re_extracted_store(
+    store: DataFrame,
+    old_template_id: str,
+    templates: DataFrame,
+    new_template_id: str,
+    run_id: str,
+    gather_time: datetime,
+) -> DataFrame:
+    """The store after ``re_extract`` and a partial update, without a join.
+
+    The new fields come from the stored row itself, so the old row travels along and the two are
+    merged in place: fields that the new template leaves null, and rejected rows, keep their values.
+    """
+    chosen = _known_template(templates, new_template_id)
+    affected = F.coalesce((F.col("spiderInfoId") == old_template_id) & F.col("rawHTML").isNotNull(), F.lit(False))
+    pages = store.filter(affected).select(
+        "url",
+        F.col("rawHTML").alias("html"),
+        F.lit(new_template_id).alias("template_id"),
+        F.struct(*store.columns).alias("stored"),
+    )
+    extracted = extract_documents(pages, chosen, run_id, gather_time)
+    passed = F.col("skip_reason").isNull()
+    merged = extracted.select(
+        *(
+            F.coalesce(F.when(passed, F.col(c)), F.col(f"stored.{c}")).alias(c)
+            if c in WEBPAGE.names
+            else F.col(f"stored.{c}").alias(c)
+            for c in store.columns
+        )
+    )
+    return store.filter(~affected).unionByName(merged)
+
+
+def preview(
+    pages: DataFrame, templates: DataFrame, gather_time: datetime, sample_pages: int | None = None
+) -> DataFrame:
+    """Try templates on the given pages, or on a few of them; nothing is stored."""
+    sample = pages if sample_pages is None else pages.limit(sample_pages)
+    return extract_documents(sample, templates, "preview", gather_time)

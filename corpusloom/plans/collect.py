@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from corpusloom.functions import urls, values
-from corpusloom.operators import extraction, mutations, shop, template_admin, text_analysis
+from corpusloom.operators import extraction, shop, template_admin, text_analysis
 from corpusloom.schema import WEBPAGE
 from corpusloom.session import broadcast_if_small
 from corpusloom.sources import snapshots
@@ -83,7 +83,8 @@ def update_stored(
     spark = templates.sparkSession
 
     def step(store: DataFrame) -> DataFrame:
-        updates = extraction.re_extract(store, old_template_id, templates, new_template_id, run_id, gather_time)
-        return mutations.partial_update(store, updates)
+        return extraction.re_extracted_store(
+            store, old_template_id, templates, new_template_id, run_id, gather_time
+        )
 
     return snapshots.change(spark, root, step)

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from corpusloom.operators import extraction, mutations, template_admin
 from corpusloom.plans import fixtures as fx
+from corpusloom.plans import queries_extraction
 from corpusloom.session import new_path
 from corpusloom.sources import snapshots
 from corpusloom.sources.templates import parse_templates
@@ -124,9 +125,7 @@ def of_domain(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def previewed(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A preview of all pages: the sample size is the number of pages."""
-    pages = fx.pages(spark, sf_dir)
-    seen = extraction.preview(pages, fx.templates(spark, sf_dir), fx.GATHERED, sample_pages=pages.count())
+    seen = extraction.preview(fx.pages(spark, sf_dir), fx.templates(spark, sf_dir), fx.GATHERED)
     return seen.select("url", "title", "category", "spiderUUID")
 
 
@@ -154,6 +153,7 @@ t AS (
            CASE WHEN h = 11 THEN 'short_timeout' END, CASE WHEN h IN (3, 5) THEN 'bad_dynamic_field' END) AS violations
   FROM hosts)"""
 _W = fx.with_sql(_T)
+_PREVIEW = fx.with_sql(*queries_extraction._ALL)
 
 CHECKS = {
     "a2_parsed_templates": _W
@@ -173,5 +173,6 @@ CHECKS = {
     "c4_deleted": _W
     + """SELECT id, domain FROM t WHERE id <> (SELECT min(id) FROM t) AND domain <> (SELECT max(domain) FROM t)""",
     "c5_not_running": _W + "SELECT id, domain FROM t WHERE h % 4 <> 1",
+    "c7_preview": _PREVIEW + """SELECT url, title, category, 'preview' AS "spiderUUID" FROM d""",
     "c6_start_batch": _W + "SELECT id, domain FROM t WHERE h % 4 <> 1 AND violations = ''",
 }

@@ -214,6 +214,12 @@ def test_re_extraction_with_the_same_template_changes_nothing(spark):
     updates = extraction.re_extract(store, "t", template, "t", "r", datetime(2024, 1, 1))
     shown = ["id", "url", "title", "content", "spiderInfoId", "gatherTime", "rawHTML"]
     assert rows(mutations.partial_update(store, updates).select(*shown)) == rows(store.select(*shown))
+    in_place = extraction.re_extracted_store(store, "t", template, "t", "r", datetime(2024, 1, 1))
+    assert rows(in_place.select(*shown)) == rows(store.select(*shown))
+    lean = spark.createDataFrame([("n", True)], "id string, needContent boolean")
+    wanted = mutations.partial_update(store, extraction.re_extract(store, "t", lean, "n", "r2", datetime(2024, 2, 1)))
+    got = extraction.re_extracted_store(store, "t", lean, "n", "r2", datetime(2024, 2, 1))
+    assert rows(got.select(*shown)) == rows(wanted.select(*shown))
     with pytest.raises(ValueError):
         extraction.re_extract(store, "t", template, "unknown", "r", datetime(2024, 1, 1))
 
