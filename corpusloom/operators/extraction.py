@@ -166,6 +166,7 @@ def extract_documents(
     # One pass over the markup: nothing here leaves the row. Plain columns would be worked out again
     # by every filter on the verdict, which Spark moves below the select; a generator stays in place.
     read = F.struct(
+        tpl["domain"].alias("domain"),
         markup.clean_body(raw_body()).alias("content"),
         title().alias("title"),
         category().alias("category"),
@@ -177,7 +178,6 @@ def extract_documents(
     fields = matched.select("url", "html", "tpl", *carried, F.inline(F.array(read)))
     computed = {
         "id": F.md5("url"),
-        "domain": tpl["domain"],
         "spiderUUID": F.lit(run_id),
         "spiderInfoId": tpl["id"],
         "rawHTML": F.when(tpl["saveCapture"], F.col("html")),
@@ -189,7 +189,7 @@ def extract_documents(
             F.size(tpl["staticFields"]) > 0, F.map_from_entries(values.last_by_name(tpl["staticFields"]))
         ),
     }
-    present = {"url", "title", "content", "category", "publishTime"}
+    present = {"url", "domain", "title", "content", "category", "publishTime"}
     return fields.select(
         *(
             computed[f.name].alias(f.name)
