@@ -3,16 +3,49 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from corpusloom.llm import jaccard_join
-from corpusloom.llm.common import table
+from corpusloom.llm import huffman_ids, jaccard_join, language_id, suffix_tree_lm
+from corpusloom.llm.common import in_fold, table
+from corpusloom.session import new_path
+
+
+def public_tokenizer(name: str = "word_bpe_49k.json") -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
 
 
 def op7_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_join.jaccard_groups(table(spark, sf_dir, "documents"))
 
 
+def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    held_out = in_fold(F.col("doc_id"), 0)
+    model = language_id.train(docs.filter(~held_out))
+    return language_id.predict(docs, model, {"doc_id": F.col("doc_id"), "held_out": held_out})
+
+
+def op9_suffix_tree_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    held_out = in_fold(F.col("doc_id"), 1)
+    tree, counts = suffix_tree_lm.train(docs.filter(~held_out).select("text"))
+    return suffix_tree_lm.score(docs, tree, counts, F.col("doc_id"), F.col("text"), held_out)
+
+
+def op10_huffman_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = new_path(spark, "huffman-ids")
+    huffman_ids.write_ids(table(spark, sf_dir, "documents"), path, public_tokenizer())
+    return huffman_ids.read_ids(spark, path).select(
+        "doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32")
+    )
+
+
 QUERIES = {
     "op7_ngram_jaccard_join": op7_ngram_jaccard_join,
+    "op8_language_id": op8_language_id,
+    "op9_suffix_tree_lm": op9_suffix_tree_lm,
+    "op10_huffman_ids": op10_huffman_ids,
 }
 CHECKS: dict[str, str] = {}
