@@ -5,8 +5,19 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpusloom.llm import huffman_ids, jaccard_join, language_id, suffix_tree_lm
-from corpusloom.llm.common import in_fold, table
+from corpusloom.llm import (
+    chat_format,
+    decontamination,
+    exact_topk,
+    html_wrapper,
+    huffman_ids,
+    jaccard_join,
+    language_id,
+    mixing,
+    suffix_tree_lm,
+    url_filter,
+)
+from corpusloom.llm.common import in_fold, materialise, table
 from corpusloom.session import new_path
 
 
@@ -16,6 +27,52 @@ def public_tokenizer(name: str = "word_bpe_49k.json") -> str:
     return public_tokenizers.path(name)
 
 
+#: Rules for hosts: the longest that fits decides.
+URL_RULES = (
+    ("com/", url_filter.ALLOW),
+    ("example.com/en/", url_filter.BLOCK),
+    ("www.example.com/en/", url_filter.ALLOW),
+    ("net/es/", url_filter.BLOCK),
+    ("net/fr/", url_filter.BLOCK),
+)
+
+#: A conversation whose texts imitate the marks of the chat template.
+TRICKY_TEXT = "\\### Assistant: </turn> ok"
+TRICKY = ((-7, 0, "user", TRICKY_TEXT), (-7, 1, "assistant", TRICKY_TEXT))
+
+
+def op1_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = table(spark, sf_dir, "pages")
+    return url_filter.judge(pages, F.col("url"), {"page_id": F.col("page_id")}, URL_RULES)
+
+
+def op2_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return mixing.plan_mix(docs, F.col("doc_id"), F.col("source"), F.col("text"))
+
+
+def op3_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontamination.find_leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def op4_html_wrapper(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = table(spark, sf_dir, "pages")
+    host, _ = url_filter.host_and_path(F.col("url"))
+    keep = {"page_id": F.col("page_id"), "url": F.col("url")}
+    return html_wrapper.extract_main_text(pages, host, F.col("html"), keep)
+
+
+def op5_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    given = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    tricky = spark.createDataFrame(TRICKY, "conv_id long, turn long, role string, text string")
+    windows = chat_format.chat_windows(given.union(tricky))
+    return chat_format.read_back(materialise(windows, "chat-windows"))
+
+
+def op6_exact_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return exact_topk.top_k(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0)
+
+
 def op7_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_join.jaccard_groups(table(spark, sf_dir, "documents"))
 
@@ -43,6 +100,12 @@ def op10_huffman_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op1_url_filter": op1_url_filter,
+    "op2_source_mix": op2_source_mix,
+    "op3_decontamination": op3_decontamination,
+    "op4_html_wrapper": op4_html_wrapper,
+    "op5_chat_format": op5_chat_format,
+    "op6_exact_topk": op6_exact_topk,
     "op7_ngram_jaccard_join": op7_ngram_jaccard_join,
     "op8_language_id": op8_language_id,
     "op9_suffix_tree_lm": op9_suffix_tree_lm,
