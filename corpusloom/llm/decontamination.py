@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from corpusloom.llm.words import mix, shingles_at, words_of
+from corpusloom.llm.words import Words, mix, shingles_at, words_of
 
 #: Words of a shingle, and the least similarity in hundredths.
 SHINGLE = 5
@@ -47,6 +47,7 @@ class Items:
     counts: list[Counter] = field(default_factory=list)
     shingles: np.ndarray = None  # ascending, of all items
     owners: dict[int, list[int]] = field(default_factory=dict)  # shingle -> items
+    sizes: list[int] = field(default_factory=list)  # of shingles: five words, or all of a shorter item
     sieve: np.ndarray = None
     prints: np.ndarray = None
     tables: dict[tuple[int, int], dict[int, list[int]]] = field(default_factory=dict)
@@ -86,6 +87,7 @@ def index_items(rows: list[tuple[int, np.ndarray]]) -> Items:
         items.counts.append(Counter(own.tolist()))
         for shingle in items.counts[-1]:
             items.owners.setdefault(shingle, []).append(i)
+    items.sizes = sorted({min(SHINGLE, len(w)) for w in items.words})
     items.shingles = np.sort(np.array(list(items.owners), dtype=np.uint64))
     items.sieve = np.zeros(_FILTER, dtype=bool)
     items.sieve[(items.shingles & np.uint64(_FILTER - 1)).astype(np.int64)] = True
@@ -103,20 +105,19 @@ def similarity(a: Counter, b: Counter) -> float:
     return both / (a.total() + b.total() - both)
 
 
-def find_in(words: np.ndarray, hits: np.ndarray, items: Items) -> Iterator[tuple[int, int, int, float, int]]:
-    """The best window for every item that a document holds: (item, start, words, similarity, distance).
-
-    ``hits`` are the places where a shingle of any item begins.
-    """
-    lengths: dict[int, list[np.ndarray]] = {}
-    shingles = shingles_at(words, SHINGLE)
-    for at in hits.tolist():
-        for i in items.owners.get(int(shingles[at]), ()):
-            lengths.setdefault(len(items.words[i]), []).append(at)
+def find_in(words: np.ndarray, items: Items) -> Iterator[tuple[int, int, int, float, int]]:
+    """The best window for every item that a document holds: (item, start, words, similarity, distance)."""
+    lengths: dict[int, list[int]] = {}
+    for size in items.sizes:
+        if size <= len(words):
+            shingles = shingles_at(words, size)
+            for at in np.flatnonzero(_of_items(shingles, items)).tolist():
+                for i in items.owners[int(shingles[at])]:
+                    lengths.setdefault(len(items.words[i]), []).append(at)
     best: dict[int, tuple[float, int, int, int]] = {}
     for size, places in lengths.items():
         reach = min(size, len(words))
-        back = max(1, reach - SHINGLE + 1)
+        back = max(1, reach - min(SHINGLE, size) + 1)
         starts = np.unique((np.unique(places)[:, None] - np.arange(back)[None, :]).ravel())
         starts = starts[(starts >= 0) & (starts <= len(words) - reach)]
         if not len(starts):
@@ -157,11 +158,8 @@ def _finder(shared) -> Callable:
                 if not len(words.hashes):
                     continue
                 for i in _texts_with_hits(words, items):
-                    own = words.of(i)
-                    shingles = shingles_at(own, SHINGLE)
-                    hits = np.flatnonzero(_of_items(shingles, items))
                     doc_id = batch.column(0)[words.first + i].as_py()
-                    found += [(doc_id, *x) for x in find_in(own, hits, items)]
+                    found += [(doc_id, *x) for x in find_in(words.of(i), items)]
             if found:
                 yield pa.record_batch([pa.array(x, type=f.type) for x, f in zip(zip(*found), schema)], schema=schema)
 
@@ -176,15 +174,15 @@ def _of_items(shingles: np.ndarray, items: Items) -> np.ndarray:
     return maybe
 
 
-def _texts_with_hits(words, items: Items) -> list[int]:
-    """Texts of a chunk that have a shingle of an item; short ones are always looked at."""
-    sizes = np.diff(words.bounds)
-    short = np.flatnonzero((sizes > 0) & (sizes < SHINGLE)).tolist()
-    every = shingles_at(words.hashes, SHINGLE)
-    hits = np.flatnonzero(_of_items(every, items)) if len(words.hashes) >= SHINGLE else np.zeros(0, dtype=int)
-    owner = np.searchsorted(words.bounds, hits, side="right") - 1
-    inside = hits + SHINGLE <= words.bounds[owner + 1]
-    return sorted(set(np.unique(owner[inside]).tolist()) | set(short))
+def _texts_with_hits(words: Words, items: Items) -> list[int]:
+    """Texts of a chunk that have a shingle of an item."""
+    found: set[int] = set()
+    for size in items.sizes:
+        if size <= len(words.hashes):
+            hits = np.flatnonzero(_of_items(shingles_at(words.hashes, size), items))
+            owner = np.searchsorted(words.bounds, hits, side="right") - 1
+            found.update(owner[hits + size <= words.bounds[owner + 1]].tolist())
+    return sorted(found)
 
 
 def _passes(benchmark: DataFrame, item_id: str, text: str) -> Iterator[list[tuple[int, np.ndarray]]]:
@@ -211,7 +209,7 @@ def find_leaks(
     for every benchmark item that it holds.
 
     Texts are compared by their words, whole; a document shorter than an item is one window. An item of fewer
-    than five words is found where it is the whole document. Null and blank
+    than five words is one shingle. Null and blank
     texts and items, and items without an id, give nothing. Repeated items are looked for once, repeated
     documents give a row each. The benchmark is the query set: its items go to the workers ``PASS_BYTES`` at a
     time, and every pass reads all documents. Other columns are not looked at. Empty tables give an empty table.
@@ -232,4 +230,4 @@ def drop_leaky(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     row with a null id is leaky.
     """
     leaky = find_leaks(docs, benchmark).select(F.col("doc_id").alias("__leaky")).distinct()
-    return docs.join(leaky, F.col("doc_id").cast("long").eqNullSafe(F.col("__leaky")), "left_anti")
+    return docs.join(leaky, docs["doc_id"].cast("long").eqNullSafe(leaky["__leaky"]), "left_anti")

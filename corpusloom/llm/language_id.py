@@ -214,3 +214,11 @@ def predict(docs: DataFrame, model: Model, keep: dict[str, Column], text: str =
     rows = docs.select(F.col(text).cast("string").alias("__text"), *[c.alias(n) for n, c in keep.items()])
     schema = rows.drop("__text").schema.add("lang_pred", "string").add("score", "double").add("ambiguous", "boolean")
     return rows.mapInArrow(_predictor(docs.sparkSession.sparkContext.broadcast(model)), schema)
+
+
+def keep_identified(docs: DataFrame, model: Model, text: str = "text", least: float = 0.5) -> DataFrame:
+    """The rows of ``docs`` that are given a language with a score of ``least`` or more, with all their columns."""
+    names = {f"__column_{i}": c for i, c in enumerate(docs.columns)}
+    judged = predict(docs, model, {n: docs[c] for n, c in names.items()}, text)
+    kept = judged.filter((F.col("lang_pred") != UNDETERMINED) & (F.col("score") >= least))
+    return kept.select(*[F.col(n).alias(c) for n, c in names.items()])

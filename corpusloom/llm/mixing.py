@@ -122,6 +122,7 @@ def mix_rows(docs: DataFrame, **options) -> DataFrame:
     per_id = plan.groupBy(F.col("doc_id").alias("__id")).agg(
         F.ceil(F.sum("copies") / F.count("*")).cast("int").alias("__copies")
     )
-    joined = docs.join(per_id.filter("__copies > 0"), F.col("doc_id").eqNullSafe(F.col("__id")))
+    taken = per_id.filter("__copies > 0")
+    joined = docs.join(taken, docs["doc_id"].eqNullSafe(taken["__id"]))
     repeated = joined.withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("__copies"))))
     return repeated.drop("__id", "__copies", "__copy")
