@@ -6,6 +6,9 @@ fields that the format lacks keep their 1970-01-01 00:00:00 value.
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import and_
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -104,6 +107,8 @@ def parse_detected(hit: Column, current_year: Column) -> Column:
 PART_LETTERS = {
     "year": "y", "month": "M", "day": "d", "hour": "HhKk", "minute": "m", "second": "s", "half": "a",
 }
+#: Numbers from here on are no part of a date that a timestamp can hold.
+_FAR = 100_000
 _MONTHS = ("jan", "feb", "mar", "apr", "may", "jun", "jul", "aug", "sep", "oct", "nov", "dec")
 
 
@@ -121,7 +126,7 @@ def format_pieces(fmt: Column) -> Column:
             F.when(token == "''", F.lit("'"))
             .when(token.startswith("'"), F.concat(F.lit(r"\Q"), F.replace(token, F.lit("'"), F.lit("")), F.lit(r"\E")))
             .when(~token.rlike("^[A-Za-z]"), F.concat(F.lit(r"\Q"), token, F.lit(r"\E")))
-            .when(token.rlike(numeric), F.when(following.rlike(numeric), fixed).otherwise(F.lit("[0-9]{1,4}")))
+            .when(token.rlike(numeric), F.when(following.rlike(numeric), fixed).otherwise(F.lit("[0-9]+")))
             .when(token.startswith("a"), F.lit("(?i:am|pm|上午|下午)"))
             .otherwise(F.lit(r"[\p{L}.:+-]+[0-9:]*"))
         )
@@ -169,7 +174,8 @@ def parse_by_format(value: Column, rules: Column, current_year: Column) -> Colum
         return F.when(rule.isNotNull() & (found != ""), found)
 
     def number(part: str, default: int) -> Column:
-        return F.coalesce(text(part).try_cast("int"), F.lit(default))
+        found = text(part)
+        return F.when(found.isNull(), F.lit(default)).otherwise(F.least(found.try_cast("int"), F.lit(_FAR)))
 
     month_name = F.array_position(
         F.array(*(F.lit(m) for m in _MONTHS)), F.lower(F.substring(F.coalesce(text("month"), F.lit("")), 1, 3))
@@ -189,4 +195,5 @@ def parse_by_format(value: Column, rules: Column, current_year: Column) -> Colum
         }
     )
     fixed = F.when(rules["without_year"], _in_year(moment, current_year)).otherwise(moment)
-    return F.when(F.call_function("rlike", value, rules["whole"]), fixed)
+    near = [number(part, 0) < _FAR for part in ("year", "month", "day", "hour", "minute", "second")]
+    return F.when(F.call_function("rlike", value, rules["whole"]) & reduce(and_, near), fixed)

@@ -131,7 +131,7 @@ def _rank_one(words: np.ndarray, rounds: int, window: int) -> list[tuple[str, fl
         np.stack([codes[:-gap], codes[gap:]]) for gap in range(1, min(window, len(codes)))
     ]
     if n < 2 or not pairs:
-        return []
+        return [(term, 1.0) for term in terms.tolist()]
     low, high = np.sort(np.concatenate(pairs, axis=1), axis=0)
     edges = np.unique(low[low != high] * n + high[low != high])
     left, right = np.concatenate([edges // n, edges % n]), np.concatenate([edges % n, edges // n])
@@ -148,6 +148,7 @@ def rank_scores(docs: DataFrame, rounds: int = RANK_ROUNDS, window: int = RANK_W
 
     Terms are neighbours if they occur less than ``window`` places apart. Every term starts at 1; a
     round gives it 0.15 plus 0.85 of what its neighbours pass on, each sharing its score equally.
+    The only term of a document has no neighbours and stays at 1.
     A graph never leaves its document, so the rounds run where the row is and nothing is shuffled.
     """
     schema = T.StructType(
@@ -160,11 +161,12 @@ def rank_scores(docs: DataFrame, rounds: int = RANK_ROUNDS, window: int = RANK_W
 
     def rank_batches(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            for doc_id, words in zip(batch["id"], batch["words"]):
-                ranked = _rank_one(words, rounds, window)
-                if ranked:
-                    terms, scores = zip(*ranked)
-                    yield pd.DataFrame({"id": doc_id, "term": terms, "score": scores})
+            ranked = [_rank_one(words, rounds, window) for words in batch["words"]]
+            found = [pair for pairs in ranked for pair in pairs]
+            ids = batch["id"].repeat([len(pairs) for pairs in ranked])
+            yield pd.DataFrame(
+                {"id": ids.to_numpy(), "term": [t for t, _ in found], "score": [s for _, s in found]}
+            )
 
     words = docs.select("id", tokens.tokens(plain_content(F.col("content"))).alias("words"))
     return words.mapInPandas(rank_batches, schema)
@@ -172,7 +174,8 @@ def rank_scores(docs: DataFrame, rounds: int = RANK_ROUNDS, window: int = RANK_W
 
 def rank_keywords(docs: DataFrame, k: int = KEYWORDS, rounds: int = RANK_ROUNDS) -> DataFrame:
     """``id, keywords`` by co-occurrence rank."""
-    scored = rank_scores(docs, rounds).withColumn("score", F.round("score", 6))
+    # Few rounds give short decimals; the shift keeps those that end in 5 on one side.
+    scored = rank_scores(docs, rounds).withColumn("score", F.round(F.col("score") + 1e-9, 6))
     return gather_terms(top_terms(scored, k))
 
 

@@ -21,7 +21,7 @@ def of_run(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def of_domain(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _shown(documents.of_domain(fx.documents(spark, sf_dir), "src5", 10, 2))
+    return _shown(documents.of_domain(fx.documents(spark, sf_dir), "src5", 4, 2))
 
 
 def of_domains(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -108,12 +108,16 @@ def catalogue_save(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def catalogue_update(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Set the size of one brand to null (changes nothing) and its name to upper case."""
+    """Set the size of one brand to null (changes nothing) and its name to upper case, for some parts once
+    more and later to another name; unknown parts come too."""
     parts = _parts(spark, sf_dir)
-    updates = parts.filter(F.col("p_brand") == "Brand#4").select(
-        "p_partkey", F.upper("p_name").alias("p_name"), F.lit(None).cast("int").alias("p_size")
-    )
-    return mutations.partial_update(parts, updates, "p_partkey")
+    size = F.lit(None).cast("int").alias("p_size")
+    first = parts.filter(F.col("p_brand") == "Brand#4").select("p_partkey", F.upper("p_name").alias("p_name"), size)
+    second = first.filter(F.col("p_partkey") % 3 == 0).withColumn("p_name", F.concat("p_name", F.lit("!")))
+    unknown = first.withColumn("p_partkey", -F.col("p_partkey") - 1)
+    turns = [x.withColumn("turn", F.lit(i)) for i, x in enumerate((first, second, unknown))]
+    updates = turns[0].unionByName(turns[1]).unionByName(turns[2])
+    return mutations.partial_update(parts, updates, "p_partkey", "turn")
 
 
 QUERIES = {
@@ -148,7 +152,7 @@ _PART = "SELECT p_partkey, p_name, p_brand, p_size FROM part "
 
 CHECKS = {
     "b1_documents_of_run": _D + _SHOWN + """WHERE "spiderUUID" = 'run-3' ORDER BY id LIMIT 20 OFFSET 20""",
-    "b2_documents_of_domain": _D + _SHOWN + "WHERE domain = 'src5'" + _NEWEST + "LIMIT 10 OFFSET 10",
+    "b2_documents_of_domain": _D + _SHOWN + "WHERE domain = 'src5'" + _NEWEST + "LIMIT 4 OFFSET 4",
     "b3_documents_of_domains": _D + _SHOWN + "WHERE domain IN ('src1', 'src2', 'src7')" + _NEWEST + "LIMIT 25",
     "b4_document_by_id": _D + _SHOWN + "WHERE id = 42",
     "b5_newest_documents": _D + _SHOWN + _NEWEST + "LIMIT 15 OFFSET 30",
@@ -169,6 +173,7 @@ CHECKS = {
     "a12_catalogue_save": """SELECT p_partkey, CASE WHEN p_partkey % 3 = 0 THEN 'new ' || p_name ELSE p_name END AS p_name,
         CASE WHEN p_partkey % 3 = 0 THEN 2 ELSE 1 END AS version FROM part
         UNION ALL SELECT -p_partkey - 1, p_name, 2 FROM part WHERE p_partkey % 3 = 0""",
-    "a12_catalogue_update": """SELECT p_partkey, CASE WHEN p_brand = 'Brand#4' THEN upper(p_name) ELSE p_name END AS p_name,
+    "a12_catalogue_update": """SELECT p_partkey, CASE WHEN p_brand <> 'Brand#4' THEN p_name
+          WHEN p_partkey % 3 = 0 THEN upper(p_name) || '!' ELSE upper(p_name) END AS p_name,
         p_brand, p_size FROM part""",
 }

@@ -102,9 +102,15 @@ def delete_by_domain(spark: SparkSession, sf_dir: str) -> DataFrame:
 def partial_update(spark: SparkSession, sf_dir: str) -> DataFrame:
     root, docs = _stored(spark, sf_dir)
     updates = docs.filter(F.col("domain").isin("src1", "src2")).select(
-        "id", F.lit(None).cast("string").alias("domain"), F.upper("category").alias("category")
+        "id", F.lit(None).cast("string").alias("domain"), F.upper("category").alias("category"), F.lit(1).alias("turn")
     )
-    return snapshots.change(spark, root, lambda store: mutations.partial_update(store, updates))
+    # Some come twice, the later one with a domain and without a category; others aren't stored.
+    again = updates.filter(F.col("id") % 4 == 0).withColumns(
+        {"domain": F.lit("moved"), "category": F.lit(None).cast("string"), "turn": F.lit(2)}
+    )
+    unknown = updates.withColumn("id", -F.col("id") - 1)
+    every = updates.unionByName(again).unionByName(unknown)
+    return snapshots.change(spark, root, lambda store: mutations.partial_update(store, every, version="turn"))
 
 
 def retained_tasks(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -209,7 +215,8 @@ CHECKS = {
         FROM documents WHERE length(text) >= 100""",
     "h8_delete_by_domain": """SELECT doc_id AS id, source AS domain, lang AS category, length(text) AS n
         FROM documents WHERE source <> 'src3'""",
-    "h9_partial_update": """SELECT doc_id AS id, source AS domain,
+    "h9_partial_update": """SELECT doc_id AS id,
+        CASE WHEN source IN ('src1', 'src2') AND doc_id % 4 = 0 THEN 'moved' ELSE source END AS domain,
         CASE WHEN source IN ('src1', 'src2') THEN upper(lang) ELSE lang END AS category, length(text) AS n FROM documents""",
     "h10_retained_tasks": fx.with_sql(fx.TASK_EVENTS_SQL, _LATEST)
     + "SELECT task_id, state FROM latest WHERE state <> 'STOP'",

@@ -54,14 +54,16 @@ def document_sink(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def keyed_sink(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Blank keys get a new one, known keys are reported."""
+    """Blank keys get a new one; keys known from the store or from earlier in the batch are reported."""
     docs = _docs(spark, sf_dir).select("id", "domain")
     number = F.col("id").cast("long")
     store = docs.filter(number % 2 == 0)
     new = docs.select(
         F.when(number % 5 == 0, F.lit(" ")).otherwise(F.col("id")).alias("id"), "domain", number.alias("number")
     )
-    flagged = mutations.flag_duplicates(new, store)
+    # Every seventh row comes again in the same batch.
+    later = new.filter(F.col("number") % 7 == 0).withColumn("number", F.col("number") + 10_000_000)
+    flagged = mutations.flag_duplicates(new.unionByName(later), store, version="number")
     return flagged.select("number", "is_duplicate", (F.length("id") == 36).alias("is_generated"))
 
 
@@ -134,7 +136,8 @@ CHECKS = {
         UNION ALL SELECT 'hot', domain, key, TIMESTAMP '2024-03-05 08:00:00' + to_days(number::INTEGER) FROM t
           WHERE number = (SELECT max(number) FROM t))""",
     "a5_keyed_sink": _D
-    + """SELECT number, number % 5 <> 0 AND number % 2 = 0 AS is_duplicate, number % 5 = 0 AS is_generated FROM t""",
+    + """SELECT number, number % 5 <> 0 AND number % 2 = 0 AS is_duplicate, number % 5 = 0 AS is_generated FROM t
+        UNION ALL SELECT number + 10000000, number % 5 <> 0, number % 5 = 0 FROM t WHERE number % 7 = 0""",
     "a7_publish_sink": _D
     + f"""SELECT '{{"id":"' || key || '","domain":"' || domain || '"' || {_TITLE} || '}}' AS message FROM t""",
     "a8_fan_out": "SELECT count(*) AS n, 'json' AS sink FROM documents UNION ALL SELECT count(*), 'store' FROM documents",

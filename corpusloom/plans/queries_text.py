@@ -64,15 +64,24 @@ def keywords(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("id", F.array_join("keywords", " ").alias("keywords"))
 
 
+def _with_lone_words(docs: DataFrame) -> DataFrame:
+    first = F.get(tokens.tokens(F.col("content")), 0)
+    lone = docs.filter(F.col("id") % 10 == 0).select(
+        (-F.col("id") - 1).alias("id"), F.concat_ws(" ", first, first, first).alias("content")
+    )
+    return docs.unionByName(lone)
+
+
 def rank_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Two rounds, over every term of every document."""
-    scored = text_analysis.rank_scores(fx.texts(spark, sf_dir), rounds=2)
+    scored = text_analysis.rank_scores(_with_lone_words(fx.texts(spark, sf_dir)), rounds=2)
     # Two rounds give short decimals; the shift keeps those that end in 5 on one side.
     return scored.select("id", "term", F.round(F.col("score") + 1e-9, 6).alias("score"))
 
 
 def rank_keywords(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = text_analysis.rank_keywords(fx.texts(spark, sf_dir))
+    """Documents and, from each tenth of them, one that says its first word over and over."""
+    found = text_analysis.rank_keywords(_with_lone_words(fx.texts(spark, sf_dir)), rounds=2)
     return found.select("id", F.array_join("keywords", " ").alias("keywords"))
 
 
@@ -112,11 +121,32 @@ tf AS (SELECT id, term, count(*) AS tf FROM words GROUP BY 1, 2),
 df AS (SELECT term, count(*) AS df FROM tf GROUP BY 1)"""
 
 
+_RANKED_WORDS = f"""words AS (
+  SELECT id, term, pos FROM (SELECT id, unnest(parts) AS term, generate_subscripts(parts, 1) AS pos
+    FROM (SELECT id, {fx.TOKENS_SQL} AS parts FROM docs))
+  UNION ALL SELECT -id - 1, ({fx.TOKENS_SQL})[1], unnest([1, 2, 3]) FROM docs
+    WHERE id % 10 = 0 AND len({fx.TOKENS_SQL}) > 0)"""
+
+
 def _rank_round(number: int) -> str:
     return f"""s{number} AS (SELECT e.id, e.neighbour AS term, 0.15 + 0.85 * sum(s.score / g.degree) AS score
       FROM edges e JOIN s{number - 1} s USING (id, term) JOIN degrees g USING (id, term) GROUP BY 1, 2)"""
 
 
+_RANKED = fx.with_sql(
+    _D,
+    _RANKED_WORDS,
+    """pairs AS (SELECT DISTINCT a.id, a.term, b.term AS neighbour FROM words a JOIN words b
+      ON a.id = b.id AND b.pos BETWEEN a.pos + 1 AND a.pos + 4 WHERE a.term <> b.term)""",
+    "edges AS (SELECT id, term, neighbour FROM pairs UNION SELECT id, neighbour, term FROM pairs)",
+    "degrees AS (SELECT id, term, count(*) AS degree FROM edges GROUP BY 1, 2)",
+    "s0 AS (SELECT id, term, 1.0::DOUBLE AS score FROM degrees)",
+    _rank_round(1),
+    _rank_round(2),
+    """ranked AS (SELECT id, term, round(score + 1e-9, 6) AS score FROM s2
+      UNION ALL SELECT id, min(term), 1.0::DOUBLE FROM words GROUP BY id HAVING count(DISTINCT term) = 1)""",
+)
+
 CHECKS = {
     "f1_tokens": fx.with_sql(_D)
     + f"""SELECT id, len(t) AS n_tokens, len(list_distinct(t)) AS n_terms, md5(array_to_string(t, ' ')) AS tokens_md5
@@ -125,18 +155,11 @@ CHECKS = {
     + """SELECT id, string_agg(term, ' ' ORDER BY r) AS keywords FROM (
         SELECT id, term, row_number() OVER (PARTITION BY id ORDER BY round(tf * ln(1 + n / df), 6) DESC, term) AS r
         FROM tf JOIN df USING (term), n) WHERE r <= 10 GROUP BY id""",
-    "f3_rank_scores": fx.with_sql(
-        _D,
-        _WORDS,
-        """pairs AS (SELECT DISTINCT a.id, a.term, b.term AS neighbour FROM words a JOIN words b
-          ON a.id = b.id AND b.pos BETWEEN a.pos + 1 AND a.pos + 4 WHERE a.term <> b.term)""",
-        "edges AS (SELECT id, term, neighbour FROM pairs UNION SELECT id, neighbour, term FROM pairs)",
-        "degrees AS (SELECT id, term, count(*) AS degree FROM edges GROUP BY 1, 2)",
-        "s0 AS (SELECT id, term, 1.0::DOUBLE AS score FROM degrees)",
-        _rank_round(1),
-        _rank_round(2),
-    )
-    + "SELECT id, term, round(score + 1e-9, 6) AS score FROM s2",
+    "f3_rank_scores": _RANKED + "SELECT * FROM ranked",
+    "f3_rank_keywords": _RANKED
+    + """SELECT id, string_agg(term, ' ' ORDER BY r) AS keywords FROM (
+        SELECT id, term, row_number() OVER (PARTITION BY id ORDER BY score DESC, term) AS r FROM ranked)
+        WHERE r <= 10 GROUP BY id""",
     "f4_summaries": fx.with_sql(
         _D,
         _WORDS,

@@ -66,14 +66,6 @@ def new_path(spark: SparkSession, label: str) -> str:
     return f"{shared_dir(spark)}/corpusloom/{label}-{uuid.uuid4().hex}"
 
 
-def reliable_checkpoint(df: DataFrame) -> DataFrame:
-    """Cut the lineage of ``df`` with a copy that outlives any executor."""
-    spark = df.sparkSession
-    if spark.sparkContext.getCheckpointDir() is None:
-        spark.sparkContext.setCheckpointDir(shared_dir(spark))
-    return df.checkpoint(eager=True)
-
-
 def spread(df: DataFrame) -> DataFrame:
     """Deal a small table over all cores before work that is heavy per row.
 

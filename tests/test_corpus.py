@@ -49,6 +49,10 @@ def test_updates_keep_old_values_for_nulls(spark):
     store = spark.createDataFrame([("1", "a", 1), ("2", "b", 2)], "id string, x string, y int")
     updates = spark.createDataFrame([("1", None, 9), ("3", "c", 3)], "id string, x string, y int")
     assert rows(mutations.partial_update(store, updates)) == [("1", "a", 9), ("2", "b", 2)]
+    assert rows(mutations.unknown_keys(store, updates)) == [("3",)]
+    twice = spark.createDataFrame([("1", "late", None, 2), ("1", "soon", 7, 1)], "id string, x string, y int, v int")
+    assert rows(mutations.partial_update(store, twice, version="v")) == [("1", "late", 7), ("2", "b", 2)]
+    assert rows(mutations.insert_or_update(store, updates, F.lit("made"))) == [("1", "a", 9), ("2", "b", 2), ("3", "c", 3)]
     assert rows(mutations.delete_where(store, F.lit(None).cast("boolean"))) == rows(store)
 
 
