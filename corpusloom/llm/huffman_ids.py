@@ -9,8 +9,10 @@ it the pieces between two offsets are decoded side by side with one table lookup
 
 from __future__ import annotations
 
+import json
 import os
 from collections.abc import Callable, Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -19,7 +21,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from corpusloom.llm.common import materialise
-from corpusloom.llm.words import buffers, spans
+from corpusloom.llm.words import LOWER, buffers, place_hashes, spans, word_places
 
 #: Token ids of a block, unless one document alone has more.
 BLOCK_IDS = 1 << 19
@@ -27,45 +29,123 @@ BLOCK_IDS = 1 << 19
 STRIDE = 256
 #: Longest code word; raised only if a vocabulary has more ids than there are such words.
 CODE_BITS = 16
-#: Words whose ids a worker remembers, and the longest such word in bytes.
-REMEMBERED = 400_000
-REMEMBERED_BYTES = 64
+#: Words whose ids a worker remembers, twice: the latest, and those before them.
+REMEMBERED = 1_000_000
 
 _TOKENS = "part int, doc_id long, before long, n long, ids binary"
 _BLOCKS = "part int, start long, doc_ids array<long>, counts array<int>, bits binary, offsets binary"
 
 
+class _Known:
+    """Ids of words by the hash of the word: ascending hashes, and where the ids stand in one long array."""
+
+    def __init__(self, dtype: np.dtype) -> None:
+        self.hashes = np.zeros(0, dtype=np.uint64)
+        self.starts = self.counts = np.zeros(0, dtype=np.int64)
+        self.flat = np.zeros(0, dtype=dtype)
+
+    def find(self, hashes: np.ndarray) -> np.ndarray:
+        if not len(self.hashes):
+            return np.full(len(hashes), -1)
+        at = np.minimum(np.searchsorted(self.hashes, hashes), len(self.hashes) - 1)
+        return np.where(self.hashes[at] == hashes, at, -1)
+
+    def add(self, hashes: np.ndarray, counts: np.ndarray, flat: np.ndarray) -> None:
+        starts = len(self.flat) + np.cumsum(counts) - counts
+        self.flat = np.concatenate([self.flat, flat])
+        hashes = np.concatenate([self.hashes, hashes])
+        order = np.argsort(hashes, kind="stable")
+        self.hashes = hashes[order]
+        self.starts = np.concatenate([self.starts, starts])[order]
+        self.counts = np.concatenate([self.counts, counts])[order]
+
+    def gather(self, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """How many ids each of the words has, and the ids one after the other."""
+        counts = self.counts[at]
+        ends = np.cumsum(counts)
+        shift = np.repeat(self.starts[at] - (ends - counts), counts)
+        return counts, self.flat[shift + np.arange(len(shift))]
+
+
+def _white_space_is_dropped(spec: dict) -> bool:
+    """Whether the tokenizer splits at white space and drops it, so that words can be encoded one by one."""
+    return any(
+        step.get("type") == "Split" and step.get("behavior") == "Removed" and step.get("invert")
+        or step.get("type") in ("WhitespaceSplit", "Whitespace", "BertPreTokenizer")
+        for step in _steps(spec.get("pre_tokenizer"), "pretokenizers")
+    )
+
+
+def _steps(part: dict | None, inner: str) -> list[dict]:
+    return [] if not part else part.get(inner) or [part]
+
+
 class _Tokenizer:
-    """The ids of texts, by way of their words: the tokenizer drops white space and joins nothing across it."""
+    """The ids of texts, by way of their words: the tokenizer drops white space and joins nothing across it.
+
+    Every word is given to the library once, as long as it is among the latest words; words are told apart by
+    64-bit hashes. If the tokenizer lower-cases all, so is the word, and if it parts letters from other
+    signs, a full stop or comma after an ASCII letter that ends a word is a word of its own.
+    """
 
     def __init__(self, path: str) -> None:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
+        spec = json.loads(self.tokenizer.to_str())
+        self.by_words = _white_space_is_dropped(spec)
+        lowers = any(x.get("type") == "Lowercase" for x in _steps(spec.get("normalizer"), "normalizers"))
+        patterns = [x.get("pattern", {}).get("Regex", "") for x in _steps(spec.get("pre_tokenizer"), "pretokenizers")]
+        self.folds = lowers and any(x.endswith(r"[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+") for x in patterns)
         wide = self.tokenizer.get_vocab_size(with_added_tokens=True) > 1 << 16
         self.dtype = np.dtype("<u4" if wide else "<u2")
-        self.known: dict[bytes, bytes] = {}
+        self.latest, self.older = _Known(self.dtype), _Known(self.dtype)
 
-    def _encode(self, words: list[bytes]) -> Iterator[tuple[bytes, bytes]]:
+    def _library(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         texts = [w.decode("utf-8", "replace") for w in words]
-        for word, found in zip(words, self.tokenizer.encode_batch(texts, add_special_tokens=False)):
-            yield word, np.array(found.ids, dtype=self.dtype).tobytes()
-
-    def encode(self, texts: list[bytes]) -> Iterator[bytes]:
-        if len(self.known) > REMEMBERED:
-            self.known.clear()
-        parts = [text.split() for text in texts]
-        missing: set[bytes] = set()
-        for part in parts:
-            missing.update(set(part).difference(self.known))
-        short = [w for w in missing if len(w) <= REMEMBERED_BYTES]
-        found = self.known
-        found.update(self._encode(short))
-        if len(short) < len(missing):
-            found = found | dict(self._encode([w for w in missing if len(w) > REMEMBERED_BYTES]))
-        for part in parts:
-            yield b"".join(map(found.__getitem__, part))
+        ids = [x.ids for x in self.tokenizer.encode_batch(texts, add_special_tokens=False)]
+        counts = np.array([len(x) for x in ids], dtype=np.int64)
+        return counts, np.fromiter(chain.from_iterable(ids), dtype=self.dtype, count=int(counts.sum()))
+
+    def encode(self, data: np.ndarray, cuts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of the texts between ``cuts``: how many each has, and all one after the other."""
+        if not self.by_words:
+            raw = data.tobytes()
+            return self._library([raw[a:b] for a, b in zip(cuts.tolist(), cuts[1:].tolist())])
+        if self.folds:
+            data = LOWER[data]
+        starts, ends = word_places(data, cuts)
+        if self.folds and len(starts):
+            last, before = data[ends - 1], data[np.maximum(ends - 2, 0)]
+            part = ((last == 44) | (last == 46)) & (ends - starts > 1) & (before >= 97) & (before <= 122)
+            at = ends[part] - 1
+            starts = np.sort(np.concatenate([starts, at]))
+            ends = np.sort(np.concatenate([ends, at]))
+        hashes = place_hashes(data, starts, ends)
+        distinct, first, word = np.unique(hashes, return_index=True, return_inverse=True)
+        self._learn(distinct, data, starts[first], ends[first])
+        counts, flat = self.latest.gather(self.latest.find(distinct)[word])
+        bounds = np.searchsorted(starts, cuts)
+        whole = np.r_[0, np.cumsum(counts)][bounds]
+        if len(self.latest.hashes) > REMEMBERED:
+            self.older, self.latest = self.latest, _Known(self.dtype)
+        return np.diff(whole), flat
+
+    def _learn(self, hashes: np.ndarray, data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> None:
+        """See to it that the latest words hold all of ``hashes``."""
+        missing = np.flatnonzero(self.latest.find(hashes) < 0)
+        if not len(missing):
+            return
+        old = self.older.find(hashes[missing])
+        again = missing[old >= 0]
+        if len(again):
+            self.latest.add(hashes[again], *self.older.gather(old[old >= 0]))
+        fresh = missing[old < 0]
+        if len(fresh):
+            raw = data.tobytes()
+            words = [raw[a:b] for a, b in zip(starts[fresh].tolist(), ends[fresh].tolist())]
+            self.latest.add(hashes[fresh], *self._library(words))
 
 
 _LOADED: dict[str, _Tokenizer] = {}
@@ -81,23 +161,23 @@ def _tokeniser(path: str, end_id: int) -> Callable:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part, before = TaskContext.get().partitionId(), 0
         tokenizer = tokenizer_at(path)
-        end = np.array([end_id], dtype=tokenizer.dtype).tobytes()
         for batch in batches:
             bounds, raw = buffers(batch.column(1))
             for first, last in spans(bounds):
-                data = raw[bounds[first] : bounds[last]].tobytes()
-                cuts = (bounds[first : last + 1] - bounds[first]).tolist()
-                ids = [x + end for x in tokenizer.encode([data[a:b] for a, b in zip(cuts, cuts[1:])])]
-                counts = np.array([len(x) // len(end) for x in ids], dtype=np.int64)
+                cuts = bounds[first : last + 1] - bounds[first]
+                counts, flat = tokenizer.encode(raw[bounds[first] : bounds[last]], cuts)
+                flat = np.insert(flat, np.cumsum(counts), end_id)
+                counts = counts + 1
+                ids = as_binary(flat, counts)
                 starts = before + np.cumsum(counts) - counts
                 before += int(counts.sum())
                 yield pa.record_batch(
                     [
-                        pa.array(np.full(len(ids), part, dtype=np.int32)),
+                        pa.array(np.full(len(counts), part, dtype=np.int32)),
                         batch.column(0).slice(first, last - first),
                         pa.array(starts),
                         pa.array(counts),
-                        pa.array(ids, type=pa.binary()),
+                        ids,
                     ],
                     names=["part", "doc_id", "before", "n", "ids"],
                 )
@@ -105,6 +185,15 @@ def _tokeniser(path: str, end_id: int) -> Callable:
     return run
 
 
+def as_binary(values: np.ndarray, counts: np.ndarray) -> pa.Array:
+    """Rows of ``counts`` values each as binaries."""
+    bounds = np.r_[0, np.cumsum(counts)] * values.itemsize
+    large = pa.Array.from_buffers(
+        pa.large_binary(), len(counts), [None, pa.py_buffer(bounds.astype(np.int64)), pa.py_buffer(values)]
+    )
+    return large.cast(pa.binary())
+
+
 def _counter(dtype: str) -> Callable:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts = np.zeros(1, dtype=np.int64)
@@ -227,7 +316,7 @@ class Code:
             found = (window[np.minimum(at >> 3, last)] >> shift) & mask
             out[k] = self.symbol_at[found]
             at += self.length_at[found]
-        return out.T.reshape(-1)[:n] if n >= STRIDE else out[:n, 0]
+        return out.T.reshape(-1)[:n]
 
 
 def _encoder(dtype: str, code, starts) -> Callable:
@@ -275,14 +364,12 @@ def _decoder(code) -> Callable:
                 offsets = np.frombuffer(row["offsets"], dtype="<u4")
                 ids = tables.decode(row["bits"], offsets, int(counts.sum())).astype("<u4")
                 ends = np.cumsum(counts)
-                bounds = pa.py_buffer((np.r_[0, ends] * 4).astype(np.int32))
-                binary = pa.Array.from_buffers(pa.binary(), len(counts), [None, bounds, pa.py_buffer(ids)])
                 yield pa.record_batch(
                     [
                         pa.array(row["doc_ids"], type=pa.int64()),
                         pa.array(row["start"] + ends - counts),
                         pa.array(counts),
-                        binary,
+                        as_binary(ids, counts),
                     ],
                     names=["doc_id", "start", "n_tokens", "ids"],
                 )

@@ -18,8 +18,8 @@ CHUNK_BYTES = 1 << 20
 
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 _BASE_INVERSE = np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
-_LOWER = np.arange(256, dtype=np.uint8)
-_LOWER[65:91] += 32
+LOWER = np.arange(256, dtype=np.uint8)
+LOWER[65:91] += 32
 _IS_SPACE = np.zeros(256, dtype=bool)
 _IS_SPACE[[9, 10, 11, 12, 13, 32]] = True
 
@@ -82,30 +82,39 @@ class _Powers:
 _POWERS = _Powers()
 
 
+def word_places(data: np.ndarray, cuts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Where the words of the texts between ``cuts`` begin and end."""
+    space = _IS_SPACE[data]
+    opens = np.ones(len(data), dtype=bool)
+    opens[1:] = space[:-1]
+    inner = cuts[(cuts > 0) & (cuts < len(data))]
+    opens[inner] = True
+    closes = np.ones(len(data), dtype=bool)
+    closes[:-1] = space[1:]
+    closes[inner - 1] = True
+    return np.flatnonzero(opens & ~space), np.flatnonzero(closes & ~space) + 1
+
+
+def place_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """The hash of the bytes of every place."""
+    up, down = _POWERS.upto(len(data))
+    sums = np.zeros(len(data) + 1, dtype=np.uint64)
+    np.cumsum((data.astype(np.uint64) + np.uint64(1)) * up, out=sums[1:])
+    return mix((sums[ends] - sums[starts]) * down[starts])
+
+
 def words_of(column: pa.Array) -> Iterator[Words]:
     """The words of a text column, chunk by chunk."""
     bounds, raw = buffers(column)
     for first, last in spans(bounds):
         low = bounds[first]
         cuts = bounds[first : last + 1] - low
-        data = _LOWER[raw[low : bounds[last]]]
+        data = LOWER[raw[low : bounds[last]]]
         if not len(data):
             yield Words(first, last, np.zeros(0, dtype=np.uint64), np.zeros(last - first + 1, dtype=np.int64))
             continue
-        space = _IS_SPACE[data]
-        opens = np.ones(len(data), dtype=bool)
-        opens[1:] = space[:-1]
-        inner = cuts[(cuts > 0) & (cuts < len(data))]
-        opens[inner] = True
-        closes = np.ones(len(data), dtype=bool)
-        closes[:-1] = space[1:]
-        closes[inner - 1] = True
-        starts = np.flatnonzero(opens & ~space)
-        ends = np.flatnonzero(closes & ~space) + 1
-        up, down = _POWERS.upto(len(data))
-        sums = np.zeros(len(data) + 1, dtype=np.uint64)
-        np.cumsum((data.astype(np.uint64) + np.uint64(1)) * up, out=sums[1:])
-        hashes = mix((sums[ends] - sums[starts]) * down[starts])
+        starts, ends = word_places(data, cuts)
+        hashes = place_hashes(data, starts, ends)
         yield Words(first, last, hashes, np.searchsorted(starts, cuts))
 
 
