@@ -175,7 +175,8 @@ def parse_by_format(value: Column, rules: Column, current_year: Column) -> Colum
 
     def number(part: str, default: int) -> Column:
         found = text(part)
-        return F.when(found.isNull(), F.lit(default)).otherwise(F.least(found.try_cast("int"), F.lit(_FAR)))
+        # What is too long for a number is far off too; names of months are none.
+        return F.when(found.rlike("^[0-9]+$"), F.least(found.try_cast("int"), F.lit(_FAR))).otherwise(default)
 
     month_name = F.array_position(
         F.array(*(F.lit(m) for m in _MONTHS)), F.lower(F.substring(F.coalesce(text("month"), F.lit("")), 1, 3))

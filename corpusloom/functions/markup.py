@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from html.entities import name2codepoint
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -18,13 +20,35 @@ _BLOCK_TAGS = (
 )
 
 
+_REFERENCE = r"^(#[0-9]{1,7}|#[xX][0-9a-fA-F]{1,6}|[A-Za-z][A-Za-z0-9]*);"
+
+
+def _named_characters() -> Column:
+    """The names of the standard table, as a map; a hard space becomes a space, an apostrophe is added."""
+    table = {**name2codepoint, "nbsp": 32, "apos": 39}
+    return F.create_map(*(F.lit(x) for name, code in sorted(table.items()) for x in (name, chr(code))))
+
+
 def unescape(text: Column) -> Column:
-    """The five markup entities and the hard space."""
-    for entity, char in (
-        ("&nbsp;", " "), ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&amp;", "&"),
-    ):
-        text = F.replace(text, F.lit(entity), F.lit(char))
-    return text
+    """Character references decoded, by number and by name; what is none stays as it is."""
+
+    def decoded(name: Column) -> Column:
+        digits = F.substring(name, 2, 8)
+        number = F.when(name.rlike("^#[xX]"), F.conv(F.substring(name, 3, 8), 16, 10)).otherwise(digits)
+        code = number.try_cast("int")
+        known = code.between(1, 0xD7FF) | code.between(0xE000, 0x10FFFF)
+        char = F.decode(F.unhex(F.lpad(F.hex(F.when(known, code)), 8, "0")), "UTF-32")
+        plain = F.when(code == 160, F.lit(" ")).otherwise(char)
+        return F.when(name.startswith("#"), plain).otherwise(F.try_element_at(_named_characters(), name))
+
+    def part(p: Column, i: Column) -> Column:
+        name = F.regexp_extract(p, _REFERENCE, 1)
+        value = F.when(name != "", decoded(name))
+        tail = F.substr(p, F.length(name) + 2)
+        return F.when(i == 0, p).otherwise(F.coalesce(F.concat(value, tail), F.concat(F.lit("&"), p)))
+
+    joined = F.array_join(F.transform(F.split(text, "&"), part), "")
+    return F.when(text.contains("&"), joined).otherwise(text)
 
 
 def page_title(html: Column) -> Column:

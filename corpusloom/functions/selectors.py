@@ -69,9 +69,19 @@ class Node:
         return "\n".join(line for line in (" ".join(raw.split()) for raw in lines) if line)
 
     def markup(self):
-        attrs = "".join(f' {k}="{escape(v)}"' for k, v in self.attrs.items())
-        inner = "".join(escape(c, quote=False) if isinstance(c, str) else c.markup() for c in self.children)
-        return f"<{self.tag}{attrs}>" + ("" if self.tag in _VOID else f"{inner}</{self.tag}>")
+        """The element written out; without recursion, as pages may be nested to any depth."""
+        out, todo = [], [self]
+        while todo:
+            item = todo.pop()
+            if isinstance(item, Node):
+                attrs = "".join(f' {k}="{escape(v)}"' for k, v in item.attrs.items())
+                out.append(f"<{item.tag}{attrs}>")
+                if item.tag not in _VOID:
+                    todo.append((f"</{item.tag}>",))
+                    todo.extend(item.children[::-1])
+            else:
+                out.append(item[0] if isinstance(item, tuple) else escape(item, quote=False))
+        return "".join(out)
 
 
 class _TreeBuilder(HTMLParser):

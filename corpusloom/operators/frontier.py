@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from corpusloom.functions import rules, urls, values
+from corpusloom.functions import markup, rules, urls, values
 from corpusloom.operators.extraction import is_start_page
 
 MAX_PAGE_BYTES = 1_048_576
@@ -31,9 +31,7 @@ def seeds(templates: DataFrame, run_id: str) -> DataFrame:
 def _attribute_values(html: Column, pattern: str) -> Column:
     visible = F.regexp_replace(html, r"(?is)<!--.*?-->|<script\b.*?</script\s*>", "")
     quoted = F.regexp_extract_all(visible, F.lit(pattern), F.lit(1))
-    return F.transform(
-        quoted, lambda v: F.replace(F.regexp_replace(v, r"""^["']|["']$""", ""), F.lit("&amp;"), F.lit("&"))
-    )
+    return F.transform(quoted, lambda v: markup.unescape(F.regexp_replace(v, r"""^["']|["']$""", "")))
 
 
 def anchor_links(html: Column, page_url: Column) -> Column:
@@ -64,14 +62,16 @@ def followed_links(suffixes: Sequence[str] = urls.IGNORED_SUFFIXES) -> Column:
 
 
 def followed_frames() -> Column:
-    """Frame sources that match the whole URL rule, or lie on the site if there is no rule."""
+    """Frame sources that match the whole URL rule, or lie on the site if there is no rule, as absolute URLs."""
     tpl = F.col("tpl")
-    return F.filter(
+    accepted = F.filter(
         frame_links(F.col("html")),
         lambda src: F.when(
             tpl["urlReg"].isNotNull(), F.call_function("rlike", src, tpl["urlWhole"])
         ).otherwise(urls.link_domain(src) == tpl["domain"]),
     )
+    named = F.filter(accepted, lambda src: ~src.rlike(r"(?i)^\s*(?:$|#|javascript:)"))
+    return F.transform(named, lambda src: urls.resolve_url(F.col("url"), src))
 
 
 def may_follow() -> Column:

@@ -26,11 +26,37 @@ def validate(templates: DataFrame) -> DataFrame:
         "blank_site_name": values.is_blank(F.col("siteName")),
         "short_timeout": F.coalesce(F.col("timeout"), F.lit(0)) <= 1000,
         "bad_dynamic_field": bad_field,
+        "bad_regex": _has_bad_regex(templates),
+        "bad_path_rule": _has_bad_path(templates),
     }
     found = F.array_compact(F.array(*(F.when(test, F.lit(name)) for name, test in checks.items())))
     return templates.withColumn("violations", found)
 
 
+_REGEX_RULES = ("urlReg", "contentReg", "titleReg", "categoryReg", "publishTimeReg")
+_PATH_RULES = ("contentXPath", "titleXPath", "categoryXPath", "publishTimeXPath")
+
+
+def _rules_of(templates: DataFrame, columns: Sequence[str], field: str) -> Column:
+    """The rules of one kind that a template has, blank ones left out."""
+    own = F.array(*(F.col(c) for c in columns if c in templates.columns)).cast("array<string>")
+    listed = F.concat(own, F.coalesce(F.transform("dynamicFields", lambda f: f[field]), F.array().cast("array<string>")))
+    return F.filter(listed, lambda rule: ~values.is_blank(rule))
+
+
+def _has_bad_regex(templates: DataFrame) -> Column:
+    def compiled(rule: Column) -> Column:
+        return F.try_reflect(F.lit("java.util.regex.Pattern"), F.lit("compile"), rule)
+
+    return F.exists(_rules_of(templates, _REGEX_RULES, "regex"), lambda rule: compiled(rule).isNull())
+
+
+def _has_bad_path(templates: DataFrame) -> Column:
+    """Templates without path rules cross to Python as nulls: one short call per batch of templates."""
+    rules = _rules_of(templates, _PATH_RULES, "xpath")
+    return F.size(selectors.unsupported_rules(F.when(F.size(rules) > 0, rules))) > 0
+
+
 def unsupported_path_rules(templates: DataFrame) -> DataFrame:
     """Templates whose path rules lie outside the supported subset: ``id, messages``."""
     listed = F.concat(

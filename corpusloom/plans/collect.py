@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from corpusloom.functions import urls, values
 from corpusloom.operators import extraction, shop, template_admin, text_analysis
 from corpusloom.schema import WEBPAGE
-from corpusloom.session import broadcast_if_small
+from corpusloom.session import broadcast_if_small, new_path
 from corpusloom.sources import snapshots
 from corpusloom.sources.sinks import Sink, fan_out
 from corpusloom.sources.templates import with_template_columns
@@ -65,10 +65,29 @@ def run(
     recipe: Recipe = general_recipe,
     analysis: Analysis | None = None,
 ) -> None:
-    """One batch run: valid templates, recipe, analysis, every sink."""
-    valid = template_admin.validate(templates).filter(F.size("violations") == 0).drop("violations")
-    docs = recipe(pages, valid, run_id, gather_time)
-    fan_out(analysis(docs) if analysis else docs, sinks)
+    """One batch run: valid templates, recipe, analysis, every sink.
+
+    Templates that break a rule are left out; they hurt no other site. The extracted documents are written
+    to the shared folder once, and the analysis and the sinks read them there. Only documents of templates
+    with ``doNLP`` are analysed, and only these make up the statistics of the analysis.
+    """
+    complete = with_template_columns(templates)
+    valid = template_admin.validate(complete).filter(F.size("violations") == 0).drop("violations")
+    docs = stored_once(recipe(pages, valid, run_id, gather_time), "extracted")
+    if analysis:
+        wanted = valid.filter("doNLP").select(F.col("id").alias("spiderInfoId")).distinct()
+        side = broadcast_if_small(wanted)
+        analysed = analysis(docs.join(side, "spiderInfoId", "left_semi").select(*docs.columns))
+        others = docs.join(side, "spiderInfoId", "left_anti").select(*docs.columns)
+        docs = stored_once(analysed.unionByName(others), "analysed")
+    fan_out(docs, sinks)
+
+
+def stored_once(docs: DataFrame, label: str) -> DataFrame:
+    """``docs`` written to the shared folder and read back, so that no later job works it out again."""
+    path = new_path(docs.sparkSession, label)
+    docs.write.parquet(path)
+    return docs.sparkSession.read.schema(docs.schema).parquet(path)
 
 
 def update_stored(

@@ -15,6 +15,20 @@ from corpusloom.session import new_path
 QUERY = "the que nonsenseword Ening tion"
 
 
+#: Stored indexes of this application, by table folder.
+_STORED: dict[tuple[str, str], str] = {}
+
+
+def stored_index(spark: SparkSession, sf_dir: str) -> search.TextIndex:
+    """The index of ``documents``: built and written by the first query that asks, read by all."""
+    key = (spark.sparkContext.applicationId, sf_dir)
+    if key not in _STORED:
+        path = new_path(spark, "index")
+        search.write_index(search.build_index(fx.texts(spark, sf_dir)), path, buckets=8)
+        _STORED[key] = path
+    return search.read_index(spark, _STORED[key])
+
+
 def index_terms(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Written to disk and read back: every term with its figures."""
     path = new_path(spark, "index")
@@ -27,15 +41,11 @@ def index_terms(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def ranked_search(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = fx.texts(spark, sf_dir)
-    index = search.build_index(docs, only=search.query_terms(spark, QUERY))
-    return search.search(index, QUERY, 20, 2)
+    return search.search(stored_index(spark, sf_dir), QUERY, 20, 2)
 
 
 def all_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = fx.texts(spark, sf_dir)
-    terms = search.query_terms(spark, QUERY)
-    return search.score_documents(search.build_index(docs, only=terms), terms)
+    return search.score_documents(stored_index(spark, sf_dir), search.query_terms(spark, QUERY))
 
 
 CLAUSES = (
@@ -55,7 +65,7 @@ def field_search(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def more_like_one(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = fx.texts(spark, sf_dir)
-    found = search.more_like_this(search.build_index(docs), documents.by_id(docs, 7), 15)
+    found = search.more_like_this(stored_index(spark, sf_dir), documents.by_id(docs, 7), 15)
     return found.select("seed_id", "id", "score", F.col("position").cast("long").alias("position"))
 
 
@@ -64,8 +74,7 @@ def more_like_newest(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = fx.documents(spark, sf_dir)
     latest = Window.partitionBy("domain").orderBy(F.col("gatherTime").desc(), "id")
     seeds = docs.withColumn("r", F.row_number().over(latest)).filter("r = 1").select("id", "content")
-    index = search.build_index(fx.texts(spark, sf_dir))
-    return search.more_like_this(index, seeds, 5).select("seed_id", "id", "score")
+    return search.more_like_this(stored_index(spark, sf_dir), seeds, 5).select("seed_id", "id", "score")
 
 
 QUERIES = {

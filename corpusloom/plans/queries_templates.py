@@ -25,7 +25,7 @@ def _json(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.when(h == 13, F.lit(" ")).otherwise(F.col("host")).alias("siteName"),
         F.when(h == 12, F.concat("host", F.lit("/x"))).otherwise(F.col("host")).alias("domain"),
         F.when(h == 10, F.expr("cast(array() as array<string>)")).otherwise(F.array("first_url")).alias("startURL"),
-        F.coalesce("titleReg", F.lit("")).alias("titleReg"),
+        F.when(h == 1, F.lit("<h1>(")).otherwise(F.coalesce("titleReg", F.lit(""))).alias("titleReg"),
         F.col("timeout").cast("string").alias("timeout"),
         F.when(h != 7, F.lit("2")).otherwise(F.lit("0")).alias("thread"),
         F.when(h % 2 == 0, F.lit("true")).alias("needTitle"),
@@ -33,7 +33,7 @@ def _json(spark: SparkSession, sf_dir: str) -> DataFrame:
             F.struct(
                 F.when(h == 5, F.lit("")).otherwise(F.lit("owner")).alias("name"),
                 F.when(h == 3, F.lit("")).otherwise(F.lit("x")).alias("regex"),
-                F.lit("").alias("xpath"),
+                F.when(h == 2, F.lit("//a[last()]")).when(h == 4, F.lit("//h1/text()")).otherwise(F.lit("")).alias("xpath"),
                 F.lit("true").alias("need"),
             )
         ).alias("dynamicFields"),
@@ -126,6 +126,13 @@ def listed(spark: SparkSession, sf_dir: str) -> DataFrame:
     return template_admin.list_templates(_parsed(spark, sf_dir), 10, 2).select("id", "domain")
 
 
+def by_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The template of the first host."""
+    stored = _parsed(spark, sf_dir)
+    wanted = stored.agg(F.min("id")).first()[0]
+    return template_admin.template_by_id(stored, wanted).select("id", "domain", "timeout")
+
+
 def of_domain(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The templates of the host with the most pages."""
     busiest = fx.hosts(spark, sf_dir).orderBy(F.col("n_pages").desc(), "host").first()["host"]
@@ -141,6 +148,7 @@ QUERIES = {
     "a2_parsed_templates": parsed,
     "b7_templates_listed": listed,
     "b7_templates_of_domain": of_domain,
+    "b7_template_by_id": by_id,
     "c1_violations": violations,
     "c2_known_ids": known_ids,
     "c3_upserted": upserted,
@@ -154,11 +162,12 @@ _T = fx.HOSTS_SQL + """,
 t AS (
   SELECT 'tpl-' || md5(host) AS id, host, h, CASE WHEN h = 13 THEN NULL ELSE host END AS "siteName",
          CASE WHEN h = 12 THEN host || '/x' ELSE host END AS domain,
-         CASE WHEN h % 2 = 0 THEN '<h1>(.*?)</h1>' END AS "titleReg",
+         CASE WHEN h = 1 THEN '<h1>(' WHEN h % 2 = 0 THEN '<h1>(.*?)</h1>' END AS "titleReg",
          CASE WHEN h = 11 THEN 500 ELSE 5000 END AS timeout, CASE WHEN h = 7 THEN 0 ELSE 2 END AS thread,
          concat_ws(',', CASE WHEN h = 10 THEN 'no_start_url' END, CASE WHEN h = 12 THEN 'slash_in_domain' END,
            CASE WHEN h = 7 THEN 'no_thread' END, CASE WHEN h = 13 THEN 'blank_site_name' END,
-           CASE WHEN h = 11 THEN 'short_timeout' END, CASE WHEN h IN (3, 5) THEN 'bad_dynamic_field' END) AS violations
+           CASE WHEN h = 11 THEN 'short_timeout' END, CASE WHEN h = 5 OR h = 3 THEN 'bad_dynamic_field' END,
+           CASE WHEN h = 1 THEN 'bad_regex' END, CASE WHEN h = 2 THEN 'bad_path_rule' END) AS violations
   FROM hosts)"""
 _W = fx.with_sql(_T)
 _PREVIEW = fx.with_sql(*queries_extraction._ALL)
@@ -170,6 +179,7 @@ CHECKS = {
     "b7_templates_listed": _W + "SELECT id, domain FROM t ORDER BY id LIMIT 10 OFFSET 10",
     "b7_templates_of_domain": _W
     + "SELECT id, domain FROM t WHERE domain = (SELECT host FROM hosts ORDER BY n_pages DESC, host LIMIT 1)",
+    "b7_template_by_id": _W + "SELECT id, domain, timeout FROM t ORDER BY id LIMIT 1",
     "c1_violations": _W + "SELECT id, violations FROM t",
     "c2_known_ids": _W
     + """SELECT id, domain, timeout, false AS is_new FROM t

@@ -118,6 +118,31 @@ def test_dates_by_format(spark, fmt, text, moment):
     assert found.first()["v"] == moment
 
 
+def test_long_numbers_in_dates(spark):
+    frame = spark.createDataFrame([("yyyy-MM-dd", "12024-03-05"), ("yyyy-MM-dd", "2024-03-99999999999")], "fmt string, text string")
+    ruled = frame.withColumn("pieces", dates.format_pieces(F.col("fmt"))).withColumn("rules", dates.format_rules("fmt", "pieces"))
+    moment = dates.parse_by_format(F.col("text"), F.col("rules"), F.lit(2024))
+    assert [r["y"] for r in ruled.select(F.year(moment).alias("y")).collect()] == [12024, None]
+
+
+def test_markup_of_deep_pages():
+    root = selectors.parse_html("<div>" * 5000 + "x &lt; y<br>" + "</div>" * 5000)
+    assert selectors.evaluate(root, "/div")[0] == "<div>" * 5000 + "x &lt; y<br>" + "</div>" * 5000
+
+
+@pytest.mark.parametrize(
+    ("text", "plain"),
+    [
+        ("a &mdash; b&#8217;s caf&eacute; &#x1F600;", "a — b’s café 😀"),
+        ("&amp;lt; &nbsp;| &#160;| &apos;&quot;", "&lt;  |  | '\""),
+        ("AT&T & &unknown; &#0; &#xD800; &;", "AT&T & &unknown; &#0; &#xD800; &;"),
+        ("none", "none"),
+    ],
+)
+def test_character_references(spark, text, plain):
+    assert one(spark, markup.unescape(F.lit(text))) == plain
+
+
 def test_path_rules():
     root = selectors.parse_html(
         "<div id=a class='x y'><p>one<b>two</b><br>three<p>four</div><ul class=g><li>1<li>2</ul><a href='/q?a=1&amp;b=2'>l</a>"
