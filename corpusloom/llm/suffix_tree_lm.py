@@ -27,13 +27,13 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from corpusloom.llm.common import bitmap_words, collect_bitmap, in_bitmap, materialise
+from corpusloom.llm.common import materialise
 from corpusloom.llm.words import Words, mix, words_of
 
 #: Longest context, in words.
 DEPTH = 3
 #: Least share of the training tokens for a context and for a continuation.
-SHARE = 5e-6
+SHARE = 1e-5
 #: Least share for words whose counts every worker has.
 COMMON = 1e-6
 #: Natural-log likelihood a context must gain per stored continuation.
@@ -112,30 +112,28 @@ def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, np.
 
 
 def _first_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Kind 0: token counts of a block. Kind 1: bitmap words of what may be frequent enough overall.
+    """Kind 0: token counts of a block. Kind 1: gram counts of a block less half of ``SHARE`` of its tokens.
 
-    Something with a share of ``SHARE`` of all tokens has that share in one block at least.
+    What is left out of the count of a gram is at most half of ``SHARE`` of all tokens, so every gram that is
+    frequent enough overall keeps the other half at least, and no more than ``2 / SHARE`` grams do.
     """
     for tokens, place in _blocks(batches):
-        values, counts = _runs(tokens)
-        rows = [(0, values.view(np.int64), counts)]
-        least = max(1, int(np.ceil(SHARE * len(tokens))))
-        maybe = [values[counts >= least]]
+        rows = [(0, *_runs(tokens))]
+        less = int(SHARE / 2 * len(tokens))
         for _, at, context in _contexts(tokens, place):
             grams, counts = _runs(gram_of(context, tokens[at]))
-            maybe.append(grams[counts >= least])
-        rows.append((1, *bitmap_words(np.concatenate(maybe))))
+            rows.append((1, grams[counts > less], counts[counts > less] - less))
         for kind, key, n in rows:
-            columns = [np.full(len(key), kind, dtype=np.int32), key, n]
+            columns = [np.full(len(key), kind, dtype=np.int32), key.view(np.int64), n]
             yield pa.record_batch([pa.array(x) for x in columns], names=["kind", "key", "n"])
 
 
 def _gram_counts(shared) -> Callable:
-    """Counts of the grams whose bit is set, with the contexts of all lengths before their last word, and
+    """Counts of the candidate grams, with the contexts of all lengths before their last word, and
     the gram (for one word, the word) that the longest of these is."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bitmap = shared.value
+        candidates = shared.value
         for tokens, place in _blocks(batches):
             chain = np.zeros((DEPTH, len(tokens)), dtype=np.uint64)
             as_gram = np.r_[np.zeros(1, dtype=np.uint64), tokens[:-1]]
@@ -144,7 +142,7 @@ def _gram_counts(shared) -> Callable:
                 grams = gram_of(context, tokens[at])
                 every = np.zeros(len(tokens), dtype=np.uint64)
                 every[at] = grams
-                kept = in_bitmap(bitmap, grams)
+                kept = _find(candidates, grams) >= 0
                 at = at[kept]
                 values, first, counts = np.unique(grams[kept], return_index=True, return_counts=True)
                 at = at[first]
@@ -326,24 +324,18 @@ def _columns(df: DataFrame) -> dict[str, np.ndarray]:
 def train(texts: DataFrame) -> tuple[Tree, DataFrame]:
     """The tree of a one-column frame of training texts, and the table of all token counts ``(key, n)``."""
     spark = texts.sparkSession
-    first = materialise(
-        texts.mapInArrow(_first_counts, _COUNTS)
-        .groupBy("kind", "key")
-        .agg(
-            F.sum(F.when(F.col("kind") == 0, F.col("n")).otherwise(0)).alias("n"),
-            F.bit_or(F.when(F.col("kind") == 1, F.col("n")).otherwise(0)).alias("bits"),
-        ),
-        "token-counts",
-    )
+    counted = texts.mapInArrow(_first_counts, _COUNTS).groupBy("kind", "key").agg(F.sum("n").alias("n"))
+    first = materialise(counted, "token-counts")
     counts = first.filter("kind = 0").select("key", "n")
     total, distinct = counts.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*")).first()
-    bitmap = collect_bitmap(first.filter("kind = 1"), "key", "bits")
+    maybe = _columns(first.filter((F.col("kind") == 1) & (F.col("n") >= SHARE / 2 * total)).select("key"))
+    candidates = np.sort(maybe["key"].view(np.uint64))  # 2 * DEPTH / SHARE at most
     common = _columns(counts.filter(F.col("n") >= COMMON * total))  # 1 / COMMON rows at most
     order = np.argsort(common["key"].view(np.uint64))
     words, word_counts = common["key"].view(np.uint64)[order], common["n"][order]
 
     least = max(2.0, SHARE * total)
-    counted = texts.mapInArrow(_gram_counts(spark.sparkContext.broadcast(bitmap)), _GRAMS)
+    counted = texts.mapInArrow(_gram_counts(spark.sparkContext.broadcast(candidates)), _GRAMS)
     others = [F.max(c).alias(c) for c in ("length", "word", *_CONTEXTS, "as_gram")]  # alike for one gram
     grams = counted.groupBy("gram").agg(F.sum("n").alias("n"), *others)
     found = _columns(grams.filter(F.col("n") >= least))  # DEPTH / SHARE rows at most
