@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from corpusloom.functions import markup, rules, urls, values
@@ -195,6 +195,15 @@ def with_refetch_list(frontier: DataFrame, refetch: DataFrame, run_id: str) -> D
     return frontier.unionByName(extra)
 
 
+def write_links(frontier: DataFrame, path: str) -> None:
+    """Append the links of a run, every occurrence, to a table with a folder per run."""
+    frontier.write.partitionBy("run_id").mode("append").parquet(path)
+
+
+def read_links(spark: SparkSession, path: str) -> DataFrame:
+    return spark.read.schema("url string, source_url string, detail boolean, run_id string").parquet(path)
+
+
 def link_log(frontier: DataFrame) -> DataFrame:
     """Links and distinct links per run."""
     per_link = frontier.groupBy("run_id", "url").agg(F.count("*").alias("n"))

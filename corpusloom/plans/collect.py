@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from corpusloom.functions import urls, values
-from corpusloom.operators import extraction, shop, template_admin, text_analysis
+from corpusloom.operators import extraction, frontier, shop, template_admin, text_analysis
 from corpusloom.schema import WEBPAGE
 from corpusloom.session import broadcast_if_small, new_path
 from corpusloom.sources import snapshots
@@ -64,18 +64,36 @@ def run(
     gather_time: datetime,
     recipe: Recipe = general_recipe,
     analysis: Analysis | None = None,
+    links: str | None = None,
 ) -> None:
-    """One batch run: valid templates, recipe, analysis, every sink.
-
-    Templates that break a rule are left out; they hurt no other site. The extracted documents are written
-    to the shared folder once, and the analysis and the sinks read them there. Only documents of templates
-    with ``doNLP`` are analysed, and only these make up the statistics of the analysis.
-    """
+    """One batch run: valid templates, then ``process``. Templates that break a rule are left out; they hurt
+    no other site."""
     complete = with_template_columns(templates)
     valid = template_admin.validate(complete).filter(F.size("violations") == 0).drop("violations")
-    docs = stored_once(recipe(pages, valid, run_id, gather_time), "extracted")
+    process(pages, valid, sinks, run_id, gather_time, recipe, analysis, links)
+
+
+def process(
+    pages: DataFrame,
+    templates: DataFrame,
+    sinks: Sequence[Sink],
+    run_id: str,
+    gather_time: datetime,
+    recipe: Recipe = general_recipe,
+    analysis: Analysis | None = None,
+    links: str | None = None,
+) -> None:
+    """Recipe, analysis and every sink, for pages and templates as they are.
+
+    The extracted documents are written to the shared folder once, and the analysis and the sinks read
+    them there. Only documents of templates with ``doNLP`` are analysed, and only these make up the
+    statistics of the analysis. With ``links``, the links of the pages are appended to the table at that path.
+    """
+    if links:
+        frontier.write_links(frontier.discover_links(extraction.match_templates(pages, templates), run_id), links)
+    docs = stored_once(recipe(pages, templates, run_id, gather_time), "extracted")
     if analysis:
-        wanted = valid.filter("doNLP").select(F.col("id").alias("spiderInfoId")).distinct()
+        wanted = with_template_columns(templates).filter("doNLP").select(F.col("id").alias("spiderInfoId")).distinct()
         side = broadcast_if_small(wanted)
         analysed = analysis(docs.join(side, "spiderInfoId", "left_semi").select(*docs.columns))
         others = docs.join(side, "spiderInfoId", "left_anti").select(*docs.columns)

@@ -121,6 +121,66 @@ tf AS (SELECT id, term, count(*) AS tf FROM words GROUP BY 1, 2),
 df AS (SELECT term, count(*) AS df FROM tf GROUP BY 1)"""
 
 
+_RANKED_WORDS = f"""words AS (
+  SELECT id, term, pos FROM (SELECT id, unnest(parts) AS term, generate_subscripts(parts, 1) AS pos
+    FROM (SELECT id, {fx.TOKENS_SQL} AS parts FROM docs))
+  UNION ALL SELECT -id - 1, ({fx.TOKENS_SQL})[1], unnest([1, 2, 3]) FROM docs
+    WHERE id % 10 = 0 AND len({fx.TOKENS_SQL}) > 0)"""
+
+
+def _rank_round(number: int) -> str:
+    return f"""s{number} AS (SELECT e.id, e.neighbour AS term, 0.15 + 0.85 * sum(s.score / g.degree) AS score
+      FROM edges e JOIN s{number - 1} s USING (id, term) JOIN degrees g USING (id, term) GROUP BY 1, 2)"""
+
+
+_RANKED = fx.with_sql(
+    _D,
+    _RANKED_WORDS,
+    """pairs AS (SELECT DISTINCT a.id, a.term, b.term AS neighbour FROM words a JOIN words b
+      ON a.id = b.id AND b.pos BETWEEN a.pos + 1 AND a.pos + 4 WHERE a.term <> b.term)""",
+    "edges AS (SELECT id, term, neighbour FROM pairs UNION SELECT id, neighbour, term FROM pairs)",
+    "degrees AS (SELECT id, term, count(*) AS degree FROM edges GROUP BY 1, 2)",
+    "s0 AS (SELECT id, term, 1.0::DOUBLE AS score FROM degrees)",
+    _rank_round(1),
+    _rank_round(2),
+    """ranked AS (SELECT id, term, round(score + 1e-9, 6) AS score FROM s2
+      UNION ALL SELECT id, min(term), 1.0::DOUBLE FROM words GROUP BY id HAVING count(DISTINCT term) = 1)""",
+)
+
+KEYWORDS_SQL = """best_terms AS (SELECT id, string_agg(term, ' ' ORDER BY r) AS keywords FROM (
+  SELECT id, term, row_number() OVER (PARTITION BY id ORDER BY round(tf * ln(1 + n / df), 6) DESC, term) AS r
+  FROM tf JOIN df USING (term), n) WHERE r <= 10 GROUP BY id)"""
+SUMMARY_SQL = r"""sentences AS (SELECT id, unnest(parts) AS sentence, generate_subscripts(parts, 1) AS pos FROM (
+  SELECT id, list_filter(list_transform(string_split(regexp_replace(regexp_replace(
+    content, '([.!?])\s+', '\1' || chr(1), 'g'), '\n+', chr(1), 'g'), chr(1)),
+    lambda s: trim(s)), lambda s: regexp_matches(s, '[\p{L}\p{N}]')) AS parts FROM docs)),
+rated AS (SELECT id, pos, any_value(sentence) AS sentence, round(sum(ln(1 + n / df)) / count(*), 6) AS score
+  FROM (SELECT id, pos, sentence, unnest(regexp_extract_all(lower(sentence), '[\p{L}\p{N}]+')) AS term
+        FROM sentences) JOIN df USING (term), n GROUP BY id, pos),
+best_sentences AS (SELECT id, string_agg(sentence, ' | ' ORDER BY pos) AS summary FROM (
+  SELECT *, row_number() OVER (PARTITION BY id ORDER BY score DESC, pos) AS r FROM rated) WHERE r <= 5 GROUP BY id)"""
+
+CHECKS = {
+    "f1_tokens": fx.with_sql(_D)
+    + f"""SELECT id, len(t) AS n_tokens, len(list_distinct(t)) AS n_terms, md5(array_to_string(t, ' ')) AS tokens_md5
+        FROM (SELECT id, {fx.TOKENS_SQL} AS t FROM docs)""",
+    "f2_keywords": fx.with_sql(_D, _WORDS, _DF, KEYWORDS_SQL) + "SELECT * FROM best_terms",
+    "f3_rank_scores": rank_scores,
+    "f3_rank_keywords": rank_keywords,
+    "f4_summaries": summaries,
+    "f5_named_entities": named_entities,
+    "f6_plain_content": plain_content,
+}
+
+_D = fx.DOCUMENTS_SQL
+_WORDS = f"""words AS (
+  SELECT id, unnest(parts) AS term, generate_subscripts(parts, 1) AS pos
+  FROM (SELECT id, {fx.TOKENS_SQL} AS parts FROM docs))"""
+_DF = """n AS (SELECT count(*)::DOUBLE AS n FROM docs),
+tf AS (SELECT id, term, count(*) AS tf FROM words GROUP BY 1, 2),
+df AS (SELECT term, count(*) AS df FROM tf GROUP BY 1)"""
+
+
 _RANKED_WORDS = f"""words AS (
   SELECT id, term, pos FROM (SELECT id, unnest(parts) AS term, generate_subscripts(parts, 1) AS pos
     FROM (SELECT id, {fx.TOKENS_SQL} AS parts FROM docs))
@@ -160,20 +220,7 @@ CHECKS = {
     + """SELECT id, string_agg(term, ' ' ORDER BY r) AS keywords FROM (
         SELECT id, term, row_number() OVER (PARTITION BY id ORDER BY score DESC, term) AS r FROM ranked)
         WHERE r <= 10 GROUP BY id""",
-    "f4_summaries": fx.with_sql(
-        _D,
-        _WORDS,
-        _DF,
-        r"""sentences AS (SELECT id, unnest(parts) AS sentence, generate_subscripts(parts, 1) AS pos FROM (
-          SELECT id, list_filter(list_transform(string_split(regexp_replace(regexp_replace(
-            content, '([.!?])\s+', '\1' || chr(1), 'g'), '\n+', chr(1), 'g'), chr(1)),
-            lambda s: trim(s)), lambda s: regexp_matches(s, '[\p{L}\p{N}]')) AS parts FROM docs))""",
-        r"""scored AS (SELECT id, pos, any_value(sentence) AS sentence, round(sum(ln(1 + n / df)) / count(*), 6) AS score
-          FROM (SELECT id, pos, sentence, unnest(regexp_extract_all(lower(sentence), '[\p{L}\p{N}]+')) AS term
-                FROM sentences) JOIN df USING (term), n GROUP BY id, pos)""",
-    )
-    + """SELECT id, string_agg(sentence, ' | ' ORDER BY pos) AS summary FROM (
-        SELECT *, row_number() OVER (PARTITION BY id ORDER BY score DESC, pos) AS r FROM scored) WHERE r <= 5 GROUP BY id""",
+    "f4_summaries": fx.with_sql(_D, _WORDS, _DF, SUMMARY_SQL) + "SELECT * FROM best_sentences",
     "f5_named_entities": fx.with_sql(_D, GAZETTEER_SQL)
     + "SELECT id, "
     + ", ".join(

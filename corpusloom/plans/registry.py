@@ -11,6 +11,7 @@ from corpusloom.operators import aggregates, extraction
 from corpusloom.plans import (
     fixtures,
     queries_browse,
+    queries_collect,
     queries_extraction,
     queries_links,
     queries_rollups,
@@ -34,6 +35,7 @@ _GROUPS = (
     queries_search,
     queries_rollups,
     queries_streams,
+    queries_collect,
 )
 
 Query = Callable[[SparkSession, str], DataFrame]

@@ -6,14 +6,14 @@ from collections.abc import Callable, Iterator, Sequence
 from datetime import datetime
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.query import StreamingQuery
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from corpusloom.operators.tasks import LOG_GAP_MS
-from corpusloom.plans.collect import Recipe, general_recipe
-from corpusloom.sources.sinks import Sink, fan_out
+from corpusloom.plans.collect import Analysis, Recipe, general_recipe, process
+from corpusloom.sources.sinks import Sink
 
 
 def collect_stream(
@@ -24,8 +24,14 @@ def collect_stream(
     gather_time: Callable[[], datetime] | datetime,
     checkpoint: str,
     recipe: Recipe = general_recipe,
+    analysis: Analysis | None = None,
+    trigger: dict[str, object] | None = None,
 ) -> StreamingQuery:
-    """Every micro-batch goes through the batch recipe and to every sink.
+    """Every micro-batch goes through recipe, analysis and every sink.
+
+    ``trigger`` is what ``writeStream.trigger`` takes, for example ``{"processingTime": "1 minute"}``; without it
+    the stream ends when all that is there has been read. An analysis sees the documents of its batch; give
+    one that reads stored statistics if it needs those of the corpus.
 
     The document sink merges by id, so a batch that is repeated after a failure changes nothing.
     Sinks that append may see it twice.
@@ -33,18 +39,25 @@ def collect_stream(
 
     def one_batch(batch: DataFrame, _: int) -> None:
         at = gather_time() if callable(gather_time) else gather_time
-        fan_out(recipe(batch, templates, run_id, at), sinks)
+        process(batch, templates, sinks, run_id, at, recipe, analysis)
 
     return (
         pages.writeStream.foreachBatch(one_batch)
         .option("checkpointLocation", checkpoint)
-        .trigger(availableNow=True)
+        .trigger(**(trigger or {"availableNow": True}))
         .start()
     )
 
 
+def drop_run_state(spark: SparkSession, checkpoint: str) -> bool:
+    """Delete the progress and URL state of a run that has ended; whether there was any."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(checkpoint)
+    return path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def unseen_urls(links: DataFrame, within: str | None = None, time_column: str = "found_at") -> DataFrame:
-    """Each URL once per run. With ``within``, the state of a URL is dropped after that long."""
+    """Each URL once per run. With ``within``, the state of a URL is dropped after that long; all of it goes
+    with ``drop_run_state`` at the end of the run."""
     if within is None:
         return links.dropDuplicates(["run_id", "url"])
     return links.withWatermark(time_column, within).dropDuplicatesWithinWatermark(["run_id", "url"])
