@@ -109,9 +109,11 @@ def new_links(frontier: DataFrame, stored_ids: DataFrame) -> DataFrame:
 
 
 def first_per_group(
-    df: DataFrame, group: str, order: Sequence[Column], limit: Column, spread: Column, salts: int = 64
+    df: DataFrame, group: str, order: Sequence[Column], limit: Column, most: int, spread: Column, salts: int = 64
 ) -> DataFrame:
-    """The first ``limit`` rows of every group, numbered from 1 in ``position``.
+    """The first ``limit`` rows of every group, numbered from 1 in ``position``; ``most`` is the largest limit.
+
+    ``most`` is a literal, so Spark limits the groups before it shuffles them.
 
     A row among the first n of its group is also among the first n of any part of it. So each
     group is cut into ``salts`` parts that are ranked apart, and only the survivors are ranked
@@ -119,18 +121,20 @@ def first_per_group(
     """
     salted = df.withColumn("_part", values.salt_of(spread, salts))
     part = Window.partitionBy(group, "_part").orderBy(*order)
-    survivors = salted.withColumn("position", F.row_number().over(part)).filter(F.col("position") <= limit)
+    survivors = salted.withColumn("position", F.row_number().over(part)).filter(F.col("position") <= most)
+    survivors = survivors.filter(F.col("position") <= limit)
     whole = Window.partitionBy(group).orderBy(*order)
     return (
         survivors.drop("_part")
         .withColumn("position", F.row_number().over(whole))
+        .filter(F.col("position") <= most)
         .filter(F.col("position") <= limit)
     )
 
 
 def cap_queue(frontier: DataFrame, order: Sequence[Column], cap: int = QUEUE_CAP) -> DataFrame:
     """At most ``cap + 1`` links per run, in discovery order: a link enters while no more than ``cap`` wait."""
-    return first_per_group(frontier, "run_id", order, F.lit(cap + 1), F.col("url"))
+    return first_per_group(frontier, "run_id", order, F.lit(cap + 1), cap + 1, F.col("url"))
 
 
 def within_budget(processed: DataFrame, order: Sequence[Column], ratio: int = CRAWL_RATIO) -> DataFrame:
@@ -142,9 +146,9 @@ def within_budget(processed: DataFrame, order: Sequence[Column], ratio: int = CR
     """
     unlimited = processed.filter(F.col("maxPageGather") <= 0)
     most = F.col("maxPageGather") * ratio + 1
-    limited = first_per_group(
-        processed.filter(F.col("maxPageGather") > 0), "run_id", order, most, F.col("url")
-    )
+    bounded = processed.filter(F.col("maxPageGather") > 0)
+    largest = (bounded.agg(F.max("maxPageGather")).first()[0] or 0) * ratio + 1
+    limited = first_per_group(bounded, "run_id", order, most, largest, F.col("url"))
     before = Window.partitionBy("run_id").orderBy("position").rowsBetween(Window.unboundedPreceding, -1)
     done = F.coalesce(F.sum(F.col("effective").cast("int")).over(before), F.lit(0))
     kept = limited.withColumn("_done", done).filter(F.col("_done") < F.col("maxPageGather"))

@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 from dataclasses import dataclass
+from functools import reduce
+from operator import add, or_
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -11,7 +13,7 @@ from pyspark.sql import functions as F
 from corpusloom.functions import tokens, values
 from corpusloom.operators import text_analysis
 from corpusloom.operators.documents import page_of
-from corpusloom.session import is_small
+from corpusloom.session import broadcast_if_small, is_small
 
 BM25_K1 = 1.2
 BM25_B = 0.75
@@ -21,6 +23,7 @@ MLT_MIN_MATCH = 0.3
 #: Up to this many seeds, their query terms (twelve each) are broadcast.
 MLT_FEW_SEEDS = 10_000
 INDEX_BUCKETS = 64
+INDEX_FILE_ROWS = 4_000_000
 
 
 @dataclass(frozen=True)
@@ -47,25 +50,25 @@ def _bucket(term: Column, buckets: int) -> Column:
     return F.pmod(F.xxhash64(term), F.lit(buckets)).cast("int")
 
 
-def write_index(index: TextIndex, path: str, buckets: int = INDEX_BUCKETS, files_per_bucket: int = 4) -> None:
+def write_index(
+    index: TextIndex, path: str, buckets: int = INDEX_BUCKETS, rows_per_file: int = INDEX_FILE_ROWS
+) -> None:
     """Postings in one folder per term bucket, sorted by term, so that a query opens few row groups.
 
-    Documents are dealt over the files of a bucket: a term of every document fills several files.
+    Postings are cut from the texts once, counted, and dealt by ranges of (bucket, term, id) into as many
+    files as their number asks for; a term of every document fills several.
     """
-    placed = index.postings.withColumns(
-        {"bucket": _bucket(F.col("term"), buckets), "_file": values.salt_of(F.col("id"), files_per_bucket)}
-    )
-    (
-        placed.repartition("bucket", "_file")
-        .sortWithinPartitions("bucket", "term", "id")
-        .drop("_file")
-        .write.partitionBy("bucket")
-        .parquet(f"{path}/postings")
-    )
-    stored = placed.sparkSession.read.parquet(f"{path}/postings")
-    text_analysis.term_statistics(stored).withColumn("bucket", _bucket(F.col("term"), buckets)).repartition(
-        "bucket"
-    ).sortWithinPartitions("bucket", "term").write.partitionBy("bucket").parquet(f"{path}/terms")
+
+    def placed(table: DataFrame, name: str, *order: str) -> DataFrame:
+        files = max(1, -(-table.count() // rows_per_file))
+        by_bucket = table.withColumn("bucket", _bucket(F.col("term"), buckets))
+        ranged = by_bucket.repartitionByRange(files, "bucket", *order).sortWithinPartitions("bucket", *order)
+        ranged.write.partitionBy("bucket").parquet(f"{path}/{name}")
+        return table.sparkSession.read.parquet(f"{path}/{name}")
+
+    cut = text_analysis.stored(index.postings, "postings")
+    postings = placed(cut, "postings", "term", "id")
+    placed(text_analysis.stored(text_analysis.term_statistics(postings), "terms"), "terms", "term")
     index.totals.withColumn("buckets", F.lit(buckets)).write.parquet(f"{path}/totals")
 
 
@@ -143,7 +146,17 @@ class Clause:
 _TEXT_FIELDS = ("content", "title", "category", "summary")
 
 
-def _clause_condition(docs: DataFrame, clause: Clause) -> Column:
+def _clause_terms(spark: SparkSession, clauses: Sequence[Clause]) -> dict[str, list[str]]:
+    """The tokens of every text to match, by one small job."""
+    texts = sorted({str(c.value) for c in clauses if c.op == "match"})
+    if not texts:
+        return {}
+    rows = spark.createDataFrame([(t,) for t in texts], "text string")
+    cut = rows.select("text", F.array_distinct(tokens.tokens(F.col("text"))).alias("terms"))
+    return {r["text"]: list(r["terms"]) for r in cut.collect()}
+
+
+def _clause_condition(docs: DataFrame, clause: Clause, terms: dict[str, list[str]]) -> Column:
     name, _, key = clause.field.partition(".")
     column = F.col(name)[key] if name == "dynamic_fields" and key else F.col(name)
     is_list = docs.schema[name].dataType.typeName() == "array"
@@ -153,10 +166,8 @@ def _clause_condition(docs: DataFrame, clause: Clause) -> Column:
         if name not in _TEXT_FIELDS and name != "dynamic_fields":
             raise ValueError(f"field {name!r} holds exact values; use op 'is'")
         text = F.array_join(column, " ") if is_list else column
-        wanted = query_terms(docs.sparkSession, str(clause.value))
-        return F.arrays_overlap(
-            tokens.tokens(text_analysis.plain_content(text)), F.array(*(F.lit(t) for t in wanted))
-        )
+        wanted = F.array(*(F.lit(t) for t in terms[str(clause.value)])).cast("array<string>")
+        return F.arrays_overlap(tokens.tokens(text_analysis.plain_content(text)), wanted)
     if clause.op == "from":
         return column >= F.lit(clause.value).cast(docs.schema[name].dataType)
     if clause.op == "to":
@@ -164,56 +175,79 @@ def _clause_condition(docs: DataFrame, clause: Clause) -> Column:
     raise ValueError(f"unknown op {clause.op!r}")
 
 
-def matching(docs: DataFrame, clauses: Sequence[Clause]) -> Column:
-    """All ``must`` clauses hold, no ``not`` clause does, and without a ``must`` some ``should`` does."""
+def _conditions(docs: DataFrame, clauses: Sequence[Clause]) -> dict[str, list[Column]]:
+    terms = _clause_terms(docs.sparkSession, clauses)
     groups: dict[str, list[Column]] = {"must": [], "should": [], "not": []}
     for clause in clauses:
-        groups[clause.need].append(F.coalesce(_clause_condition(docs, clause), F.lit(False)))
+        groups[clause.need].append(F.coalesce(_clause_condition(docs, clause, terms), F.lit(False)))
+    return groups
+
+
+def matching(docs: DataFrame, clauses: Sequence[Clause]) -> Column:
+    """All ``must`` clauses hold, no ``not`` clause does, and without a ``must`` some ``should`` does."""
+    return _all_hold(_conditions(docs, clauses))
+
+
+def _all_hold(groups: dict[str, list[Column]]) -> Column:
     condition = F.lit(True)
     for must in groups["must"]:
         condition = condition & must
     for unwanted in groups["not"]:
         condition = condition & ~unwanted
     if groups["should"] and not groups["must"]:
-        some = groups["should"][0]
-        for other in groups["should"][1:]:
-            some = some | other
-        condition = condition & some
+        condition = condition & reduce(or_, groups["should"])
     return condition
 
 
 def search_fields(docs: DataFrame, clauses: Sequence[Clause], size: int, page: int) -> DataFrame:
     """Documents that meet the clauses; more ``should`` clauses met first, then newest."""
-    optional = [F.coalesce(_clause_condition(docs, c), F.lit(False)).cast("int") for c in clauses if c.need == "should"]
-    met = F.lit(0)
-    for one in optional:
-        met = met + one
-    found = docs.filter(matching(docs, clauses)).withColumn("n_should", met)
+    groups = _conditions(docs, clauses)
+    met = reduce(add, (c.cast("int") for c in groups["should"]), F.lit(0))
+    found = docs.filter(_all_hold(groups)).withColumn("n_should", met)
     return page_of(found, [F.col("n_should").desc(), F.col("gatherTime").desc(), F.col("id")], size, page)
 
 
-def typical_terms(vectors: DataFrame, terms: DataFrame, n_docs: Column, few: bool = True) -> DataFrame:
+def typical_terms(
+    vectors: DataFrame,
+    terms: DataFrame,
+    n_docs: Column,
+    few: bool = True,
+    buckets: int | None = None,
+    most: int = MLT_TERMS,
+    min_doc_freq: int = MLT_MIN_DOC_FREQ,
+) -> DataFrame:
     """The query terms of seed documents: ``id, term, df, score``.
 
-    ``vectors`` holds the terms of the seeds, ``few`` says that their number has been checked.
-    Terms of fewer than five documents are of no use.
+    ``vectors`` holds the terms of the seeds, ``few`` says that their number has been checked. Terms of fewer
+    than ``min_doc_freq`` documents are of no use. Of stored terms in ``buckets`` only the folders of the
+    seeds' terms are read.
     """
     weight = F.col("tf") * (F.log((n_docs + 1) / (F.col("df") + 1)) + 1)
     frequencies = terms.select("term", "df")
-    joined = (
-        vectors.join(frequencies, "term")
-        if few
-        else text_analysis.join_on_term(vectors, frequencies, "id")
-    )
-    scored = joined.filter(F.col("df") >= MLT_MIN_DOC_FREQ).withColumn("score", F.round(weight, 6))
-    return text_analysis.top_terms(scored, MLT_TERMS, "df")
-
-
-def more_like_this(index: TextIndex, seeds: DataFrame, size: int, page: int = 1) -> DataFrame:
+    if few and buckets:
+        placed = vectors.withColumn("bucket", _bucket(F.col("term"), buckets))
+        joined = terms.select("bucket", "term", "df").join(broadcast_if_small(placed), ["bucket", "term"])
+    elif few:
+        joined = vectors.join(frequencies, "term")
+    else:
+        joined = text_analysis.join_on_term(vectors, frequencies, "id")
+    scored = joined.filter(F.col("df") >= min_doc_freq).withColumn("score", F.round(weight, 6))
+    return text_analysis.top_terms(scored, most, "df")
+
+
+def more_like_this(
+    index: TextIndex,
+    seeds: DataFrame,
+    size: int,
+    page: int = 1,
+    most_terms: int = MLT_TERMS,
+    min_doc_freq: int = MLT_MIN_DOC_FREQ,
+    min_match: float = MLT_MIN_MATCH,
+) -> DataFrame:
     """Similar documents of each seed document: ``seed_id, id, score, position``.
 
     ``seeds`` has ``id, content``; a page view asks for one seed, a job may ask for many. A result
-    has at least 30 % of the seed's query terms. The work is the postings of those terms, so it
+    has at least ``min_match`` of the seed's query terms. The work is the postings of those terms, so it
     grows with the number of seeds; it is not meant for every pair of documents.
     """
     if page < 1:
@@ -221,15 +255,17 @@ def more_like_this(index: TextIndex, seeds: DataFrame, size: int, page: int = 1)
     n_docs = index.totals.select("n_docs").scalar()
     mean_length = index.totals.select("mean_length").scalar()
     few = is_small(seeds.select("id"), max_rows=MLT_FEW_SEEDS)
-    wanted = typical_terms(text_analysis.term_vectors(seeds), index.terms, n_docs, few)
+    buckets = index.totals.first()["buckets"] if "bucket" in index.postings.columns else None
+    wanted = typical_terms(
+        text_analysis.term_vectors(seeds), index.terms, n_docs, few, buckets, most_terms, min_doc_freq
+    )
     of_seed = Window.partitionBy("seed_id")
     wanted = wanted.select(F.col("id").alias("seed_id"), "term", "df").withColumn(
-        "needed", F.greatest(F.floor(F.count("*").over(of_seed) * MLT_MIN_MATCH), F.lit(1))
+        "needed", F.greatest(F.floor(F.count("*").over(of_seed) * min_match), F.lit(1))
     )
     postings = index.postings.select("term", "id", "tf", "doc_length")
-    if few and "bucket" in index.postings.columns:
+    if few and buckets:
         # The bucket is a folder: joining on it lets Spark read only the folders of these terms.
-        buckets = index.totals.first()["buckets"]
         wanted = wanted.withColumn("bucket", _bucket(F.col("term"), buckets))
         hits = index.postings.join(F.broadcast(wanted), ["bucket", "term"])
     elif few:

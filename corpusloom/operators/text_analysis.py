@@ -15,15 +15,15 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from corpusloom.functions import tokens, values
-from corpusloom.session import is_small
+from corpusloom.session import is_small, new_path
 
 KEYWORDS = 10
 SUMMARY_SENTENCES = 5
 RANK_WINDOW = 5
 RANK_DAMPING = 0.85
 RANK_ROUNDS = 30
-#: A term of one document in this many is joined by broadcast.
-HOT_SHARE = 100
+#: A term of this many documents is joined by broadcast.
+HOT_ROWS = 1_000_000
 #: Copies of the per-term side of a join; a term of every document is spread over as many tasks.
 TERM_SALTS = 16
 
@@ -70,21 +70,28 @@ def join_on_term(left: DataFrame, per_term: DataFrame, spread: str, salts: int =
     return salted.join(copies, ["term", "_salt"]).drop("_salt")
 
 
-def with_frequencies(vectors: DataFrame, frequencies: DataFrame, n_docs: Column) -> DataFrame:
-    """Add ``df`` to rows of ``id, term``.
+def stored(df: DataFrame, label: str) -> DataFrame:
+    """``df`` written to the shared folder and read back, for what is cut from the texts and used twice."""
+    path = new_path(df.sparkSession, label)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
-    Terms of at least one document in a hundred are the hot keys of this join. There are at most a
-    hundred times as many of them as a document has distinct terms on average, whatever the size of
-    the corpus, so they are broadcast. All other terms meet their row by shuffle; the rows that
-    have been served already travel under a key of their own, dealt evenly.
+
+def with_frequencies(vectors: DataFrame, frequencies: DataFrame) -> DataFrame:
+    """Add ``df`` to rows of ``id, term``. Both are stored tables, as they are read more than once.
+
+    Terms of ``HOT_ROWS`` documents or more would be hot keys of the join. Their rows never travel: they
+    meet the few frequencies by broadcast, after a check of its size, and only the rows of other terms
+    are shuffled. If there are too many hot terms to broadcast, all rows are dealt out by salts.
     """
-    frequent = frequencies.filter(F.col("df") * HOT_SHARE >= n_docs).select("term", F.col("df").alias("_hot_df"))
-    rest = frequencies.select(F.col("term").alias("_key"), F.col("df").alias("_df"))
-    served = F.concat(F.lit("\u0000"), values.salt_of(F.col("id"), 1024).cast("string"))
-    marked = vectors.join(F.broadcast(frequent), "term", "left")
-    keyed = marked.withColumn("_key", F.when(F.col("_hot_df").isNull(), F.col("term")).otherwise(served))
-    joined = keyed.join(rest, "_key", "left")
-    return joined.withColumn("df", F.coalesce("_hot_df", "_df")).drop("_key", "_hot_df", "_df")
+    hot = frequencies.filter(F.col("df") >= HOT_ROWS).select("term", "df")
+    if hot.isEmpty():
+        return vectors.join(frequencies.select("term", "df"), "term")
+    if not is_small(hot):
+        return join_on_term(vectors, frequencies.select("term", "df"), "id")
+    served = vectors.join(F.broadcast(hot), "term")
+    rest = vectors.join(F.broadcast(hot.select("term")), "term", "left_anti")
+    return served.unionByName(rest.join(frequencies.filter(F.col("df") < HOT_ROWS).select("term", "df"), "term"))
 
 
 def inverse_frequency(df: Column, n_docs: Column) -> Column:
@@ -105,17 +112,25 @@ def document_count(docs: DataFrame) -> Column:
     return docs.agg(F.count("*").alias("n")).scalar()
 
 
-def keyword_scores(docs: DataFrame) -> DataFrame:
-    """``id, term, score`` with score = tf * ln(1 + N / df)."""
-    n_docs = document_count(docs)
-    joined = with_frequencies(term_vectors(docs), document_frequencies(docs), n_docs)
+def keyword_scores(docs: DataFrame, corpus: DataFrame | None = None) -> DataFrame:
+    """``id, term, score`` with score = tf * ln(1 + N / df).
+
+    The texts are cut into terms once. ``corpus`` is where N and df come from; without it, ``docs``.
+    """
+    vectors = stored(term_vectors(docs), "term-vectors")
+    if corpus is None:
+        frequencies = vectors.groupBy("term").agg(F.count("*").alias("df"))
+    else:
+        frequencies = document_frequencies(corpus).join(vectors.select("term").distinct(), "term", "left_semi")
+    n_docs = document_count(docs if corpus is None else corpus)
+    joined = with_frequencies(vectors, stored(frequencies, "term-frequencies"))
     weight = F.col("tf") * inverse_frequency(F.col("df"), n_docs)
     return joined.select("id", "term", F.round(weight, 6).alias("score"))
 
 
-def keywords(docs: DataFrame, k: int = KEYWORDS) -> DataFrame:
+def keywords(docs: DataFrame, k: int = KEYWORDS, corpus: DataFrame | None = None) -> DataFrame:
     """``id, keywords``: the best terms by frequency here against frequency everywhere."""
-    return gather_terms(top_terms(keyword_scores(docs), k))
+    return gather_terms(top_terms(keyword_scores(docs, corpus), k))
 
 
 def gather_terms(ranked: DataFrame) -> DataFrame:
@@ -186,7 +201,8 @@ def sentence_scores(docs: DataFrame) -> DataFrame:
         "id", "at", F.explode(tokens.term_counts(tokens.tokens(F.col("sentence")))).alias("t")
     ).select("id", "at", "t.term", "t.tf")
     n_docs = document_count(docs)
-    weighted = with_frequencies(terms, document_frequencies(docs), n_docs).select(
+    frequencies = stored(document_frequencies(docs), "term-frequencies")
+    weighted = with_frequencies(stored(terms, "sentence-terms"), frequencies).select(
         "id", "at", "tf", (F.col("tf") * inverse_frequency(F.col("df"), n_docs)).alias("weight")
     )
     return weighted.groupBy("id", "at").agg(F.round(F.sum("weight") / F.sum("tf"), 6).alias("score"))

@@ -9,7 +9,7 @@ from corpusloom.functions import urls
 from corpusloom.operators import aggregates, mutations, tasks, text_analysis
 from corpusloom.plans import fixtures as fx
 from corpusloom.plans.queries_text import GAZETTEER_SQL, gazetteer
-from corpusloom.session import new_path
+from corpusloom.session import new_path, spread
 from corpusloom.sources import snapshots
 
 
@@ -35,16 +35,13 @@ def daily_histogram(spark: SparkSession, sf_dir: str) -> DataFrame:
     return days.select(F.date_format("day", "yyyy-MM-dd").alias("day"), "n_docs")
 
 
-def _analysed(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = fx.documents(spark, sf_dir)
-    texts = fx.texts(spark, sf_dir)
-    names = text_analysis.named_entities(texts, gazetteer(spark, sf_dir))
-    words = text_analysis.keywords(texts)
-    return docs.join(names, "id", "left").join(words, "id", "left")
-
-
 def related_facets(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return aggregates.related_facets(_analysed(spark, sf_dir), F.col("domain") == "src3")
+    """Only the documents of the domain are analysed; the corpus gives the frequencies of their terms."""
+    found = fx.documents(spark, sf_dir).filter(F.col("domain") == "src3")
+    texts = spread(found.select("id", "content"))
+    names = text_analysis.named_entities(texts, gazetteer(spark, sf_dir))
+    words = text_analysis.keywords(texts, corpus=fx.texts(spark, sf_dir))
+    return aggregates.related_facets(found.join(names, "id", "left").join(words, "id", "left"), F.lit(True))
 
 
 def related_documents(spark: SparkSession, sf_dir: str) -> DataFrame:

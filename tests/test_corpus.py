@@ -94,7 +94,7 @@ def test_first_per_group_matches_brute_force(spark, salts):
     random.seed(5)
     data = [("hot" if random.random() < 0.5 else f"g{random.randrange(5)}", i, f"u{i}") for i in range(400)]
     df = spark.createDataFrame(data, "run_id string, n int, url string")
-    got = frontier.first_per_group(df, "run_id", [F.col("n")], F.lit(20), F.col("url"), salts)
+    got = frontier.first_per_group(df, "run_id", [F.col("n")], F.lit(20), 20, F.col("url"), salts)
     wanted = [r for g in {d[0] for d in data} for r in sorted((d for d in data if d[0] == g), key=lambda d: d[1])[:20]]
     assert {tuple(r)[:3] for r in got.collect()} == set(wanted)
 
