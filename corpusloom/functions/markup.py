@@ -23,14 +23,15 @@ _BLOCK_TAGS = (
 _REFERENCE = r"^(#[0-9]{1,7}|#[xX][0-9a-fA-F]{1,6}|[A-Za-z][A-Za-z0-9]*);"
 
 
-def _named_characters() -> Column:
-    """The names of the standard table, as a map; a hard space becomes a space, an apostrophe is added."""
-    table = {**name2codepoint, "nbsp": 32, "apos": 39}
+def _named_characters(hard_space: str) -> Column:
+    """The names of the standard table and the apostrophe, as a map."""
+    table = {**name2codepoint, "nbsp": ord(hard_space), "apos": 39}
     return F.create_map(*(F.lit(x) for name, code in sorted(table.items()) for x in (name, chr(code))))
 
 
-def unescape(text: Column) -> Column:
-    """Character references decoded, by number and by name; what is none stays as it is."""
+def unescape(text: Column, hard_space: str = " ") -> Column:
+    """Character references decoded, by number and by name; what is none stays as it is. A hard space becomes
+    ``hard_space``."""
 
     def decoded(name: Column) -> Column:
         digits = F.substring(name, 2, 8)
@@ -38,8 +39,8 @@ def unescape(text: Column) -> Column:
         code = number.try_cast("int")
         known = code.between(1, 0xD7FF) | code.between(0xE000, 0x10FFFF)
         char = F.decode(F.unhex(F.lpad(F.hex(F.when(known, code)), 8, "0")), "UTF-32")
-        plain = F.when(code == 160, F.lit(" ")).otherwise(char)
-        return F.when(name.startswith("#"), plain).otherwise(F.try_element_at(_named_characters(), name))
+        plain = F.when(code == 160, F.lit(hard_space)).otherwise(char)
+        return F.when(name.startswith("#"), plain).otherwise(F.try_element_at(_named_characters(hard_space), name))
 
     def part(p: Column, i: Column) -> Column:
         name = F.regexp_extract(p, _REFERENCE, 1)

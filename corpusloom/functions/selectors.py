@@ -1,6 +1,7 @@
 """Path and CSS rules on HTML, which built-in functions cannot express on ordinary markup.
 
-One Arrow batch call evaluates all rules of a page on a single parse. The supported subset is
+Rules for one element that can't nest, with at most one attribute test, are followed by built-in functions.
+For the others one Arrow batch call evaluates all rules of a page on a single parse. The supported subset is
 declared here; a rule outside it is refused by ``check_rule`` when templates are validated.
 
 * XPath: ``//tag``, ``/tag``, ``*``, ``[n]``, ``[@a]``, ``[@a='v']``, ``[contains(@a,'v')]``, ending
@@ -21,6 +22,8 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from corpusloom.functions import markup, values
+
 _VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 _CLOSED_BY_BLOCK = frozenset(
     "address article aside blockquote div dl fieldset footer form h1 h2 h3 h4 h5 h6 header hr main "
@@ -252,6 +255,67 @@ def evaluate(root: Node, rule: str) -> list[str]:
     return [v for v in values if v is not None]
 
 
+# A path rule that built-in functions can follow: one element that can't hold another of its kind, perhaps
+# with one attribute test, and an output that needs no tree.
+_FLAT = r"""^//(h[1-6]|title|a|button|option)(?:\[@([\w:-]+)=(["'])([^"'\]]*)\3\])?/(text\(\)|allText\(\)|@[\w:-]+)$"""
+_OPEN = r"""(?:[^>"']|"[^"]*"|'[^']*')*"""
+
+
+def is_flat(rule: Column) -> Column:
+    return F.trim(rule).rlike(_FLAT)
+
+
+def flat_rule(rule: Column) -> Column:
+    """A flat rule taken apart, once per template: regexes for the element, its tested and its read attribute."""
+
+    def part(n: int) -> Column:
+        return F.regexp_extract(F.trim(rule), _FLAT, n)
+
+    def attribute(name: Column) -> Column:
+        quoted = F.concat(F.lit(r"\Q"), name, F.lit(r"\E"))
+        return F.concat(F.lit(r"(?is)\s"), quoted, F.lit(r"""(?:\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+)|(?=[\s/>]))"""))
+
+    opening = F.concat(F.lit("(?is)<"), part(1), F.lit(rf"(?=[\s/>]){_OPEN}>"))
+    whole = F.concat(opening, F.lit(r".*?</"), part(1), F.lit(r"\s*>"))
+    reads = part(5).startswith("@")
+    return F.struct(
+        rule.alias("rule"),
+        F.when(reads, opening).otherwise(whole).alias("element"),
+        F.when(part(2) != "", attribute(part(2))).alias("tested"),
+        part(4).alias("wanted"),
+        F.when(reads, attribute(F.substring(part(5), 2, 200))).alias("read"),
+        (part(5) == "text()").alias("own_text"),
+    )
+
+
+def flat_values(html: Column, flat: Column) -> Column:
+    """``map<rule, matches>`` for an array of ``flat_rule``, without Python; elements need their end tags."""
+
+    def value(opening: Column, pattern: Column) -> Column:
+        written = F.regexp_replace(F.call_function("regexp_extract", opening, pattern, F.lit(1)), r"""^["']|["']$""", "")
+        return F.when(F.call_function("rlike", opening, pattern), markup.unescape(written, "\u00a0"))
+
+    def text(element: Column, own: Column) -> Column:
+        inner = F.regexp_extract(element, rf"(?is)^<{_OPEN}>(.*)</[^>]*>$", 1)
+        alone = F.regexp_replace(inner, r"(?is)<([a-z][a-z0-9]*)\b[^>]*>.*?</\1\s*>", "")
+        broken = F.regexp_replace(inner, rf"(?i)<(?:br|{'|'.join(sorted(_CLOSED_BY_BLOCK))})\b[^>]*>", " ")
+        bare = F.regexp_replace(F.when(own, alone).otherwise(broken), r"(?s)</?[a-zA-Z][^>]*>", "")
+        plain = markup.unescape(bare, "\u00a0")
+        return F.when(own, plain).otherwise(F.trim(F.regexp_replace(plain, r"[\s\u00a0]+", " ")))
+
+    def matches(visible: Column, r: Column) -> Column:
+        found = F.call_function("regexp_extract_all", visible, r["element"], F.lit(0))
+        passed = F.filter(found, lambda e: r["tested"].isNull() | F.coalesce(value(e, r["tested"]) == r["wanted"], F.lit(False)))
+        read = F.transform(passed, lambda e: F.when(r["read"].isNotNull(), value(e, r["read"])).otherwise(text(e, r["own_text"])))
+        return F.array_compact(read)
+
+    visible = F.regexp_replace(html, r"(?is)<!--.*?-->|<(script|style)\b.*?</\1\s*>", "")
+    entries = values.let(
+        visible, lambda v: F.transform(flat, lambda r: F.struct(r["rule"].alias("key"), matches(v, r).alias("value")))
+    )
+    return F.map_from_entries(entries)
+
+
 @F.pandas_udf(T.MapType(T.StringType(), T.ArrayType(T.StringType())))
 def _path_values(html: pd.Series, rules: pd.Series) -> pd.Series:
     def one(page, wanted):

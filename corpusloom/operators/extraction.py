@@ -45,7 +45,10 @@ def prepare_templates(templates: DataFrame) -> DataFrame:
     )
     full = full.withColumns(
         {
-            "pathRules": F.array_distinct(path_rules),
+            "pathRules": F.filter(F.array_distinct(path_rules), lambda r: ~selectors.is_flat(r)),
+            "flatRules": F.transform(
+                F.filter(F.array_distinct(path_rules), selectors.is_flat), selectors.flat_rule
+            ),
             "datePieces": dates.format_pieces(F.col("publishTimeFormat")),
             "linkReg": F.coalesce(F.col("urlReg"), urls.domain_link_regex(F.col("domain"))),
         }
@@ -59,7 +62,7 @@ def match_templates(pages: DataFrame, templates: DataFrame) -> DataFrame:
 
     A page that names its template in ``template_id`` gets that one; otherwise the host decides.
     The template side is broadcast only after its size has been checked. Pages of a template that
-    wants path rules are parsed once here; if no template has any, no Python runs at all.
+    wants path rules beyond flat ones are parsed once here; if no template has any, no Python runs at all.
     """
     prepared = prepare_templates(templates)
     small, wants_paths = is_small_and(prepared, F.size("tpl.pathRules") > 0)
@@ -68,12 +71,14 @@ def match_templates(pages: DataFrame, templates: DataFrame) -> DataFrame:
         matched = pages.join(side.drop("site"), "template_id")
     else:
         matched = pages.withColumn("site", urls.host_of(F.col("url"))).join(side, "site")
-    found = (
-        selectors.path_values(F.col("html"), F.col("tpl.pathRules"))
-        if wants_paths
-        else F.lit(None).cast("map<string,array<string>>")
+    flat = F.when(
+        F.size("tpl.flatRules") > 0, selectors.flat_values(F.col("html"), F.col("tpl.flatRules"))
     )
-    return matched.withColumn("paths", found)
+    if wants_paths:
+        none = F.create_map().cast("map<string,array<string>>")
+        parsed = selectors.path_values(F.col("html"), F.col("tpl.pathRules"))
+        flat = F.map_concat(F.coalesce(flat, none), F.coalesce(parsed, none))
+    return matched.withColumn("paths", flat)
 
 
 def _path_all(rule: Column) -> Column:

@@ -125,6 +125,35 @@ def test_long_numbers_in_dates(spark):
     assert [r["y"] for r in ruled.select(F.year(moment).alias("y")).collect()] == [12024, None]
 
 
+FLAT_PAGE = (
+    "<title>T &amp; t</title><!-- <h1>no</h1> --><script>var a='<h1>no</h1>';</script><h1 class=x>a <b>bold</b>&nbsp;c<br>d</h1>"
+    "<H1 data-k='v > w'>two</H1><h2></h2><a href='/q?a=1&amp;b=2' rel=\"x y\">l<i>i</i></a><a name=here>n</a><a href>e</a>"
+    "<ul><li><a rel='x y' href=/z>zed</a></ul>"
+)
+
+
+def test_flat_rules_agree_with_the_tree(spark):
+    listed = [
+        "//h1/text()", "//h1/allText()", "//h1[@class='x']/text()", "//h1[@data-k='v > w']/text()", "//h2/text()",
+        "//title/text()", "//a/@href", '//a[@rel="x y"]/@href', "//a[@rel='x y']/allText()", "//a/text()", "//h3/text()",
+    ]
+    root = selectors.parse_html(FLAT_PAGE)
+    frame = spark.createDataFrame([(FLAT_PAGE, listed)], "html string, rules array<string>")
+    assert frame.select(F.forall("rules", selectors.is_flat)).first()[0]
+    flat = frame.select(selectors.flat_values(F.col("html"), F.transform("rules", selectors.flat_rule)).alias("v"))
+    assert flat.first()["v"] == {rule: selectors.evaluate(root, rule) for rule in listed}
+    other = ["//div/text()", "//h1", "//h1//b/text()", "//a[2]/@href", "css:h1|text", "//a[contains(@href,'q')]/@href"]
+    kept = spark.createDataFrame([(other,)], "rules array<string>").select(F.exists("rules", selectors.is_flat))
+    assert not kept.first()[0]
+
+
+def test_flat_rules_need_no_python(spark):
+    templates = spark.createDataFrame([("t", "d.example", "//h1/text()")], "id string, domain string, titleXPath string")
+    pages = spark.createDataFrame([("http://d.example/1", "<h1>x</h1>")], "url string, html string")
+    found = extraction.match_templates(pages, templates).select(extraction.title().alias("title"))
+    assert found.first()["title"] == "x" and "Python" not in found._jdf.queryExecution().toString()
+
+
 def test_markup_of_deep_pages():
     root = selectors.parse_html("<div>" * 5000 + "x &lt; y<br>" + "</div>" * 5000)
     assert selectors.evaluate(root, "/div")[0] == "<div>" * 5000 + "x &lt; y<br>" + "</div>" * 5000
