@@ -76,6 +76,13 @@ def partial_update(
     )
 
 
+def affected(store: DataFrame, condition: Column) -> DataFrame:
+    """``n_affected, found``: how many rows a delete or update by condition means, for its report."""
+    return store.filter(F.coalesce(condition, F.lit(False))).agg(
+        F.count("*").alias("n_affected"), (F.count("*") > 0).alias("found")
+    )
+
+
 def delete_keys(store: DataFrame, keys: DataFrame, key: str = "id") -> DataFrame:
     return store.join(keys.select(key), key, "left_anti")
 

@@ -124,4 +124,6 @@ def update_stored(
             store, old_template_id, templates, new_template_id, run_id, gather_time
         )
 
-    return snapshots.change(spark, root, step)
+    stored = snapshots.read_snapshot(spark, root)
+    touched = stored.filter(F.col("spiderInfoId") == old_template_id).select("id")
+    return snapshots.change(spark, root, step, touched)

@@ -88,12 +88,23 @@ def _stored(spark: SparkSession, sf_dir: str) -> tuple[str, DataFrame]:
 def delete_by_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     root, docs = _stored(spark, sf_dir)
     gone = docs.filter(F.col("n") < 100).select("id")
-    return snapshots.change(spark, root, lambda store: mutations.delete_keys(store, gone))
+    return snapshots.change(spark, root, lambda store: mutations.delete_keys(store, gone), gone)
 
 
 def delete_by_domain(spark: SparkSession, sf_dir: str) -> DataFrame:
     root, _ = _stored(spark, sf_dir)
-    return snapshots.change(spark, root, lambda store: mutations.delete_where(store, F.col("domain") == "src3"))
+    gone = F.col("domain") == "src3"
+    touched = snapshots.read_snapshot(spark, root).filter(gone).select("id")
+    return snapshots.change(spark, root, lambda store: mutations.delete_where(store, gone), touched)
+
+
+def delete_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How many rows a delete meant, and whether it found any, for a domain that is there and one that isn't."""
+    _, docs = _stored(spark, sf_dir)
+    reports = [
+        mutations.affected(docs, F.col("domain") == name).withColumn("domain", F.lit(name)) for name in ("src3", "none")
+    ]
+    return reports[0].unionByName(reports[1])
 
 
 def partial_update(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -107,7 +118,7 @@ def partial_update(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
     unknown = updates.withColumn("id", -F.col("id") - 1)
     every = updates.unionByName(again).unionByName(unknown)
-    return snapshots.change(spark, root, lambda store: mutations.partial_update(store, every, version="turn"))
+    return snapshots.change(spark, root, lambda store: mutations.partial_update(store, every, version="turn"), every)
 
 
 def retained_tasks(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -144,6 +155,7 @@ QUERIES = {
     "h6_coalesced_hot_log": coalesced_hot_log,
     "h7_delete_by_id": delete_by_id,
     "h8_delete_by_domain": delete_by_domain,
+    "h8_delete_report": delete_report,
     "h9_partial_update": partial_update,
     "h10_retained_tasks": retained_tasks,
     "h10_deletion_verdicts": deletion_verdicts,
@@ -212,6 +224,8 @@ CHECKS = {
         FROM documents WHERE length(text) >= 100""",
     "h8_delete_by_domain": """SELECT doc_id AS id, source AS domain, lang AS category, length(text) AS n
         FROM documents WHERE source <> 'src3'""",
+    "h8_delete_report": """SELECT count(*) AS n_affected, count(*) > 0 AS found, 'src3' AS domain FROM documents WHERE source = 'src3'
+        UNION ALL SELECT 0, false, 'none'""",
     "h9_partial_update": """SELECT doc_id AS id,
         CASE WHEN source IN ('src1', 'src2') AND doc_id % 4 = 0 THEN 'moved' ELSE source END AS domain,
         CASE WHEN source IN ('src1', 'src2') THEN upper(lang) ELSE lang END AS category, length(text) AS n FROM documents""",

@@ -23,12 +23,13 @@ def json_sink(path: str) -> Sink:
 
 
 def document_sink(root: str) -> Sink:
-    """Merge documents by id into the snapshot store; the newest gather time wins."""
+    """Merge documents by id into the snapshot store; the newest gather time wins. Only buckets of the batch are
+    read and written."""
 
     def write(docs: DataFrame) -> None:
         spark = docs.sparkSession
         if snapshots.has_snapshot(spark, root):
-            snapshots.change(spark, root, lambda store: mutations.upsert(store, docs))
+            snapshots.change(spark, root, lambda store: mutations.upsert(store, docs), docs.select("id"))
         else:
             snapshots.write_snapshot(mutations.last_written(docs), root)
 

@@ -1,51 +1,152 @@
-"""A table kept as immutable numbered snapshots in a shared folder.
+"""A table in a shared folder, kept as numbered snapshots that share what they have in common.
 
-Every change writes a new snapshot, so a job never overwrites what it reads and a lost executor
-never leaves half a table: a snapshot counts only once Spark has put its ``_SUCCESS`` file there.
-One writer at a time is assumed.
+Rows lie in buckets by the hash of their key. A change writes new files for the buckets it touches, and
+a manifest that says for every bucket in which version its files are; all other buckets stay as they
+are. Nothing is edited in place, so a job never overwrites what it reads, and a snapshot counts only once
+its manifest has been renamed into place. ``expire`` drops versions that no kept snapshot needs. One
+writer at a time is assumed.
 """
 
 from __future__ import annotations
 
+import json
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
+#: Buckets of a new table, and files of a bucket. Large stores want more of either.
+BUCKETS = 16
+FILES_PER_BUCKET = 1
 
-def _numbers(spark: SparkSession, root: str) -> list[int]:
-    path = spark._jvm.org.apache.hadoop.fs.Path(root)
-    files = path.getFileSystem(spark._jsc.hadoopConfiguration())
-    if not files.exists(path):
-        return []
-    done = files.globStatus(spark._jvm.org.apache.hadoop.fs.Path(f"{root}/snapshot=*/_SUCCESS"))
-    return sorted(int(status.getPath().getParent().getName().split("=")[1]) for status in done or [])
 
+class _Files:
+    """The folder of a table, by way of the file system that Spark uses for it."""
 
-def _folder(root: str, number: int) -> str:
-    return f"{root}/snapshot={number:08d}"
+    def __init__(self, spark: SparkSession, root: str) -> None:
+        self.jvm = spark._jvm
+        self.root = root
+        self.fs = self.path("").getFileSystem(spark._jsc.hadoopConfiguration())
 
+    def path(self, name: str):
+        return self.jvm.org.apache.hadoop.fs.Path(f"{self.root}/{name}" if name else self.root)
 
-def write_snapshot(df: DataFrame, root: str) -> int:
-    """Write ``df`` as the next snapshot; a folder left by a failed attempt is replaced."""
-    numbers = _numbers(df.sparkSession, root)
+    def names(self, folder: str) -> list[str]:
+        if not self.fs.exists(self.path(folder)):
+            return []
+        return sorted(status.getPath().getName() for status in self.fs.listStatus(self.path(folder)))
+
+    def read(self, name: str) -> str:
+        stream = self.fs.open(self.path(name))
+        try:
+            return self.jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8")
+        finally:
+            stream.close()
+
+    def write(self, name: str, text: str) -> None:
+        """Under another name first: the file is there whole or not at all."""
+        stream = self.fs.create(self.path(f"{name}.tmp"), True)
+        stream.write(bytearray(text.encode()))
+        stream.close()
+        if not self.fs.rename(self.path(f"{name}.tmp"), self.path(name)):
+            raise OSError(f"cannot rename {self.root}/{name}.tmp")
+
+    def delete(self, name: str) -> None:
+        self.fs.delete(self.path(name), True)
+
+
+def _numbers(files: _Files) -> list[int]:
+    return [int(n[:8]) for n in files.names("manifests") if n.endswith(".json")]
+
+
+def _manifest(files: _Files, number: int | None = None) -> dict:
+    numbers = _numbers(files)
+    if not numbers or (number is not None and number not in numbers):
+        raise LookupError(f"no such snapshot under {files.root}")
+    return json.loads(files.read(f"manifests/{numbers[-1] if number is None else number:08d}.json"))
+
+
+def bucket_of(key: Column, buckets: int) -> Column:
+    return F.pmod(F.xxhash64(key), F.lit(buckets)).cast("int")
+
+
+def _write(df: DataFrame, files: _Files, manifest: dict, touched: set[int] | None) -> int:
+    """Write ``df`` as new files of the touched buckets (all, if None) and the manifest that goes with them."""
+    numbers = _numbers(files)
     number = numbers[-1] + 1 if numbers else 0
-    df.write.mode("overwrite").parquet(_folder(root, number))
+    version = f"{number:08d}"
+    files.delete(f"data/{version}")  # left by an attempt that failed
+    key = F.col(manifest["key"])
+    spread = F.pmod(F.xxhash64(F.lit("file"), key), F.lit(manifest["files"]))
+    placed = df.withColumn("_bucket", bucket_of(key, manifest["buckets"]))
+    placed.repartition("_bucket", spread).write.partitionBy("_bucket").parquet(f"{files.root}/data/{version}")
+    written = {n.split("=")[1] for n in files.names(f"data/{version}") if n.startswith("_bucket=")}
+    kept = {} if touched is None else {b: v for b, v in manifest["versions"].items() if int(b) not in touched}
+    fresh = manifest | {"versions": kept | {b: version for b in written}, "schema": df.schema.jsonValue()}
+    files.write(f"manifests/{version}.json", json.dumps(fresh))
     return number
 
 
+def write_snapshot(
+    df: DataFrame, root: str, key: str = "id", buckets: int = BUCKETS, files_per_bucket: int = FILES_PER_BUCKET
+) -> int:
+    """Write ``df`` as the next snapshot, all of it; the number of the snapshot."""
+    files = _Files(df.sparkSession, root)
+    if _numbers(files):
+        manifest = _manifest(files)
+    else:
+        manifest = {"key": key, "buckets": buckets, "files": files_per_bucket, "versions": {}}
+    return _write(df, files, manifest, None)
+
+
+def _read(spark: SparkSession, root: str, manifest: dict, only: set[int] | None = None) -> DataFrame:
+    schema = T.StructType.fromJson(manifest["schema"])
+    chosen = sorted((int(b), v) for b, v in manifest["versions"].items() if only is None or int(b) in only)
+    if not chosen:
+        return spark.createDataFrame([], schema)
+    return spark.read.schema(schema).parquet(*(f"{root}/data/{v}/_bucket={b}" for b, v in chosen))
+
+
 def read_snapshot(spark: SparkSession, root: str, number: int | None = None) -> DataFrame:
     """The newest snapshot, or an earlier one by number."""
-    numbers = _numbers(spark, root)
-    if not numbers or (number is not None and number not in numbers):
-        raise LookupError(f"no such snapshot under {root}")
-    return spark.read.parquet(_folder(root, numbers[-1] if number is None else number))
+    return _read(spark, root, _manifest(_Files(spark, root), number))
 
 
 def has_snapshot(spark: SparkSession, root: str) -> bool:
-    return bool(_numbers(spark, root))
+    return bool(_numbers(_Files(spark, root)))
+
+
+def change(
+    spark: SparkSession, root: str, step: Callable[[DataFrame], DataFrame], touched: DataFrame | None = None
+) -> DataFrame:
+    """Apply ``step`` to the newest snapshot, write the result as the next, and read that back.
+
+    ``touched`` has the keys of all rows that ``step`` adds, changes or drops. Then only their buckets are
+    read, given to ``step`` and written; if there are none, nothing is. Without it, the whole table is.
+    """
+    files = _Files(spark, root)
+    manifest = _manifest(files)
+    if touched is None:
+        _write(step(_read(spark, root, manifest)), files, manifest, None)
+        return read_snapshot(spark, root)
+    number = bucket_of(F.col(manifest["key"]), manifest["buckets"]).alias("b")
+    buckets = {r.b for r in touched.select(number).distinct().collect()}  # as many as there are buckets at most
+    if buckets:
+        _write(step(_read(spark, root, manifest, buckets)), files, manifest, buckets)
+    return read_snapshot(spark, root)
 
 
-def change(spark: SparkSession, root: str, step: Callable[[DataFrame], DataFrame]) -> DataFrame:
-    """Apply ``step`` to the newest snapshot, write the result as the next, and read that back."""
-    write_snapshot(step(read_snapshot(spark, root)), root)
-    return read_snapshot(spark, root)
+def expire(spark: SparkSession, root: str, keep: int = 2) -> int:
+    """Drop all but the ``keep`` newest snapshots, and versions that none of these needs; how many versions went."""
+    if keep < 1:
+        raise ValueError("one snapshot has to stay")
+    files = _Files(spark, root)
+    numbers = _numbers(files)
+    needed = {v for n in numbers[-keep:] for v in _manifest(files, n)["versions"].values()}
+    for number in numbers[:-keep]:
+        files.delete(f"manifests/{number:08d}.json")
+    gone = [v for v in files.names("data") if v not in needed]
+    for version in gone:
+        files.delete(f"data/{version}")
+    return len(gone)

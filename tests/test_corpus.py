@@ -70,9 +70,21 @@ def test_snapshots_are_never_overwritten(spark):
     root = new_path(spark, "test")
     snapshots.write_snapshot(spark.range(3), root)
     changed = snapshots.change(spark, root, lambda df: df.filter("id > 0"))
+    files = snapshots._Files(spark, root)
     assert changed.count() == 2 and snapshots.read_snapshot(spark, root, 0).count() == 3
     with pytest.raises(LookupError):
         snapshots.read_snapshot(spark, root, 7)
+    ids = spark.range(40)
+    snapshots.write_snapshot(ids, root)
+    before = snapshots._manifest(files)["versions"]
+    five = ids.filter("id = 5")
+    left = snapshots.change(spark, root, lambda df: mutations.delete_keys(df, five), five)
+    after = snapshots._manifest(files)["versions"]
+    assert sorted(r["id"] for r in left.collect()) == [i for i in range(40) if i != 5]
+    assert sum(before[b] != after.get(b) for b in before) == 1
+    assert snapshots.change(spark, root, lambda df: df, five.limit(0)).count() == 39
+    assert snapshots.expire(spark, root, keep=1) == 2 and snapshots.read_snapshot(spark, root).count() == 39
+    assert snapshots.change(spark, root, lambda df: df.limit(0)).count() == 0
 
 
 def test_sinks_can_be_switched_off(spark):
