@@ -91,13 +91,51 @@ def transitions(events: DataFrame) -> DataFrame:
     return found.select("task_id", "event_id", "ts", "state", previous.alias("previous"), allowed.alias("is_legal"))
 
 
-_EXITS = T.ArrayType(
-    T.StructType([T.StructField("opens", T.IntegerType()), T.StructField("passes", T.IntegerType())])
+_EXIT = T.StructType([T.StructField("opens", T.IntegerType()), T.StructField("passes", T.IntegerType())])
+#: What a stretch of a log passes on: the first exit that opens no earlier than entries may, or ``rest``.
+#: ``starts`` and ``ends`` say whether it reaches its own borders, so that neighbours are really next to it.
+_SUM = T.StructType(
+    [
+        T.StructField("piece", T.LongType()),
+        T.StructField("starts", T.BooleanType()),
+        T.StructField("ends", T.BooleanType()),
+        T.StructField("rest", T.IntegerType()),
+        T.StructField("exits", T.ArrayType(_EXIT)),
+    ]
 )
+#: Pieces of an hour, and hours of a day.
+_SPANS = (60, 24)
 
 
-@F.pandas_udf(_EXITS)
-def _piece_exits(times: pd.Series) -> pd.Series:
+def _passed(summed: dict, blocked: int) -> int:
+    return next((e["passes"] for e in summed["exits"] if e["opens"] >= blocked), summed["rest"])
+
+
+def _shortest(exits: list[tuple[int, int]], rest: int) -> list[dict]:
+    """The same exits with one for each run of equal ``passes``, and none where it would pass ``rest``."""
+    kept: list[tuple[int, int]] = []
+    for opens, passes in exits:
+        if kept and kept[-1][1] == passes:
+            kept.pop()
+        kept.append((opens, passes))
+    if kept and kept[-1][1] == rest:
+        kept.pop()
+    return [{"opens": o, "passes": p} for o, p in kept]
+
+
+def _follow(sums, blocked: int) -> tuple[list[int], int]:
+    """From which offset entries may open in each of the stretches, and what the last passes on."""
+    allowed, last = [], None
+    for own in sums:
+        joined = own["starts"] and (last is None or (own["piece"] == last["piece"] + 1 and last["ends"]))
+        blocked = blocked if joined else 0
+        allowed.append(blocked)
+        blocked, last = _passed(own, blocked), own
+    return allowed, blocked
+
+
+@F.pandas_udf(_SUM)
+def _piece_sum(piece: pd.Series, times: pd.Series) -> pd.DataFrame:
     """What a piece passes on, by where its first entry may open.
 
     ``times`` are the message offsets inside the piece. If entries may open from offset o on, the
@@ -105,7 +143,7 @@ def _piece_exits(times: pd.Series) -> pd.Series:
     seconds leads to one last entry; ``passes`` is how far that entry reaches into the next piece.
     """
 
-    def one(offsets: np.ndarray):
+    def one(number, offsets: np.ndarray):
         offsets = np.asarray(offsets)
         following = np.searchsorted(offsets, offsets + LOG_GAP_MS)
         reach = offsets + LOG_GAP_MS - LOG_PIECE_MS
@@ -113,28 +151,36 @@ def _piece_exits(times: pd.Series) -> pd.Series:
             if following[i] < len(offsets):
                 reach[i] = reach[following[i]]
         starts = int(np.searchsorted(offsets, LOG_GAP_MS)) + 1
-        return [
-            {"opens": int(o), "passes": max(int(r), 0)}
-            for o, r in zip(offsets[:starts], reach[:starts])
-        ]
+        exits = [(int(o), max(int(r), 0)) for o, r in zip(offsets[:starts], reach[:starts])]
+        return (number, True, True, 0, _shortest(exits, 0))
 
-    return pd.Series([one(t) for t in times], dtype=object)
+    return pd.DataFrame([one(*row) for row in zip(piece, times)], columns=_SUM.names)
 
 
-@F.pandas_udf(T.ArrayType(T.IntegerType()))
-def _piece_blocks(pieces: pd.Series) -> pd.Series:
-    """For the pieces of one task in order: from which offset entries may open in each."""
+@F.pandas_udf(_SUM)
+def _joined_sum(sums: pd.Series, span: pd.Series) -> pd.DataFrame:
+    """The sum of a larger stretch from those inside it, in order."""
+
+    def one(rows, size):
+        first, last = rows[0], rows[-1]
+        number = first["piece"] // size
+        starts = bool(first["starts"] and first["piece"] == number * size)
+        ends = bool(last["ends"] and last["piece"] == number * size + size - 1)
 
-    def one(rows):
-        blocked, allowed, last = 0, [], None
-        for row in rows:
-            blocked = blocked if last is not None and row["piece"] == last + 1 else 0
-            allowed.append(blocked)
-            exits = [e["passes"] for e in row["exits"] if e["opens"] >= blocked]
-            blocked, last = (exits[0] if exits else 0), row["piece"]
-        return allowed
+        def passes(blocked: int) -> int:
+            return _follow(rows, blocked)[1] if ends else 0
 
-    return pd.Series([one(p) for p in pieces], dtype=object)
+        opens = [e["opens"] for e in first["exits"]] if starts else []
+        rest = passes(max(opens, default=-1) + 1)
+        return (number, starts, ends, rest, _shortest([(o, passes(o)) for o in opens], rest))
+
+    return pd.DataFrame([one(*row) for row in zip(sums, span)], columns=_SUM.names)
+
+
+@F.pandas_udf(T.ArrayType(T.IntegerType()))
+def _blocks(sums: pd.Series, blocked: pd.Series) -> pd.Series:
+    """For the stretches inside a larger one: from which offset entries may open in each."""
+    return pd.Series([_follow(*row)[0] for row in zip(sums, blocked)], dtype=object)
 
 
 @F.pandas_udf(T.ArrayType(T.LongType()))
@@ -158,8 +204,9 @@ def log_anchors(messages: DataFrame) -> DataFrame:
     A message joins the entry whose start lies less than two seconds before it, so each entry
     depends on the one before. To keep one busy task from becoming one unit of work, its log is cut
     into one-minute pieces of distinct milliseconds (at most 60 000 values each). A piece is first
-    summed up as "if entries may open from here, this is what I pass on"; those few numbers are
-    followed through the pieces of the task; then every piece finds its own entries.
+    summed up as "if entries may open from here, this is what I pass on". Sums are joined into sums of
+    hours and days; the few days of a task are followed one after the other; then days tell hours,
+    hours tell pieces, and every piece finds its own entries.
     """
     piece = F.floor(F.col("ts_ms") / LOG_PIECE_MS)
     pieces = (
@@ -167,17 +214,29 @@ def log_anchors(messages: DataFrame) -> DataFrame:
         .groupBy("task_id", "piece")
         .agg(F.sort_array(F.collect_set("at")).alias("times"))
     )
-    summed = pieces.select("task_id", F.struct("piece", _piece_exits("times").alias("exits")).alias("p"))
-    in_order = summed.groupBy("task_id").agg(F.sort_array(F.collect_list("p")).alias("pieces"))
-    blocks = in_order.select(
-        "task_id",
-        F.explode(F.arrays_zip(F.col("pieces.piece").alias("piece"), _piece_blocks("pieces").alias("blocked"))).alias("b"),
-    ).select("task_id", "b.piece", "b.blocked")
+    sums = pieces.select("task_id", _piece_sum("piece", "times").alias("s"))
+    levels = []
+    for span in _SPANS:
+        inside = sums.groupBy("task_id", F.floor(F.col("s.piece") / span).alias("larger")).agg(
+            F.sort_array(F.collect_list("s")).alias("sums")
+        )
+        levels.append(inside)
+        sums = inside.select("task_id", _joined_sum("sums", F.lit(span)).alias("s"))
+    whole = sums.groupBy("task_id").agg(F.sort_array(F.collect_list("s")).alias("sums"))
+    blocks = _inner_blocks(whole.withColumn("blocked", F.lit(0)))
+    for inside in reversed(levels):
+        blocks = _inner_blocks(inside.join(blocks.withColumnRenamed("piece", "larger"), ["task_id", "larger"]))
     return pieces.join(blocks, ["task_id", "piece"]).select(
         "task_id", "piece", _piece_anchors("times", "piece", "blocked").alias("anchors")
     )
 
 
+def _inner_blocks(stretches: DataFrame) -> DataFrame:
+    """``task_id, piece, blocked`` of what is inside stretches of known ``blocked``."""
+    told = F.arrays_zip(F.col("sums.piece").alias("piece"), _blocks("sums", "blocked").alias("blocked"))
+    return stretches.select("task_id", F.explode(told).alias("b")).select("task_id", "b.piece", "b.blocked")
+
+
 def coalesce_log(messages: DataFrame) -> DataFrame:
     """``task_id, anchor_ms, n_messages, text``: messages (``task_id, seq, ts_ms, message``) as log entries.
 
