@@ -69,20 +69,25 @@ def latest_states(events: DataFrame) -> DataFrame:
 def transitions(events: DataFrame) -> DataFrame:
     """Events (``task_id, event_id, ts, state``) with the state before them and whether that is legal.
 
-    The previous state is looked up within the day; only the first event of a day needs the last
-    state of the task's previous day, and those are one row per task and day. A task with very many
-    events is therefore spread over its days.
+    The previous state is looked up within the minute. Only the first event of a minute needs the last state of
+    the minute before it, and only the first minute of a day that of the day before; those are one row per
+    task and minute, or day. So a task with very many events is spread over its minutes. Events without a
+    time come first.
     """
-    dated = events.withColumn("_day", F.to_date("ts"))
-    within = Window.partitionBy("task_id", "_day").orderBy("ts", "event_id")
-    daily = dated.groupBy("task_id", "_day").agg(
-        F.max(F.struct("ts", "event_id", "state")).alias("_last")
-    )
+    at = F.coalesce(F.col("ts").cast("timestamp"), F.timestamp_seconds(F.lit(0)))
+    dated = events.withColumns({"_minute": F.date_trunc("minute", at), "_day": F.to_date(at)})
+    within = Window.partitionBy("task_id", "_minute").orderBy("ts", "event_id")
+    last = F.max(F.struct("ts", "event_id", "state")).alias("_last")
+    minutes = dated.groupBy("task_id", "_day", "_minute").agg(last)
+    days = minutes.groupBy("task_id", "_day").agg(F.max("_last").alias("_last"))
     over_days = Window.partitionBy("task_id").orderBy("_day")
-    carried = daily.select(
-        "task_id", "_day", F.lag("_last.state").over(over_days).alias("_carried")
+    of_day = days.select("task_id", "_day", F.lag("_last.state").over(over_days).alias("_of_day"))
+    over_minutes = Window.partitionBy("task_id", "_day").orderBy("_minute")
+    of_minute = minutes.select("task_id", "_day", "_minute", F.lag("_last.state").over(over_minutes).alias("_of_minute"))
+    carried = of_minute.join(of_day, ["task_id", "_day"]).select(
+        "task_id", "_minute", F.coalesce("_of_minute", "_of_day").alias("_carried")
     )
-    found = dated.withColumn("_lag", F.lag("state").over(within)).join(carried, ["task_id", "_day"])
+    found = dated.withColumn("_lag", F.lag("state").over(within)).join(carried, ["task_id", "_minute"])
     previous = F.coalesce("_lag", "_carried")
     allowed = F.lit(False)
     for state, before in BEFORE.items():
