@@ -332,18 +332,38 @@ def path_values(html: Column, rules: Column) -> Column:
     return _path_values(F.when(F.size(rules) > 0, html), rules)
 
 
+def _items(root: Node, item_rule: str, part_rules) -> list[list[str | None]]:
+    steps, _ = compile_rule(item_rule)
+    return [[next(iter(evaluate(node, rule)), None) for rule in part_rules] for node in select_nodes(root, steps)]
+
+
 @F.pandas_udf(T.ArrayType(T.ArrayType(T.StringType())))
 def _item_values(html: pd.Series, items: pd.Series, parts: pd.Series) -> pd.Series:
-    def one(page, item_rule, part_rules):
-        if page is None:
-            return None
-        steps, _ = compile_rule(item_rule)
-        return [
-            [next(iter(evaluate(node, rule)), None) for rule in part_rules]
-            for node in select_nodes(parse_html(page), steps)
-        ]
+    found = [None if page is None else _items(parse_html(page), *rules) for page, *rules in zip(html, items, parts)]
+    return pd.Series(found, dtype=object)
+
+
+_PAGE_VALUES = T.StructType(
+    [
+        T.StructField("paths", T.MapType(T.StringType(), T.ArrayType(T.StringType()))),
+        T.StructField("items", T.ArrayType(T.ArrayType(T.StringType()))),
+    ]
+)
+
+
+@F.pandas_udf(_PAGE_VALUES)
+def _page_values(html: pd.Series, rules: pd.Series, items: pd.Series, parts: pd.Series) -> pd.DataFrame:
+    found = []
+    for page, wanted, *of_items in zip(html, rules, items, parts):
+        root = None if page is None else parse_html(page)
+        found.append((None, None) if root is None else ({r: evaluate(root, r) for r in wanted}, _items(root, *of_items)))
+    return pd.DataFrame(found, columns=_PAGE_VALUES.names, dtype=object)
+
 
-    return pd.Series([one(*row) for row in zip(html, items, parts)], dtype=object)
+def page_values(html: Column, rules: list[str], item_rule: str, part_rules: list[str]) -> Column:
+    """``struct<paths, items>``: what ``path_values`` and ``item_values`` give, from one parse of the page."""
+    listed = [F.array(*(F.lit(r) for r in some)) for some in (rules, part_rules)]
+    return _page_values(html, listed[0], F.lit(item_rule), listed[1])
 
 
 def item_values(html: Column, item_rule: str, part_rules: list[str]) -> Column:

@@ -65,11 +65,11 @@ def product_fields(pages: DataFrame) -> DataFrame:
 
     Expects ``url, html``; other columns are carried through.
     """
-    wanted = F.array(*(F.lit(rule) for rule in PRODUCT_RULES.values()))
+    values_of = selectors.page_values(F.col("html"), list(PRODUCT_RULES.values()), SLIDE_ITEM, SLIDE_PARTS)
     parsed = (
         pages.filter(~is_list_page(F.col("url"), F.col("html")))
-        .withColumn("_found", selectors.path_values(F.col("html"), wanted))
-        .withColumn("_slides", selectors.item_values(F.col("html"), SLIDE_ITEM, SLIDE_PARTS))
+        .withColumn("_page", values_of)
+        .withColumns({"_found": F.col("_page.paths"), "_slides": F.col("_page.items")})
     )
 
     def every(field: str) -> Column:
@@ -97,7 +97,7 @@ def product_fields(pages: DataFrame) -> DataFrame:
             "priceJson": first("priceJson"),
             "other_colors": every("other_colors"),
         }
-    ).drop("_found", "_slides")
+    ).drop("_page", "_found", "_slides")
 
 
 def other_color_links(products: DataFrame, run_id: str) -> DataFrame:
