@@ -11,23 +11,24 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from corpusloom.llm import decontamination, huffman_ids, jaccard_join, language_id, mixing
-from corpusloom.llm.common import materialise, table
+from corpusloom.llm.common import materialise, prepare, table
 from corpusloom.llm.queries import public_tokenizer
-from corpusloom.session import new_path, ship_package
+from corpusloom.session import new_path
 
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose text is in a language that the labelled ones teach; others go.
 
-    Texts without letters are rejected, and those that no language fits better than all others together.
+    Texts without letters are rejected, and those that the model can't tell from other languages: the best
+    score is below 0.3.
     """
-    ship_package(spark)
+    prepare(spark)
     return language_id.keep_identified(docs, language_id.train(docs))
 
 
 def keep_one_copy(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of every group of exact and near copies: the one with the smallest id."""
-    ship_package(spark)
+    prepare(spark)
     return jaccard_join.keep_one_of_each_group(docs)
 
 
@@ -43,7 +44,7 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def write_token_ids(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """What the files of token ids hold, read back: a row per document of the mix."""
-    ship_package(spark)
+    prepare(spark)
     path = new_path(spark, "pipeline-ids")
     huffman_ids.write_ids(docs, path, public_tokenizer())
     return huffman_ids.read_ids(spark, path).select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))

@@ -15,8 +15,20 @@ BITMAP_BITS = 1 << 24
 WORD = r"[^\x20\x09-\x0D]+"
 
 
-def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+#: Rows of a batch between Spark and Python, unless the session says otherwise: texts may be very long.
+BATCH_ROWS = 1000
+_BATCH_SETTING, _SPARK_DEFAULT = "spark.sql.execution.arrow.maxRecordsPerBatch", "10000"
+
+
+def prepare(spark: SparkSession) -> None:
+    """Give the workers this package, and keep batches of texts small if the session leaves it open."""
     ship_package(spark)
+    if spark.conf.get(_BATCH_SETTING) == _SPARK_DEFAULT:
+        spark.conf.set(_BATCH_SETTING, str(BATCH_ROWS))
+
+
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    prepare(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
