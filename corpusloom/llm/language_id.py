@@ -216,7 +216,7 @@ def predict(docs: DataFrame, model: Model, keep: dict[str, Column], text: str =
     return rows.mapInArrow(_predictor(docs.sparkSession.sparkContext.broadcast(model)), schema)
 
 
-def keep_identified(docs: DataFrame, model: Model, text: str = "text", least: float = 0.5) -> DataFrame:
+def keep_identified(docs: DataFrame, model: Model, text: str = "text", least: float = 0.3) -> DataFrame:
     """The rows of ``docs`` that are given a language with a score of ``least`` or more, with all their columns."""
     names = {f"__column_{i}": c for i, c in enumerate(docs.columns)}
     judged = predict(docs, model, {n: docs[c] for n, c in names.items()}, text)

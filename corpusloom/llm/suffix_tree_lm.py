@@ -52,14 +52,11 @@ _SCORED = "part int, row long, doc_id long, held_out boolean, word long, n long,
 _STEP = np.uint64(0x9E3779B97F4A7C15)
 
 
-def _with_ends(words: Words, chosen: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+def _with_ends(words: Words) -> tuple[np.ndarray, np.ndarray]:
     """Tokens of the texts with an end after each, and the place of every token in its text."""
     lengths = np.diff(words.bounds)
     tokens = np.insert(words.hashes, words.bounds[1:], END)
     place = np.arange(len(tokens)) - np.repeat(np.r_[0, np.cumsum(lengths + 1)[:-1]], lengths + 1)
-    if chosen is not None:
-        kept = np.repeat(chosen, lengths + 1)
-        tokens, place = tokens[kept], place[kept]
     return tokens, place
 
 
