@@ -1,7 +1,7 @@
 """Language-model scores by a probabilistic suffix tree over words.
 
 Tokens are words and one end per text. A state of the tree is a context of up to ``DEPTH`` words. A context
-is a candidate if it occurs in a share of at least ``SHARE`` of the training tokens; it is kept if the
+is a candidate if a continuation of it occurs ``LEAST`` times, at any corpus size; it is kept if the
 distribution of what follows diverges from that of its suffix by enough: the log-likelihood gained on its
 own occurrences exceeds ``GAIN`` per continuation that is stored. A token is scored by the longest kept
 context before it. Each state gives the probability
@@ -11,15 +11,18 @@ context before it. Each state gives the probability
 where ``back`` is what its stored continuations leave, so probabilities sum to one; at the root stands
 the base ``(c + 0.5) / (N + 0.5 * (V + 1))``.
 
-Candidates are at most ``1 / SHARE`` for each length and so are their continuations, whatever the corpus,
-so the tree is handed to all workers. Word counts grow with the corpus; words above ``COMMON`` of all
-tokens, again a bounded number, go to all workers, and the others meet their counts in a shuffle join.
+The tree grows with the corpus and stays in tables. Contexts and continuations are both runs of words, told
+apart by one hash: what a run adds to the score of a text is one number, its weight as a context (for the token
+after it) and what it gains as a continuation. So a text's score is a sum over its runs of up to ``DEPTH + 1``
+tokens, which meet their numbers in a shuffle join. Runs above ``COMMON`` of all tokens, a bounded
+number, go to all workers instead.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
+from functools import cached_property
 
 import numpy as np
 import pyarrow as pa
@@ -32,9 +35,9 @@ from corpusloom.llm.words import Words, mix, words_of
 
 #: Longest context, in words.
 DEPTH = 3
-#: Least share of the training tokens for a context and for a continuation.
-SHARE = 1e-5
-#: Least share for words whose counts every worker has.
+#: Least occurrences of a continuation.
+LEAST = 2
+#: Least share of the training tokens for runs whose numbers every worker has.
 COMMON = 1e-6
 #: Natural-log likelihood a context must gain per stored continuation.
 GAIN = 4.0
@@ -45,10 +48,8 @@ BLOCK = 1 << 21
 #: Stands for the end of a text among the word hashes.
 END = np.uint64(0x5BF03635F0935A5D)
 
-_COUNTS = "kind int, key long, n long"
-_CONTEXTS = tuple(f"context_{k}" for k in range(1, DEPTH + 1))
-_GRAMS = f"length int, gram long, word long, {', '.join(f'{c} long' for c in _CONTEXTS)}, as_gram long, n long"
-_SCORED = "part int, row long, doc_id long, held_out boolean, word long, n long, n_tokens long, known long, base double, gain double"
+_GRAMS = "length int, gram long, context long, suffix long, n long"
+_SCORED = "part int, row long, doc_id long, held_out boolean, key long, n long, n_tokens long, known long, base double, gain double"
 _STEP = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -60,24 +61,16 @@ def _with_ends(words: Words) -> tuple[np.ndarray, np.ndarray]:
     return tokens, place
 
 
-def _contexts(tokens: np.ndarray, place: np.ndarray) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
-    """For lengths 1 to ``DEPTH``: tokens that have so many words before them, and the hash of these."""
+def _runs(tokens: np.ndarray, place: np.ndarray) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """For lengths 1 to ``DEPTH + 1``: tokens that end a run of so many in their text, and for every token the
+    hash of the run that ends there."""
     key = np.zeros(len(tokens), dtype=np.uint64)
-    for length in range(1, DEPTH + 1):
-        # The hash of a context is built from its last word backwards.
-        key[length:] = mix(key[length:] * _STEP + tokens[:-length] + np.uint64(length))
-        at = np.flatnonzero(place >= length)
-        yield length, at, key[at]
-
-
-def gram_of(context: np.ndarray, word: np.ndarray) -> np.ndarray:
-    return mix(context ^ (word * _STEP))
-
-
-def _runs(values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    values = np.sort(values)
-    starts = np.flatnonzero(np.r_[True, values[1:] != values[:-1]]) if len(values) else np.zeros(0, dtype=int)
-    return values[starts], np.diff(np.r_[starts, len(values)])
+    for length in range(1, DEPTH + 2):
+        # The hash of a run is built from its last word backwards.
+        before = length - 1
+        key = key.copy()
+        key[before:] = mix(key[before:] * _STEP + tokens[: max(0, len(tokens) - before)] + np.uint64(length))
+        yield length, np.flatnonzero(place >= before), key
 
 
 class _Blocks:
@@ -108,53 +101,27 @@ def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, np.
         yield gathered.take()
 
 
-def _first_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Kind 0: token counts of a block. Kind 1: gram counts of a block less half of ``SHARE`` of its tokens.
+def _gram_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Counts of all runs of a block, with the runs without their last and without their first token.
 
-    What is left out of the count of a gram is at most half of ``SHARE`` of all tokens, so every gram that is
-    frequent enough overall keeps the other half at least, and no more than ``2 / SHARE`` grams do.
+    A single token has itself as context.
     """
     for tokens, place in _blocks(batches):
-        rows = [(0, *_runs(tokens))]
-        less = int(SHARE / 2 * len(tokens))
-        for _, at, context in _contexts(tokens, place):
-            grams, counts = _runs(gram_of(context, tokens[at]))
-            rows.append((1, grams[counts > less], counts[counts > less] - less))
-        for kind, key, n in rows:
-            columns = [np.full(len(key), kind, dtype=np.int32), key.view(np.int64), n]
-            yield pa.record_batch([pa.array(x) for x in columns], names=["kind", "key", "n"])
-
-
-def _gram_counts(shared) -> Callable:
-    """Counts of the candidate grams, with the contexts of all lengths before their last word, and
-    the gram (for one word, the word) that the longest of these is."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        candidates = shared.value
-        for tokens, place in _blocks(batches):
-            chain = np.zeros((DEPTH, len(tokens)), dtype=np.uint64)
-            as_gram = np.r_[np.zeros(1, dtype=np.uint64), tokens[:-1]]
-            for length, at, context in _contexts(tokens, place):
-                chain[length - 1, at] = context
-                grams = gram_of(context, tokens[at])
-                every = np.zeros(len(tokens), dtype=np.uint64)
-                every[at] = grams
-                kept = _find(candidates, grams) >= 0
-                at = at[kept]
-                values, first, counts = np.unique(grams[kept], return_index=True, return_counts=True)
-                at = at[first]
-                columns = [values, tokens[at], *chain[:, at], as_gram[at]]
-                yield pa.record_batch(
-                    [
-                        pa.array(np.full(len(values), length, dtype=np.int32)),
-                        *[pa.array(np.ascontiguousarray(x).view(np.int64)) for x in columns],
-                        pa.array(counts),
-                    ],
-                    names=["length", "gram", "word", *_CONTEXTS, "as_gram", "n"],
-                )
-                as_gram = np.r_[np.zeros(1, dtype=np.uint64), every[:-1]]
-
-    return run
+        shorter = np.zeros(len(tokens), dtype=np.uint64)
+        for length, at, key in _runs(tokens, place):
+            values, first, counts = np.unique(key[at], return_index=True, return_counts=True)
+            first = at[first]
+            context = tokens[first] if length == 1 else shorter[first - 1]
+            columns = [values, context, shorter[first]]
+            yield pa.record_batch(
+                [
+                    pa.array(np.full(len(values), length, dtype=np.int32)),
+                    *[pa.array(x.view(np.int64)) for x in columns],
+                    pa.array(counts),
+                ],
+                names=["length", "gram", "context", "suffix", "n"],
+            )
+            shorter = key
 
 
 def _find(keys: np.ndarray, values: np.ndarray) -> np.ndarray:
@@ -167,107 +134,98 @@ def _find(keys: np.ndarray, values: np.ndarray) -> np.ndarray:
 
 @dataclass
 class Tree:
-    """The common words with their counts, and kept contexts with their continuations, all ascending."""
+    """Number of tokens and words, and tables: ``words`` (word, n), ``states`` (context, back) with the log10 weight
+    of the shorter context, ``stored`` (context, word, score) with log10 probabilities, and ``numbers``
+    (key, c, value, n), which scoring meets: the count of a word, what a run adds, and how often it occurs.
+
+    ``base`` and ``gain`` look at tokens one by one and bring the tables to the driver; scoring doesn't use them.
+    """
 
     total: int
     distinct: int
-    words: np.ndarray
-    word_counts: np.ndarray
-    contexts: np.ndarray
-    back: np.ndarray  # log10 of the weight of the shorter context
-    grams: np.ndarray
-    gram_scores: np.ndarray  # log10 probability
+    words: DataFrame
+    states: DataFrame
+    stored: DataFrame
+    numbers: DataFrame
+
+    @property
+    def least_common(self) -> float:
+        return COMMON * self.total
+
+    def base_of(self, count):
+        """The base probability of words with a count: numbers or a column."""
+        return (count + 0.5) / (self.total + 0.5 * (self.distinct + 1))
+
+    @cached_property
+    def contexts(self) -> np.ndarray:
+        return _ascending(self._states)[0]
+
+    @cached_property
+    def _states(self) -> dict[str, np.ndarray]:
+        return _columns(self.states.select(F.col("context").alias("key"), "back"))
+
+    @cached_property
+    def _counts(self) -> tuple[np.ndarray, ...]:
+        return _ascending(_columns(self.words.select(F.col("word").alias("key"), "n")))
+
+    @cached_property
+    def _stored(self) -> dict[tuple[int, int], float]:
+        found = _columns(self.stored.select("context", "word", "score"))
+        pairs = zip(found["context"].view(np.uint64).tolist(), found["word"].view(np.uint64).tolist())
+        return dict(zip(pairs, found["score"].tolist()))
 
     def base(self, words: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Which of the words are common, and their log10 base probability; 0 for the others."""
-        at = _find(self.words, words)
-        common, found = at >= 0, np.zeros(len(words))
-        counts = self.word_counts[at[common]]
-        found[common] = np.log10((counts + 0.5) / (self.total + 0.5 * (self.distinct + 1)))
-        return common, found
+        """Which of the words are known, and their log10 base probability; 0 for the others."""
+        keys, counts = self._counts
+        at = _find(keys, words)
+        known, found = at >= 0, np.zeros(len(words))
+        found[known] = np.log10(self.base_of(counts[at[known]]))
+        return known, found
 
     def gain(self, gained: np.ndarray, base: np.ndarray, context: np.ndarray, word: np.ndarray) -> np.ndarray:
         """What a longer context makes of the gain over the base: nothing new if the tree doesn't have it."""
-        state = _find(self.contexts, context)
-        kept = np.flatnonzero(state >= 0)
+        keys, back = _ascending(self._states)
+        state = _find(keys, context)
         gained = gained.copy()
-        if len(kept):
-            stored = _find(self.grams, gram_of(context[kept], word[kept]))
-            gained[kept] += self.back[state[kept]]
-            hit = kept[stored >= 0]
-            gained[hit] = self.gram_scores[stored[stored >= 0]] - base[hit]
+        for i in np.flatnonzero(state >= 0).tolist():
+            score = self._stored.get((int(context[i]), int(word[i])))
+            gained[i] = gained[i] + back[state[i]] if score is None else score - base[i]
         return gained
 
-    def score(self, contexts: list[np.ndarray], words: np.ndarray) -> np.ndarray:
-        """log10 P(word | contexts), given by ascending length, for common words."""
-        _, base = self.base(words)
-        gained = np.zeros(len(words))
-        for context in contexts:
-            gained = self.gain(gained, base, context, words)
-        return base + gained
-
-
-def grow(total: int, distinct: int, words: np.ndarray, word_counts: np.ndarray, rows: dict[str, np.ndarray]) -> Tree:
-    """Build the tree from counted grams, shorter contexts first, so that suffixes are settled before."""
-    nothing = (np.zeros(0, dtype=np.uint64), np.zeros(0))
-    tree = Tree(total, distinct, words, word_counts, *nothing, *nothing)
-    word_order = np.argsort(rows["gram"], kind="stable")
-    all_grams, all_counts = rows["gram"][word_order], rows["n"][word_order]
-    for length in range(1, DEPTH + 1):
-        own = np.flatnonzero(rows["length"] == length)
-        if not len(own):
-            continue
-        own = own[np.argsort(rows[_CONTEXTS[length - 1]][own], kind="stable")]
-        row = {c: x[own] for c, x in rows.items()}
-        context, n = row[_CONTEXTS[length - 1]], row["n"]
-        starts = np.flatnonzero(np.r_[True, context[1:] != context[:-1]])
-        sizes = np.diff(np.r_[starts, len(context)])
-        # A context occurs as often as the word or the gram that it is.
-        keys, times = (words, word_counts) if length == 1 else (all_grams, all_counts)
-        occurs = times[_find(keys, row["as_gram"][starts])].astype(float)
-        rest = occurs - np.add.reduceat(n, starts)
-        below = 10.0 ** tree.score([row[c] for c in _CONTEXTS[: length - 1]], row["word"])
-        likely = (n + np.repeat(rest + PRIOR, sizes) * below) / np.repeat(occurs + PRIOR, sizes)
-        back = (rest + PRIOR) / (occurs + PRIOR)
-        gained = np.add.reduceat(n * np.log(likely / below), starts) + rest * np.log(back)
-        kept = gained >= GAIN * sizes
-        stored = np.repeat(kept, sizes)
-        tree = Tree(
-            total, distinct, words, word_counts,
-            *_merged(tree.contexts, tree.back, context[starts][kept], np.log10(back[kept])),
-            *_merged(tree.grams, tree.gram_scores, row["gram"][stored], np.log10(likely[stored])),
-        )
-    return tree
+
+def _columns(df: DataFrame) -> dict[str, np.ndarray]:
+    found = df.toArrow()
+    return {c: found[c].to_numpy() for c in found.column_names}
 
 
-def _merged(keys: np.ndarray, values: np.ndarray, more: np.ndarray, more_values: np.ndarray):
-    keys, values = np.concatenate([keys, more]), np.concatenate([values, more_values])
-    order = np.argsort(keys, kind="stable")
-    return keys[order], values[order]
+def _ascending(columns: dict[str, np.ndarray]) -> tuple[np.ndarray, ...]:
+    """The columns in the order of ``key``, which comes first."""
+    keys = columns["key"].view(np.uint64)
+    order = np.argsort(keys)
+    return keys[order], *[x[order] for c, x in columns.items() if c != "key"]
 
 
 def _scorer(shared) -> Callable:
-    """A row for every text, with all that common words and the tree give, and one for every other word of it.
-
-    In the score of a word that is not common the base probability is a factor of its own, so its count
-    can be added later.
-    """
+    """A row for every text, with all that common runs give, and one for every other run of it."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tree: Tree = shared.value
+        keys, is_word, base, value = shared.value
         part, row = TaskContext.get().partitionId(), 0
         for batch in batches:
             for words in words_of(batch.column(0)):
                 n = words.last - words.first
                 tokens, place = _with_ends(words)
                 owner = np.cumsum(place == 0) - 1
-                common, base = tree.base(tokens)
-                gain = np.zeros(len(tokens))
-                for _, where, context in _contexts(tokens, place):
-                    gain[where] = tree.gain(gain[where], base[where], context, tokens[where])
-                lengths = np.diff(words.bounds) + 1
-                starts = np.r_[0, np.cumsum(lengths)[:-1]]
-                known = np.add.reduceat(common.astype(np.int64), starts)
+                known, bases, gain = np.zeros(n), np.zeros(n), np.zeros(n)
+                others: list[tuple[np.ndarray, np.ndarray]] = []
+                for _, at, key in _runs(tokens, place):
+                    found = _find(keys, key[at])
+                    common, entry = owner[at[found >= 0]], found[found >= 0]
+                    known += np.bincount(common, weights=is_word[entry], minlength=n)
+                    bases += np.bincount(common, weights=base[entry], minlength=n)
+                    gain += np.bincount(common, weights=value[entry], minlength=n)
+                    rest = at[found < 0]
+                    others.append((owner[rest], key[rest]))
                 ids = np.arange(row, row + n)
                 row += n
                 null = pa.nulls(n, pa.int64())
@@ -279,65 +237,96 @@ def _scorer(shared) -> Callable:
                         batch.column(2).slice(words.first, n),
                         null,
                         null,
-                        pa.array(lengths.astype(np.int64)),
-                        pa.array(known),
-                        pa.array(np.add.reduceat(base, starts)),
-                        pa.array(np.add.reduceat(gain, starts)),
+                        pa.array((np.diff(words.bounds) + 1).astype(np.int64)),
+                        pa.array(known.astype(np.int64)),
+                        pa.array(bases),
+                        pa.array(gain),
                     ],
-                    names=["part", "row", "doc_id", "held_out", "word", "n", "n_tokens", "known", "base", "gain"],
+                    names=["part", "row", "doc_id", "held_out", "key", "n", "n_tokens", "known", "base", "gain"],
                 )
-                other = np.flatnonzero(~common)
+                texts, other = (np.concatenate(x) for x in zip(*others))
                 if not len(other):
                     continue
-                order = other[np.lexsort((tokens[other], owner[other]))]
-                edge = np.r_[True, (tokens[order[1:]] != tokens[order[:-1]]) | (owner[order[1:]] != owner[order[:-1]])]
-                first = np.flatnonzero(edge)
-                counts = np.diff(np.r_[first, len(order)])
+                order = np.lexsort((other, texts))
+                texts, other = texts[order], other[order]
+                first = np.flatnonzero(np.r_[True, (other[1:] != other[:-1]) | (texts[1:] != texts[:-1])])
+                counts = np.diff(np.r_[first, len(other)])
                 m = len(first)
                 yield pa.record_batch(
                     [
                         pa.array(np.full(m, part, dtype=np.int32)),
-                        pa.array(ids[owner[order[first]]]),
+                        pa.array(ids[texts[first]]),
                         pa.nulls(m, pa.int64()),
                         pa.nulls(m, pa.bool_()),
-                        pa.array(tokens[order[first]].view(np.int64)),
+                        pa.array(other[first].view(np.int64)),
                         pa.array(counts),
                         pa.nulls(m, pa.int64()),
                         pa.nulls(m, pa.int64()),
                         pa.nulls(m, pa.float64()),
                         pa.nulls(m, pa.float64()),
                     ],
-                    names=["part", "row", "doc_id", "held_out", "word", "n", "n_tokens", "known", "base", "gain"],
+                    names=["part", "row", "doc_id", "held_out", "key", "n", "n_tokens", "known", "base", "gain"],
                 )
 
     return run
 
 
-def _columns(df: DataFrame) -> dict[str, np.ndarray]:
-    found = df.toArrow()
-    return {c: found[c].to_numpy() for c in found.column_names}
+def _log10(natural: Column) -> Column:
+    return natural / F.log(F.lit(10.0))
+
+
+def grow(tree: Tree, grams: DataFrame) -> Tree:
+    """Settle contexts from counted runs, shorter ones first, so that suffixes are settled before."""
+    words = grams.filter("length = 1")
+    shorter = words.select("gram", F.col("context").alias("word"), "n", F.log(tree.base_of(F.col("n"))).alias("p"))
+    none = F.lit(None).cast("long")
+    numbers = words.select(F.col("gram").alias("key"), F.col("n").alias("c"), F.lit(0.0).alias("value"), "n")
+    for length in range(2, DEPTH + 2):
+        own = grams.filter(F.col("length") == length).select("gram", "context", "suffix", "n")
+        held = own.groupBy("context").agg(F.sum("n").alias("held"), F.count("*").alias("size"))
+        # A context occurs as often as the run that it is; a run occurs no less often with a token less.
+        occurs = shorter.select(F.col("gram").alias("context"), F.col("n").alias("occurs"))
+        states = held.join(occurs, "context").select("context", "size", "occurs", (F.col("occurs") - F.col("held")).alias("rest"))
+        below = shorter.select(F.col("gram").alias("suffix"), "word", F.col("p").alias("below"))
+        likely = F.log((F.col("n") + (F.col("rest") + PRIOR) * F.exp("below")) / (F.col("occurs") + PRIOR))
+        rows = own.join(below, "suffix").join(states, "context").withColumn("likely", likely).drop("suffix")
+        rows = materialise(rows, f"lm-runs-{length}")
+        gained = F.sum(F.col("n") * (F.col("likely") - F.col("below"))).alias("gained")
+        kept = rows.groupBy("context", "rest", "occurs", "size").agg(gained)
+        kept = kept.withColumn("back", F.log((F.col("rest") + PRIOR) / (F.col("occurs") + PRIOR)))
+        kept = kept.filter(F.col("gained") + F.col("rest") * F.col("back") >= GAIN * F.col("size"))
+        kept = materialise(kept.select("context", "back", "occurs"), f"lm-states-{length}")
+        level = rows.drop("rest", "occurs", "size").join(kept.drop("occurs"), "context", "left")
+        level = materialise(level, f"lm-level-{length}")
+        stored = level.filter("back is not null")
+        p = F.when(F.col("back").isNull(), F.col("below")).otherwise(F.col("likely"))
+        shorter = level.select("gram", "word", "n", p.alias("p"))
+        tree.states = tree.states.union(kept.select("context", _log10(F.col("back")).alias("back")))
+        tree.stored = tree.stored.union(stored.select("context", "word", _log10(F.col("likely")).alias("score")))
+        as_context = kept.select(F.col("context").alias("key"), none.alias("c"), _log10(F.col("back")).alias("value"), F.col("occurs").alias("n"))
+        gain = _log10(F.col("likely") - F.col("below") - F.col("back"))
+        numbers = numbers.union(as_context).union(stored.select("gram", none, gain, "n"))
+    # Common runs are there even if they add nothing, so that they don't meet in the join.
+    idle = grams.filter(F.col("n") >= tree.least_common).select("gram", none, F.lit(0.0), "n")
+    merged = numbers.union(idle).groupBy("key").agg(F.max("c").alias("c"), F.sum("value").alias("value"), F.max("n").alias("n"))
+    tree.numbers = materialise(merged, "lm-numbers")
+    return tree
 
 
 def train(texts: DataFrame) -> tuple[Tree, DataFrame]:
     """The tree of a one-column frame of training texts, and the table of all token counts ``(key, n)``."""
     spark = texts.sparkSession
-    counted = texts.mapInArrow(_first_counts, _COUNTS).groupBy("kind", "key").agg(F.sum("n").alias("n"))
-    first = materialise(counted, "token-counts")
-    counts = first.filter("kind = 0").select("key", "n")
+    whole = [F.sum("n").alias("n"), *[F.max(c).alias(c) for c in ("length", "context", "suffix")]]  # alike for one run
+    counted = texts.mapInArrow(_gram_counts, _GRAMS).groupBy("gram").agg(*whole)
+    grams = materialise(counted.filter(F.col("n") >= F.when(F.col("length") == 1, 1).otherwise(LEAST)), "lm-grams")
+    counts = grams.filter("length = 1").select(F.col("context").alias("key"), "n")
     total, distinct = counts.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*")).first()
-    maybe = _columns(first.filter((F.col("kind") == 1) & (F.col("n") >= SHARE / 2 * total)).select("key"))
-    candidates = np.sort(maybe["key"].view(np.uint64))  # 2 * DEPTH / SHARE at most
-    common = _columns(counts.filter(F.col("n") >= COMMON * total))  # 1 / COMMON rows at most
-    order = np.argsort(common["key"].view(np.uint64))
-    words, word_counts = common["key"].view(np.uint64)[order], common["n"][order]
-
-    least = max(2.0, SHARE * total)
-    counted = texts.mapInArrow(_gram_counts(spark.sparkContext.broadcast(candidates)), _GRAMS)
-    others = [F.max(c).alias(c) for c in ("length", "word", *_CONTEXTS, "as_gram")]  # alike for one gram
-    grams = counted.groupBy("gram").agg(F.sum("n").alias("n"), *others)
-    found = _columns(grams.filter(F.col("n") >= least))  # DEPTH / SHARE rows at most
-    rows = {c: x.view(np.uint64) if c in ("gram", "word", *_CONTEXTS, "as_gram") else x for c, x in found.items()}
-    return grow(int(total), int(distinct), words, word_counts, rows), counts
+    tree = Tree(
+        int(total), int(distinct), counts.withColumnRenamed("key", "word"),
+        spark.createDataFrame([], "context long, back double"),
+        spark.createDataFrame([], "context long, word long, score double"), counts,
+    )
+    return grow(tree, grams), counts
 
 
 def score(docs: DataFrame, tree: Tree, counts: DataFrame, doc_id: Column, text: Column, held_out: Column) -> DataFrame:
@@ -348,26 +337,32 @@ def score(docs: DataFrame, tree: Tree, counts: DataFrame, doc_id: Column, text:
     """
     spark = docs.sparkSession
     rows = docs.select(text.cast("string").alias("text"), doc_id.alias("doc_id"), held_out.alias("held_out"))
-    scored = materialise(rows.mapInArrow(_scorer(spark.sparkContext.broadcast(tree)), _SCORED), "lm-scored")
-    rare = counts.filter(F.col("n") < COMMON * tree.total).select(F.col("key").alias("word"), F.col("n").alias("c"))
-    joined = scored.filter("word is not null").select("part", "row", "word", "n").join(rare, "word", "left")
-    c = F.coalesce("c", F.lit(0))
-    base = F.log10((c + 0.5) / F.lit(tree.total + 0.5 * (tree.distinct + 1)))
+    # No more than (DEPTH + 1) / COMMON rows, and mostly far fewer.
+    common = tree.numbers.filter(F.col("n") >= tree.least_common).select("key", F.coalesce("c", F.lit(0)).alias("c"), "value")
+    keys, c, value = _ascending(_columns(common))
+    base = np.where(c > 0, np.log10(tree.base_of(c)), 0.0)
+    shared = spark.sparkContext.broadcast((keys, (c > 0).astype(float), base, value))
+    scored = materialise(rows.mapInArrow(_scorer(shared), _SCORED), "lm-scored")
+    others = tree.numbers.filter(F.col("n") < tree.least_common).select("key", "c", "value")
+    joined = scored.filter("key is not null").select("part", "row", "key", "n").join(others, "key")
+    known = F.when(F.col("c") > 0, F.col("n")).otherwise(0)
     parts = joined.select(
         "part", "row", F.lit(None).cast("long").alias("doc_id"), F.lit(None).cast("boolean").alias("held_out"),
-        F.lit(0).cast("long").alias("n_tokens"), F.when(c > 0, F.col("n")).otherwise(0).alias("known"),
-        (F.col("n") * base).alias("base"), F.lit(0.0).alias("gain"),
+        F.lit(0).cast("long").alias("n_tokens"), known.alias("known"),
+        F.when(F.col("c") > 0, F.col("n") * F.log10(tree.base_of(F.col("c")))).otherwise(0.0).alias("base"),
+        (F.col("n") * F.col("value")).alias("gain"),
     )
-    whole = scored.filter("word is null").select(*parts.columns).union(parts)
+    whole = scored.filter("key is null").select(*parts.columns).union(parts)
     sums = whole.groupBy("part", "row").agg(
         F.max("doc_id").alias("doc_id"),
         F.max("held_out").alias("held_out"),
         F.sum("n_tokens").alias("n_tokens"),
         F.sum("known").alias("n_known"),
-        F.sum("base").alias("base_score"),
+        F.sum("base").alias("base"),
         F.sum("gain").alias("gain"),
     )
-    return sums.select(
+    unknown = F.lit(float(np.log10(tree.base_of(0)))) * (F.col("n_tokens") - F.col("n_known"))
+    return sums.withColumn("base_score", F.col("base") + unknown).select(
         "doc_id", "held_out", "n_tokens", "n_known", F.lit(tree.total).cast("long").alias("train_tokens"),
         "base_score", (F.col("base_score") + F.col("gain")).alias("score"),
     )

@@ -291,6 +291,17 @@ def test_state_probabilities_sum_to_one(spark):
         assert abs((10.0 ** (base + gained)).sum() - 1) < 1e-9
 
 
+def test_rare_phrases_of_a_large_corpus_are_learned(spark):
+    """A phrase that occurs eight times among a million tokens, less than a hundred-thousandth of them."""
+    rng = random.Random(10)
+    texts = [text_of(rng, 20_000, 3000) for _ in range(50)] + ["quaint zephyr"] * 8
+    docs = frame(spark, plain.rows_with_edges(texts))
+    tree, counts = suffix_tree_lm.train(docs.select("text"))
+    probe = frame(spark, plain.rows_with_edges(["quaint zephyr"]))
+    got = suffix_tree_lm.score(probe, tree, counts, F.col("doc_id"), F.col("text"), F.lit(True)).collect()
+    assert got[0].score > got[0].base_score + 5
+
+
 @pytest.mark.parametrize("seed", range(12))
 def test_huffman_codes(seed):
     rng = np.random.default_rng(seed)
