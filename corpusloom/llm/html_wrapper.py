@@ -61,6 +61,8 @@ DEEPEST = 150
 #: Siblings in one repeated group, and the share of text that makes an element worth entering.
 PERIOD = 4
 HOLDS = 0.85
+#: Share of text from which an element stays whatever its class, id or role says.
+MOST = 2 / 3
 #: Pairs of siblings that are compared to align two rows; longer rows keep one group for each label.
 LONGEST_ALIGNMENT = 250_000
 
@@ -76,20 +78,70 @@ _WORDS = re.compile(r"[a-z]+")
 
 
 def label_of(tag: str, attributes: str) -> str:
-    """The tag, with ``!`` before it if the element is not part of the main text."""
+    """The tag, with ``!`` before it if the element is not part of the main text, ``?`` if only words say so.
+
+    A word of class, id or role counts if all its parts are in ``DROPPED_WORDS``: ``cookie-notice`` does,
+    ``has-sidebar`` doesn't.
+    """
     if tag in DROPPED or tag in RAW:
         return "!" + tag
     if attributes and tag not in _EXEMPT:
-        marks = {w for m in _MARKING.finditer(attributes) for w in _WORDS.findall((m[1] or m[2] or m[3] or "").lower())}
-        if marks & DROPPED_WORDS or _HIDDEN.search(attributes):
+        marks = {w for m in _MARKING.finditer(attributes) for w in (m[1] or m[2] or m[3] or "").lower().split()}
+        if _HIDDEN.search(attributes):
             return "!" + tag
+        if any((parts := _WORDS.findall(w)) and DROPPED_WORDS.issuperset(parts) for w in marks):
+            return "?" + tag
         if tag != "article" and "main" in marks and re.search(r"role\s*=\s*[\"']?main", attributes, re.IGNORECASE):
             return "main"
     return tag
 
 
-def events(html: str) -> Iterator[tuple[str, str]]:
-    """``(open, label)``, ``(close, label)``, ``(text, text)`` and ``(space, "")``, balanced, entities decoded."""
+def events(html: str) -> list[tuple[str, str]]:
+    """``(open, label)``, ``(close, label)``, ``(text, text)`` and ``(space, "")``, balanced, entities decoded.
+
+    An element that only words would drop stays if it holds most of the text of the page's articles (or of the
+    page, if no article or main element is outside such elements), or if it holds its only ones.
+    """
+    found = list(_marked_events(html))
+    if not any(kind == "open" and value.startswith("?") for kind, value in found):
+        return found
+    path: list[tuple[str, int, int, int, bool, bool]] = []
+    held: dict[int, tuple[int, bool, bool]] = {}  # opening -> characters, holds an article, is in one
+    dropped = marked = scopes = chars = scoped = articles = 0
+    for at, (kind, value) in enumerate(found):
+        if kind == "open":
+            path.append((value, at, chars, articles, scopes > 0, opens := value in ("article", "main") and not dropped and not marked))
+            articles += value in ("article", "main") and not dropped
+            scopes += opens
+            dropped += value.startswith("!")
+            marked += value.startswith("?")
+        elif kind == "close" and value != "hr":
+            label, opening, before, seen, inside, opens = path.pop()
+            if label.startswith("?"):
+                marked -= 1
+                held[opening] = (chars - before, articles > seen, inside)
+            dropped -= label.startswith("!")
+            scopes -= opens
+        elif kind == "text" and not dropped:
+            chars += len(value.strip())
+            scoped += len(value.strip()) if scopes else 0
+    alone = not scoped
+    whole = chars if alone else scoped
+    out, names = [], []
+    for at, (kind, value) in enumerate(found):
+        if kind == "open":
+            if value.startswith("?"):
+                size, holds, inside = held[at]
+                stays = (alone or inside) and size >= MOST * whole > 0 or alone and holds
+                value = value[1:] if stays else "!" + value[1:]
+            names.append(value)
+        elif kind == "close" and value != "hr":
+            value = names.pop()
+        out.append((kind, value))
+    return out
+
+
+def _marked_events(html: str) -> Iterator[tuple[str, str]]:
     stack: list[tuple[str, str]] = []
     at, end = 0, len(html)
     while at < end:

@@ -76,6 +76,23 @@ def test_pages_of_one_host(spark):
     assert html_wrapper.extract_main_text(pages.limit(0), host, F.col("html"), {}).count() == 0
 
 
+@pytest.mark.parametrize(
+    "before, after",
+    [
+        ("<div class='content has-sidebar'><article>", "</article></div>"),
+        ("<div class='no-sidebar'><article>", "</article></div>"),
+        ("<div id=page-header-fixed><article>", "</article></div>"),
+        ("<div class=widget><article>", "</article></div>"),
+        ("<div class=widget>", "</div>"),
+        ("<article><section class=related>", "</section></article>"),
+    ],
+)
+def test_layout_words_keep_the_article(before, after):
+    html = f"<body><div class=sidebar>side</div>{before}<p>the whole article</p>{after}</body>"
+    text, met = html_wrapper.main_text(html, html_wrapper.main_paths(html_wrapper.page_stream(html)))
+    assert text == "the whole article" and met
+
+
 def test_unperiodic_rows_stay_bounded():
     rng = random.Random(2)
     page = lambda: html_wrapper.page_stream("".join(f"<{t}>x</{t}>" for t in rng.choices(["h2", "p", "ul", "pre", "h3"], k=900)))
