@@ -6,12 +6,16 @@ equal siblings in a row, or in rows of up to four, become one repeated group who
 that only one side has become optional; differing text becomes a slot. Pages are aligned where they are read,
 and the wrappers of one host from all parts are aligned with each other in the same way.
 
-Each slot counts the text that pages have there, so the wrapper tells where the host's pages keep their main
-text: in ``article`` or ``main``, or else in the innermost element that holds nearly all of it.
+Each place carries the hashes of the contents that all pages with this place share there. Where several pages
+that differ share one, it is the template's text; all else is a slot. The wrapper tells where the host's pages
+keep their main text: in ``article`` or ``main``, whole, or else in the innermost element that holds nearly all text
+of slots, without the template's. Pages are matched by label path and content, so optional and repeated places
+are found wherever a page has them.
 """
 
 from __future__ import annotations
 
+import hashlib
 import html as html_entities
 import json
 import re
@@ -206,32 +210,69 @@ def _pop_to(ended: set[str], stops: set[str], stack: list[tuple[str, str]]) -> I
 
 @dataclass
 class Group:
-    """An element of a wrapper: may it be missing, may it be repeated, and how much text its slots took."""
+    """An element of a wrapper: may it be missing, may it be repeated, how much text it took, which contents
+    all pages with it share, the least hash of these pages, and whether they differ."""
 
     label: str
     optional: bool = False
     repeated: bool = False
     chars: int = 0
     inside: list[Group] = field(default_factory=list)
+    shared: set[str] = field(default_factory=set)
+    page: str = ""
+    several: bool = False
 
     def plain(self) -> list:
-        return [self.label, int(self.optional), int(self.repeated), self.chars, [g.plain() for g in self.inside]]
+        own = [self.label, int(self.optional), int(self.repeated), self.chars, [g.plain() for g in self.inside]]
+        return [*own, sorted(self.shared), self.page, int(self.several)]
+
+    def template(self) -> set[str]:
+        return self.shared if self.several else set()
 
     @staticmethod
     def of(plain: list) -> Group:
-        return Group(plain[0], bool(plain[1]), bool(plain[2]), plain[3], [Group.of(x) for x in plain[4]])
+        inside = [Group.of(x) for x in plain[4]]
+        return Group(plain[0], bool(plain[1]), bool(plain[2]), plain[3], inside, set(plain[5]), plain[6], bool(plain[7]))
+
+
+def contents(found: list[tuple[str, str]]) -> dict[int, str]:
+    """A hash of labels and text for every opening of ``found``, and for the page at -1; empty without text.
+
+    Elements that are dropped don't count for those around them.
+    """
+    hashes: dict[int, str] = {}
+    path: list[tuple[int, list[str]]] = [(-1, [""])]
+
+    def close() -> str:
+        at, items = path.pop()
+        hashes[at] = hashlib.blake2b("\0".join(items).encode("utf-8", "replace"), digest_size=8).hexdigest() if len(items) > 1 else ""
+        return hashes[at]
+
+    for at, (kind, value) in enumerate(found):
+        if kind == "open":
+            path.append((at, [value]))
+        elif kind == "close" and value != "hr":
+            own = close()
+            if own and not value.startswith("!"):
+                path[-1][1].append(own)
+        elif kind == "text" and (text := " ".join(value.split())):
+            path[-1][1].append("#" + text)
+    close()
+    return hashes
 
 
 def page_stream(html: str) -> Group:
     """The wrapper of one page alone."""
-    root = Group("")
+    found = events(html)
+    hashes = contents(found)
+    root = Group("", page=hashes[-1])
     path, deeper = [root], 0
-    for kind, value in events(html):
+    for at, (kind, value) in enumerate(found):
         if kind == "open":
             if len(path) > DEEPEST:
                 deeper += 1
             else:
-                path[-1].inside.append(Group(value))
+                path[-1].inside.append(Group(value, shared={hashes[at]} - {""}, page=hashes[-1]))
                 path.append(path[-1].inside[-1])
         elif kind == "close" and value != "hr":
             if deeper:
@@ -254,25 +295,31 @@ def fold(siblings: list[Group]) -> list[Group]:
             if len(out) >= 2 * period:
                 first, second = out[-2 * period : -period], out[-period:]
                 if [g.label for g in first] == [g.label for g in second]:
-                    out[-2 * period :] = [align(a, b, repeated=True) for a, b in zip(first, second)]
+                    out[-2 * period :] = [align(a, b, repeated=True, same_page=True) for a, b in zip(first, second)]
         siblings = out
     return siblings
 
 
-def align(a: Group, b: Group, repeated: bool = False) -> Group:
-    """One group for two of a label: siblings that are found in either, in an order that both keep."""
+def align(a: Group, b: Group, repeated: bool = False, same_page: bool = False) -> Group:
+    """One group for two of a label: siblings that are found in either, in an order that both keep.
+
+    Groups of the same pages have the contents of both, those of different pages what both share.
+    """
     return Group(
         a.label,
         a.optional or b.optional,
         a.repeated or b.repeated or repeated,
         a.chars + b.chars,
-        fold(_align_siblings(a.inside, b.inside)),
+        fold(_align_siblings(a.inside, b.inside, same_page)),
+        a.shared | b.shared if same_page or a.page == b.page and not (a.several or b.several) else a.shared & b.shared,
+        min(a.page, b.page),
+        a.several or b.several or a.page != b.page,
     )
 
 
-def _align_siblings(a: list[Group], b: list[Group]) -> list[Group]:
+def _align_siblings(a: list[Group], b: list[Group], same_page: bool) -> list[Group]:
     if [g.label for g in a] == [g.label for g in b]:
-        return [align(x, y) for x, y in zip(a, b)]
+        return [align(x, y, same_page=same_page) for x, y in zip(a, b)]
     if len(a) * len(b) > LONGEST_ALIGNMENT:
         return _loosened(a + b)
     longest = [[0] * (len(b) + 1) for _ in range(len(a) + 1)]
@@ -285,7 +332,7 @@ def _align_siblings(a: list[Group], b: list[Group]) -> list[Group]:
     out, i, j = [], 0, 0
     while i < len(a) or j < len(b):
         if i < len(a) and j < len(b) and a[i].label == b[j].label:
-            out.append(align(a[i], b[j]))
+            out.append(align(a[i], b[j], same_page=same_page))
             i, j = i + 1, j + 1
         else:
             take_a = j >= len(b) or (i < len(a) and longest[i + 1][j] >= longest[i][j + 1])
@@ -300,7 +347,7 @@ def _loosened(groups: list[Group]) -> list[Group]:
     """One optional repeated group for each label: what is left of long rows without any period."""
     found: dict[str, Group] = {}
     for group in groups:
-        found[group.label] = align(found[group.label], group, repeated=True) if group.label in found else group
+        found[group.label] = align(found[group.label], group, repeated=True, same_page=True) if group.label in found else group
         found[group.label].optional = True
     return list(found.values())
 
@@ -317,6 +364,34 @@ def _text_within(group: Group) -> int:
     return 0 if group.label.startswith("!") else group.chars + sum(map(_text_within, group.inside))
 
 
+def _slots_within(group: Group) -> int:
+    """Characters outside of elements that are the same on all pages."""
+    if group.label.startswith("!") or (group.template() and not group.repeated):
+        return 0
+    return group.chars + sum(map(_slots_within, group.inside))
+
+
+def template_texts(wrapper: Group, paths: list[list[str]]) -> list[list]:
+    """``[label path, contents]`` of places that are the same on all pages: what the main text leaves out.
+
+    Articles and main elements are the main text whole, whatever pages share in them.
+    """
+    if any(path and path[-1] in ("article", "main") for path in paths):
+        return []
+    found: dict[tuple[str, ...], set[str]] = {}
+    todo = [(g, (g.label,)) for g in wrapper.inside]
+    while todo:
+        group, path = todo.pop()
+        if group.label.startswith("!"):
+            continue
+        if group.template():
+            found.setdefault(path, set()).update(group.template())
+            if not group.repeated:
+                continue
+        todo += [(g, (*path, g.label)) for g in group.inside]
+    return [[list(path), sorted(texts)] for path, texts in sorted(found.items())]
+
+
 def main_paths(wrapper: Group) -> list[list[str]]:
     """The label paths of the elements that hold the main text."""
     for wanted in ("article", "main"):
@@ -334,21 +409,34 @@ def main_paths(wrapper: Group) -> list[list[str]]:
         if found:
             return sorted(found)
     path, here = [], wrapper
+    held = _slots_within if _slots_within(wrapper) else _text_within
     while True:
-        whole = _text_within(here)
-        inner = [g for g in here.inside if g.label in BLOCKS - {"p"} and whole and _text_within(g) >= HOLDS * whole]
+        whole = held(here)
+        inner = [g for g in here.inside if g.label in BLOCKS - {"p"} and whole and held(g) >= HOLDS * whole]
         if len(inner) != 1:
             return [path]
         here = inner[0]
         path = [*path, here.label]
 
 
-def main_text(html: str, paths: list[list[str]]) -> tuple[str, bool]:
-    """The blocks of the elements at ``paths``, and whether the page has any such element."""
-    wanted = {tuple(p) for p in paths}
+def main_text(html: str, paths: list[list[str]], template: list[list] = ()) -> tuple[str, bool]:
+    """The blocks of the elements at ``paths`` less ``template``, and whether the page has any such element.
+
+    A page that has no text but the template's keeps that.
+    """
+    found = events(html)
+    text, met = _text_of(found, {tuple(p) for p in paths}, {tuple(p): set(x) for p, x in template})
+    if template and met and not text:
+        text, met = _text_of(found, {tuple(p) for p in paths}, {})
+    return text, met
+
+
+def _text_of(found: list[tuple[str, str]], wanted: set[tuple], template: dict[tuple, set[str]]) -> tuple[str, bool]:
+    hashes = contents(found) if template else {}
     blocks: list[str] = []
     words: list[str] = []
     path: list[str] = []
+    left_out: list[bool] = []
     inside, dropped = (1, 0) if () in wanted else (0, 0)
     met = () in wanted
 
@@ -358,7 +446,7 @@ def main_text(html: str, paths: list[list[str]]) -> tuple[str, bool]:
         if block:
             blocks.append(block)
 
-    for kind, value in events(html):
+    for at, (kind, value) in enumerate(found):
         if kind == "text":
             if inside and not dropped:
                 words.append(value)
@@ -371,13 +459,17 @@ def main_text(html: str, paths: list[list[str]]) -> tuple[str, bool]:
                 flush()
             if kind == "open":
                 path.append(value)
-                if value.startswith("!"):
+                left_out.append(
+                    value.startswith("!")
+                    or bool(template) and len(path) <= DEEPEST and hashes[at] in template.get(tuple(path), ())
+                )
+                if left_out[-1]:
                     dropped += 1
                 elif len(path) <= DEEPEST and tuple(path) in wanted:
                     inside += 1
                     met = True
             elif value != "hr":
-                if value.startswith("!"):
+                if left_out.pop():
                     dropped -= 1
                 elif len(path) <= DEEPEST and tuple(path) in wanted:
                     inside -= 1
@@ -403,9 +495,9 @@ def _merger(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     host, merged = None, None
 
     def row() -> pa.RecordBatch:
-        paths = json.dumps(main_paths(merged))
-        return pa.record_batch([pa.array([host]), pa.array([expression(merged)]), pa.array([paths])],
-                               names=["host", "expression", "paths"])
+        paths = main_paths(merged)
+        columns = [host, expression(merged), json.dumps(paths), json.dumps(template_texts(merged, paths))]
+        return pa.record_batch([pa.array([x]) for x in columns], names=["host", "expression", "paths", "template"])
 
     for batch in batches:
         for own, plain in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
@@ -421,28 +513,30 @@ def _merger(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def infer_wrappers(pages: DataFrame, host: Column, html: Column) -> DataFrame:
-    """``(host, expression, paths)``: the wrapper of every host, and where its main text is.
+    """``(host, expression, paths, template)``: the wrapper of every host, where its main text is, and which
+    texts at which places are the same on all pages.
 
     Every page takes part. Null and empty pages have no say. Partial wrappers are aligned in a given order.
     """
     rows = pages.select(F.coalesce(host, F.lit("")).alias("host"), html.cast("string").alias("html"))
     partial = rows.mapInArrow(_inferrer, "host string, wrapper string")
     ordered = partial.repartition("host").sortWithinPartitions("host", "wrapper")
-    return ordered.mapInArrow(_merger, "host string, expression string, paths string")
+    return ordered.mapInArrow(_merger, "host string, expression string, paths string, template string")
 
 
 def _extractor(keep: int) -> Callable:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known: dict[str, list[list[str]]] = {}
+        known: dict[tuple[str, str], tuple[list, list]] = {}
         for batch in batches:
             texts = []
-            for html, paths in zip(batch.column(keep).to_pylist(), batch.column(keep + 1).to_pylist()):
+            for html, *host in zip(*[batch.column(keep + k).to_pylist() for k in range(3)]):
                 if not html:
                     texts.append("")
                     continue
-                if paths not in known:
-                    known[paths] = json.loads(paths) if paths else [[]]
-                text, met = main_text(html, known[paths])
+                if tuple(host) not in known:
+                    paths, template = host
+                    known[tuple(host)] = (json.loads(paths) if paths else [[]], json.loads(template) if template else [])
+                text, met = main_text(html, *known[tuple(host)])
                 if not met:  # a page unlike the others of its host speaks for itself
                     text, _ = main_text(html, main_paths(page_stream(html)))
                 texts.append(text)
@@ -458,18 +552,19 @@ def extract_main_text(pages: DataFrame, host: Column, html: Column, keep: dict[s
 
     ``text`` is the main text, a block a line: without elements that are dropped by name or by a word of
     their class, id or role, white space inside a block turned into one space. Null, empty and text-free
-    pages give an empty text. Pages of one host share a wrapper; a null host is a host of its own. Broken
+    pages give an empty text. Outside of articles and main elements, what all pages of a host share at a place
+    is left out if there are several that differ. Pages of one host share a wrapper; a null host is a host of its own. Broken
     mark-up is balanced, elements deeper than ``DEEPEST`` are treated as if they were not nested further.
     Repeated rows are extracted each. Other columns are not looked at. An empty table gives an empty one.
     """
-    wrappers = materialise(infer_wrappers(pages, host, html).select("host", "paths"), "wrappers")
+    wrappers = materialise(infer_wrappers(pages, host, html).select("host", "paths", "template"), "wrappers")
     names = list(keep)
     rows = pages.select(
         *[c.alias(n) for n, c in keep.items()],
         html.cast("string").alias("__html"),
         F.coalesce(host, F.lit("")).alias("__host"),
     )
-    found = broadcast_if_small(wrappers.withColumnsRenamed({"host": "__host", "paths": "__paths"}))
-    joined = rows.join(found, "__host", "left").select(*names, "__html", "__paths")
+    found = broadcast_if_small(wrappers.withColumnsRenamed({"host": "__host", "paths": "__paths", "template": "__template"}))
+    joined = rows.join(found, "__host", "left").select(*names, "__html", "__paths", "__template")
     schema = joined.select(*names).schema.add("text", "string").add("n_chars", "long")
     return joined.mapInArrow(_extractor(len(names)), schema)

@@ -93,6 +93,26 @@ def test_layout_words_keep_the_article(before, after):
     assert text == "the whole article" and met
 
 
+def test_text_that_pages_share_is_the_template(spark):
+    """Menus, notices and adverts in plain elements; a notice on some pages; a host of one page has no template."""
+    rows, wanted = [], {}
+    for i in range(12):
+        menu = "<div><ul><li>Home<li>News<li>About us</ul></div>"
+        notice = "<div><b>We are closed on Monday</b></div>" if i % 3 == 0 else ""
+        own = [f"Headline {i}", f"First part of page {i}", f"Second part of page {i}"]
+        html = f"<body>{menu}{notice}<div><h2>{own[0]}</h2><p>{own[1]}<p>{own[2]}</div><div><p>Buy now</p></div></body>"
+        rows += [(i, "http://h.example/", html)] * (1 + i % 2)
+        wanted[i] = "\n".join(own)
+    rows += [(20, "http://one.example/", "<div><p>alone</p></div>")] * 3
+    rows += [(30 + i, "http://art.example/", f"<article><h2>Summary</h2><p>text {i}</p></article>") for i in range(3)]
+    wanted |= {20: "alone"} | {30 + i: f"Summary\ntext {i}" for i in range(3)}
+    for parts in (1, 5):
+        pages = spark.createDataFrame(rows, "page_id long, url string, html string").repartition(parts)
+        host, _ = url_filter.host_and_path(F.col("url"))
+        got = html_wrapper.extract_main_text(pages, host, F.col("html"), {"page_id": F.col("page_id")}).collect()
+        assert len(got) == len(rows) and {r.page_id: r.text for r in got} == wanted
+
+
 def test_unperiodic_rows_stay_bounded():
     rng = random.Random(2)
     page = lambda: html_wrapper.page_stream("".join(f"<{t}>x</{t}>" for t in rng.choices(["h2", "p", "ul", "pre", "h3"], k=900)))
