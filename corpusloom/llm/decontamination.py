@@ -1,13 +1,10 @@
-"""Passages of benchmark items in documents, by SimHash windows and an exact check.
+"""Passages of benchmark items in documents, by counts of shared shingles and an exact check.
 
-An item of n words is looked for in the windows of n words of every document. A window has a SimHash of
-its words; the fingerprints of the items lie in as many block tables as the radius has bits plus one, so
-an item within the radius shares one block at least with the window and is found. Windows and items that
-come out are compared by the weighted Jaccard similarity of their word shingles, each weighted by how
-often it occurs.
-
-Windows that hold none of the item's shingles have similarity 0 and get no fingerprint. Those are found by
-one look at the hash of every shingle of every document.
+An item of n words is looked for in the windows of n words of every document. One look at the hash of every
+shingle of a document tells which are shingles of items, and where. A window can be as similar as is asked
+for only if enough of its shingles are the item's; every such window is compared with the item by the weighted
+Jaccard similarity of their word shingles, each weighted by how often it occurs. So none is lost, however
+the differing words lie. The distance of two SimHash fingerprints is reported for what is found.
 """
 
 from __future__ import annotations
@@ -26,10 +23,8 @@ from corpusloom.llm.words import Words, mix, shingles_at, words_of
 #: Words of a shingle, and the least similarity in hundredths.
 SHINGLE = 5
 PERCENT = 80
-#: Bits of a fingerprint and the largest distance that is looked into. Windows at the least similarity
-#: differ in one word of 45 at most; 22 of 128 bits is five standard deviations above what that flips.
+#: Bits of a fingerprint.
 BITS = 128
-RADIUS = 22
 #: Bytes of item text that are compared with all documents in one pass.
 PASS_BYTES = 4 << 20
 #: Bits of the table that tells most shingles from those of items.
@@ -40,7 +35,7 @@ _FOUND = "doc_id long, item_id long, start_word int, n_words int, similarity dou
 
 @dataclass
 class Items:
-    """Items of one pass: word hashes and shingle counts, and block tables by length."""
+    """Items of one pass: word hashes, shingle counts and fingerprints."""
 
     ids: list[int] = field(default_factory=list)
     words: list[np.ndarray] = field(default_factory=list)
@@ -50,7 +45,6 @@ class Items:
     sizes: list[int] = field(default_factory=list)  # of shingles: five words, or all of a shorter item
     sieve: np.ndarray = None
     prints: np.ndarray = None
-    tables: dict[tuple[int, int], dict[int, list[int]]] = field(default_factory=dict)
 
 
 def word_bits(words: np.ndarray) -> np.ndarray:
@@ -67,19 +61,6 @@ def window_prints(words: np.ndarray, size: int) -> np.ndarray:
     return 2 * (sums[size:] - sums[:-size]) > size
 
 
-def _block_bounds() -> list[tuple[int, int]]:
-    cuts = np.linspace(0, BITS, RADIUS + 2).astype(int)
-    return list(zip(cuts[:-1], cuts[1:]))
-
-
-def _block_values(prints: np.ndarray) -> np.ndarray:
-    """For every fingerprint the number that each of its blocks spells."""
-    values = []
-    for low, high in _block_bounds():
-        values.append(prints[:, low:high] @ (1 << np.arange(high - low)))
-    return np.stack(values, axis=1)
-
-
 def index_items(rows: list[tuple[int, np.ndarray]]) -> Items:
     items = Items(ids=[x for x, _ in rows], words=[w for _, w in rows])
     for i, words in enumerate(items.words):
@@ -92,57 +73,58 @@ def index_items(rows: list[tuple[int, np.ndarray]]) -> Items:
     items.sieve = np.zeros(_FILTER, dtype=bool)
     items.sieve[(items.shingles & np.uint64(_FILTER - 1)).astype(np.int64)] = True
     items.prints = np.concatenate([window_prints(w, len(w)) for w in items.words])
-    for i, values in enumerate(_block_values(items.prints)):
-        for block, value in enumerate(values.tolist()):
-            table = items.tables.setdefault((len(items.words[i]), block), {})
-            table.setdefault(value, []).append(i)
     return items
 
 
-def similarity(a: Counter, b: Counter) -> float:
-    """Weighted Jaccard: what both have of every shingle over what either has."""
-    both = sum(min(n, b[x]) for x, n in a.items() if x in b)
-    return both / (a.total() + b.total() - both)
-
-
 def find_in(words: np.ndarray, items: Items) -> Iterator[tuple[int, int, int, float, int]]:
     """The best window for every item that a document holds: (item, start, words, similarity, distance)."""
-    lengths: dict[int, list[int]] = {}
-    for size in items.sizes:
-        if size <= len(words):
-            shingles = shingles_at(words, size)
-            for at in np.flatnonzero(_of_items(shingles, items)).tolist():
-                for i in items.owners[int(shingles[at])]:
-                    lengths.setdefault(len(items.words[i]), []).append(at)
-    best: dict[int, tuple[float, int, int, int]] = {}
-    for size, places in lengths.items():
+    places: dict[int, list[int]] = {}
+    shingles_of = {size: shingles_at(words, size) for size in items.sizes if size <= len(words)}
+    for shingles in shingles_of.values():
+        for at in np.flatnonzero(_of_items(shingles, items)).tolist():
+            for i in items.owners[int(shingles[at])]:
+                places.setdefault(i, []).append(at)
+    for i in sorted(places):
+        size = len(items.words[i])
         reach = min(size, len(words))
-        back = max(1, reach - min(SHINGLE, size) + 1)
-        starts = np.unique((np.unique(places)[:, None] - np.arange(back)[None, :]).ravel())
-        starts = starts[(starts >= 0) & (starts <= len(words) - reach)]
-        if not len(starts):
-            continue
-        low, high = int(starts[0]), int(starts[-1]) + reach
-        prints = window_prints(words[low:high], reach)[starts - low]
-        candidates: dict[int, set[int]] = {}
-        for block, values in enumerate(_block_values(prints).T):
-            table = items.tables.get((size, block), {})
-            for value in set(values.tolist()) & table.keys():
-                for w in np.flatnonzero(values == value).tolist():
-                    candidates.setdefault(w, set()).update(table[value])
-        for w, found in candidates.items():
-            distances = {i: int((prints[w] != items.prints[i]).sum()) for i in found}
-            near = {i: d for i, d in distances.items() if d <= RADIUS}
-            if not near:
-                continue
-            start = int(starts[w])
-            own = Counter(shingles_at(words[start : start + reach], SHINGLE).tolist())
-            for i, distance in near.items():
-                alike = similarity(own, items.counts[i])
-                if 100 * alike >= PERCENT and (i not in best or (-alike, start) < best[i][:2]):
-                    best[i] = (-alike, start, reach, distance)
-    for i, (alike, start, reach, distance) in sorted(best.items()):
-        yield items.ids[i], start, reach, -alike, distance
+        best = _best_window(shingles_of[min(SHINGLE, size)], np.array(places[i]), reach - min(SHINGLE, size) + 1, items.counts[i])
+        if best:
+            alike, start = best
+            own = window_prints(words[start : start + reach], reach)[0]
+            yield items.ids[i], start, reach, alike, int((own != items.prints[i]).sum())
+
+
+def _best_window(shingles: np.ndarray, places: np.ndarray, span: int, item: Counter) -> tuple[float, int] | None:
+    """The similarity and start of the most similar window of ``span`` shingles, the first of equal ones.
+
+    ``places`` are those of the item's shingles, ascending. Both sides have ``shared`` of every shingle; this
+    is no more than the item's shingles in the window, and follows the window word by word.
+    """
+    total = span + item.total()
+    if (100 + PERCENT) * len(places) < PERCENT * total:
+        return None
+    starts = np.arange(max(0, int(places[0]) - span + 1), min(int(places[-1]), len(shingles) - span) + 1)
+    held = np.searchsorted(places, starts + span) - np.searchsorted(places, starts)
+    starts = starts[(100 + PERCENT) * held >= PERCENT * total]
+    best, own, shared, last = None, {}, 0, None
+    for start in starts.tolist():
+        if last is None or start != last + 1:
+            window = Counter(shingles[start : start + span].tolist())
+            own = {x: window[x] for x in item}
+            shared = sum(min(n, own[x]) for x, n in item.items())
+        else:
+            gone, new = int(shingles[last]), int(shingles[last + span])
+            if gone in own:
+                shared -= own[gone] <= item[gone]
+                own[gone] -= 1
+            if new in own:
+                own[new] += 1
+                shared += own[new] <= item[new]
+        last = start
+        alike = shared / (total - shared)
+        if 100 * alike >= PERCENT and (best is None or alike > best[0]):
+            best = (alike, start)
+    return best
 
 
 def _finder(shared) -> Callable:

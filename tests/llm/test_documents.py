@@ -158,6 +158,23 @@ def test_leaks_match_all_windows(spark):
     assert left == {r[0] for r in rows} - {d for d, _ in wanted}
 
 
+def test_long_items_with_a_run_of_changed_words_are_found(spark):
+    """At a similarity of 0.8 an item of 500 words may differ in 51 words in a row."""
+    rng = random.Random(12)
+    items, texts = [], []
+    for k in range(60):
+        words = text_of(rng, 500, 5000).split()
+        at = rng.randrange(20, 420)
+        items.append((k, " ".join(words)))
+        changed = [*words[:at], *[f"new{rng.randrange(10**6)}" for _ in range(51 + k % 2)], *words[at + 51 + k % 2 :]]
+        texts.append(f"{text_of(rng, 8, 5000)} {' '.join(changed)} {text_of(rng, 8, 5000)}")
+    rows = plain.rows_with_edges(texts)
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    got = {(r.doc_id, r.item_id) for r in decontamination.find_leaks(frame(spark, rows), bench).collect()}
+    assert {(k, k) for k in range(0, 60, 2)} <= got
+    assert got == {(k, k) for k, (_, x) in enumerate(items) if plain.leaks([(k, texts[k])], [(k, x)])}
+
+
 def plain_targets(sizes: dict, share: float = 1.5, repeats: float = 2.0) -> dict:
     names = sorted((s for s in sizes if s is not None), key=lambda s: s.encode()) + [None] * (None in sizes)
     weight = {s: (5, 2, 1)[i % 3] for i, s in enumerate(names)}
