@@ -39,6 +39,15 @@ def materialise(df: DataFrame, label: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+#: Column of row numbers.
+ROW = "__row"
+
+
+def with_row_numbers(df: DataFrame) -> DataFrame:
+    """``df`` with ``ROW``, a number for each row, written so that it stays the same."""
+    return materialise(df.withColumn(ROW, F.monotonically_increasing_id()), "rows")
+
+
 def in_fold(doc_id: Column, fold: int) -> Column:
     """Whether crc32 of the id as text leaves ``fold`` modulo 5; a null id counts as empty text."""
     as_text = F.coalesce(doc_id.cast("string"), F.lit(""))

@@ -18,6 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from corpusloom.llm.common import ROW, with_row_numbers
 from corpusloom.llm.words import Words, mix, shingles_at, words_of
 
 #: Words of a shingle, and the least similarity in hundredths.
@@ -208,8 +209,8 @@ def find_leaks(
 def drop_leaky(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """The rows of ``docs`` that hold no benchmark item, with all their columns.
 
-    Rows go by ``doc_id``: if one of several rows with an id is leaky, all go. Rows with a null id go if any
-    row with a null id is leaky.
+    Every row is judged by its own text, whether its id is repeated or null.
     """
-    leaky = find_leaks(docs, benchmark).select(F.col("doc_id").alias("__leaky")).distinct()
-    return docs.join(leaky, docs["doc_id"].cast("long").eqNullSafe(leaky["__leaky"]), "left_anti")
+    rows = with_row_numbers(docs)
+    leaky = find_leaks(rows, benchmark, doc_id=ROW).select(F.col("doc_id").alias(ROW)).distinct()
+    return rows.join(leaky, ROW, "left_anti").select(*docs.columns)

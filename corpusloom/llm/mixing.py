@@ -17,7 +17,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from corpusloom.llm.common import WORD, materialise
+from corpusloom.llm.common import ROW, WORD, materialise, with_row_numbers
 from corpusloom.session import broadcast_if_small
 
 #: Weights of the sources in ascending order of their names, repeated; null comes last.
@@ -65,18 +65,22 @@ def plan_mix(
     share: float = SHARE,
     repeats: float = REPEATS,
     seed: int = SEED,
+    row: Column | None = None,
 ) -> DataFrame:
     """``(doc_id, source, size, source_size, target, copies, taken)`` for every row of ``docs``.
 
     ``size`` is the number of words, 0 for a null text; such rows are part of the order but take no words.
     A null source is a source of its own. Rows that repeat an id are documents of their own, and so are rows
     without an id; equal rows are taken in any order, with the same result. Reruns agree: order and offsets
-    depend on the rows and ``seed`` only. Other columns are not looked at. An empty table gives an empty one.
+    depend on the rows and ``seed`` only. With ``row``, a number that tells rows apart, the plan has it as ``ROW``
+    and rows that are equal else stand in its order. Other columns are not looked at. An empty table gives an empty one.
     """
     spark = docs.sparkSession
-    sized = docs.select(doc_id.alias("doc_id"), source.alias("source"), words_in(text).alias("size"))
+    own = [] if row is None else [ROW]
+    numbered = [] if row is None else [row.alias(ROW)]
+    sized = docs.select(doc_id.alias("doc_id"), source.alias("source"), words_in(text).alias("size"), *numbered)
     sized = sized.withColumn("tie", F.xxhash64(F.lit(seed), F.col("doc_id")))
-    order = [F.col("source").asc_nulls_last(), "size", "tie", "doc_id"]
+    order = [F.col("source").asc_nulls_last(), "size", "tie", "doc_id", *own]
     parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), docs.rdd.getNumPartitions())
     placed = sized.repartitionByRange(parts, *order).withColumn("part", F.spark_partition_id())
     placed = materialise(placed, "mix-sizes")
@@ -100,7 +104,7 @@ def plan_mix(
     )
     same = F.col("source").eqNullSafe(F.col("block_source")) & (F.col("part") == F.col("block_part"))
     ranked = placed.join(blocks, same)
-    inside = Window.partitionBy("part", "source").orderBy("size", "tie", "doc_id")
+    inside = Window.partitionBy("part", "source").orderBy("size", "tie", "doc_id", *own)
     rank = F.col("before") + F.row_number().over(inside)
     offset = F.pmod(F.xxhash64(F.lit(seed), F.lit("offset"), "source"), F.lit(1 << 31)) / float(1 << 31)
     passed = ranked.withColumn("rank", rank).withColumn("offset", offset)
@@ -108,21 +112,17 @@ def plan_mix(
         F.col("offset") + (F.col("rank") - 1) * F.col("rate")
     )
     return passed.withColumn("copies", copies.cast("long")).select(
-        "doc_id", "source", "size", "source_size", "target", "copies", (F.col("copies") * F.col("size")).alias("taken")
+        "doc_id", "source", "size", "source_size", "target", "copies", (F.col("copies") * F.col("size")).alias("taken"), *own
     )
 
 
 def mix_rows(docs: DataFrame, **options) -> DataFrame:
-    """The rows of ``docs`` as often as the mix takes them, with all their columns.
+    """The rows of ``docs`` as often as the mix takes them, with all their columns, in no given order.
 
-    Which of several rows with one id is meant doesn't show in the plan, so their copies are summed up and
-    each row of the id is emitted its share of times, rounded up, in no given order.
+    Every row has its own number of copies, whether its id is repeated or null.
     """
-    plan = plan_mix(docs, F.col("doc_id"), F.col("source"), F.col("text"), **options)
-    per_id = plan.groupBy(F.col("doc_id").alias("__id")).agg(
-        F.ceil(F.sum("copies") / F.count("*")).cast("int").alias("__copies")
-    )
-    taken = per_id.filter("__copies > 0")
-    joined = docs.join(taken, docs["doc_id"].eqNullSafe(taken["__id"]))
-    repeated = joined.withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("__copies"))))
-    return repeated.drop("__id", "__copies", "__copy")
+    rows = with_row_numbers(docs)
+    plan = plan_mix(rows, F.col("doc_id"), F.col("source"), F.col("text"), row=F.col(ROW), **options)
+    taken = plan.filter("copies > 0").select(ROW, F.col("copies").cast("int").alias("__copies"))
+    repeated = rows.join(taken, ROW).withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("__copies"))))
+    return repeated.select(*docs.columns)

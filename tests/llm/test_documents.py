@@ -228,6 +228,25 @@ def test_mixed_rows_come_as_often_as_planned(spark):
     assert got.columns == docs.columns
 
 
+def test_rows_without_id_are_judged_one_by_one(spark):
+    rng = random.Random(13)
+    row = lambda i, text: (i, text, "en", "s", 0, 1, "", 0.0)
+    item, text, copy = text_of(rng, 30, 5000), text_of(rng, 40, 5000), text_of(rng, 40, 5000)
+    rows = [row(None, f"before {item} after"), *[row(None, text)] * 3, row(7, copy), row(None, copy), row(7, f"x {item}")]
+    bench = spark.createDataFrame([(1, item)], "item_id long, text string")
+    left = decontamination.drop_leaky(frame(spark, rows), bench)
+    assert Counter(r.text for r in left.collect()) == {text: 3, copy: 2} and left.columns == frame(spark, rows).columns
+    kept = jaccard_join.keep_one_of_each_group(frame(spark, rows[:6])).collect()
+    assert Counter((r.doc_id, r.text) for r in kept) == {(None, rows[0][1]): 1, (None, text): 1, (7, copy): 1}
+    rows = [(None, text_of(rng, 20), "en", "abc"[i % 3], 0, 1, "", 0.0) for i in range(600)]
+    docs = frame(spark, rows)
+    plan = mixing.plan_mix(docs, F.col("doc_id"), F.col("source"), F.col("text"), share=0.3).collect()
+    wanted = Counter()
+    for r in plan:
+        wanted[r.source] += r.copies
+    assert Counter(r.source for r in mixing.mix_rows(docs, share=0.3).collect()) == wanted and wanted.total() < 300
+
+
 @pytest.mark.parametrize("n", [2, 3, 7, 8, 30])
 def test_code_words_are_apart(n):
     words = language_id.code_words(n)
