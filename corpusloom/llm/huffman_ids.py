@@ -84,7 +84,8 @@ class _Tokenizer:
     """The ids of texts, by way of their words: the tokenizer drops white space and joins nothing across it.
 
     Every word is given to the library once, as long as it is among the latest words; words are told apart by
-    64-bit hashes. If the tokenizer lower-cases all, so is the word, and if it parts letters from other
+    64-bit hashes. If the tokenizer lower-cases all, so is the word, unless it holds an added token in any case:
+    these are matched with case. And if it parts letters from other
     signs, a full stop or comma after an ASCII letter that ends a word is a word of its own.
     """
 
@@ -98,6 +99,7 @@ class _Tokenizer:
         lowers = any(x.get("type") == "Lowercase" for x in _steps(spec.get("normalizer"), "normalizers"))
         patterns = [x.get("pattern", {}).get("Regex", "") for x in _steps(spec.get("pre_tokenizer"), "pretokenizers")]
         self.folds = lowers and any(x.endswith(r"[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+") for x in patterns)
+        self.added = [x["content"].encode().lower() for x in spec.get("added_tokens") or [] if x.get("content")]
         wide = self.tokenizer.get_vocab_size(with_added_tokens=True) > 1 << 16
         self.dtype = np.dtype("<u4" if wide else "<u2")
         self.latest, self.older = _Known(self.dtype), _Known(self.dtype)
@@ -113,9 +115,12 @@ class _Tokenizer:
         if not self.by_words:
             raw = data.tobytes()
             return self._library([raw[a:b] for a, b in zip(cuts.tolist(), cuts[1:].tolist())])
+        given = data
         if self.folds:
             data = LOWER[data]
         starts, ends = word_places(data, cuts)
+        if self.folds:
+            self._unfold(data, given, starts, ends)
         if self.folds and len(starts):
             last, before = data[ends - 1], data[np.maximum(ends - 2, 0)]
             part = ((last == 44) | (last == 46)) & (ends - starts > 1) & (before >= 97) & (before <= 122)
@@ -132,6 +137,18 @@ class _Tokenizer:
             self.older, self.latest = self.latest, _Known(self.dtype)
         return np.diff(whole), flat
 
+    def _unfold(self, data: np.ndarray, given: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> None:
+        """Give words of ``data`` that hold an added token in any case the bytes that they had."""
+        lowered = data.tobytes()
+        for token in self.added:
+            at = lowered.find(token)
+            while at >= 0:
+                first = max(0, int(np.searchsorted(starts, at, side="right")) - 1)
+                last = max(first, int(np.searchsorted(starts, at + len(token) - 1, side="right")) - 1)
+                if first < len(starts):
+                    data[starts[first] : ends[last]] = given[starts[first] : ends[last]]
+                at = lowered.find(token, at + 1)
+
     def _learn(self, hashes: np.ndarray, data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> None:
         """See to it that the latest words hold all of ``hashes``."""
         missing = np.flatnonzero(self.latest.find(hashes) < 0)

@@ -391,3 +391,17 @@ def test_token_ids_come_back(spark, name):
         assert r.start == at and len(r.ids) == 4 * r.n_tokens
         at += r.n_tokens
     assert Counter((r.doc_id, zlib.crc32(r.ids), r.n_tokens) for r in got) == wanted
+
+
+def test_added_tokens_in_other_case():
+    """The library matches added tokens with case, on the text as it is."""
+    from tokenizers import Tokenizer
+
+    path = public_tokenizer("word_bpe_49k.json")
+    library = Tokenizer.from_file(path)
+    texts = ["a <|ENDOFTEXT|> b", "a <|endoftext|> B", "X<|EndOfText|>Y. Z", "<|StartOfText|>", "<|", "ENDOFTEXT|> A", "<|startoftext|>,"]
+    data = [x.encode() for x in texts]
+    cuts = np.r_[0, np.cumsum([len(x) for x in data])]
+    counts, flat = huffman_ids.tokenizer_at(path).encode(np.frombuffer(b"".join(data), dtype=np.uint8), cuts)
+    wanted = [library.encode(x, add_special_tokens=False).ids for x in texts]
+    assert counts.tolist() == [len(x) for x in wanted] and flat.tolist() == sum(wanted, [])
