@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from corpusloom.llm import (
     chat_format,
     decontamination,
+    divergence,
     exact_topk,
     html_wrapper,
     huffman_ids,
@@ -99,6 +100,10 @@ def op10_huffman_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op13_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence.audit(table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     "op1_url_filter": op1_url_filter,
     "op2_source_mix": op2_source_mix,
@@ -110,6 +115,7 @@ QUERIES = {
     "op8_language_id": op8_language_id,
     "op9_suffix_tree_lm": op9_suffix_tree_lm,
     "op10_huffman_ids": op10_huffman_ids,
+    "op13_source_divergence": op13_source_divergence,
 }
 CHECKS: dict[str, str] = {
     "op6_exact_topk": """WITH v AS (
@@ -140,4 +146,35 @@ reached AS (
   UNION SELECT r.a, l.b FROM reached r JOIN links l ON l.a = r.b)
 SELECT doc_id, len(s) AS n_shingles, component_id FROM sets
 JOIN (SELECT a AS doc_id, min(b) AS component_id FROM reached GROUP BY 1) USING (doc_id)""",
+    "op13_source_divergence": r"""WITH d AS (
+  SELECT row_number() OVER () AS id, coalesce(lang, '') AS lang, coalesce(source, '') AS source,
+    regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+      '[^\x00-\x40\x5B-\x60\x7B-\x7F]+') AS terms FROM documents),
+occurring AS (SELECT id, lang, source, unnest(terms) AS term FROM d),
+kept AS (SELECT lang, term FROM occurring GROUP BY ALL HAVING count(DISTINCT id) >= 10),
+counts AS (SELECT lang, source, term, count(*) AS n FROM occurring SEMI JOIN kept USING (lang, term) GROUP BY ALL),
+size AS (SELECT lang, count(*) AS v FROM kept GROUP BY ALL),
+groups AS (SELECT DISTINCT lang, source FROM d),
+total AS (SELECT lang, source, coalesce(sum(n), 0) AS n FROM groups LEFT JOIN counts USING (lang, source) GROUP BY ALL),
+dense AS (
+  SELECT g.lang, g.source, k.term, coalesce(c.n, 0) AS n,
+    1 + 1000000000::HUGEINT * (coalesce(c.n, 0) + 2) // (t.n + 2 * v) AS p
+  FROM groups g JOIN kept k USING (lang) LEFT JOIN counts c USING (lang, source, term)
+  JOIN total t USING (lang, source) JOIN size USING (lang)),
+whole AS (
+  SELECT lang, term, 1 + 1000000000::HUGEINT * (sum(c.n) + 2) // (any_value(t.n) + 2 * any_value(v)) AS q
+  FROM counts c JOIN (SELECT lang, sum(n) AS n FROM total GROUP BY ALL) t USING (lang) JOIN size USING (lang) GROUP BY ALL),
+found AS (
+  SELECT g.lang, g.source, 'pair' AS part, h.source AS item,
+    coalesce(sum((a.p - b.p) * (a.p - b.p) // (a.p + b.p)), 0)::BIGINT AS value
+  FROM groups g JOIN groups h ON g.lang = h.lang AND g.source <> h.source
+  LEFT JOIN dense a ON a.lang = g.lang AND a.source = g.source
+  LEFT JOIN dense b ON b.lang = h.lang AND b.source = h.source AND b.term = a.term
+  GROUP BY ALL
+  UNION ALL
+  SELECT lang, source, 'term', term, ((p - q) * (p - q) // (p + q))::BIGINT
+  FROM dense JOIN whole USING (lang, term) WHERE n > 0 AND p > q),
+ranked AS (
+  SELECT *, row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item)::INTEGER AS rank FROM found)
+SELECT lang, source, part, item, value, rank FROM ranked WHERE part = 'pair' OR rank <= 10""",
 }
