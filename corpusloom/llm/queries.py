@@ -12,6 +12,7 @@ from corpusloom.llm import (
     exact_topk,
     html_wrapper,
     huffman_ids,
+    hyperplane_tree,
     jaccard_join,
     language_id,
     mixing,
@@ -100,6 +101,13 @@ def op10_huffman_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op11_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = table(spark, sf_dir, "embeddings")
+    # Some labels are made wrong, so that similar vectors have different ones.
+    label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return hyperplane_tree.mine(vectors, F.col("vec_id") % 50 == 0, label)
+
+
 def op13_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
     return divergence.audit(table(spark, sf_dir, "documents"))
 
@@ -115,6 +123,7 @@ QUERIES = {
     "op8_language_id": op8_language_id,
     "op9_suffix_tree_lm": op9_suffix_tree_lm,
     "op10_huffman_ids": op10_huffman_ids,
+    "op11_hard_negatives": op11_hard_negatives,
     "op13_source_divergence": op13_source_divergence,
 }
 CHECKS: dict[str, str] = {
@@ -146,6 +155,26 @@ reached AS (
   UNION SELECT r.a, l.b FROM reached r JOIN links l ON l.a = r.b)
 SELECT doc_id, len(s) AS n_shingles, component_id FROM sets
 JOIN (SELECT a AS doc_id, min(b) AS component_id FROM reached GROUP BY 1) USING (doc_id)""",
+    "op11_hard_negatives": """WITH v AS (
+  SELECT row_number() OVER () AS r, * FROM (
+    SELECT DISTINCT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label,
+      list_transform(embedding, lambda x: floor(256 * x::DOUBLE)::BIGINT) AS v FROM embeddings
+    WHERE vec_id IS NOT NULL AND label IS NOT NULL AND embedding IS NOT NULL
+      AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0)),
+scored AS (
+  SELECT a.r, a.vec_id AS anchor_id, a.label AS own, x.r AS other, x.vec_id, x.label,
+    list_sum(list_transform(range(1, len(x.v) + 1), lambda i: a.v[i] * x.v[i]))::BIGINT AS score
+  FROM v a JOIN v x ON a.r <> x.r AND len(a.v) = len(x.v) WHERE a.vec_id % 50 = 0),
+positives AS (
+  SELECT r, anchor_id, vec_id AS positive_id, score AS positive_score,
+    row_number() OVER (PARTITION BY r ORDER BY score DESC, vec_id, other) AS slot
+  FROM scored WHERE label = own AND vec_id <> anchor_id QUALIFY slot <= 5),
+negatives AS (
+  SELECT p.anchor_id, p.positive_id, s.vec_id AS negative_id, p.positive_score, s.score AS negative_score,
+    row_number() OVER (PARTITION BY p.r, p.slot ORDER BY s.score DESC, s.vec_id)::INTEGER AS rank
+  FROM positives p JOIN scored s ON s.r = p.r AND s.label <> s.own
+    AND 50 * p.positive_score <= 100 * s.score AND 100 * s.score <= 95 * p.positive_score)
+SELECT anchor_id, positive_id, rank, negative_id, positive_score, negative_score FROM negatives WHERE rank <= 3""",
     "op13_source_divergence": r"""WITH d AS (
   SELECT row_number() OVER () AS id, coalesce(lang, '') AS lang, coalesce(source, '') AS source,
     regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
