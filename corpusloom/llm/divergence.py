@@ -35,49 +35,60 @@ _PIECE = 1 << 20
 _HELD = 1 << 18
 _POSTINGS = 1 << 20
 
-#: A term is a run of ASCII letters and of characters beyond ASCII.
-_TERM = re.compile(r"[^\x00-\x40\x5B-\x60\x7B-\x7F]+")
-_BETWEEN = re.compile(r"[\x00-\x40\x5B-\x60\x7B-\x7F]")
-_LOWER = {c: c + 32 for c in range(65, 91)}
+#: A term is a run of ASCII letters and of characters beyond ASCII, whose UTF-8 bytes are all beyond ASCII.
+_TERM = re.compile(rb"[a-z\x80-\xff]+")
+_BETWEEN = re.compile(rb"[^A-Za-z\x80-\xff]")
 
-_COUNTS = "lang string, source string, term string, n long, docs long"
+_COUNTS = "lang string, term string, sources array<string>, n array<long>, docs array<long>"
 _SUMS = "lang string, a int, b int, value long"
 
 
-def terms_of(text: str) -> Iterator[list[str]]:
+def terms_of(text: bytes) -> Iterator[list[bytes]]:
     """The terms of a text, a piece of it at a time; pieces end between terms."""
     at = 0
     while at < len(text):
         cut = _BETWEEN.search(text, at + _PIECE)
         end = cut.start() if cut else len(text)
-        yield _TERM.findall(text[at:end].translate(_LOWER))
+        yield _TERM.findall(text[at:end].lower())
         at = end
 
 
 def _count_terms(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Occurrences and documents per language, source and term, summed up inside a task."""
-    counts: Counter = Counter()
-    documents: Counter = Counter()
+    """Occurrences and documents of every term, by source, summed up inside a task."""
+    held: dict[tuple[str, str], tuple[Counter, Counter]] = {}
 
     def flush() -> pa.RecordBatch:
-        keys = list(counts)
-        columns = [pa.array([k[i] for k in keys], type=pa.string()) for i in range(3)]
-        columns += [pa.array([held[k] for k in keys], type=pa.int64()) for held in (counts, documents)]
-        counts.clear()
-        documents.clear()
-        return pa.record_batch(columns, names=["lang", "source", "term", "n", "docs"])
+        counts = [x[0] for x in held.values()]
+        width = [len(x) for x in counts]
+        terms = pa.array((t for x in counts for t in x), type=pa.binary(), size=sum(width)).view(pa.string())
+        flat = pa.table(
+            {
+                "lang": pa.array([k[0] for k in held]).take(np.repeat(np.arange(len(held)), width)),
+                "term": terms,
+                "sources": pa.array([k[1] for k in held]).take(np.repeat(np.arange(len(held)), width)),
+                "n": pa.array((n for x in counts for n in x.values()), type=pa.int64(), size=sum(width)),
+                "docs": pa.array((d[t] for x, d in held.values() for t in x), type=pa.int64(), size=sum(width)),
+            }
+        )
+        lists = flat.group_by(["lang", "term"]).aggregate([(c, "list") for c in ("sources", "n", "docs")])
+        held.clear()
+        lists = lists.rename_columns(["lang", "term", "sources", "n", "docs"]).combine_chunks()
+        return lists.to_batches()[0]
 
+    size = 0
     for batch in batches:
         for text, lang, source in zip(*(column.to_pylist() for column in batch.columns)):
-            own: Counter = Counter()
+            counts, documents = held.setdefault((lang, source), (Counter(), Counter()))
+            before, own = len(counts), set()
             for piece in terms_of(text):
+                counts.update(piece)
                 own.update(piece)
-            for term, n in own.items():
-                counts[lang, source, term] += n
-                documents[lang, source, term] += 1
-            if len(counts) >= _HELD:
+            documents.update(own)
+            size += len(counts) - before
+            if size >= _HELD:
                 yield flush()
-    if counts:
+                size = 0
+    if size:
         yield flush()
 
 
@@ -207,13 +218,16 @@ def audit(docs: DataFrame, lang: str = "lang", source: str = "source", text: str
     spark = docs.sparkSession
     prepare(spark)
     cut = docs.select(*[F.coalesce(F.col(c), F.lit("")).alias(c_) for c, c_ in ((text, "text"), (lang, "lang"), (source, "source"))])
-    counted = cut.mapInArrow(_count_terms, _COUNTS)
-    # Sums per term and group are kept per term: the term-major index, still with the groups' names.
-    counted = counted.groupBy("lang", "term", "source").agg(F.sum("n").alias("n"), F.sum("docs").alias("docs"))
-    listed = counted.groupBy("lang", "term").agg(
-        F.sum("docs").alias("docs"), F.collect_list(F.struct("source", "n")).alias("postings")
+    counted = cut.withColumn("text", F.col("text").cast("binary")).mapInArrow(_count_terms, _COUNTS)
+    # One exchange by term serves the number of documents and the sums per group: the term-major index.
+    docs_here = F.aggregate("docs", F.lit(0).cast("long"), lambda s, x: s + x)
+    listed = counted.withColumn("own", docs_here).repartition("lang", "term").groupBy("lang", "term").agg(
+        F.sum("own").alias("docs"), F.flatten(F.collect_list(F.arrays_zip("sources", "n"))).alias("parts")
     )
-    listed = materialise(listed.filter(F.col("docs") >= LEAST_DOCUMENTS).drop("docs"), "divergence-terms")
+    parts = listed.filter(F.col("docs") >= LEAST_DOCUMENTS).select("lang", "term", F.inline("parts"))
+    summed = parts.groupBy("lang", "term", F.col("sources").alias("source")).agg(F.sum("n").alias("n"))
+    listed = summed.groupBy("lang", "term").agg(F.collect_list(F.struct("source", "n")).alias("postings"))
+    listed = materialise(listed, "divergence-terms")
 
     postings = listed.select("lang", "term", F.inline("postings"))
     kept = listed.groupBy("lang").agg(F.count("*").alias("kept"))
