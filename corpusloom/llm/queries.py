@@ -16,6 +16,7 @@ from corpusloom.llm import (
     jaccard_join,
     language_id,
     mixing,
+    suffix_forest,
     suffix_tree_lm,
     url_filter,
 )
@@ -108,6 +109,12 @@ def op11_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
     return hyperplane_tree.mine(vectors, F.col("vec_id") % 50 == 0, label)
 
 
+def op12_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    kept = suffix_forest.remove_repeats(docs, F.col("doc_id"), F.col("text"))
+    return kept.select(F.col("id").alias("doc_id"), "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def op13_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
     return divergence.audit(table(spark, sf_dir, "documents"))
 
@@ -124,6 +131,7 @@ QUERIES = {
     "op9_suffix_tree_lm": op9_suffix_tree_lm,
     "op10_huffman_ids": op10_huffman_ids,
     "op11_hard_negatives": op11_hard_negatives,
+    "op12_substring_dedup": op12_substring_dedup,
     "op13_source_divergence": op13_source_divergence,
 }
 CHECKS: dict[str, str] = {
@@ -175,6 +183,19 @@ negatives AS (
   FROM positives p JOIN scored s ON s.r = p.r AND s.label <> s.own
     AND 50 * p.positive_score <= 100 * s.score AND 100 * s.score <= 95 * p.positive_score)
 SELECT anchor_id, positive_id, rank, negative_id, positive_score, negative_score FROM negatives WHERE rank <= 3""",
+    "op12_substring_dedup": r"""WITH d AS (
+  SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS words FROM documents),
+starts AS (
+  SELECT r, doc_id, words, unnest(range(1, len(words) - 48)) AS i FROM d),
+windows AS (SELECT r, doc_id, i, array_to_string(words[i:i + 49], ' ') AS w FROM starts),
+least AS (SELECT w, min(doc_id) AS least FROM windows GROUP BY w),
+covered AS (
+  SELECT DISTINCT r, unnest(range(i, i + 50)) AS i FROM windows JOIN least USING (w) WHERE doc_id > least),
+word AS (SELECT r, unnest(words) AS word, unnest(range(1, len(words) + 1)) AS i FROM d),
+kept AS (SELECT r, string_agg(word, ' ' ORDER BY i) AS kept, count(*) AS n FROM word ANTI JOIN covered USING (r, i) GROUP BY r)
+SELECT doc_id, len(words)::BIGINT AS n_words, (len(words) - coalesce(n, 0))::BIGINT AS n_removed,
+  sha256(coalesce(kept, '')) AS kept_sha256
+FROM d LEFT JOIN kept USING (r)""",
     "op13_source_divergence": r"""WITH d AS (
   SELECT row_number() OVER () AS id, coalesce(lang, '') AS lang, coalesce(source, '') AS source,
     regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),

@@ -10,6 +10,7 @@ from math import floor
 from pathlib import Path
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -17,7 +18,7 @@ sys.path.insert(0, str(Path(__file__).resolve().parent))
 
 import plain  # noqa: E402
 
-from corpusloom.llm import divergence, hyperplane_tree  # noqa: E402
+from corpusloom.llm import divergence, hyperplane_tree, suffix_forest  # noqa: E402
 
 VECTORS = "vec_id long, embedding array<float>, label int, row long, dim string"
 
@@ -169,3 +170,85 @@ def test_shares_are_exact():
 
 def test_divergence_of_an_empty_table(spark):
     assert divergence.audit(spark.createDataFrame([], plain.DOC_SCHEMA)).collect() == []
+
+
+def kept_plainly(rows):
+    texts = [(doc_id, plain.WORD.findall(text or "")) for doc_id, text, *_ in rows]
+    least: dict = {}
+    for doc_id, words in texts:
+        for i in range(len(words) - 49):
+            if doc_id is not None:
+                window = tuple(words[i : i + 50])
+                least[window] = min(least.get(window, doc_id), doc_id)
+    out = []
+    for doc_id, words in texts:
+        covered = set()
+        for i in range(len(words) - 49):
+            if doc_id is not None and least[tuple(words[i : i + 50])] < doc_id:
+                covered.update(range(i, i + 50))
+        out.append((doc_id, len(words), len(covered), " ".join(w for i, w in enumerate(words) if i not in covered)))
+    return sorted(out, key=str)
+
+
+def repeated_corpus(seed: int):
+    rng = random.Random(seed)
+    word = lambda: rng.choice(["a", "A", "b\x0bc", "é", "漢", "x" * rng.randrange(1, 9), f"w{rng.randrange(500)}"])
+    some = lambda n: [word() for _ in range(n)]
+    passages = [some(n) for n in (49, 50, 51, 70, 130, 400)]
+    rows = [(i, t) for i, t in enumerate([None, "", " \n", "one", "same " * 60, "same " * 80, "a b " * 2000, "b a " * 90])]
+    for i in range(8, 120):
+        parts = some(rng.randrange(0, 60))
+        for _ in range(rng.randrange(0, 4)):
+            parts += rng.choice(passages)[: rng.choice([50, 60, 400])] + some(rng.randrange(0, 30))
+        rows.append((i, "".join(w + rng.choice([" ", "\n", "  ", "\t"]) for w in parts)))
+    rows += [(500 - i, rows[20 + i % 3][1]) for i in range(60)] + [(None, rows[30][1]), (None, rows[30][1]), (30, rows[30][1])]
+    rows += [(40, rows[31][1]), (-5, rows[32][1]), (600, " ".join(some(30_000))), (601, " ".join(passages[5]) + "\n" + " ".join(some(40_000)))]
+    rng.shuffle(rows)
+    return [(doc_id, text, "en", "src", 1, 7, "x", 0.5) for doc_id, text in rows]
+
+
+@pytest.mark.parametrize("small", [False, True])
+def test_removed_words_match_all_windows(spark, monkeypatch, small):
+    """With small groups, crowded seeds take the whole window as their prefix."""
+    rows = repeated_corpus(1 + small)
+    if small:
+        for name, value in (("GROUP", 5), ("WORDS_AT_ONCE", 64)):
+            monkeypatch.setattr(suffix_forest, name, value)
+    docs = spark.createDataFrame(rows, plain.DOC_SCHEMA).repartition(4)
+    got = suffix_forest.remove_repeats(docs, F.col("doc_id"), F.col("text")).collect()
+    assert sorted((tuple(r) for r in got), key=str) == kept_plainly(rows)
+
+
+def test_cut_parts_have_the_windows_of_the_whole(monkeypatch):
+    rows = [r[1] for r in repeated_corpus(3)] + ["y" * 5000 + " z " * 300, " " * 9000 + "q"]
+    column = pa.array(rows)
+    def windows():
+        seen = set()
+        for words in suffix_forest.places_of(column):
+            seeds, at, n = suffix_forest.seed_runs(words)
+            for s, a, k in zip(seeds, at, n):
+                seen |= {(int(words.text[a]), int(words.number[a]) + j, int(s)) for j in range(int(k))}
+        return seen
+    whole = windows()
+    monkeypatch.setattr(suffix_forest, "CHUNK_BYTES", 2000)
+    monkeypatch.setattr(suffix_forest, "PIECE", 3)
+    assert windows() == whole
+
+
+def test_deep_nodes_are_equal_windows():
+    rng = np.random.default_rng(6)
+    words = rng.integers(0, 3, 3000).astype(np.uint64)
+    words[1000:1200] = words[100:300]
+    suffixes = np.arange(0, 2940)
+    node = suffix_forest.deep_nodes(words, suffixes, 50)
+    by_window: dict = {}
+    for i in suffixes:
+        by_window.setdefault(tuple(words[i : i + 50].tolist()), []).append(i)
+    for members in by_window.values():
+        found = {int(node[i]) for i in members}
+        assert found == {-1} if len(members) == 1 else len(found) == 1 and -1 not in found
+    assert len({int(x) for x in node if x >= 0}) == sum(len(m) > 1 for m in by_window.values())
+
+
+def test_repeats_of_empty_tables(spark):
+    assert suffix_forest.remove_repeats(spark.createDataFrame([], plain.DOC_SCHEMA), F.col("doc_id"), F.col("text")).collect() == []
