@@ -61,9 +61,15 @@ def shared_dir(spark: SparkSession) -> str:
     return local
 
 
-def new_path(spark: SparkSession, label: str) -> str:
-    """A path under the shared folder that nothing has been written to yet."""
-    return f"{shared_dir(spark)}/corpusloom/{label}-{uuid.uuid4().hex}"
+def new_path(spark: SparkSession, label: str, folder: str | None = None) -> str:
+    """A path under ``folder``, or else under the shared folder, that nothing has been written to yet."""
+    return f"{folder or f'{shared_dir(spark)}/corpusloom'}/{label}-{uuid.uuid4().hex}"
+
+
+def drop_path(spark: SparkSession, path: str) -> bool:
+    """Delete a folder that this package wrote; whether there was one."""
+    found = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return found.getFileSystem(spark._jsc.hadoopConfiguration()).delete(found, True)
 
 
 def spread(df: DataFrame) -> DataFrame:
