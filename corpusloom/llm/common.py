@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
+from contextvars import ContextVar
+
 import numpy as np
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from corpusloom.session import new_path, ship_package
+from corpusloom.session import broadcast_if_small, drop_path, new_path, ship_package
 
 #: Bits of the bitmaps that passes over the corpus hand to each other: 2 MB, whatever the corpus.
 BITMAP_BITS = 1 << 24
@@ -32,20 +36,61 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def materialise(df: DataFrame, label: str) -> DataFrame:
-    """Write ``df`` to the shared folder and read it back: later jobs start from files, not from lineage."""
-    path = new_path(df.sparkSession, label)
-    df.write.parquet(path)
+#: Folder of the intermediate tables of the step that is being worked out, if it drops them at its end.
+_STEP: ContextVar[str | None] = ContextVar("step", default=None)
+_SHUFFLE_FILES = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
+@contextmanager
+def _shuffles_dropped(spark: SparkSession) -> Iterator[None]:
+    """Jobs inside drop their shuffle files when they end; the setting is as before afterwards."""
+    before = spark.conf.get(_SHUFFLE_FILES, "false")
+    spark.conf.set(_SHUFFLE_FILES, "true")
+    try:
+        yield
+    finally:
+        spark.conf.set(_SHUFFLE_FILES, before)
+
+
+def _write(df: DataFrame, path: str) -> DataFrame:
+    with _shuffles_dropped(df.sparkSession):
+        df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def materialise(df: DataFrame, label: str, path: str | None = None) -> DataFrame:
+    """Write ``df`` to the shared folder and read it back: later jobs start from files, not from lineage."""
+    return _write(df, path or new_path(df.sparkSession, label, _STEP.get()))
+
+
+def settle(spark: SparkSession, label: str, step: Callable[[], DataFrame]) -> DataFrame:
+    """What ``step`` gives, written; the tables that it wrote on the way are deleted then."""
+    kept, folder = new_path(spark, label, _STEP.get()), new_path(spark, f"{label}-step", _STEP.get())
+    outer = _STEP.set(folder)
+    try:
+        return _write(step(), kept)
+    finally:
+        _STEP.reset(outer)
+        drop_path(spark, folder)
+
+
 #: Column of row numbers.
 ROW = "__row"
 
 
-def with_row_numbers(df: DataFrame) -> DataFrame:
-    """``df`` with ``ROW``, a number for each row, written so that it stays the same."""
-    return materialise(df.withColumn(ROW, F.monotonically_increasing_id()), "rows")
+def with_row_numbers(df: DataFrame, stored: bool = False) -> DataFrame:
+    """``df`` with ``ROW``, a number for each row that stays the same.
+
+    ``stored`` says that ``df`` is the rows of Parquet files as they are: the number is then made from the place
+    in the files. Otherwise the rows are written once more, with their numbers.
+    """
+    if not stored:
+        return materialise(df.withColumn(ROW, F.monotonically_increasing_id()), "rows")
+    placed = df.select("*", F.col("_metadata.file_path").alias("__file"), F.col("_metadata.row_index").alias(ROW))
+    in_turn = Window.orderBy("__file")  # as many rows as files
+    numbers = placed.select("__file").distinct().withColumn("__number", F.row_number().over(in_turn).cast("long"))
+    numbered = placed.join(broadcast_if_small(materialise(numbers, "files")), "__file")
+    return numbered.withColumn(ROW, F.shiftleft("__number", 36) + F.col(ROW)).drop("__file", "__number")
 
 
 def in_fold(doc_id: Column, fold: int) -> Column:

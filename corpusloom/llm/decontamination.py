@@ -206,11 +206,12 @@ def find_leaks(
     return found
 
 
-def drop_leaky(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
+def drop_leaky(docs: DataFrame, benchmark: DataFrame, stored: bool = False) -> DataFrame:
     """The rows of ``docs`` that hold no benchmark item, with all their columns.
 
-    Every row is judged by its own text, whether its id is repeated or null.
+    Every row is judged by its own text, whether its id is repeated or null. ``stored`` is that of
+    ``with_row_numbers``.
     """
-    rows = with_row_numbers(docs)
+    rows = with_row_numbers(docs, stored)
     leaky = find_leaks(rows, benchmark, doc_id=ROW).select(F.col("doc_id").alias(ROW)).distinct()
     return rows.join(leaky, ROW, "left_anti").select(*docs.columns)

@@ -22,6 +22,7 @@ from pyspark.sql import functions as F
 
 from corpusloom.llm.common import materialise
 from corpusloom.llm.words import LOWER, buffers, place_hashes, spans, word_places
+from corpusloom.session import drop_path, new_path
 
 #: Token ids of a block, unless one document alone has more.
 BLOCK_IDS = 1 << 19
@@ -411,7 +412,8 @@ def write_ids(
     )
     tie = F.xxhash64("text")
     ordered = rows.repartitionByRange(parts, F.col("doc_id"), tie).sortWithinPartitions("doc_id", tie, "text")
-    tokens = materialise(ordered.mapInArrow(_tokeniser(tokenizer, end_id), _TOKENS), "token-ids")
+    tokens_path = new_path(spark, "token-ids")
+    tokens = materialise(ordered.mapInArrow(_tokeniser(tokenizer, end_id), _TOKENS), "token-ids", tokens_path)
 
     dtype = tokenizer_at(tokenizer).dtype.str
     counted = tokens.select("part", "n", "ids").mapInArrow(_counter(dtype), "kind int, key long, n long")
@@ -428,6 +430,7 @@ def write_ids(
     share = spark.sparkContext.broadcast
     encoder = _encoder(dtype, share(Code(symbols, lengths)), share(starts))
     tokens.mapInArrow(encoder, _BLOCKS).write.partitionBy("part").parquet(f"{path}/blocks")
+    drop_path(spark, tokens_path)
     code_rows = list(zip(symbols.tolist(), lengths.tolist()))
     spark.createDataFrame(code_rows, "id long, bits int").coalesce(1).write.parquet(f"{path}/codes")
 

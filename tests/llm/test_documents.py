@@ -19,6 +19,7 @@ sys.path.insert(0, str(Path(__file__).resolve().parent))
 import plain  # noqa: E402
 
 from corpusloom.llm import decontamination, huffman_ids, jaccard_join, language_id, mixing, suffix_tree_lm  # noqa: E402
+from corpusloom.llm.common import ROW, materialise, settle, with_row_numbers  # noqa: E402
 from corpusloom.llm.components import components  # noqa: E402
 from corpusloom.llm.queries import public_tokenizer  # noqa: E402
 from corpusloom.llm.words import words_of  # noqa: E402
@@ -100,6 +101,64 @@ def test_groups_of_overlapping_lists_match_all_pairs(spark):
     assert sorted(map(tuple, got)) == sorted(plain.groups([r[:2] for r in rows]))
 
 
+def test_members_of_a_list_beyond_what_is_held_stay_connected():
+    """Every class of a list, however it is cut, is reported, linked through pairs, and not taken for alone."""
+    for length in (8, 9, 10, 11, 25, 41):
+        for most in (8, 20):
+            for size in (1, 3, 7, 50):
+                sig = np.r_[np.full(length, 5), [6]].astype(np.int64)
+                rows = [sig, 0 * sig, np.arange(length + 1), 0 * sig + 10, 0 * sig + 1]
+                kinds = (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int32())
+                batches = [
+                    pa.record_batch([pa.array(x[at : at + size], type=k) for x, k in zip(rows, kinds)], names=list("abcde"))
+                    for at in range(0, length + 1, size)
+                ]
+                found = [r for b in jaccard_join._pairer(80, most)(iter(batches)) for r in b.to_pylist()]
+                assert {r["a"] for r in found if r["kind"] == 1} == set(range(length))
+                assert {r["a"] for r in found if r["kind"] == 3} == {length}
+                near = {0}
+                for _ in range(length):
+                    near |= {x for r in found if r["kind"] == 0 and {r["a"], r["b"]} & near for x in (r["a"], r["b"])}
+                assert near == set(range(length))
+
+
+def test_numbers_of_stored_rows_are_their_places(spark):
+    path = new_path(spark, "numbered")
+    spark.createDataFrame([(i, f"t{i % 4}") for i in range(50)], "doc_id long, text string").repartition(5).write.parquet(path)
+    rows = with_row_numbers(spark.read.parquet(path), stored=True)
+    first, second = ({r[ROW]: (r.doc_id, r.text) for r in rows.collect()} for _ in range(2))
+    assert first == second and len(first) == 50 and rows.columns == ["doc_id", "text", ROW]
+
+
+def test_settled_steps_leave_their_result_only(spark):
+    seen = []
+    def step():
+        inner = materialise(spark.range(5).toDF("x"), "inner")
+        seen.append(inner.inputFiles()[0])
+        return inner.filter("x > 2")
+    kept = settle(spark, "outer", step)
+    assert sorted(r.x for r in kept.collect()) == [3, 4]
+    assert not Path(seen[0].removeprefix("file://")).exists()
+
+
+def test_pipeline_of_odd_rows(spark, tmp_path):
+    """Nulls in every column, repeated rows, clashing columns; then empty tables."""
+    import corpus_pipeline
+
+    rng = random.Random(9)
+    rows = [(i, text_of(rng, 60), ["en", "fr"][i % 2], f"s{i % 3}", 1, 7, "x", 0.5) for i in range(40)]
+    rows += [rows[3], (None, rows[5][1], "en", "s1", 1, 7, "x", 0.5), (None, text_of(rng, 50), "en", None, None, None, None, None)]
+    rows += [(100, None, None, None, None, None, None, None), (101, "", "en", "s1", 0, 0, "", 0.0)]
+    items = [(1, rows[7][1]), (None, None), (2, "")]
+    for name, docs, bench in (("odd", rows, items), ("empty", [], [])):
+        spark.createDataFrame(docs, plain.DOC_SCHEMA).write.parquet(str(tmp_path / name / "documents.parquet"))
+        spark.createDataFrame(bench, "item_id long, text string").write.parquet(str(tmp_path / name / "benchmark.parquet"))
+    got = corpus_pipeline.run(spark, str(tmp_path / "odd")).collect()
+    assert got and {r.doc_id for r in got} <= {r[0] for r in rows[:42]}
+    assert 7 not in {r.doc_id for r in got}
+    assert corpus_pipeline.run(spark, str(tmp_path / "empty")).collect() == []
+
+
 def test_one_of_each_group_stays(spark):
     rows = plain.rows_with_edges(corpus())
     rows += [rows[20], (None, None, *rows[0][2:])]
