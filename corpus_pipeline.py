@@ -1,8 +1,13 @@
 """Documents to token ids: the training-data pipeline, stage by stage.
 
-Each stage takes ``(spark, docs, sf_dir)``, works on all of ``docs`` and returns what is left of it, with the
-columns of ``documents``; the last returns the digests of what it wrote. ``run`` writes the result of every
-stage as Parquet and hands it, read again, to the next.
+Each stage takes ``(spark, docs, sf_dir)``, works on all of ``docs``, the rows of Parquet files as they were
+read, and returns what is left of it, with the columns of ``documents``; the last returns the digests of what it
+wrote. ``run`` writes the result of every stage as Parquet and hands it, read again, to the next.
+
+Rows are told apart by their place in the files, so rows that share an id, or have none, are decided one by
+one, and repeated rows are documents of their own. A null or empty text has no language and goes in the first
+stage; later stages keep one that they are given. Texts of any length are taken whole. Ties go to the smaller id.
+Empty tables give empty tables. Further columns, whatever their names, go through all stages but the last.
 """
 
 from __future__ import annotations
@@ -29,17 +34,17 @@ def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 def keep_one_copy(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of every group of exact and near copies: the one with the smallest id."""
     prepare(spark)
-    return jaccard_join.keep_one_of_each_group(docs)
+    return jaccard_join.keep_one_of_each_group(docs, stored=True)
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that hold no benchmark item."""
-    return decontamination.drop_leaky(docs, table(spark, sf_dir, "benchmark"))
+    return decontamination.drop_leaky(docs, table(spark, sf_dir, "benchmark"), stored=True)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents as often as the mix of the sources takes them."""
-    return mixing.mix_rows(docs)
+    return mixing.mix_rows(docs, stored=True)
 
 
 def write_token_ids(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
