@@ -93,6 +93,38 @@ def with_row_numbers(df: DataFrame, stored: bool = False) -> DataFrame:
     return numbered.withColumn(ROW, F.shiftleft("__number", 36) + F.col(ROW)).drop("__file", "__number")
 
 
+#: Rows of the tables of bits that ``take`` and ``leave`` may broadcast, each for 64 rows; their bytes are checked too.
+BLOCKS_MAX = 1_000_000
+
+
+def _blocks(chosen: DataFrame, copy: Column) -> DataFrame:
+    """``__block, __bits``: 64 neighbouring row numbers in one, those of ``chosen`` as set bits; a row for each ``copy``."""
+    bit = F.call_function("shiftleft", F.lit(1).cast("long"), F.col(ROW).bitwiseAND(63).cast("int"))
+    bits = chosen.select(F.shiftright(ROW, 6).alias("__block"), copy.alias("__copy"), bit.alias("bit"))
+    bits = bits.groupBy("__block", "__copy").agg(F.bit_or("bit").alias("__bits")).drop("__copy")
+    return broadcast_if_small(bits, max_rows=BLOCKS_MAX)
+
+
+def _in_block() -> Column:
+    return F.getbit("__bits", F.col(ROW).bitwiseAND(63).cast("int")) == 1
+
+
+def take(rows: DataFrame, chosen: DataFrame) -> DataFrame:
+    """``rows`` whose number is in ``chosen`` (``ROW``, and ``copies`` if more than one), as often as that says.
+
+    Numbers of neighbouring rows travel as bits, so that the texts rarely have to be shuffled for them.
+    """
+    copies = F.explode(F.sequence(F.lit(1), F.col("copies"))) if "copies" in chosen.columns else F.lit(1)
+    found = rows.withColumn("__block", F.shiftright(ROW, 6)).join(_blocks(chosen, copies), "__block")
+    return found.filter(_in_block()).drop("__block", "__bits")
+
+
+def leave(rows: DataFrame, chosen: DataFrame) -> DataFrame:
+    """``rows`` whose number is not in ``chosen``."""
+    found = rows.withColumn("__block", F.shiftright(ROW, 6)).join(_blocks(chosen, F.lit(1)), "__block", "left")
+    return found.filter(~F.coalesce(_in_block(), F.lit(False))).drop("__block", "__bits")
+
+
 def in_fold(doc_id: Column, fold: int) -> Column:
     """Whether crc32 of the id as text leaves ``fold`` modulo 5; a null id counts as empty text."""
     as_text = F.coalesce(doc_id.cast("string"), F.lit(""))

@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from corpusloom.llm.common import ROW, with_row_numbers
+from corpusloom.llm.common import ROW, leave, settle, with_row_numbers
 from corpusloom.llm.words import Words, mix, shingles_at, words_of
 
 #: Words of a shingle, and the least similarity in hundredths.
@@ -213,5 +213,5 @@ def drop_leaky(docs: DataFrame, benchmark: DataFrame, stored: bool = False) -> D
     ``with_row_numbers``.
     """
     rows = with_row_numbers(docs, stored)
-    leaky = find_leaks(rows, benchmark, doc_id=ROW).select(F.col("doc_id").alias(ROW)).distinct()
-    return rows.join(leaky, ROW, "left_anti").select(*docs.columns)
+    found = find_leaks(rows, benchmark, doc_id=ROW).select(F.col("doc_id").alias(ROW)).distinct()
+    return leave(rows, settle(docs.sparkSession, "leaky-rows", lambda: found)).select(*docs.columns)

@@ -17,7 +17,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from corpusloom.llm.common import ROW, WORD, materialise, settle, with_row_numbers
+from corpusloom.llm.common import ROW, WORD, materialise, settle, take, with_row_numbers
 from corpusloom.session import broadcast_if_small
 
 #: Weights of the sources in ascending order of their names, repeated; null comes last.
@@ -126,8 +126,6 @@ def mix_rows(docs: DataFrame, stored: bool = False, **options) -> DataFrame:
 
     def taken_rows() -> DataFrame:
         plan = plan_mix(rows, F.col("doc_id"), F.col("source"), F.col("text"), row=F.col(ROW), **options)
-        return plan.filter("copies > 0").select(ROW, F.col("copies").cast("int").alias("__copies"))
+        return plan.filter("copies > 0").select(ROW, F.col("copies").cast("int").alias("copies"))
 
-    taken = settle(docs.sparkSession, "mix-taken", taken_rows)
-    repeated = rows.join(taken, ROW).withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("__copies"))))
-    return repeated.select(*docs.columns)
+    return take(rows, settle(docs.sparkSession, "mix-taken", taken_rows)).select(*docs.columns)
