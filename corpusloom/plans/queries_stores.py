@@ -53,6 +53,49 @@ def document_sink(spark: SparkSession, sf_dir: str) -> DataFrame:
     return stored.select("id", "domain", "category", F.date_format("gatherTime", "yyyy-MM-dd HH:mm:ss").alias("gathered"))
 
 
+def _grown_store(spark: SparkSession, sf_dir: str) -> str:
+    """A store of all documents and four deltas on it: rows written over, again, deleted, and written anew."""
+    root = new_path(spark, "grown")
+    docs = _docs(spark, sf_dir).select("id", "domain", "category")
+    number = F.col("id").cast("long")
+    snapshots.write_snapshot(docs, root)
+    snapshots.write_delta(spark, root, docs.filter(number % 7 == 1).withColumn("category", F.lit("first")))
+    snapshots.write_delta(spark, root, docs.filter((number % 7).isin(1, 2)).withColumn("category", F.lit("second")))
+    snapshots.write_delta(spark, root, deleted=docs.filter(number % 11 == 0))
+    snapshots.write_delta(spark, root, docs.filter(number % 33 == 0).withColumn("category", F.lit("again")))
+    return root
+
+
+def merged_on_read(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The store between compactions."""
+    return snapshots.read_snapshot(spark, _grown_store(spark, sf_dir))
+
+
+def compacted_store(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The store after a compaction, one more delta, and the expiry of what went before."""
+    root = _grown_store(spark, sf_dir)
+    snapshots.compact(spark, root)
+    docs = _docs(spark, sf_dir).select("id", "domain", "category")
+    last = docs.filter(F.col("id").cast("long") % 5 == 0)
+    snapshots.write_delta(spark, root, last.withColumn("category", F.lit("last")))
+    snapshots.expire(spark, root, keep=1)
+    return snapshots.read_snapshot(spark, root)
+
+
+def delta_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Deltas and base files before and after compaction; a batch that changes nothing writes nothing."""
+    root = _grown_store(spark, sf_dir)
+    docs = _docs(spark, sf_dir).select("id", "domain", "category")
+    snapshots.write_delta(spark, root, docs.limit(0))
+    before = snapshots.delta_sizes(spark, root)
+    snapshots.compact(spark, root, only_if_due=True)
+    snapshots.compact(spark, root)
+    after = snapshots.delta_sizes(spark, root)
+    rows = [("before", before[0], before[1] > 0), ("after", after[0], after[1] > 0)]
+    report = spark.createDataFrame(rows, "moment string, n_deltas int, has_delta_bytes boolean")
+    return report.crossJoin(snapshots.read_snapshot(spark, root).agg(F.count("*").alias("n_rows")))
+
+
 def keyed_sink(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Blank keys get a new one; keys known from the store or from earlier in the batch are reported."""
     docs = _docs(spark, sf_dir).select("id", "domain")
@@ -110,6 +153,9 @@ QUERIES = {
     "a1_raw_pages": raw_pages,
     "a3_json_sink": json_sink,
     "a4_document_sink": document_sink,
+    "a4_merged_on_read": merged_on_read,
+    "a4_compacted_store": compacted_store,
+    "a4_delta_report": delta_report,
     "a5_keyed_sink": keyed_sink,
     "a7_publish_sink": publish_sink,
     "a8_fan_out": fan_out,
@@ -123,6 +169,8 @@ _D = fx.with_sql(
     """t AS (SELECT id AS number, id::VARCHAR AS key, * EXCLUDE (id),
       CASE WHEN id % 5 <> 0 THEN substr(content, 1, 20) END AS title FROM docs)""",
 )
+_GROWN = """SELECT key AS id, domain, {category} AS category FROM t WHERE number % 33 = 0 OR number % 11 <> 0"""
+_CATEGORY = "CASE WHEN number % 33 = 0 THEN 'again' WHEN number % 7 IN (1, 2) THEN 'second' ELSE category END"
 _TITLE = """CASE WHEN title IS NULL THEN '' ELSE ',"title":' || to_json(title) END"""
 
 CHECKS = {
@@ -135,6 +183,14 @@ CHECKS = {
         UNION ALL SELECT 'new-' || key, domain, 'new', "gatherTime" FROM t
         UNION ALL SELECT 'hot', domain, key, TIMESTAMP '2024-03-05 08:00:00' + to_days(number::INTEGER) FROM t
           WHERE number = (SELECT max(number) FROM t))""",
+    "a4_merged_on_read": _D + _GROWN.format(category=_CATEGORY),
+    "a4_compacted_store": _D
+    + _GROWN.format(category=f"CASE WHEN number % 5 = 0 THEN 'last' ELSE {_CATEGORY} END")
+    + " OR number % 5 = 0",
+    "a4_delta_report": _D
+    + f"""SELECT moment, n_deltas::INTEGER AS n_deltas, n_deltas > 0 AS has_delta_bytes, n_rows
+        FROM (VALUES ('before', 4), ('after', 0)) v(moment, n_deltas),
+          (SELECT count(*) AS n_rows FROM ({_GROWN.format(category="category")}))""",
     "a5_keyed_sink": _D
     + """SELECT number, number % 5 <> 0 AND number % 2 = 0 AS is_duplicate, number % 5 = 0 AS is_generated FROM t
         UNION ALL SELECT number + 10000000, number % 5 <> 0, number % 5 = 0 FROM t WHERE number % 7 = 0""",

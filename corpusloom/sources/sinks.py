@@ -23,15 +23,20 @@ def json_sink(path: str) -> Sink:
 
 
 def document_sink(root: str) -> Sink:
-    """Merge documents by id into the snapshot store; the newest gather time wins. Only buckets of the batch are
-    read and written."""
+    """Merge documents by id into the snapshot store; the newest gather time of the batch wins.
+
+    A batch is appended as a delta: what is written is in proportion to the batch, and the store is not read. It is
+    compacted when that is due.
+    """
 
     def write(docs: DataFrame) -> None:
         spark = docs.sparkSession
+        newest = mutations.last_written(docs)
         if snapshots.has_snapshot(spark, root):
-            snapshots.change(spark, root, lambda store: mutations.upsert(store, docs), docs.select("id"))
+            snapshots.write_delta(spark, root, newest)
+            snapshots.compact(spark, root, only_if_due=True)
         else:
-            snapshots.write_snapshot(mutations.last_written(docs), root)
+            snapshots.write_snapshot(newest, root)
 
     return write
 

@@ -75,18 +75,64 @@ def test_snapshots_are_never_overwritten(spark):
     with pytest.raises(LookupError):
         snapshots.read_snapshot(spark, root, 7)
     ids = spark.range(40)
-    snapshots.write_snapshot(ids, root)
-    before = snapshots._manifest(files)["versions"]
+    snapshots.write_snapshot(ids, root, buckets=4)
     five = ids.filter("id = 5")
     left = snapshots.change(spark, root, lambda df: mutations.delete_keys(df, five), five)
-    after = snapshots._manifest(files)["versions"]
     assert sorted(r["id"] for r in left.collect()) == [i for i in range(40) if i != 5]
-    assert sum(before[b] != after.get(b) for b in before) == 1
+    before = snapshots._manifest(files)
+    assert len(before["deltas"]) == 1
     assert snapshots.change(spark, root, lambda df: df, five.limit(0)).count() == 39
-    assert snapshots.expire(spark, root, keep=1) == 2 and snapshots.read_snapshot(spark, root).count() == 39
+    snapshots.compact(spark, root)
+    after = snapshots._manifest(files)
+    assert not after["deltas"] and sum(v != before["versions"].get(b) for b, v in after["versions"].items()) == 1
+    assert snapshots.compact(spark, root) is None
+    assert snapshots.expire(spark, root, keep=1) == 3 and snapshots.read_snapshot(spark, root).count() == 39
     assert snapshots.change(spark, root, lambda df: df.limit(0)).count() == 0
 
 
+def test_a_delta_costs_what_it_weighs(spark):
+    """What a batch writes doesn't depend on the store, and all of the store's files stay as they are."""
+    root = new_path(spark, "deltas")
+    rows = spark.range(200_000).select(F.col("id").cast("string").alias("id"), F.md5(F.col("id").cast("string")).alias("x"))
+    snapshots.write_snapshot(rows, root, buckets=8)
+    files = snapshots._Files(spark, root)
+    whole, versions = files.size("data"), snapshots._manifest(files)["versions"]
+    few = rows.filter("id < 40").withColumn("x", F.lit("new"))
+    snapshots.write_delta(spark, root, few, rows.filter("id = 50"))
+    assert files.size("data") + files.size("marks") - whole < whole / 50
+    assert snapshots._manifest(files)["versions"] == versions
+    found = {r.id: r.x for r in snapshots.read_snapshot(spark, root).filter("id < 60").collect()}
+    assert len(found) == 59 and "50" not in found and all((v == "new") == (int(k) < 40) for k, v in found.items())
+
+
+def test_deltas_merge_in_turn(spark, monkeypatch):
+    """Random changes against a dictionary, with null keys, between and after compactions, and dealt anew."""
+    import random
+
+    rng = random.Random(4)
+    schema = "id string, v long"
+    root = new_path(spark, "turns")
+    held = {str(i): i for i in range(30)}
+    nulls = [(None, -1)]
+    snapshots.write_snapshot(spark.createDataFrame([*held.items(), *nulls], schema), root, buckets=1)
+    for turn in range(8):
+        new = {str(k): 100 * turn + k for k in rng.sample(range(40), rng.randrange(0, 12))}
+        gone = [str(k) for k in rng.sample(range(40), rng.randrange(0, 6))]
+        if turn == 3:
+            nulls.append((None, -2))
+        added = spark.createDataFrame([*new.items(), *(nulls[-1:] if turn == 3 else [])], schema)
+        snapshots.write_delta(spark, root, added, spark.createDataFrame([(k,) for k in gone], "id string"))
+        held = {k: v for k, v in held.items() if k not in gone} | new
+        if turn == 4:
+            snapshots.compact(spark, root)
+        if turn == 6:
+            monkeypatch.setattr(snapshots, "BUCKET_BYTES", 500)
+            snapshots.compact(spark, root)
+        found = sorted(((r.id, r.v) for r in snapshots.read_snapshot(spark, root).collect()), key=str)
+        assert found == sorted([*held.items(), *nulls], key=str)
+    assert snapshots._manifest(snapshots._Files(spark, root))["buckets"] > 1
+
+
 def test_sinks_can_be_switched_off(spark):
     docs = spark.createDataFrame([("1", "r")], "id string, spiderUUID string")
     path = new_path(spark, "off")
