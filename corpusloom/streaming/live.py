@@ -3,18 +3,22 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator, Sequence
+from contextlib import contextmanager
 from datetime import datetime
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 from pyspark.sql.streaming.query import StreamingQuery
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from corpusloom.operators.tasks import LOG_GAP_MS
 from corpusloom.plans.collect import Analysis, Recipe, general_recipe, process
 from corpusloom.sources.sinks import Sink
 
+_STATE_STORE = "spark.sql.streaming.stateStore.providerClass"
+_ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+
 
 def collect_stream(
     pages: DataFrame,
@@ -70,29 +74,97 @@ def run_counters(pages: DataFrame) -> DataFrame:
     )
 
 
-def _log_step(
-    key: tuple, batches: Iterator[pd.DataFrame], state: GroupState
-) -> Iterator[pd.DataFrame]:
-    anchor = state.get[0] if state.exists else None
-    waiting = pd.concat(list(batches)).sort_values(["ts_ms", "seq"], kind="stable")
-    rows = []
-    for ts_ms, message in zip(waiting["ts_ms"], waiting["message"]):
-        if anchor is None or abs(ts_ms - anchor) >= LOG_GAP_MS:
-            anchor = int(ts_ms)
-        rows.append((key[0], anchor, int(ts_ms), message))
-    state.update((anchor,))
-    yield pd.DataFrame(rows, columns=["task_id", "anchor_ms", "ts_ms", "message"])
+@contextmanager
+def rocksdb_state(spark: SparkSession) -> Iterator[None]:
+    """Streams started inside keep their state in RocksDB, on disk and in their checkpoint; stateful processors
+    need that. The setting is as before afterwards."""
+    before = spark.conf.get(_STATE_STORE, None)
+    spark.conf.set(_STATE_STORE, _ROCKSDB)
+    try:
+        yield
+    finally:
+        if before is None:
+            spark.conf.unset(_STATE_STORE)
+        else:
+            spark.conf.set(_STATE_STORE, before)
+
 
+class LogEntries(StatefulProcessor):
+    """Messages of one task as log entries.
 
-def log_stream(messages: DataFrame) -> DataFrame:
-    """Messages (``task_id, seq, ts_ms, message``) with the start of their log entry.
+    The state has the messages of entries that aren't over. An entry is opened by the earliest of them, and is
+    over when the watermark has passed its start by two seconds: no message of it can come any more. A timer
+    waits for that moment, so an entry is emitted whether or not its task sends anything more.
+    """
 
-    The state is one number per task.
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.waiting = handle.getListState("waiting", "ts_ms bigint, seq bigint, message string")
+        self.due = handle.getValueState("due", "at bigint")
+
+    def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+        earliest = None
+        for part in rows:
+            part = part.dropna(subset=["ts_ms"])
+            if len(part):
+                least = int(part["ts_ms"].min())
+                earliest = least if earliest is None else min(earliest, least)
+                self.waiting.appendList(
+                    [(int(t), None if pd.isna(s) else int(s), m) for t, s, m in zip(part["ts_ms"], part["seq"], part["message"])]
+                )
+        if earliest is not None:
+            self._wait(earliest)
+        yield pd.DataFrame(columns=_ENTRY)
+
+    def handleExpiredTimer(self, key: tuple, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        passed = timerValues.getCurrentWatermarkInMs()
+        waiting = sorted(self.waiting.get(), key=lambda m: (m[0], m[1] is not None, m[1]))
+        found, at = [], 0
+        while at < len(waiting) and waiting[at][0] + LOG_GAP_MS <= passed:
+            end = at
+            while end < len(waiting) and waiting[end][0] < waiting[at][0] + LOG_GAP_MS:
+                end += 1
+            texts = [m[2] for m in waiting[at:end] if m[2] is not None]
+            found.append((key[0], waiting[at][0], end - at, "<br/>".join(texts)))
+            at = end
+        self.waiting.clear()
+        self.due.clear()
+        if at < len(waiting):
+            self.waiting.put(waiting[at:])
+            self._wait(waiting[at][0])
+        yield pd.DataFrame(found, columns=_ENTRY)
+
+    def close(self) -> None:
+        pass
+
+    def _wait(self, earliest: int) -> None:
+        """One timer: for the end of the entry that is over first."""
+        at = earliest + LOG_GAP_MS
+        if self.due.exists():
+            due = self.due.get()[0]
+            if due <= at:
+                return
+            self.handle.deleteTimer(due)
+        self.handle.registerTimer(at)
+        self.due.update((at,))
+
+
+_ENTRY = ["task_id", "anchor_ms", "n_messages", "text"]
+
+
+def log_stream(messages: DataFrame, lateness: str = "10 seconds") -> DataFrame:
+    """``task_id, anchor_ms, n_messages, text``: messages (``task_id, seq, ts_ms, message``) as log entries, each
+    once, when it is over. What comes out is what ``tasks.coalesce_log`` makes of the same messages, without
+    entries that the watermark hasn't passed yet.
+
+    Messages may come out of order by ``lateness``; later ones than that are dropped. A message without a time is
+    dropped. The state is the messages of open entries. Start the stream inside ``rocksdb_state``.
     """
-    return messages.groupBy("task_id").applyInPandasWithState(
-        _log_step,
-        "task_id string, anchor_ms bigint, ts_ms bigint, message string",
-        "anchor_ms bigint",
-        "append",
-        GroupStateTimeout.NoTimeout,
+    timed = messages.select("task_id", F.col("seq").cast("long").alias("seq"), "ts_ms", "message")
+    timed = timed.withColumn("event_time", F.timestamp_millis("ts_ms")).withWatermark("event_time", lateness)
+    return timed.groupBy("task_id").transformWithStateInPandas(
+        LogEntries(),
+        outputStructType="task_id string, anchor_ms bigint, n_messages bigint, text string",
+        outputMode="append",
+        timeMode="eventTime",
     )
