@@ -7,7 +7,7 @@ from datetime import datetime
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from corpusloom.operators import documents, search
+from corpusloom.operators import documents, search, similar
 from corpusloom.operators.search import Clause
 from corpusloom.plans import fixtures as fx
 from corpusloom.session import new_path
@@ -77,6 +77,11 @@ def more_like_newest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return search.more_like_this(stored_index(spark, sf_dir), seeds, 5).select("seed_id", "id", "score")
 
 
+def similar_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Similar pages for every document."""
+    return similar.similar_pages(stored_index(spark, sf_dir), 5).select("seed_id", "id", "score")
+
+
 QUERIES = {
     "g1_index_terms": index_terms,
     "g2_ranked_search": ranked_search,
@@ -84,6 +89,7 @@ QUERIES = {
     "g3_field_search": field_search,
     "g4_more_like_one": more_like_one,
     "g5_more_like_newest": more_like_newest,
+    "g5_similar_pages": similar_pages,
 }
 
 _BASE = fx.with_sql(
@@ -136,4 +142,5 @@ CHECKS = {
         5,
     )
     + ")",
+    "g5_similar_pages": "SELECT seed_id, id, score FROM (" + _similar("SELECT id FROM docs", 5) + ")",
 }

@@ -9,7 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from corpusloom.functions import tokens
-from corpusloom.operators import aggregates, documents, extraction, frontier, mutations, search, tasks, text_analysis
+from corpusloom.operators import aggregates, documents, extraction, frontier, mutations, search, similar, tasks, text_analysis
 from corpusloom.session import broadcast_if_small, is_small, new_path
 from corpusloom.sources import sinks, snapshots
 from corpusloom.sources.raw_pages import as_raw_pages
@@ -288,3 +288,77 @@ def test_re_extraction_with_the_same_template_changes_nothing(spark):
 
 def test_raw_pages_get_missing_columns(spark):
     assert as_raw_pages(spark.createDataFrame([("u",)], "url string")).columns == ["url", "html", "status", "content_type", "content_length"]
+
+
+@pytest.mark.parametrize("size", [1, 4])
+def test_similar_pages_are_those_of_each_seed_alone(spark, size):
+    """All seeds at once, by bounds, against all matches; and far fewer pairs are scored than match."""
+    rng = random.Random(size)
+    topics = [[f"t{k}w{i}" for i in range(25)] for k in range(12)]
+    common = [f"common{i}" for i in range(15)]
+    docs = []
+    for i in range(240):
+        words = [rng.choice(rng.choice(topics) if rng.random() < 0.1 else topics[i % 12]) for _ in range(rng.randrange(0, 60))]
+        docs.append((i, " ".join(words + rng.choices(common, k=rng.randrange(0, 30)))))
+    docs += [(500 + i, docs[i][1]) for i in range(20)]
+    frame = spark.createDataFrame(docs, "id long, content string")
+    index = search.build_index(frame)
+    wanted = rows(search.more_like_this(index, frame, size).select("seed_id", "id", "score"))
+    assert rows(similar.similar_pages(index, size).select("seed_id", "id", "score")) == wanted and wanted
+    terms = similar.typical_of_all(index, search.MLT_TERMS, search.MLT_MIN_DOC_FREQ, search.MLT_MIN_MATCH)
+    postings = similar.weighted_postings(index, terms)
+    bars = similar.scores_to_reach(terms, postings, size)
+    scored = similar.candidates(similar.lookups(terms, postings, bars), postings).count()
+    matches = terms.join(postings.select("term", "id"), "term").count()
+    assert scored < matches / 4
+
+
+def test_stream_of_log_entries(spark):
+    """Messages out of order and over batches; entries over a batch edge, without a text, and still open."""
+    from corpusloom.plans.queries_streams import _in_two_batches
+    from corpusloom.streaming import live
+
+    rng = random.Random(2)
+    start, schema = 1_700_000_000_000, "task_id string, seq long, ts_ms long, message string"
+    messages = []
+    for task in ("a", "b", None):
+        at = start
+        for seq in range(150):
+            at += rng.choice([0, 10, 500, 1500, 1999, 2000, 2500])
+            messages.append((task, seq, at, rng.choice(["x", "y", None, "<br/>"])))
+    middle = start + 80_000
+    early = [m for m in messages if m[2] < middle]
+    # Some late ones come with the second batch, within the allowed lateness.
+    held = [m for m in early if m[2] > middle - 4000 and m[1] % 2]
+    first = [m for m in early if m not in held]
+    second = held + [m for m in messages if m[2] >= middle] + [("end", 0, start + 10**7, "end"), ("a", 0, None, "no time")]
+    rng.shuffle(first)
+    rng.shuffle(second)
+    path, whole = new_path(spark, "entries"), spark.createDataFrame(messages, schema)
+    with live.rocksdb_state(spark):
+        _in_two_batches(spark, spark.createDataFrame(first, schema), spark.createDataFrame(second, schema), live.log_stream, path)
+    got = spark.read.parquet(path)
+    assert sorted(map(tuple, got.collect()), key=str) == sorted(map(tuple, tasks.coalesce_log(whole).collect()), key=str)
+    assert spark.conf.get("spark.sql.streaming.stateStore.providerClass").endswith("HDFSBackedStateStoreProvider")
+
+
+def test_run_state_is_dropped(spark):
+    from corpusloom.plans.queries_streams import _in_two_batches  # noqa: F401
+    from corpusloom.streaming import live
+
+    source, progress, out = (new_path(spark, label) for label in ("source", "progress", "out"))
+
+    def run() -> int:
+        stream = spark.readStream.schema("run_id string, url string").parquet(source)
+        query = live.unseen_urls(stream).writeStream.format("parquet").option("path", out)
+        query.option("checkpointLocation", progress).trigger(availableNow=True).start().awaitTermination()
+        return spark.read.parquet(out).count()
+
+    links = spark.createDataFrame([("r", "u"), ("r", "v"), ("r", "u")], "run_id string, url string")
+    links.write.parquet(source)
+    assert run() == 2
+    links.write.mode("append").parquet(source)
+    assert run() == 2
+    assert live.drop_run_state(spark, progress) and not live.drop_run_state(spark, progress)
+    out = new_path(spark, "out")
+    assert run() == 2
