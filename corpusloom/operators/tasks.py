@@ -245,7 +245,8 @@ def _inner_blocks(stretches: DataFrame) -> DataFrame:
 def coalesce_log(messages: DataFrame) -> DataFrame:
     """``task_id, anchor_ms, n_messages, text``: messages (``task_id, seq, ts_ms, message``) as log entries.
 
-    The texts of an entry are joined by ``<br/>`` in order of time, then ``seq``.
+    The texts of an entry are joined by ``<br/>`` in order of time, then ``seq``. Messages without a task or a time
+    are left out.
     """
     placed = messages.withColumn("piece", F.floor(F.col("ts_ms") / LOG_PIECE_MS))
     anchors = log_anchors(messages)

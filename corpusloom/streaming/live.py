@@ -157,10 +157,10 @@ def log_stream(messages: DataFrame, lateness: str = "10 seconds") -> DataFrame:
     once, when it is over. What comes out is what ``tasks.coalesce_log`` makes of the same messages, without
     entries that the watermark hasn't passed yet.
 
-    Messages may come out of order by ``lateness``; later ones than that are dropped. A message without a time is
-    dropped. The state is the messages of open entries. Start the stream inside ``rocksdb_state``.
+    Messages may come out of order by ``lateness``; later ones than that are dropped, and so is a message without
+    a task or a time. The state is the messages of open entries. Start the stream inside ``rocksdb_state``.
     """
-    timed = messages.select("task_id", F.col("seq").cast("long").alias("seq"), "ts_ms", "message")
+    timed = messages.filter("task_id is not null").select("task_id", F.col("seq").cast("long").alias("seq"), "ts_ms", "message")
     timed = timed.withColumn("event_time", F.timestamp_millis("ts_ms")).withWatermark("event_time", lateness)
     return timed.groupBy("task_id").transformWithStateInPandas(
         LogEntries(),
