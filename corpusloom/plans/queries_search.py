@@ -7,7 +7,7 @@ from datetime import datetime
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from corpusloom.operators import documents, search, similar
+from corpusloom.operators import documents, field_index, search, similar
 from corpusloom.operators.search import Clause
 from corpusloom.plans import fixtures as fx
 from corpusloom.session import new_path
@@ -63,6 +63,37 @@ def field_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("id", "domain", "category", F.col("n_should").cast("long").alias("n_should"))
 
 
+def _field_index(spark: SparkSession, sf_dir: str) -> field_index.FieldIndex:
+    path = new_path(spark, "field-index")
+    fields = ("content", "domain", "category", "spiderUUID")
+    field_index.write_field_index(fx.documents(spark, sf_dir), path, fields, ("gatherTime",), buckets=8)
+    return field_index.read_field_index(spark, path)
+
+
+def indexed_field_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same clauses on the stored index of fields, page by page of ids, with their documents."""
+    found = field_index.search_fields(_field_index(spark, sf_dir), CLAUSES, 30, 1)
+    docs = fx.documents(spark, sf_dir).select("id", "domain", "category")
+    return docs.join(F.broadcast(found), "id").select(
+        "id", "domain", "category", F.col("n_should").cast("long").alias("n_should")
+    )
+
+
+#: No clause must hold: one of the others has to, and one must not.
+ANY_CLAUSES = (
+    Clause("domain", "is", "src3", "should"),
+    Clause("content", "match", "ening", "should"),
+    Clause("gatherTime", "from", datetime(2024, 1, 25), "should"),
+    Clause("category", "is", "en", "not"),
+)
+
+
+def any_field_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The second page of documents that meet any of several clauses."""
+    found = field_index.search_fields(_field_index(spark, sf_dir), ANY_CLAUSES, 25, 2)
+    return found.select("id", F.col("n_should").cast("long").alias("n_should"))
+
+
 def more_like_one(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = fx.texts(spark, sf_dir)
     found = search.more_like_this(stored_index(spark, sf_dir), documents.by_id(docs, 7), 15)
@@ -87,6 +118,8 @@ QUERIES = {
     "g2_ranked_search": ranked_search,
     "g2_all_scores": all_scores,
     "g3_field_search": field_search,
+    "g3_indexed_field_search": indexed_field_search,
+    "g3_any_field_search": any_field_search,
     "g4_more_like_one": more_like_one,
     "g5_more_like_newest": more_like_newest,
     "g5_similar_pages": similar_pages,
@@ -134,6 +167,11 @@ CHECKS = {
         WHERE list_has_any({fx.TOKENS_SQL}, ['ening', 'que']) AND domain <> 'src3'
           AND "gatherTime" BETWEEN TIMESTAMP '2024-01-05' AND TIMESTAMP '2024-01-20'
         ORDER BY n_should DESC, "gatherTime" DESC, id LIMIT 30""",
+    "g3_any_field_search": fx.with_sql(fx.DOCUMENTS_SQL)
+    + f"""SELECT id, n_should FROM (
+        SELECT id, category, "gatherTime", (domain = 'src3')::BIGINT + list_contains({fx.TOKENS_SQL}, 'ening')::BIGINT
+          + ("gatherTime" >= TIMESTAMP '2024-01-25')::BIGINT AS n_should FROM docs)
+        WHERE n_should > 0 AND category <> 'en' ORDER BY n_should DESC, "gatherTime" DESC, id LIMIT 25 OFFSET 25""",
     "g4_more_like_one": _similar("SELECT 7 AS id", 15),
     "g5_more_like_newest": "SELECT seed_id, id, score FROM ("
     + _similar(
@@ -144,3 +182,4 @@ CHECKS = {
     + ")",
     "g5_similar_pages": "SELECT seed_id, id, score FROM (" + _similar("SELECT id FROM docs", 5) + ")",
 }
+CHECKS["g3_indexed_field_search"] = CHECKS["g3_field_search"]

@@ -3,13 +3,14 @@
 from __future__ import annotations
 
 import random
+import re
 from datetime import datetime
 
 import pytest
 from pyspark.sql import functions as F
 
 from corpusloom.functions import tokens
-from corpusloom.operators import aggregates, documents, extraction, frontier, mutations, search, similar, tasks, text_analysis
+from corpusloom.operators import aggregates, documents, extraction, field_index, frontier, mutations, search, similar, tasks, text_analysis
 from corpusloom.session import broadcast_if_small, is_small, new_path
 from corpusloom.sources import sinks, snapshots
 from corpusloom.sources.raw_pages import as_raw_pages
@@ -362,3 +363,39 @@ def test_run_state_is_dropped(spark):
     assert live.drop_run_state(spark, progress) and not live.drop_run_state(spark, progress)
     out = new_path(spark, "out")
     assert run() == 2
+
+
+def test_indexed_field_search_gives_what_a_scan_gives(spark):
+    rng = random.Random(8)
+    words = ["red", "green", "blue", "Sky", "sea"]
+    schema = (
+        "id string, content string, title string, domain string, keywords array<string>, gatherTime timestamp, "
+        "n long, dynamic_fields map<string,string>"
+    )
+    docs = []
+    for i in range(120):
+        text = " ".join(rng.choices(words, k=rng.randrange(0, 5)))
+        fields = {"colour": rng.choice(words), "note": text} if i % 3 else None
+        docs.append((f"d{i}", rng.choice([text, None]), rng.choice([text, None]), rng.choice(["a.com", "b.com", None]),
+                     rng.choice([None, [], words[:2], words[2:]]), datetime(2024, 1, 1 + i % 9), rng.choice([None, i % 17]), fields))
+    frame = spark.createDataFrame(docs, schema)
+    path = new_path(spark, "field-index")
+    fields = ("content", "title", "domain", "keywords", "dynamic_fields", "n")
+    field_index.write_field_index(frame, path, fields, ("gatherTime", "n"), buckets=16, rows_per_file=200)
+    index = field_index.read_field_index(spark, path)
+    choices = [
+        ("content", "match", "red sky"), ("title", "match", "blue"), ("title", "match", "nothing here"), ("domain", "is", "a.com"),
+        ("keywords", "is", "red"), ("n", "is", 5), ("n", "from", 4), ("n", "to", 12), ("gatherTime", "from", datetime(2024, 1, 4)),
+        ("gatherTime", "to", datetime(2024, 1, 7)), ("dynamic_fields.colour", "is", "Sky"), ("dynamic_fields.note", "match", "sea"),
+    ]
+    for turn in range(14):
+        picked = rng.sample(choices, rng.randrange(1, 5))
+        needs = ["not"] if turn == 0 else ["should", "not"] if turn % 3 == 0 else ["must", "should", "not"]
+        clauses = [search.Clause(*c, rng.choice(needs)) for c in picked]
+        wanted = search.search_fields(frame, clauses, 15, 1 + turn % 2).select("id", "n_should")
+        got = field_index.search_fields(index, clauses, 15, 1 + turn % 2).select("id", "n_should")
+        assert rows(got) == rows(wanted), clauses
+    plan = field_index.looked_up(index, [search.Clause("domain", "is", "a.com")])._jdf.queryExecution().executedPlan().toString()
+    assert re.search(r"PartitionFilters: \[[^\]]*bucket", plan) and re.search(r"PushedFilters: \[[^\]]*key", plan)
+    with pytest.raises(ValueError, match="no zones"):
+        field_index.search_fields(index, [search.Clause("title", "from", "a")], 5, 1)
