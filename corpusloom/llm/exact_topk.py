@@ -21,11 +21,13 @@ from pyspark.sql import functions as F
 
 from corpusloom.llm.common import materialise
 
-#: Vectors of a block, queries of a block, pivots, and vectors that are evaluated at a time.
+#: Vectors of a block, queries of a block, pivots, and vectors that are evaluated first.
 BLOCK = 4096
 QUERIES = 512
 PIVOTS = 32
 STEP = 64
+#: Queries whose bounds are worked out at once.
+BOUNDED = 64
 SCALE = 256
 
 _BLOCKS = "dim int, block long, ids array<long>, vectors binary, to_pivots binary"
@@ -109,19 +111,31 @@ def _unpack(row: dict, side: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return ids, vectors, np.frombuffer(row[f"{side}_to_pivots"]).reshape(len(ids), -1)
 
 
-def best_of_block(query: np.ndarray, bounds: np.ndarray, ids: np.ndarray, vectors: np.ndarray, k: int):
-    """The k best ``(score, id)`` among the vectors, taken by descending bound until none can be better."""
-    order = np.argsort(-bounds, kind="stable")
+def _scores(query: np.ndarray, vectors: np.ndarray) -> np.ndarray:
+    """Inner products; floating point numbers are given only where they are exact."""
+    if vectors.dtype == np.float64:
+        return (vectors @ query).astype(np.int64)
+    return products(query[None, :], vectors)[0]
+
+
+def best_of_block(
+    query: np.ndarray, bounds: np.ndarray, others: np.ndarray, ids: np.ndarray, vectors: np.ndarray, k: int
+) -> tuple[np.ndarray, np.ndarray]:
+    """The k best ``(score, id)`` among the vectors numbered ``others``, taken by descending bound until none can be better."""
+    order = others[np.argsort(-bounds[others])]
     found_ids, found = np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.int64)
-    for at in range(0, len(order), STEP):
+    at, step = 0, STEP
+    while at < len(order):
         if len(found) >= k and bounds[order[at]] < found[k - 1]:
             break
-        chosen = order[at : at + STEP]
-        found = np.concatenate([found, products(query[None, :], vectors[chosen])[0]])
+        # Bounds that have not ended the search yet will hardly do so soon: ever more vectors are taken at a time.
+        chosen = order[at : at + step]
+        found = np.concatenate([found, _scores(query, vectors[chosen])])
         found_ids = np.concatenate([found_ids, ids[chosen]])
         # Ties to the smaller id; equal ids can't be told apart.
         best = np.lexsort((found_ids, _descending(found)))[:k]
         found, found_ids = found[best], found_ids[best]
+        at, step = at + step, 2 * step
     return found, found_ids
 
 
@@ -129,6 +143,16 @@ def _descending(scores: np.ndarray) -> np.ndarray:
     return ~scores  # no overflow at the smallest number
 
 
+def bounds_of(queries: np.ndarray, to_pivots: np.ndarray, vectors: np.ndarray, pivots: np.ndarray) -> np.ndarray:
+    """Upper bounds of the inner products of some queries (rows) with the vectors of a block (columns)."""
+    apart = np.zeros((len(queries), len(vectors)))
+    for p in range(pivots.shape[1]):
+        np.maximum(apart, np.abs(to_pivots[:, p, None] - pivots[None, :, p]), out=apart)
+    squares = (queries.astype(np.float64) ** 2).sum(axis=1)[:, None] + (vectors.astype(np.float64) ** 2).sum(axis=1)[None, :]
+    # Rounding of the distances is made up for, so no bound is too low.
+    return (squares - np.maximum(apart - 1e-6 * (1 + apart), 0.0) ** 2) / 2 + 1e-9 * squares + 1.0
+
+
 def _searcher(k: int) -> Callable:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -136,20 +160,16 @@ def _searcher(k: int) -> Callable:
                 row = {name: batch.column(name)[i].as_py() for name in batch.schema.names}
                 q_ids, queries, q_pivots = _unpack(row, "q")
                 ids, vectors, pivots = _unpack(row, "x")
-                squares = (vectors.astype(np.float64) ** 2).sum(axis=1)
+                if _reach(queries) * _reach(vectors) * vectors.shape[1] < _EXACT:
+                    queries, vectors = queries.astype(np.float64), vectors.astype(np.float64)
                 out: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
-                for q_id, query, to_pivots in zip(q_ids, queries, q_pivots):
-                    apart = np.abs(pivots[:, 0] - to_pivots[0])
-                    for p in range(1, pivots.shape[1]):
-                        np.maximum(apart, np.abs(pivots[:, p] - to_pivots[p]), out=apart)
-                    own = float((query.astype(np.float64) ** 2).sum())
-                    # Rounding of the distances is made up for, so no bound is too low.
-                    slack = 1e-9 * (own + squares) + 1.0
-                    bounds = (own + squares - np.maximum(apart - 1e-6 * (1 + apart), 0.0) ** 2) / 2 + slack
-                    bounds[ids == q_id] = -np.inf
-                    others = ids != q_id
-                    found, found_ids = best_of_block(query, bounds[others], ids[others], vectors[others], k)
-                    out.append((np.full(len(found), q_id), found_ids, found))
+                for at in range(0, len(q_ids), BOUNDED):
+                    part = slice(at, at + BOUNDED)
+                    bounds = bounds_of(queries[part], q_pivots[part], vectors, pivots)
+                    for q_id, query, bound in zip(q_ids[part], queries[part], bounds):
+                        others = np.flatnonzero(ids != q_id)
+                        found, found_ids = best_of_block(query, bound, others, ids, vectors, k)
+                        out.append((np.full(len(found), q_id), found_ids, found))
                 if out:
                     yield pa.record_batch(
                         [pa.array(np.concatenate(x)) for x in zip(*out)], names=["query_id", "vec_id", "score"]

@@ -270,6 +270,6 @@ def test_elimination_skips_vectors():
     vectors = rng.integers(-300, 300, (2000, 4))
     query = vectors[0] * 3
     bounds = (vectors @ query).astype(float) + 1
-    found, ids = exact_topk.best_of_block(query, bounds, np.arange(2000), vectors, 5)
+    found, ids = exact_topk.best_of_block(query, bounds, np.arange(2000), np.arange(2000), vectors, 5)
     order = np.lexsort((np.arange(2000), -(vectors @ query)))[:5]
     assert ids.tolist() == order.tolist() and found.tolist() == (vectors @ query)[order].tolist()
