@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from corpusloom.llm.common import ROW, leave, settle, with_row_numbers
+from corpusloom.llm.common import ROW, giving_back, leave, settle, with_row_numbers
 from corpusloom.llm.words import Words, mix, shingles_at, words_of
 
 #: Words of a shingle, and the least similarity in hundredths.
@@ -202,7 +202,7 @@ def find_leaks(
     found = spark.createDataFrame([], _FOUND)
     for items in _passes(benchmark, item_id, "text"):
         index = spark.sparkContext.broadcast(index_items(items))
-        found = found.union(rows.mapInArrow(_finder(index), _FOUND))
+        found = found.union(rows.mapInArrow(giving_back(_finder(index)), _FOUND))
     return found
 
 

@@ -20,7 +20,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpusloom.llm.common import materialise
+from corpusloom.llm.common import giving_back, materialise
 from corpusloom.llm.words import LOWER, buffers, place_hashes, spans, word_places
 from corpusloom.session import drop_path, new_path
 
@@ -413,10 +413,10 @@ def write_ids(
     tie = F.xxhash64("text")
     ordered = rows.repartitionByRange(parts, F.col("doc_id"), tie).sortWithinPartitions("doc_id", tie, "text")
     tokens_path = new_path(spark, "token-ids")
-    tokens = materialise(ordered.mapInArrow(_tokeniser(tokenizer, end_id), _TOKENS), "token-ids", tokens_path)
+    tokens = materialise(ordered.mapInArrow(giving_back(_tokeniser(tokenizer, end_id)), _TOKENS), "token-ids", tokens_path)
 
     dtype = tokenizer_at(tokenizer).dtype.str
-    counted = tokens.select("part", "n", "ids").mapInArrow(_counter(dtype), "kind int, key long, n long")
+    counted = tokens.select("part", "n", "ids").mapInArrow(giving_back(_counter(dtype)), "kind int, key long, n long")
     totals = counted.groupBy("kind", "key").agg(F.sum("n").alias("n")).toArrow()  # a row per id and part
     kind, key, n = (totals[c].to_numpy() for c in ("kind", "key", "n"))
     order = np.argsort(key[kind == 0])
@@ -429,7 +429,7 @@ def write_ids(
 
     share = spark.sparkContext.broadcast
     encoder = _encoder(dtype, share(Code(symbols, lengths)), share(starts))
-    tokens.mapInArrow(encoder, _BLOCKS).write.partitionBy("part").parquet(f"{path}/blocks")
+    tokens.mapInArrow(giving_back(encoder), _BLOCKS).write.partitionBy("part").parquet(f"{path}/blocks")
     drop_path(spark, tokens_path)
     code_rows = list(zip(symbols.tolist(), lengths.tolist()))
     spark.createDataFrame(code_rows, "id long, bits int").coalesce(1).write.parquet(f"{path}/codes")
@@ -442,4 +442,4 @@ def read_ids(spark: SparkSession, path: str) -> DataFrame:
     code = Code(table["id"].to_numpy(), table["bits"].to_numpy().astype(np.int64))
     blocks = spark.read.schema(_BLOCKS).parquet(f"{path}/blocks").select("start", "doc_ids", "counts", "bits", "offsets")
     schema = "doc_id long, start long, n_tokens long, ids binary"
-    return blocks.mapInArrow(_decoder(spark.sparkContext.broadcast(code)), schema)
+    return blocks.mapInArrow(giving_back(_decoder(spark.sparkContext.broadcast(code))), schema)

@@ -17,6 +17,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from corpusloom.llm.common import giving_back
 from corpusloom.llm.words import buffers, spans
 
 #: Byte n-grams of one to this many bytes, and the places they are hashed to.
@@ -126,7 +127,7 @@ def train(rows: DataFrame, text: str = "text", language: str = "lang") -> Model:
     counts = np.zeros((len(languages), BUCKETS))
     if languages:
         counter = _counter({x: i for i, x in enumerate(languages)})
-        summed = named.mapInArrow(counter, "language long, bucket long, n long")
+        summed = named.mapInArrow(giving_back(counter), "language long, bucket long, n long")
         totals = summed.groupBy("language", "bucket").agg(F.sum("n").alias("n")).toArrow()
         counts[totals["language"].to_numpy(), totals["bucket"].to_numpy()] = totals["n"].to_numpy()
     return fit(languages, counts)
@@ -172,6 +173,7 @@ def _has_letter(text: bytes) -> bool:
 def _predictor(shared) -> Callable:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = shared.value
+        weights = np.ascontiguousarray(model.weights.T)
         for batch in batches:
             bounds, raw = buffers(batch.column(0))
             n = len(batch)
@@ -180,7 +182,8 @@ def _predictor(shared) -> Callable:
             for first, last, data, starts in _pieces(batch.column(0)):
                 sums = np.zeros((last - first, model.words.shape[1]))
                 for found in _buckets(data):
-                    sums += np.add.reduceat(model.weights[found], starts, axis=0)
+                    for bit, own in enumerate(weights):
+                        sums[:, bit] += np.add.reduceat(own[found], starts)
                 lengths = np.diff(np.r_[starts, len(data)]) * ORDERS
                 margins[first:last] = sums / lengths[:, None]
                 n_grams[first:last] = lengths
@@ -213,7 +216,7 @@ def predict(docs: DataFrame, model: Model, keep: dict[str, Column], text: str =
     """
     rows = docs.select(F.col(text).cast("string").alias("__text"), *[c.alias(n) for n, c in keep.items()])
     schema = rows.drop("__text").schema.add("lang_pred", "string").add("score", "double").add("ambiguous", "boolean")
-    return rows.mapInArrow(_predictor(docs.sparkSession.sparkContext.broadcast(model)), schema)
+    return rows.mapInArrow(giving_back(_predictor(docs.sparkSession.sparkContext.broadcast(model))), schema)
 
 
 def keep_identified(docs: DataFrame, model: Model, text: str = "text", least: float = 0.3) -> DataFrame:
