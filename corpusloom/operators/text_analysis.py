@@ -228,9 +228,12 @@ def summaries(docs: DataFrame, k: int = SUMMARY_SENTENCES) -> DataFrame:
     )
 
 
-def entity_mentions(docs: DataFrame, gazetteer: DataFrame) -> DataFrame:
+def entity_mentions(docs: DataFrame, gazetteer: DataFrame, few: bool | None = None) -> DataFrame:
     """``id, type, surface``, distinct. ``gazetteer`` is a stored table with ``surface`` (tokens joined
-    by a space) and ``type`` (nr person, ns place, nt organisation)."""
+    by a space) and ``type`` (nr person, ns place, nt organisation).
+
+    A gazetteer that has been measured as small is broadcast; otherwise surfaces and names meet by a shuffle in
+    which the rows of a frequent surface are dealt out. ``few`` settles which without measuring."""
     longest = gazetteer.agg(F.max(F.size(F.split("surface", " ")))).first()[0] or 1
     def grams(words: Column) -> Column:
         return F.array_distinct(F.concat(*(tokens.grams(words, n) for n in range(1, longest + 1))))
@@ -238,15 +241,16 @@ def entity_mentions(docs: DataFrame, gazetteer: DataFrame) -> DataFrame:
     words = tokens.tokens(plain_content(F.col("content")))
     surfaces = docs.select("id", F.explode(values.let(words, grams)).alias("term"))
     names = gazetteer.select(F.col("surface").alias("term"), "type").distinct()
-    found = surfaces.join(F.broadcast(names), "term") if is_small(names) else join_on_term(surfaces, names, "id")
+    few = is_small(names) if few is None else few
+    found = surfaces.join(F.broadcast(names), "term") if few else join_on_term(surfaces, names, "id")
     return found.select("id", "type", F.col("term").alias("surface"))
 
 
-def named_entities(docs: DataFrame, gazetteer: DataFrame) -> DataFrame:
-    """``id, namedEntity`` with one array per type."""
+def named_entities(docs: DataFrame, gazetteer: DataFrame, few: bool | None = None) -> DataFrame:
+    """``id, namedEntity`` with one array per type; ``few`` is that of ``entity_mentions``."""
     per_type = [
         F.sort_array(F.collect_set(F.when(F.col("type") == kind, F.col("surface")))).alias(kind)
         for kind in ("nr", "ns", "nt")
     ]
-    found = entity_mentions(docs, gazetteer).groupBy("id").agg(*per_type)
+    found = entity_mentions(docs, gazetteer, few).groupBy("id").agg(*per_type)
     return found.select("id", F.struct("nr", "ns", "nt").alias("namedEntity"))
