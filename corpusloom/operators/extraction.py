@@ -43,17 +43,18 @@ def prepare_templates(templates: DataFrame) -> DataFrame:
     path_rules = F.array_compact(
         F.concat(F.array(*_PATH_COLUMNS), F.transform("dynamicFields", lambda f: f["xpath"]))
     )
-    full = full.withColumns(
+    full = dates.with_language_names(full).withColumns(
         {
             "pathRules": F.filter(F.array_distinct(path_rules), lambda r: ~selectors.is_flat(r)),
             "flatRules": F.transform(
                 F.filter(F.array_distinct(path_rules), selectors.is_flat), selectors.flat_rule
             ),
-            "datePieces": dates.format_pieces(F.col("publishTimeFormat")),
+            "datePieces": dates.format_pieces(F.col("publishTimeFormat"), F.col("months"), F.col("halves")),
             "linkReg": F.coalesce(F.col("urlReg"), urls.domain_link_regex(F.col("domain"))),
         }
     )
-    full = full.withColumn("dateRules", dates.format_rules("publishTimeFormat", "datePieces")).drop("datePieces")
+    date_rules = dates.format_rules("publishTimeFormat", "datePieces", "months", "pm")
+    full = full.withColumn("dateRules", date_rules).drop("datePieces", "months", "halves", "pm")
     return full.select(F.col("domain").alias("site"), F.col("id").alias("template_id"), F.struct("*").alias("tpl"))
 
 
