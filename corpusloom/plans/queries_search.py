@@ -90,7 +90,7 @@ ANY_CLAUSES = (
 
 def any_field_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The second page of documents that meet any of several clauses."""
-    found = field_index.search_fields(_field_index(spark, sf_dir), ANY_CLAUSES, 25, 2)
+    found = field_index.search_fields(_field_index(spark, sf_dir), ANY_CLAUSES, 5, 2)
     return found.select("id", F.col("n_should").cast("long").alias("n_should"))
 
 
@@ -171,7 +171,7 @@ CHECKS = {
     + f"""SELECT id, n_should FROM (
         SELECT id, category, "gatherTime", (domain = 'src3')::BIGINT + list_contains({fx.TOKENS_SQL}, 'ening')::BIGINT
           + ("gatherTime" >= TIMESTAMP '2024-01-25')::BIGINT AS n_should FROM docs)
-        WHERE n_should > 0 AND category <> 'en' ORDER BY n_should DESC, "gatherTime" DESC, id LIMIT 25 OFFSET 25""",
+        WHERE n_should > 0 AND category <> 'en' ORDER BY n_should DESC, "gatherTime" DESC, id LIMIT 5 OFFSET 5""",
     "g4_more_like_one": _similar("SELECT 7 AS id", 15),
     "g5_more_like_newest": "SELECT seed_id, id, score FROM ("
     + _similar(
