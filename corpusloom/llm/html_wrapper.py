@@ -31,7 +31,7 @@ from corpusloom.session import broadcast_if_small
 
 # Fixed values of HTML: elements without content, with raw content, and those that begin a new block.
 VOID = set("area base br col embed hr img input link meta param source track wbr".split())
-RAW = set("script style textarea title noscript iframe template svg math object audio video canvas select".split())
+RAW = set("script style textarea title iframe template svg audio video canvas select".split())
 BLOCKS = set(
     "address article aside blockquote body caption center dd details dialog div dl dt fieldset figcaption figure "
     "footer form h1 h2 h3 h4 h5 h6 header hgroup hr html legend li main menu nav ol optgroup option p pre section "
@@ -76,8 +76,10 @@ _TAG = re.compile(
     r"|<(/?)([a-zA-Z][^\s/>]*)([^>]*)>",
     re.DOTALL,
 )
-_MARKING = re.compile(r"(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))", re.IGNORECASE)
-_HIDDEN = re.compile(r"(?:^|\s)hidden(?:\s|=|/|$)|aria-hidden\s*=\s*[\"']?true|display\s*:\s*none", re.IGNORECASE)
+_ATTRIBUTE = re.compile(r"""([^\s"'<>/=]+)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""")
+#: Attributes without any of these need not be taken apart.
+_TELLING = re.compile("class|id|role|hidden|style", re.IGNORECASE)
+_UNSEEN = re.compile(r"display\s*:\s*none", re.IGNORECASE)
 _WORDS = re.compile(r"[a-z]+")
 
 
@@ -89,13 +91,16 @@ def label_of(tag: str, attributes: str) -> str:
     """
     if tag in DROPPED or tag in RAW:
         return "!" + tag
-    if attributes and tag not in _EXEMPT:
-        marks = {w for m in _MARKING.finditer(attributes) for w in (m[1] or m[2] or m[3] or "").lower().split()}
-        if _HIDDEN.search(attributes):
+    if attributes and tag not in _EXEMPT and _TELLING.search(attributes):
+        given: dict[str, str] = {}
+        for m in _ATTRIBUTE.finditer(attributes):
+            given.setdefault(m[1].lower(), m[2] or m[3] or m[4] or "")
+        if "hidden" in given or given.get("aria-hidden", "").lower() == "true" or _UNSEEN.search(given.get("style", "")):
             return "!" + tag
+        marks = {w for name in ("class", "id", "role") for w in given.get(name, "").lower().split()}
         if any((parts := _WORDS.findall(w)) and DROPPED_WORDS.issuperset(parts) for w in marks):
             return "?" + tag
-        if tag != "article" and "main" in marks and re.search(r"role\s*=\s*[\"']?main", attributes, re.IGNORECASE):
+        if tag != "article" and given.get("role", "").lower() == "main":
             return "main"
     return tag
 
@@ -147,9 +152,12 @@ def events(html: str) -> list[tuple[str, str]]:
 
 def _marked_events(html: str) -> Iterator[tuple[str, str]]:
     stack: list[tuple[str, str]] = []
-    at, end = 0, len(html)
+    # Nothing after the last > is a tag, so the search for the end of one never runs further; a comment or
+    # declaration that begins there goes on to the end.
+    last = html.rfind(">") + 1
+    at, end = 0, min((x for x in (html.find("<!", last), html.find("<?", last)) if x >= 0), default=len(html))
     while at < end:
-        found = _TAG.search(html, at)
+        found = _TAG.search(html, at, last) if at < last else None
         text = html[at : found.start() if found else end]
         if text:
             yield "text", html_entities.unescape(text)

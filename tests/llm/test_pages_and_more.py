@@ -34,9 +34,22 @@ CASES = [
     ("", ""),
     (None, ""),
     ("<article><h1>A</h1><hr>b</article>", "A\nb"),
+    ("<article><p title='a hidden gem'>yes</p><p data-x='display: none'>too</p><p data-role=search>also</p></article>", "yes\ntoo\nalso"),
+    ("<article>a <math><mi>x</mi></math> <object>o</object><noscript>n</noscript> b</article>", "a x on b"),
+    ("<article><p>a</p></article> tail <!-- never closed <p>b", "a"),
+    ("<article><p>a < b</p><p>c <a href='x", "a < b\nc <a href='x"),
 ]
 
 
+def test_unclosed_tags_are_scanned_once():
+    import time
+
+    start = time.perf_counter()
+    for page in ("<a " * 350_000, "<article>x " + "<a href=" * 120_000, "<!-- " * 200_000):
+        list(html_wrapper.events(page))
+    assert time.perf_counter() - start < 5
+
+
 def test_main_text_of_single_pages(spark):
     rows = [(i, f"http://h{i}.example/x", html, "clash") for i, (html, _) in enumerate(CASES)]
     pages = spark.createDataFrame(rows, "page_id long, url string, html string, text string")
