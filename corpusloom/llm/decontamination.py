@@ -209,9 +209,11 @@ def find_leaks(
 def drop_leaky(docs: DataFrame, benchmark: DataFrame, stored: bool = False) -> DataFrame:
     """The rows of ``docs`` that hold no benchmark item, with all their columns.
 
-    Every row is judged by its own text, whether its id is repeated or null. ``stored`` is that of
-    ``with_row_numbers``.
+    Every row is judged by its own text, whether its id is repeated or null, and every item counts, whether it has
+    an id or not. ``stored`` is that of ``with_row_numbers``.
     """
     rows = with_row_numbers(docs, stored)
-    found = find_leaks(rows, benchmark, doc_id=ROW).select(F.col("doc_id").alias(ROW)).distinct()
+    # Items are told apart by their texts here, so that those without an id are looked for too.
+    items = benchmark.select(F.xxhash64("text").alias("item_id"), "text")
+    found = find_leaks(rows, items, doc_id=ROW).select(F.col("doc_id").alias(ROW)).distinct()
     return leave(rows, settle(docs.sparkSession, "leaky-rows", lambda: found)).select(*docs.columns)

@@ -141,6 +141,15 @@ def test_settled_steps_leave_their_result_only(spark):
     assert not Path(seen[0].removeprefix("file://")).exists()
 
 
+def test_items_without_an_id_are_leaks_too(spark):
+    rng = random.Random(12)
+    texts = [text_of(rng, 80) for _ in range(6)]
+    docs = frame(spark, [(i, t, "en", "s", 1, 7, "x", 0.5) for i, t in enumerate(texts)])
+    items = spark.createDataFrame([(None, texts[2]), (5, texts[4]), (None, None)], "item_id long, text string")
+    kept = decontamination.drop_leaky(docs, items)
+    assert sorted(r.doc_id for r in kept.collect()) == [0, 1, 3, 5]
+
+
 def test_pipeline_of_odd_rows(spark, tmp_path):
     """Nulls in every column, repeated rows, clashing columns; then empty tables."""
     import corpus_pipeline
