@@ -243,6 +243,68 @@ def test_long_items_with_a_run_of_changed_words_are_found(spark):
     assert got == {(k, k) for k, (_, x) in enumerate(items) if plain.leaks([(k, texts[k])], [(k, x)])}
 
 
+def test_blocks_find_all_prints_within_the_radius():
+    rng = np.random.default_rng(4)
+    words = [rng.integers(0, 2**63, 24).astype(np.uint64) for _ in range(300)]
+    group = decontamination.Group(24, list(range(300)), words)
+    probes = group.prints[rng.integers(0, 300, 200)].copy()
+    for i, probe in enumerate(probes):
+        for bit in rng.choice(decontamination.BITS, i % 100, replace=False):
+            probe[bit // 16] ^= np.uint16(1 << (bit % 16))
+    for most in (0, 3, 15, 16, 40, 75, 100):
+        window, item, bits = group.near(probes, most)
+        apart = np.array([[sum((int(x) ^ int(y)).bit_count() for x, y in zip(p, q)) for q in group.prints] for p in probes])
+        assert sorted(zip(window, item)) == sorted(zip(*np.nonzero(apart <= most))) and len(window)
+        assert (bits == apart[window, item]).all()
+
+
+def test_allowances_leave_no_print_out():
+    for most in range(200):
+        allowed = decontamination.allowances(most)
+        assert sum(x + 1 for x in allowed) == most + 1 and min(allowed) >= -1
+
+
+def test_prints_of_windows_are_those_of_their_sets():
+    rng = np.random.default_rng(5)
+    shingles = decontamination.mix(rng.integers(0, 40, 400).astype(np.uint64))
+    shingles[100:200] = decontamination.mix(np.arange(100, 200).astype(np.uint64))
+    shingles[300:350] = shingles[0]
+    for span in (1, 7, 60):
+        starts = np.r_[0:90, 95:180, 250:341]
+        got = decontamination.window_prints(shingles, starts, span)
+        for start, own in zip(starts.tolist(), got):
+            window = Counter(shingles[start : start + span].tolist())
+            single = [(x, k) for x, n in window.items() for k in range(n)]
+            features = [decontamination.mix(np.array([x], dtype=np.uint64) + np.array([k], dtype=np.uint64) * decontamination._NEXT) for x, k in single]
+            assert (own == decontamination.print_of(np.concatenate(features))).all()
+
+
+def test_similar_sets_lie_within_the_radius():
+    """However the sets are made, those that are just similar enough have a bounded distance."""
+    rng = np.random.default_rng(6)
+    assert decontamination.radius(1, 1) == decontamination.radius(8, 8) == 0
+    for size in (9, 10, 18, 55, 500):
+        shared = decontamination.least_shared(size, size)
+        most = decontamination.radius(size, size)
+        assert most < 90
+        for _ in range(60):
+            both = rng.integers(0, 2**63, shared).astype(np.uint64)
+            one, other = (np.r_[both, rng.integers(0, 2**63, size - shared).astype(np.uint64)] for _ in range(2))
+            prints = decontamination.print_of(one) ^ decontamination.print_of(other)
+            assert sum(int(x).bit_count() for x in prints) <= most
+
+
+def test_repeated_words_and_items_of_one_size_are_found(spark):
+    rng = random.Random(13)
+    items = [(k, text_of(rng, 40, 6)) for k in range(10)] + [(10, "la " * 40), (11, "la " * 20 + "lu " * 20)]
+    texts: list[str | None] = ["la " * 3000, "la " * 12, "la lu " * 300, "la " * 25 + "lu " * 35]
+    texts += [f"{text_of(rng, 30, 6)} {edited(rng, x, k % 2)} {text_of(rng, 300, 6)}" for k, x in items]
+    rows = plain.rows_with_edges(texts)
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    got = {(r.doc_id, r.item_id) for r in decontamination.find_leaks(frame(spark, rows), bench).collect()}
+    assert got == plain.leaks([r[:2] for r in rows], items) and {(0, 10), (3, 11), (4, 0)} <= got
+
+
 def plain_targets(sizes: dict, share: float = 1.5, repeats: float = 2.0) -> dict:
     names = sorted((s for s in sizes if s is not None), key=lambda s: s.encode()) + [None] * (None in sizes)
     weight = {s: (5, 2, 1)[i % 3] for i, s in enumerate(names)}
