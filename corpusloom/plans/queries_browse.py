@@ -3,12 +3,14 @@
 from __future__ import annotations
 
 from datetime import datetime
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpusloom.operators import documents, mutations, tasks
+from corpusloom.operators import documents, listing, mutations, tasks
 from corpusloom.plans import fixtures as fx
+from corpusloom.session import new_path
 
 
 def _shown(docs: DataFrame) -> DataFrame:
@@ -56,6 +58,48 @@ def full_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _shown(fx.documents(spark, sf_dir))
 
 
+_NEWEST_FIRST = (("gatherTime", True), ("id", False))
+
+
+def _listed(docs: DataFrame, by: str | None = None) -> listing.Listing:
+    """``docs``, newest first, laid out and read again."""
+    path = new_path(docs.sparkSession, "listing")
+    listing.write_listing(docs, path, _NEWEST_FIRST, by)
+    return listing.read_listing(docs.sparkSession, path)
+
+
+def deep_page(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The page of 15 in the middle of all documents."""
+    newest_first = _listed(fx.documents(spark, sf_dir))
+    return _shown(listing.page(newest_first, 15, listing.total(newest_first) // 30 + 1))
+
+
+def deep_page_of_domain(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The last page of 4 of a domain, with the number of its documents."""
+    by_domain = _listed(fx.documents(spark, sf_dir), "domain")
+    total = listing.total(by_domain, "src5")
+    return _shown(listing.page(by_domain, 4, max(1, -(-total // 4)), "src5")).withColumn("total", F.lit(total).cast("long"))
+
+
+def resumed_scroll(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Three batches of 50 documents of a run, each read behind the cursor of the one before, the first behind
+    the document in the middle."""
+    by_run = _listed(fx.documents(spark, sf_dir), "spiderUUID")
+    cursor, batches = None, []
+    middle = listing.total(by_run, "run-3") // 2
+    if middle:
+        last_seen = listing.page(by_run, 1, middle, "run-3").select("gatherTime", "id")
+        cursor = listing.cursor_of(by_run, last_seen)
+    for number in (1, 2, 3):
+        batch = listing.after(by_run, 50, cursor, "run-3")
+        batches.append(_shown(batch).withColumn("batch", F.lit(number)))
+        last = batch.select("cursor").tail(1)
+        if not last:
+            break
+        cursor = last[0]["cursor"]
+    return reduce(DataFrame.unionByName, batches)
+
+
 def _task(events: DataFrame) -> DataFrame:
     return events.select("event_id", "task_id", "state", F.date_format("ts", "yyyy-MM-dd HH:mm:ss").alias("at"))
 
@@ -132,7 +176,10 @@ QUERIES = {
     "b9_tasks_by_state": tasks_by_state,
     "b9_tasks_by_time": tasks_by_time,
     "b9_tasks_count": tasks_count,
+    "b5_deep_page": deep_page,
+    "b2_deep_page_of_domain": deep_page_of_domain,
     "a11_full_scan": full_scan,
+    "a11_resumed_scroll": resumed_scroll,
     "a12_catalogue_find": catalogue_find,
     "a12_catalogue_find_one": catalogue_find_one,
     "a12_catalogue_page": catalogue_page,
@@ -163,7 +210,17 @@ CHECKS = {
     "b9_tasks_by_state": _T + _TASK + "WHERE state = 'STOP'",
     "b9_tasks_by_time": _T + _TASK + "WHERE ts > TIMESTAMP '2024-01-10' AND ts < TIMESTAMP '2024-01-12'",
     "b9_tasks_count": _T + "SELECT state, count(*) AS n FROM task_events GROUP BY state",
+    "b5_deep_page": _D + _SHOWN + _NEWEST + "LIMIT 15 OFFSET (SELECT 15 * (count(*) // 30) FROM docs)",
+    "b2_deep_page_of_domain": _D + """, own AS (SELECT *, count(*) OVER () AS total,
+          row_number() OVER (ORDER BY "gatherTime" DESC, id) AS nth FROM docs WHERE domain = 'src5')
+        SELECT id, domain, "spiderUUID", strftime("gatherTime", '%Y-%m-%d %H:%M:%S') AS gathered,
+          md5(content) AS content_md5, total FROM own WHERE nth > (total - 1) // 4 * 4""",
     "a11_full_scan": _D + _SHOWN,
+    "a11_resumed_scroll": _D + """, own AS (SELECT *, count(*) OVER () AS total,
+          row_number() OVER (ORDER BY "gatherTime" DESC, id) AS nth FROM docs WHERE "spiderUUID" = 'run-3')
+        SELECT id, domain, "spiderUUID", strftime("gatherTime", '%Y-%m-%d %H:%M:%S') AS gathered,
+          md5(content) AS content_md5, CAST((nth - total // 2 - 1) // 50 + 1 AS INTEGER) AS batch
+        FROM own WHERE nth > total // 2 AND nth <= total // 2 + 150""",
     "a12_catalogue_find": _PART + "WHERE p_brand = 'Brand#4'",
     "a12_catalogue_find_one": _PART + "WHERE p_brand = 'Brand#4' ORDER BY p_partkey DESC LIMIT 1",
     "a12_catalogue_page": """SELECT p_partkey, p_name, p_brand, p_size, (SELECT count(*) FROM part) AS total FROM part

@@ -10,7 +10,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from corpusloom.functions import tokens
-from corpusloom.operators import aggregates, documents, extraction, field_index, frontier, mutations, search, similar, tasks, text_analysis
+from corpusloom.operators import aggregates, documents, extraction, field_index, frontier, listing, mutations, search, similar, tasks, text_analysis
 from corpusloom.session import broadcast_if_small, is_small, new_path
 from corpusloom.sources import sinks, snapshots
 from corpusloom.sources.raw_pages import as_raw_pages
@@ -399,3 +399,72 @@ def test_indexed_field_search_gives_what_a_scan_gives(spark):
     assert re.search(r"PartitionFilters: \[[^\]]*bucket", plan) and re.search(r"PushedFilters: \[[^\]]*key", plan)
     with pytest.raises(ValueError, match="no zones"):
         field_index.search_fields(index, [search.Clause("title", "from", "a")], 5, 1)
+
+
+def _some_rows(n):
+    rng = random.Random(5)
+    times = [None, *(datetime(2024, 1, 1 + d, 3, 4, 5, d * 1001 + 1) for d in range(5))]
+    groups = ["hot"] * 6 + ["b", None, "c"]
+    return [(i, rng.choice(groups), rng.choice(times), f"x{i}") for i in range(n)]
+
+
+def _listed(spark, rows, by, order, rows_per_file=7):
+    path = new_path(spark, "listing")
+    frame = spark.createDataFrame(rows, "id int, g string, t timestamp, part string")
+    listing.write_listing(frame, path, order, by, rows_per_file)
+    return listing.read_listing(spark, path)
+
+
+def _in_order(rows, newest):
+    """Nulls last in descending, first in ascending order."""
+    last = datetime(1, 1, 1)
+    by_id = sorted(rows, key=lambda r: r[0])
+    return sorted(by_id, key=lambda r: r[2] or last, reverse=newest)
+
+
+@pytest.mark.parametrize("newest", [True, False])
+def test_pages_and_cursors_of_a_listing(spark, newest):
+    data = _some_rows(120)
+    found = _listed(spark, data, "g", (("t", newest), ("id", False)))
+    for group in ("hot", None, "b", "none such"):
+        wanted = [r[0] for r in _in_order([r for r in data if r[1] == group], newest)]
+        assert listing.total(found, group) == len(wanted)
+        for number in (1, 2, 6, 40):
+            got = [r["id"] for r in listing.page(found, 9, number, group).collect()]
+            assert got == wanted[9 * number - 9 : 9 * number]
+        batches = list(listing.scroll(found, 25, group))
+        assert [r["id"] for b in batches for r in b] == wanted
+        assert all(len(b) == 25 for b in batches[:-1])
+
+
+def test_a_page_reads_the_parts_it_lies_in(spark):
+    found = _listed(spark, _some_rows(200), None, (("id", False),))
+    deep = listing.page(found, 5, 30)
+    assert [r["id"] for r in deep.collect()] == list(range(145, 150))
+    plan = deep._jdf.queryExecution().executedPlan().toString()
+    filters = re.search(r"PartitionFilters: \[(.*?)\], PushedFilters", plan).group(1)
+    named = {int(x) for x in re.findall(r"__part#\d+ = (\d+)", filters)}
+    held = {r["__part"]: r["n"] for r in found.parts.collect()}
+    assert len(held) >= 20 and 1 <= len(named) <= 3 and sum(held[x] for x in named) <= 60
+    assert deep.columns == ["id", "g", "t", "part"]
+
+
+def test_cursors_outlive_their_listing(spark):
+    """Written again with rows before and behind, a cursor goes on where it was, also if its row is gone."""
+    order = (("t", True), ("id", False))
+    data = _some_rows(60)
+    first = listing.after(_listed(spark, data, None, order), 20).collect()
+    more = [(r[0] + 1000, *r[1:]) for r in data]
+    again = _listed(spark, [r for r in data if r[0] != first[-1]["id"]] + more, None, order)
+    wanted = _in_order(data + more, True)
+    at = [r[0] for r in wanted].index(first[-1]["id"])
+    got = listing.after(again, 500, first[-1]["cursor"]).collect()
+    assert [r["id"] for r in got] == [r[0] for r in wanted[at + 1 :]]
+
+
+def test_listings_of_nothing(spark):
+    found = _listed(spark, [], "g", (("t", True), ("id", False)))
+    assert listing.total(found, "hot") == 0 and not list(listing.scroll(found, 5, "hot"))
+    assert listing.page(found, 5, 1, "hot").collect() == [] and listing.page(found, 0, 1).collect() == []
+    with pytest.raises(ValueError):
+        listing.page(found, 5, 0)
