@@ -5,7 +5,8 @@ control string inside a role or text, so marks can't be imitated and the text ca
 
 Running sums of turn tokens cut a conversation into spans of whole turns. A window is the leading system
 turn, if there is one, then as many of the turns before the span as fit into the history budget, then the
-span. Only assistant texts of the span itself are under the loss mask; what is repeated is masked.
+span. A system turn that fills the budget by itself is written once, in the first window, and not repeated.
+Only assistant texts of the span itself are under the loss mask; what is repeated is masked.
 """
 
 from __future__ import annotations
@@ -79,7 +80,7 @@ class _Conversation:
             yield self.window()
         self.span.append(turn)
         self.used += tokens
-        if not self.seen and role == SYSTEM:
+        if not self.seen and role == SYSTEM and tokens < self.budget:
             self.system = turn
         self.seen += 1
 

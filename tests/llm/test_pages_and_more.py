@@ -239,6 +239,18 @@ def test_chat_windows_read_back(spark):
     windows.unpersist()
 
 
+def test_a_system_turn_above_the_budget_is_written_once(spark):
+    rows = [(1, 0, "system", "s " * 5000)] + [(1, k, ("user", "assistant")[k % 2], "w " * 300) for k in range(1, 200)]
+    rows += [(2, *x[1:]) if x[1] else (2, 0, "system", "s " * 500) for x in rows]
+    windows = chat_format.chat_windows(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string"))
+    found = windows.collect()
+    heads = {c: [next(chat_format.parse(w.text))[0] for w in found if w.conv_id == c].count("system") for c in (1, 2)}
+    assert heads[1] == 1 and heads[2] == sum(w.conv_id == 2 for w in found) > 1
+    for r in chat_format.read_back(windows).collect():
+        wanted = digests([x[2:] for x in rows if x[0] == r.conv_id])
+        assert tuple(r)[1:5] == wanted and r.formatted_chars < 400_000
+
+
 def plain_top(rows, k=5):
     vectors = {}
     for i, v in rows:
