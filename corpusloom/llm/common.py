@@ -65,9 +65,10 @@ def materialise(df: DataFrame, label: str, path: str | None = None) -> DataFrame
     return _write(df, path or new_path(df.sparkSession, label, _STEP.get()))
 
 
-def settle(spark: SparkSession, label: str, step: Callable[[], DataFrame]) -> DataFrame:
-    """What ``step`` gives, written; the tables that it wrote on the way are deleted then."""
-    kept, folder = new_path(spark, label, _STEP.get()), new_path(spark, f"{label}-step", _STEP.get())
+def settle(spark: SparkSession, label: str, step: Callable[[], DataFrame], into: str | None = None) -> DataFrame:
+    """What ``step`` gives, written (to the folder ``into``, or else next to the tables of the step around it); the
+    tables that it wrote on the way are deleted then."""
+    kept, folder = new_path(spark, label, into or _STEP.get()), new_path(spark, f"{label}-step", _STEP.get())
     outer = _STEP.set(folder)
     try:
         return _write(step(), kept)

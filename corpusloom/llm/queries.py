@@ -90,8 +90,8 @@ def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op9_suffix_tree_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     held_out = in_fold(F.col("doc_id"), 1)
-    tree, counts = suffix_tree_lm.train(docs.filter(~held_out).select("text"))
-    return suffix_tree_lm.score(docs, tree, counts, F.col("doc_id"), F.col("text"), held_out)
+    tree = suffix_tree_lm.train(docs.filter(~held_out).select("text"))
+    return suffix_tree_lm.score(docs, tree, F.col("doc_id"), F.col("text"), held_out, stored=True)
 
 
 def op10_huffman_ids(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -16,22 +16,26 @@ apart by one hash: what a run adds to the score of a text is one number, its wei
 after it) and what it gains as a continuation. So a text's score is a sum over its runs of up to ``DEPTH + 1``
 tokens, which meet their numbers in a shuffle join. Runs above ``COMMON`` of all tokens, a bounded
 number, go to all workers instead.
+
+Runs far outnumber the texts, so they never lie on disk all at once. The tree grows by length, and both counting
+and scoring read the texts several times, each time for the runs of one share of the hashes. All
+continuations of a context are in one share, which is therefore settled by itself, next to the runs that are shorter by one.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
-from functools import cached_property
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
-from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from corpusloom.llm.common import materialise
+from corpusloom.llm.common import ROW, giving_back, materialise, settle, with_row_numbers
 from corpusloom.llm.words import Words, mix, words_of
+from corpusloom.session import drop_path, new_path
 
 #: Longest context, in words.
 DEPTH = 3
@@ -45,11 +49,16 @@ GAIN = 4.0
 PRIOR = 2.0
 #: Tokens that are counted together before they are shuffled.
 BLOCK = 1 << 21
+#: Shares of the hashes of runs, each counted, settled and scored by itself.
+SHARES = 4
 #: Stands for the end of a text among the word hashes.
 END = np.uint64(0x5BF03635F0935A5D)
 
-_GRAMS = "length int, gram long, context long, suffix long, n long"
-_SCORED = "part int, row long, doc_id long, held_out boolean, key long, n long, n_tokens long, known long, base double, gain double"
+_GRAMS = "gram long, context long, suffix long, n long"
+_HEADS = f"{ROW} long, doc_id long, held_out boolean, n_tokens long, known long, base double, gain double"
+_RUNS = f"{ROW} long, key long, n long"
+#: A run that adds ``value`` if it is stored, or a context that is kept (without ``word`` and ``p``).
+_LEVEL = ["key", "word", "n", "p", "value"]
 _STEP = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -101,27 +110,31 @@ def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, np.
         yield gathered.take()
 
 
-def _gram_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Counts of all runs of a block, with the runs without their last and without their first token.
+def _in_share(keys: np.ndarray, share: int) -> np.ndarray:
+    return (keys >> np.uint64(32)) % np.uint64(SHARES) == share
+
 
-    A single token has itself as context.
+def _gram_counts(length: int, share: int) -> Callable:
+    """Counts of a block's runs of ``length`` whose context is in ``share``, with the runs without their last (the
+    context) and without their first token. A single token has itself as context, and is in no share.
     """
-    for tokens, place in _blocks(batches):
-        shorter = np.zeros(len(tokens), dtype=np.uint64)
-        for length, at, key in _runs(tokens, place):
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for tokens, place in _blocks(batches):
+            shorter = np.zeros(len(tokens), dtype=np.uint64)
+            for reached, at, key in _runs(tokens, place):
+                if reached == length:
+                    break
+                shorter = key
+            if length > 1:
+                at = at[_in_share(shorter[at - 1], share)]
             values, first, counts = np.unique(key[at], return_index=True, return_counts=True)
             first = at[first]
             context = tokens[first] if length == 1 else shorter[first - 1]
-            columns = [values, context, shorter[first]]
-            yield pa.record_batch(
-                [
-                    pa.array(np.full(len(values), length, dtype=np.int32)),
-                    *[pa.array(x.view(np.int64)) for x in columns],
-                    pa.array(counts),
-                ],
-                names=["length", "gram", "context", "suffix", "n"],
-            )
-            shorter = key
+            columns = [pa.array(x.view(np.int64)) for x in (values, context, shorter[first])]
+            yield pa.record_batch([*columns, pa.array(counts)], names=["gram", "context", "suffix", "n"])
+
+    return run
 
 
 def _find(keys: np.ndarray, values: np.ndarray) -> np.ndarray:
@@ -134,19 +147,12 @@ def _find(keys: np.ndarray, values: np.ndarray) -> np.ndarray:
 
 @dataclass
 class Tree:
-    """Number of tokens and words, and tables: ``words`` (word, n), ``states`` (context, back) with the log10 weight
-    of the shorter context, ``stored`` (context, word, score) with log10 probabilities, and ``numbers``
-    (key, c, value, n), which scoring meets: the count of a word, what a run adds, and how often it occurs.
-
-    ``base`` and ``gain`` look at tokens one by one and bring the tables to the driver; scoring doesn't use them.
-    """
+    """Number of tokens and words, and the table ``(key, c, value, n)`` that scoring meets: the count of a word (null
+    for longer runs), the log10 weight that a run adds, and how often it occurs."""
 
     total: int
     distinct: int
-    words: DataFrame
-    states: DataFrame
-    stored: DataFrame
-    numbers: DataFrame
+    numbers: DataFrame | None = None
 
     @property
     def least_common(self) -> float:
@@ -156,117 +162,65 @@ class Tree:
         """The base probability of words with a count: numbers or a column."""
         return (count + 0.5) / (self.total + 0.5 * (self.distinct + 1))
 
-    @cached_property
-    def contexts(self) -> np.ndarray:
-        return _ascending(self._states)[0]
-
-    @cached_property
-    def _states(self) -> dict[str, np.ndarray]:
-        return _columns(self.states.select(F.col("context").alias("key"), "back"))
-
-    @cached_property
-    def _counts(self) -> tuple[np.ndarray, ...]:
-        return _ascending(_columns(self.words.select(F.col("word").alias("key"), "n")))
 
-    @cached_property
-    def _stored(self) -> dict[tuple[int, int], float]:
-        found = _columns(self.stored.select("context", "word", "score"))
-        pairs = zip(found["context"].view(np.uint64).tolist(), found["word"].view(np.uint64).tolist())
-        return dict(zip(pairs, found["score"].tolist()))
+def _common_runs(tree: Tree) -> tuple[np.ndarray, ...]:
+    """Runs above ``COMMON``, by ascending key: whether they are a word, its base, what they add.
 
-    def base(self, words: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Which of the words are known, and their log10 base probability; 0 for the others."""
-        keys, counts = self._counts
-        at = _find(keys, words)
-        known, found = at >= 0, np.zeros(len(words))
-        found[known] = np.log10(self.base_of(counts[at[known]]))
-        return known, found
-
-    def gain(self, gained: np.ndarray, base: np.ndarray, context: np.ndarray, word: np.ndarray) -> np.ndarray:
-        """What a longer context makes of the gain over the base: nothing new if the tree doesn't have it."""
-        keys, back = _ascending(self._states)
-        state = _find(keys, context)
-        gained = gained.copy()
-        for i in np.flatnonzero(state >= 0).tolist():
-            score = self._stored.get((int(context[i]), int(word[i])))
-            gained[i] = gained[i] + back[state[i]] if score is None else score - base[i]
-        return gained
+    No more than ``(DEPTH + 1) / COMMON`` rows, and mostly far fewer.
+    """
+    found = tree.numbers.filter(F.col("n") >= tree.least_common).select("key", F.coalesce("c", F.lit(0)).alias("c"), "value")
+    found = found.toArrow()
+    keys, c, value = (found[x].to_numpy() for x in ("key", "c", "value"))
+    order = np.argsort(keys.view(np.uint64))
+    keys, c, value = keys.view(np.uint64)[order], c[order], value[order]
+    return keys, (c > 0).astype(float), np.where(c > 0, np.log10(tree.base_of(c)), 0.0), value
 
 
-def _columns(df: DataFrame) -> dict[str, np.ndarray]:
-    found = df.toArrow()
-    return {c: found[c].to_numpy() for c in found.column_names}
+def _heads(shared) -> Callable:
+    """A row for every text (``text, doc_id, held_out, row``) with all that common runs give."""
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        keys, *amounts = shared.value
+        for batch in batches:
+            for words in words_of(batch.column(0)):
+                n = words.last - words.first
+                tokens, place = _with_ends(words)
+                owner = np.cumsum(place == 0) - 1
+                sums = [np.zeros(n) for _ in amounts]
+                for _, at, key in _runs(tokens, place):
+                    found = _find(keys, key[at])
+                    text, entry = owner[at[found >= 0]], found[found >= 0]
+                    sums = [x + np.bincount(text, weights=y[entry], minlength=n) for x, y in zip(sums, amounts)]
+                doc_id, held_out, row = (batch.column(k).slice(words.first, n) for k in (1, 2, 3))
+                n_tokens = pa.array((np.diff(words.bounds) + 1).astype(np.int64))
+                columns = [row, doc_id, held_out, n_tokens, pa.array(sums[0].astype(np.int64)), *map(pa.array, sums[1:])]
+                yield pa.record_batch(columns, names=[ROW, "doc_id", "held_out", "n_tokens", "known", "base", "gain"])
 
-def _ascending(columns: dict[str, np.ndarray]) -> tuple[np.ndarray, ...]:
-    """The columns in the order of ``key``, which comes first."""
-    keys = columns["key"].view(np.uint64)
-    order = np.argsort(keys)
-    return keys[order], *[x[order] for c, x in columns.items() if c != "key"]
+    return run
 
 
-def _scorer(shared) -> Callable:
-    """A row for every text, with all that common runs give, and one for every other run of it."""
+def _other_runs(shared, share: int) -> Callable:
+    """The runs of a share that are not common, with how often every text (``text, row``) has them."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        keys, is_word, base, value = shared.value
-        part, row = TaskContext.get().partitionId(), 0
+        keys = shared.value[0]
         for batch in batches:
             for words in words_of(batch.column(0)):
-                n = words.last - words.first
                 tokens, place = _with_ends(words)
                 owner = np.cumsum(place == 0) - 1
-                known, bases, gain = np.zeros(n), np.zeros(n), np.zeros(n)
                 others: list[tuple[np.ndarray, np.ndarray]] = []
                 for _, at, key in _runs(tokens, place):
-                    found = _find(keys, key[at])
-                    common, entry = owner[at[found >= 0]], found[found >= 0]
-                    known += np.bincount(common, weights=is_word[entry], minlength=n)
-                    bases += np.bincount(common, weights=base[entry], minlength=n)
-                    gain += np.bincount(common, weights=value[entry], minlength=n)
-                    rest = at[found < 0]
-                    others.append((owner[rest], key[rest]))
-                ids = np.arange(row, row + n)
-                row += n
-                null = pa.nulls(n, pa.int64())
-                yield pa.record_batch(
-                    [
-                        pa.array(np.full(n, part, dtype=np.int32)),
-                        pa.array(ids),
-                        batch.column(1).slice(words.first, n),
-                        batch.column(2).slice(words.first, n),
-                        null,
-                        null,
-                        pa.array((np.diff(words.bounds) + 1).astype(np.int64)),
-                        pa.array(known.astype(np.int64)),
-                        pa.array(bases),
-                        pa.array(gain),
-                    ],
-                    names=["part", "row", "doc_id", "held_out", "key", "n", "n_tokens", "known", "base", "gain"],
-                )
+                    at = at[_in_share(key[at], share)]
+                    at = at[_find(keys, key[at]) < 0]
+                    others.append((owner[at], key[at]))
                 texts, other = (np.concatenate(x) for x in zip(*others))
-                if not len(other):
-                    continue
                 order = np.lexsort((other, texts))
                 texts, other = texts[order], other[order]
-                first = np.flatnonzero(np.r_[True, (other[1:] != other[:-1]) | (texts[1:] != texts[:-1])])
+                first = np.flatnonzero(np.r_[True, (other[1:] != other[:-1]) | (texts[1:] != texts[:-1])][: len(other)])
                 counts = np.diff(np.r_[first, len(other)])
-                m = len(first)
-                yield pa.record_batch(
-                    [
-                        pa.array(np.full(m, part, dtype=np.int32)),
-                        pa.array(ids[texts[first]]),
-                        pa.nulls(m, pa.int64()),
-                        pa.nulls(m, pa.bool_()),
-                        pa.array(other[first].view(np.int64)),
-                        pa.array(counts),
-                        pa.nulls(m, pa.int64()),
-                        pa.nulls(m, pa.int64()),
-                        pa.nulls(m, pa.float64()),
-                        pa.nulls(m, pa.float64()),
-                    ],
-                    names=["part", "row", "doc_id", "held_out", "key", "n", "n_tokens", "known", "base", "gain"],
-                )
+                row = batch.column(1).slice(words.first, words.last - words.first).to_numpy()
+                columns = [row[texts[first]], other[first].view(np.int64), counts]
+                yield pa.record_batch([pa.array(x) for x in columns], names=[ROW, "key", "n"])
 
     return run
 
@@ -275,85 +229,119 @@ def _log10(natural: Column) -> Column:
     return natural / F.log(F.lit(10.0))
 
 
-def grow(tree: Tree, grams: DataFrame) -> Tree:
-    """Settle contexts from counted runs, shorter ones first, so that suffixes are settled before."""
-    words = grams.filter("length = 1")
-    shorter = words.select("gram", F.col("context").alias("word"), "n", F.log(tree.base_of(F.col("n"))).alias("p"))
-    none = F.lit(None).cast("long")
-    numbers = words.select(F.col("gram").alias("key"), F.col("n").alias("c"), F.lit(0.0).alias("value"), "n")
-    for length in range(2, DEPTH + 2):
-        own = grams.filter(F.col("length") == length).select("gram", "context", "suffix", "n")
-        held = own.groupBy("context").agg(F.sum("n").alias("held"), F.count("*").alias("size"))
-        # A context occurs as often as the run that it is; a run occurs no less often with a token less.
-        occurs = shorter.select(F.col("gram").alias("context"), F.col("n").alias("occurs"))
-        states = held.join(occurs, "context").select("context", "size", "occurs", (F.col("occurs") - F.col("held")).alias("rest"))
-        below = shorter.select(F.col("gram").alias("suffix"), "word", F.col("p").alias("below"))
-        likely = F.log((F.col("n") + (F.col("rest") + PRIOR) * F.exp("below")) / (F.col("occurs") + PRIOR))
-        rows = own.join(below, "suffix").join(states, "context").withColumn("likely", likely).drop("suffix")
-        rows = materialise(rows, f"lm-runs-{length}")
-        gained = F.sum(F.col("n") * (F.col("likely") - F.col("below"))).alias("gained")
-        kept = rows.groupBy("context", "rest", "occurs", "size").agg(gained)
-        kept = kept.withColumn("back", F.log((F.col("rest") + PRIOR) / (F.col("occurs") + PRIOR)))
-        kept = kept.filter(F.col("gained") + F.col("rest") * F.col("back") >= GAIN * F.col("size"))
-        kept = materialise(kept.select("context", "back", "occurs"), f"lm-states-{length}")
-        level = rows.drop("rest", "occurs", "size").join(kept.drop("occurs"), "context", "left")
-        level = materialise(level, f"lm-level-{length}")
-        stored = level.filter("back is not null")
-        p = F.when(F.col("back").isNull(), F.col("below")).otherwise(F.col("likely"))
-        shorter = level.select("gram", "word", "n", p.alias("p"))
-        tree.states = tree.states.union(kept.select("context", _log10(F.col("back")).alias("back")))
-        tree.stored = tree.stored.union(stored.select("context", "word", _log10(F.col("likely")).alias("score")))
-        as_context = kept.select(F.col("context").alias("key"), none.alias("c"), _log10(F.col("back")).alias("value"), F.col("occurs").alias("n"))
-        gain = _log10(F.col("likely") - F.col("below") - F.col("back"))
-        numbers = numbers.union(as_context).union(stored.select("gram", none, gain, "n"))
-    # Common runs are there even if they add nothing, so that they don't meet in the join.
-    idle = grams.filter(F.col("n") >= tree.least_common).select("gram", none, F.lit(0.0), "n")
-    merged = numbers.union(idle).groupBy("key").agg(F.max("c").alias("c"), F.sum("value").alias("value"), F.max("n").alias("n"))
-    tree.numbers = materialise(merged, "lm-numbers")
-    return tree
+def _counted(texts: DataFrame, length: int, share: int) -> DataFrame:
+    """``(gram, context, suffix, n)`` of the runs of ``length`` in ``share``."""
+    whole = [F.sum("n").alias("n"), *[F.max(c).alias(c) for c in ("context", "suffix")]]  # alike for one run
+    found = texts.mapInArrow(giving_back(_gram_counts(length, share)), _GRAMS).groupBy("gram").agg(*whole)
+    return found.select("gram", "context", "suffix", "n")
 
 
-def train(texts: DataFrame) -> tuple[Tree, DataFrame]:
-    """The tree of a one-column frame of training texts, and the table of all token counts ``(key, n)``."""
-    spark = texts.sparkSession
-    whole = [F.sum("n").alias("n"), *[F.max(c).alias(c) for c in ("length", "context", "suffix")]]  # alike for one run
-    counted = texts.mapInArrow(_gram_counts, _GRAMS).groupBy("gram").agg(*whole)
-    grams = materialise(counted.filter(F.col("n") >= F.when(F.col("length") == 1, 1).otherwise(LEAST)), "lm-grams")
-    counts = grams.filter("length = 1").select(F.col("context").alias("key"), "n")
-    total, distinct = counts.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*")).first()
-    tree = Tree(
-        int(total), int(distinct), counts.withColumnRenamed("key", "word"),
-        spark.createDataFrame([], "context long, back double"),
-        spark.createDataFrame([], "context long, word long, score double"), counts,
+def _settled(own: DataFrame, shorter: DataFrame) -> DataFrame:
+    """The ``_LEVEL`` of counted runs ``own``, all continuations of their contexts, next to the level of the runs that
+    are shorter by one.
+
+    What contexts gain is summed in millionths, so that the order of the rows doesn't matter.
+    """
+    # A context occurs as often as the run that it is; a run occurs no less often with a token less.
+    occurs = shorter.select(F.col("key").alias("context"), F.col("n").alias("occurs"))
+    held = own.groupBy("context").agg(F.sum("n").alias("held"), F.count("*").alias("size"))
+    states = held.join(occurs, "context").select("context", "size", "occurs", (F.col("occurs") - F.col("held")).alias("rest"))
+    below = shorter.select(F.col("key").alias("suffix"), "word", F.col("p").alias("below"))
+    rows = own.join(below, "suffix").join(states, "context").drop("suffix")
+    likely = F.log((F.col("n") + (F.col("rest") + PRIOR) * F.exp("below")) / (F.col("occurs") + PRIOR))
+    rows = materialise(rows, "lm-rows").withColumn("likely", likely)
+    gained = F.sum(F.round(F.col("n") * (F.col("likely") - F.col("below")) * 1e6).cast("long")) / 1e6
+    kept = rows.groupBy("context").agg(gained.alias("gained"), *[F.max(c).alias(c) for c in ("rest", "occurs", "size")])
+    kept = kept.withColumn("back", F.log((F.col("rest") + PRIOR) / (F.col("occurs") + PRIOR)))
+    kept = kept.filter(F.col("gained") + F.col("rest") * F.col("back") >= GAIN * F.col("size"))
+    kept = materialise(kept.select("context", "back", "occurs"), "lm-kept")
+    runs = rows.drop("occurs").join(kept.select("context", "back"), "context", "left").select(
+        F.col("gram").alias("key"), "word", "n",
+        F.when(F.col("back").isNull(), F.col("below")).otherwise(F.col("likely")).alias("p"),
+        _log10(F.col("likely") - F.col("below") - F.col("back")).alias("value"),
     )
-    return grow(tree, grams), counts
+    contexts = kept.select(F.col("context").alias("key"), "occurs", _log10(F.col("back")).alias("value"))
+    null = F.lit(None)
+    contexts = contexts.select("key", null.cast("long").alias("word"), F.col("occurs").alias("n"), null.cast("double").alias("p"), "value")
+    return runs.select(*_LEVEL).union(contexts.select(*_LEVEL))
+
 
+def _union(parts: list[DataFrame]) -> DataFrame:
+    return reduce(DataFrame.union, parts)
 
-def score(docs: DataFrame, tree: Tree, counts: DataFrame, doc_id: Column, text: Column, held_out: Column) -> DataFrame:
+
+def _grow(tree: Tree, texts: DataFrame, words: DataFrame) -> DataFrame:
+    """Numbers of all runs, shorter contexts first, so that suffixes are settled before.
+
+    Common runs are there even if they add nothing, so that they don't meet in the join.
+    """
+    spark = texts.sparkSession
+    p = F.log(tree.base_of(F.col("n")))
+    level = words.select(F.col("gram").alias("key"), F.col("context").alias("word"), "n", p.alias("p"), F.lit(0.0).alias("value"))
+    numbers = [words.select(F.col("gram").alias("key"), F.col("n").alias("c"), F.lit(0.0).alias("value"), "n")]
+    folder = None
+    for length in range(2, DEPTH + 2):
+        shorter, before, folder = level.filter("p is not null"), folder, new_path(spark, "lm-level")
+        shares = []
+        for share in range(SHARES):
+
+            def one(length=length, share=share, shorter=shorter) -> DataFrame:
+                own = _counted(texts, length, share).filter(F.col("n") >= LEAST)
+                return _settled(materialise(own, "lm-runs"), shorter)
+
+            shares.append(settle(spark, f"share-{share}", one, folder))
+        level = _union(shares)
+        if before:
+            drop_path(spark, before)
+        met = level.filter(F.col("value").isNotNull() | (F.col("n") >= tree.least_common))
+        met = met.select("key", F.lit(None).cast("long").alias("c"), F.coalesce("value", F.lit(0.0)).alias("value"), "n")
+        numbers.append(materialise(met, "lm-met"))
+    drop_path(spark, folder)
+    sums = F.max("c").alias("c"), F.sum("value").alias("value"), F.max("n").alias("n")
+    return _union(numbers).groupBy("key").agg(*sums)
+
+
+def train(texts: DataFrame) -> Tree:
+    """The tree of a one-column frame of training texts. An empty table gives a tree without runs, whose base is that
+    of one unknown word; a long text is taken whole, and tokens of many texts or one are counted in blocks."""
+    tree = Tree(0, 0)
+
+    def numbers() -> DataFrame:
+        words = materialise(_counted(texts, 1, 0), "lm-words")
+        total, distinct = words.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*")).first()
+        tree.total, tree.distinct = int(total), int(distinct)
+        return _grow(tree, texts, words)
+
+    tree.numbers = settle(texts.sparkSession, "lm-numbers", numbers)
+    return tree
+
+
+def score(docs: DataFrame, tree: Tree, doc_id: Column, text: Column, held_out: Column, stored: bool = False) -> DataFrame:
     """``(doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score)`` for every row of ``docs``.
 
-    Null and empty texts are one token, the end. Repeated rows are scored each. Only the three given
-    columns are looked at.
+    Null and empty texts are one token, the end; texts of any length are scored whole. Repeated rows and rows
+    without an id are scored each. An empty table gives an empty one. Only the three given columns are looked at.
+    ``stored`` is that of ``with_row_numbers``.
     """
     spark = docs.sparkSession
-    rows = docs.select(text.cast("string").alias("text"), doc_id.alias("doc_id"), held_out.alias("held_out"))
-    # No more than (DEPTH + 1) / COMMON rows, and mostly far fewer.
-    common = tree.numbers.filter(F.col("n") >= tree.least_common).select("key", F.coalesce("c", F.lit(0)).alias("c"), "value")
-    keys, c, value = _ascending(_columns(common))
-    base = np.where(c > 0, np.log10(tree.base_of(c)), 0.0)
-    shared = spark.sparkContext.broadcast((keys, (c > 0).astype(float), base, value))
-    scored = materialise(rows.mapInArrow(_scorer(shared), _SCORED), "lm-scored")
+    rows = docs.select(text.cast("string").alias("text"), doc_id.cast("long").alias("doc_id"), held_out.alias("held_out"))
+    rows = with_row_numbers(rows, stored).select("text", "doc_id", "held_out", ROW)
+    shared = spark.sparkContext.broadcast(_common_runs(tree))
     others = tree.numbers.filter(F.col("n") < tree.least_common).select("key", "c", "value")
-    joined = scored.filter("key is not null").select("part", "row", "key", "n").join(others, "key")
     known = F.when(F.col("c") > 0, F.col("n")).otherwise(0)
-    parts = joined.select(
-        "part", "row", F.lit(None).cast("long").alias("doc_id"), F.lit(None).cast("boolean").alias("held_out"),
-        F.lit(0).cast("long").alias("n_tokens"), known.alias("known"),
-        F.when(F.col("c") > 0, F.col("n") * F.log10(tree.base_of(F.col("c")))).otherwise(0.0).alias("base"),
-        (F.col("n") * F.col("value")).alias("gain"),
-    )
-    whole = scored.filter("key is null").select(*parts.columns).union(parts)
-    sums = whole.groupBy("part", "row").agg(
+    base = F.when(F.col("c") > 0, F.col("n") * F.log10(tree.base_of(F.col("c")))).otherwise(0.0)
+    in_share = F.pmod(F.shiftrightunsigned("key", 32), F.lit(SHARES))
+    parts = []
+    for share in range(SHARES):
+        runs = rows.select("text", ROW).mapInArrow(giving_back(_other_runs(shared, share)), _RUNS)
+        joined = runs.join(others.filter(in_share == share), "key")
+        sums = joined.groupBy(ROW).agg(
+            F.sum(known).alias("known"), F.sum(base).alias("base"), F.sum(F.col("n") * F.col("value")).alias("gain")
+        )
+        none = F.lit(None).cast("long").alias("doc_id"), F.lit(None).cast("boolean").alias("held_out")
+        parts.append(materialise(sums.select(ROW, *none, F.lit(0).cast("long").alias("n_tokens"), "known", "base", "gain"), "lm-sums"))
+    whole = _union([rows.mapInArrow(giving_back(_heads(shared)), _HEADS), *parts])
+    sums = whole.groupBy(ROW).agg(
         F.max("doc_id").alias("doc_id"),
         F.max("held_out").alias("held_out"),
         F.sum("n_tokens").alias("n_tokens"),

@@ -185,8 +185,8 @@ def test_empty_tables(spark):
     assert mixing.mix_rows(none).count() == 0
     model = language_id.train(none)
     assert language_id.keep_identified(none, model).count() == 0
-    tree, counts = suffix_tree_lm.train(none.select("text"))
-    assert suffix_tree_lm.score(none, tree, counts, F.col("doc_id"), F.col("text"), F.lit(False)).count() == 0
+    tree = suffix_tree_lm.train(none.select("text"))
+    assert suffix_tree_lm.score(none, tree, F.col("doc_id"), F.col("text"), F.lit(False)).count() == 0
     items = spark.createDataFrame([(1, "a b c d e f")], "item_id long, text string")
     assert decontamination.find_leaks(none, items).count() == 0
     assert decontamination.find_leaks(frame(spark, plain.rows_with_edges(["a"])), items.limit(0)).count() == 0
@@ -417,8 +417,8 @@ def test_scores_of_texts(spark):
     rows += [rows[5], rows[5], (None, "the cat", *rows[0][2:])]
     docs = frame(spark, rows)
     held_out = F.coalesce(F.col("doc_id") % 5 == 1, F.lit(False))
-    tree, counts = suffix_tree_lm.train(docs.filter(~held_out).select("text"))
-    got = suffix_tree_lm.score(docs, tree, counts, F.col("doc_id"), F.col("text"), held_out).collect()
+    tree = suffix_tree_lm.train(docs.filter(~held_out).select("text"))
+    got = suffix_tree_lm.score(docs, tree, F.col("doc_id"), F.col("text"), held_out).collect()
     known: Counter = Counter()
     for doc_id, text, *_ in rows:
         if doc_id is None or doc_id % 5 != 1:
@@ -434,27 +434,28 @@ def test_scores_of_texts(spark):
     assert sum(r.score for r in got if r.held_out) > sum(r.base_score for r in got if r.held_out)
 
 
-def test_state_probabilities_sum_to_one(spark):
+@pytest.mark.parametrize("common", [suffix_tree_lm.COMMON, 0.02, 1.0])
+def test_scores_are_those_of_a_plain_suffix_tree(spark, monkeypatch, common):
+    """With all runs at every worker, some of them, and none; the plain tree's distributions sum to one."""
+    monkeypatch.setattr(suffix_tree_lm, "COMMON", common)
     rng = random.Random(9)
-    texts = [" ".join(rng.choice(["a b c", "a b d", "x b c", "y"]) for _ in range(6)) for _ in range(300)]
-    docs = frame(spark, plain.rows_with_edges(texts))
-    tree, counts = suffix_tree_lm.train(docs.select("text"))
-    assert len(tree.contexts)
-    tokens = np.array([r.key for r in counts.collect()]).view(np.uint64)
-    unknown = np.array([1234567], dtype=np.uint64)
-    vocabulary = np.concatenate([tokens, unknown])
-    for history in (["a"], ["a", "b"], ["x", "b"], ["c", "a", "b"], ["q"]):
-        words = next(words_of(pa.array([" ".join(history)]))).hashes
-        contexts, key = [], np.zeros(1, dtype=np.uint64)
-        for length in range(1, len(words) + 1):
-            key = suffix_tree_lm.mix(key * suffix_tree_lm._STEP + words[-length] + np.uint64(length))
-            contexts.append(np.repeat(key, len(vocabulary)))
-        common, base = tree.base(vocabulary)
-        base[~common] = np.log10(0.5 / (tree.total + 0.5 * (tree.distinct + 1)))
-        gained = np.zeros(len(vocabulary))
-        for context in contexts:
-            gained = tree.gain(gained, base, context, vocabulary)
-        assert abs((10.0 ** (base + gained)).sum() - 1) < 1e-9
+    texts = [" ".join(rng.choice(["a b c", "a b d", "x b c", "y", f"z{rng.randrange(60)}"]) for _ in range(6)) for _ in range(150)]
+    texts += [None, "", " \t", "A b", "a b c " * 500]
+    docs = frame(spark, plain.rows_with_edges(texts)).withColumn("key", F.lit(1)).withColumn("n", F.lit("x"))
+    tree = suffix_tree_lm.train(docs.select("text"))
+    expected = plain.SuffixTree(texts, suffix_tree_lm.DEPTH, suffix_tree_lm.LEAST, suffix_tree_lm.GAIN, suffix_tree_lm.PRIOR)
+    assert {len(c) for c in expected.kept} == {1, 2, 3}
+    assert tree.numbers.filter("c is null or value <> 0").count() > 10
+    probes = [*texts, "a b q", "q", "b c a b d y", "z1 a b", "c a b"]
+    rows = plain.rows_with_edges(probes)
+    by_id = {r[0]: r[1] for r in rows}
+    got = suffix_tree_lm.score(frame(spark, rows), tree, F.col("doc_id"), F.col("text"), F.lit(False)).collect()
+    assert len(got) == len(rows)
+    for r in got:
+        assert abs(r.score - expected.score(by_id[r.doc_id])) < 1e-6
+    for context in [("a",), ("a", "b"), ("x", "b"), ("c", "a", "b"), ("q",)]:
+        known = sum(expected.p(context, token) for token in expected.single)
+        assert abs(known + expected.p(context, "never seen") - 1) < 1e-9
 
 
 def test_rare_phrases_of_a_large_corpus_are_learned(spark):
@@ -462,9 +463,9 @@ def test_rare_phrases_of_a_large_corpus_are_learned(spark):
     rng = random.Random(10)
     texts = [text_of(rng, 20_000, 3000) for _ in range(50)] + ["quaint zephyr"] * 8
     docs = frame(spark, plain.rows_with_edges(texts))
-    tree, counts = suffix_tree_lm.train(docs.select("text"))
+    tree = suffix_tree_lm.train(docs.select("text"))
     probe = frame(spark, plain.rows_with_edges(["quaint zephyr"]))
-    got = suffix_tree_lm.score(probe, tree, counts, F.col("doc_id"), F.col("text"), F.lit(True)).collect()
+    got = suffix_tree_lm.score(probe, tree, F.col("doc_id"), F.col("text"), F.lit(True)).collect()
     assert got[0].score > got[0].base_score + 5
 
 
