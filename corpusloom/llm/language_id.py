@@ -84,12 +84,18 @@ def _pieces(column: pa.Array) -> Iterator[tuple[int, int, np.ndarray, np.ndarray
         yield first, last, padded, starts
 
 
-def _buckets(data: np.ndarray) -> Iterator[np.ndarray]:
-    """For n = 1 to ``ORDERS`` the bucket of the n-gram that begins at each byte."""
+def _buckets(data: np.ndarray, starts: np.ndarray) -> Iterator[np.ndarray]:
+    """For n = 1 to ``ORDERS`` the bucket of the n-gram that begins at each byte.
+
+    Those that begin in the spaces after a text are all spaces, whatever text comes next.
+    """
     key = np.zeros(len(data), dtype=np.uint32)
+    ends, spaces = np.r_[starts[1:], len(data)], 0
     for n in range(1, ORDERS + 1):
         key = key * np.uint32(256)
         key[: len(data) - n + 1] += data[n - 1 :]
+        spaces = spaces * 256 + 32
+        key[ends - 1] = key[ends - 2] = spaces
         salted = (key + np.uint32(n << 28)) * np.uint32(2654435769)
         yield (salted >> np.uint32(32 - 14)).astype(np.int64)
 
@@ -102,7 +108,7 @@ def _counter(languages: dict[str, int]) -> Callable:
             for first, last, data, starts in _pieces(batch.column(0)):
                 lengths = np.diff(np.r_[starts, len(data)])
                 base = np.repeat(own[first:last] * BUCKETS, lengths)
-                for found in _buckets(data):
+                for found in _buckets(data, starts):
                     counts += np.bincount(base + found, minlength=len(counts))
         used = np.flatnonzero(counts)
         yield pa.record_batch(
@@ -181,7 +187,7 @@ def _predictor(shared) -> Callable:
             letters = np.zeros(n, dtype=bool)
             for first, last, data, starts in _pieces(batch.column(0)):
                 sums = np.zeros((last - first, model.words.shape[1]))
-                for found in _buckets(data):
+                for found in _buckets(data, starts):
                     for bit, own in enumerate(weights):
                         sums[:, bit] += np.add.reduceat(own[found], starts)
                 lengths = np.diff(np.r_[starts, len(data)]) * ORDERS

@@ -6,7 +6,7 @@ import random
 import sys
 import zlib
 from collections import Counter
-from math import log10
+from math import exp, floor, log, log10
 from pathlib import Path
 
 import numpy as np
@@ -348,6 +348,28 @@ def test_mix_meets_targets(spark):
     assert "Python" not in python and "InArrow" not in python
 
 
+def test_copies_are_those_of_plain_systematic_sampling(spark):
+    """Running sums of expected copies from one offset for each source: a copy for each integer that is passed."""
+    rng = random.Random(8)
+    rows = [(i, text_of(rng, rng.choice([0, 3, 3, 40])), "en", rng.choice(["a", "b", "b", None]), 0, 1, "", 0.0) for i in range(400)]
+    docs = frame(spark, rows)
+    plan = {r.doc_id: r for r in mixing.plan_mix(docs, F.col("doc_id"), F.col("source"), F.col("text")).collect()}
+    seed = F.lit(mixing.SEED)
+    drawn = docs.select("doc_id", "source", F.xxhash64(seed, "doc_id"), F.xxhash64(seed, F.lit("offset"), "source")).collect()
+    sizes: Counter = Counter()
+    for r in rows:
+        sizes[r[3]] += len(plain.words(r[1]))
+    target = plain_targets(dict(sizes))
+    for source in sizes:
+        own = [r for r in drawn if r.source == source]
+        own.sort(key=lambda r: (len(plain.words(rows[r.doc_id][1])), r[2], r.doc_id))
+        rate, at = target[source] / sizes[source], own[0][3] % 2**31 / 2**31
+        for k, r in enumerate(own):
+            low, high = at + k * rate, at + (k + 1) * rate
+            rounding = min(abs(low - round(low)), abs(high - round(high))) < 1e-9
+            assert rounding or plan[r.doc_id].copies == floor(high) - floor(low)
+
+
 def test_mixed_rows_come_as_often_as_planned(spark):
     rng = random.Random(4)
     rows = [(i, text_of(rng, 20), "en", rng.choice("abc"), 0, 1, "", 0.0) for i in range(300)]
@@ -410,6 +432,58 @@ def test_language_of_odd_texts(spark):
     assert {4, 5} <= {r.doc_id for r in kept.collect()} and not {0, 1, 2, 6} & {r.doc_id for r in kept.collect()}
 
 
+def test_language_is_that_of_a_plain_decoder(spark):
+    """Every n-gram counted one by one, every bit's loss added up one by one; and no text changes another's score."""
+    rng = random.Random(21)
+    vocabulary = {"en": "the of and to in", "de": "der die und das ist", "fr": "le la et les des", "ru": "и в не на что"}
+    rows = [(i, " ".join(rng.choices(vocabulary[x].split(), k=rng.randrange(1, 60))), x) for i, x in enumerate([*vocabulary] * 12)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    odd = [None, "", " ", "The, AND 12", "a", "zz", "№ 5", "в", "der the le", "und " * 300]
+    probes = [(1000 + i, t, None) for i, t in enumerate(odd)] + rows
+
+    def buckets(text):
+        data = [b + 32 if 65 <= b <= 90 else b if 97 <= b <= 122 or b >= 128 else 32 for b in (text or "").encode()] + [32, 32]
+        for n in range(1, language_id.ORDERS + 1):
+            for i in range(len(data)):
+                key = 0
+                for b in (data + [32, 32])[i : i + n]:
+                    key = (key * 256 + b) % 2**32
+                yield ((key + (n << 28)) % 2**32 * 2654435769 % 2**32) >> 18
+
+    languages = sorted(vocabulary)
+    counts = np.zeros((len(languages), language_id.BUCKETS))
+    for _, text, lang in rows:
+        for b in buckets(text):
+            counts[languages.index(lang), b] += 1
+    model = language_id.train(docs)
+    plainly = language_id.fit(languages, counts)
+    assert model.languages == languages and (model.weights == plainly.weights).all() and (model.trust == plainly.trust).all()
+
+    def decoded(text):
+        found = list(buckets(text))
+        sure = min(1.0, len(found) / language_id.FULL_EVIDENCE) ** 0.5
+        losses = []
+        for word in model.words:
+            loss = 0.0
+            for bit, sign in enumerate(word):
+                margin = sum(float(model.weights[b, bit]) for b in found) / len(found)
+                normal = max(-5.0, min(5.0, (margin - model.centre[bit]) / model.scale[bit]))
+                loss += model.trust[bit] * log(1 + exp(-sign * normal * language_id.STEEPNESS * sure))
+            losses.append(loss)
+        return languages[losses.index(min(losses))], 1 / sum(exp(min(losses) - x) for x in losses)
+
+    for parts in (1, 5):
+        frame_ = spark.createDataFrame(probes, "doc_id long, text string, lang string").repartition(parts)
+        got = {r.doc_id: r for r in language_id.predict(frame_, model, {"doc_id": F.col("doc_id")}).collect()}
+        assert len(got) == len(probes)
+        for doc_id, text, _ in probes:
+            if not any(c.isalpha() for c in text or ""):
+                assert (got[doc_id].lang_pred, got[doc_id].score) == ("und", 0.0)
+                continue
+            lang, score = decoded(text)
+            assert got[doc_id].lang_pred == lang and abs(got[doc_id].score - score) < 1e-4
+
+
 def test_scores_of_texts(spark):
     rng = random.Random(6)
     texts = [None, "", "  ", "a"] + [f"the cat sat on the {rng.choice(['mat', 'hat'])} {text_of(rng, 5, 50)}" for _ in range(400)]
