@@ -45,6 +45,8 @@ EXAMPLES: tuple[tuple[str, str], ...] = tuple(
 
 #: Longest word that is looked up, and occurrences that a word of the examples counts for.
 LONGEST = 20
+#: Letters of a run whose words are looked up together: a row of the lookup carries these and ``LONGEST`` more.
+WINDOW = 64
 EXAMPLE_WEIGHT = 20
 SMOOTHING = 1.0
 
@@ -161,14 +163,20 @@ def _words_of_pieces(pieces: DataFrame, examples: Sequence[tuple[str, str]]) ->
     """``(piece, words, evidence)`` for distinct runs of letters."""
     dictionary = materialise(_dictionary(pieces, examples), "url-dictionary")
     total = dictionary.agg(F.coalesce(F.sum("n"), F.lit(1))).first()[0]
-    distinct = pieces.select("piece").distinct()
-    starts = distinct.withColumn("start", F.explode(F.sequence(F.lit(1), F.length("piece"))))
-    left = F.length("piece") - F.col("start") + 1
+    distinct = pieces.select("piece").distinct().withColumn("id", F.xxhash64("piece"))
+    steps = F.sequence(F.lit(0), F.length("piece") - 1, F.lit(WINDOW))
+    cut = F.transform(steps, lambda at: F.substr("piece", at + 1, F.lit(WINDOW + LONGEST - 1)))
+    windows = distinct.select("id", F.posexplode(cut).alias("at", "window"))
+    starts = windows.withColumn("inside", F.explode(F.sequence(F.lit(1), F.least(F.length("window"), F.lit(WINDOW)))))
+    left = F.length("window") - F.col("inside") + 1
     inner = starts.withColumn("length", F.explode(F.sequence(F.lit(1), F.least(left, F.lit(LONGEST)))))
-    inner = inner.withColumn("word", F.col("piece").substr(F.col("start"), F.col("length")))
-    hits = inner.join(dictionary, "word").groupBy("piece").agg(F.collect_list(F.struct("start", "length", "n")).alias("hits"))
+    inner = inner.select(
+        "id", (F.col("at") * WINDOW + F.col("inside")).alias("start"), "length",
+        F.col("window").substr(F.col("inside"), F.col("length")).alias("word"),
+    )
+    hits = inner.join(dictionary, "word").groupBy("id").agg(F.collect_list(F.struct("start", "length", "n")).alias("hits"))
     segmenter = _segmenter(naive_bayes(examples), int(total))
-    return distinct.join(hits, "piece", "left").select("piece", "hits").mapInArrow(segmenter, _WORDS)
+    return distinct.join(hits, "id", "left").select("piece", "hits").mapInArrow(segmenter, _WORDS)
 
 
 def judge(
@@ -182,8 +190,8 @@ def judge(
 
     ``verdict`` is that of the longest fitting rule; without one it is ``block`` if the log odds of the host's and
     path's words being unwanted are above 0. The last label of a host is no word, and neither are digits. A
-    null URL, one without ``://`` and one without letters have the odds of the examples alone. Repeated rows
-    are judged each. Other columns are not looked at. An empty table gives an empty one.
+    null URL, one without ``://`` and one without letters have the odds of the examples alone. Long runs of letters
+    are segmented whole. Repeated rows are judged each. Other columns are not looked at. An empty table gives an empty one.
     """
     host, path = host_and_path(url.cast("string"))
     rows = pages.select(*[c.alias(n) for n, c in keep.items()], host.alias("host"), path.alias("path"))

@@ -5,7 +5,9 @@ from __future__ import annotations
 import hashlib
 import math
 import random
+import re
 import sys
+from collections import Counter, defaultdict
 from pathlib import Path
 
 import numpy as np
@@ -175,6 +177,51 @@ def test_verdicts(spark):
     assert url_filter.judge(pages.limit(0), F.col("url"), {}, URL_RULES).count() == 0
 
 
+def test_odds_are_those_of_plain_counts(spark):
+    """Dictionary, hits and odds counted one by one, with runs of letters around the size of a window and far longer."""
+    rng = random.Random(12)
+    names = ["cheappills", "dailynews", "casinobonus", "sciencenews", "zebra", "bigwin", "newszebra", "qqq", "éclair"]
+    sizes = (url_filter.WINDOW - 1, url_filter.WINDOW, url_filter.WINDOW + url_filter.LONGEST, 700, 60_000)
+    longs = ["".join(rng.choices(["casino", "zebra", "news", "x"], k=n))[:n] for n in sizes]
+    urls = [f"http://{rng.choice(names)}{k % 4}.org/{rng.choice(names)}-{rng.choice(names)}" for k in range(60)]
+    urls += [f"http://h{k}.org/zebra/{x}" for k, x in enumerate(longs)] + ["http://12/3", None]
+    pages = spark.createDataFrame([(i, u) for i, u in enumerate(urls)], "page_id long, url string").repartition(3)
+    got = {r.page_id: r for r in url_filter.judge(pages, F.col("url"), {"page_id": F.col("page_id")}, []).collect()}
+
+    letters = lambda x: [w for w in re.split(r"[\W\d_]+", x.lower()) if w]
+    parts = [(letters(h.rpartition(".")[0]), letters(p), h) for h, p, _ in map(plain_verdict, urls)]
+    dictionary = Counter(w for words, _ in url_filter.EXAMPLES for w in words.split() for _ in range(url_filter.EXAMPLE_WEIGHT))
+    hosts = defaultdict(set)
+    for host_words, path_words, host in parts:
+        for w in host_words + path_words:
+            hosts[w].add(host)
+    for w, found in hosts.items():
+        if len(found) > 1:
+            dictionary[w] += len(found)
+    seen = {v: Counter(w for words, x in url_filter.EXAMPLES if x == v for w in words.split()) for v in ("allow", "block")}
+    known = set(seen["allow"]) | set(seen["block"])
+
+    def odds(word):
+        if word not in known:
+            return 0.0
+        smooth = url_filter.SMOOTHING
+        share = {v: (c[word] + smooth) / (c.total() + smooth * len(known)) for v, c in seen.items()}
+        return math.log(share["block"] / share["allow"])
+
+    def cut(piece):
+        reach = url_filter.LONGEST
+        found = [(i, n, dictionary[piece[i : i + n]]) for i in range(len(piece)) for n in range(1, min(reach, len(piece) - i) + 1)]
+        return url_filter.segment(piece, [h for h in found if h[2]], dictionary.total())
+
+    labels = Counter(v for _, v in url_filter.EXAMPLES)
+    prior = math.log((labels["block"] + 1) / (labels["allow"] + 1))
+    for i, (host_words, path_words, _) in enumerate(parts):
+        expected = prior + sum(odds(w) for piece in host_words + path_words for w in cut(piece))
+        assert abs(got[i].log_odds - expected) < 1e-6 * max(1, abs(expected))
+        assert got[i].verdict == ("block" if expected > 0 else "allow")
+        assert got[i].host_words == " ".join(w for piece in host_words for w in cut(piece))
+
+
 def test_segmentation_is_the_best_of_all():
     rng = random.Random(3)
     for _ in range(200):
