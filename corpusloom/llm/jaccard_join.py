@@ -151,6 +151,11 @@ def needed_overlap(n: int, percent: int) -> int:
     return -(-percent * n // 100)
 
 
+def links_others(n: int, percent: int) -> bool:
+    """Whether a set of ``n`` tokens can be linked with another one: with a smaller set, or with one that has a token more."""
+    return needed_overlap(n, percent) < n or percent * (n + 1) <= 100 * n
+
+
 def size_class(n: int, percent: int) -> int:
     """Sizes that a link allows are in the same or in neighbouring classes."""
     return int(math.log(n) / (1.0001 * math.log(100 / percent))) if percent < 100 else n
@@ -204,7 +209,7 @@ def _signer(size: int, percent: int, frequent, hot) -> Callable:
                 sigs, salts, classes, sizes, wholes = [], [], [], [], []
                 for tokens in shingle_sets(words, size):
                     n = len(tokens)
-                    if not n or needed_overlap(n, percent) == n:
+                    if not n or not links_others(n, percent):
                         continue  # only an equal set can be linked with it
                     cls = class_of(tokens).view(np.int64)
                     if int(cls) in seen:

@@ -101,6 +101,19 @@ def test_groups_of_overlapping_lists_match_all_pairs(spark):
     assert sorted(map(tuple, got)) == sorted(plain.groups([r[:2] for r in rows]))
 
 
+@pytest.mark.parametrize("percent", [50, 80, 90])
+def test_smallest_sets_meet_sets_with_one_token_more(spark, percent):
+    # Texts of n + 4 words have n shingles; the longer one of a pair holds all of the shorter one.
+    rows = []
+    for n in range(1, 13):
+        words = [f"w{n}x{i}" for i in range(n + 5)]
+        rows += [(2 * n, " ".join(words[:-1])), (2 * n + 1, " ".join(words))]
+    docs = frame(spark, rows, "doc_id long, text string")
+    got = {r.doc_id: r.component_id for r in jaccard_join.jaccard_groups(docs, percent=percent).collect()}
+    linked = {n for n in range(1, 13) if got[2 * n + 1] == 2 * n}
+    assert linked == {n for n in range(1, 13) if 100 * n >= percent * (n + 1)}
+
+
 def test_members_of_a_list_beyond_what_is_held_stay_connected():
     """Every class of a list, however it is cut, is reported, linked through pairs, and not taken for alone."""
     for length in (8, 9, 10, 11, 25, 41):
