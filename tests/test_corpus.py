@@ -6,6 +6,7 @@ import random
 import re
 from datetime import datetime
 
+import pyarrow as pa
 import pyarrow.parquet as pq
 import pytest
 from pyspark.sql import functions as F
@@ -208,6 +209,20 @@ def test_term_counts(spark):
     assert got == [[("a", 1), ("b", 2)], []]
 
 
+def test_ranks_are_worked_out_for_few_texts_at_a_time(spark, monkeypatch):
+    rng = random.Random(3)
+    rows = [(n, " ".join(rng.choice("abcdeféz") for _ in range(rng.randrange(30)))) for n in range(40)] + [(40, ""), (41, "x x")]
+    docs = spark.createDataFrame([*rows, (42, None)], "id long, content string").coalesce(1)
+    every = sorted(map(tuple, text_analysis.rank_scores(docs, 3).collect()))
+    batch = pa.record_batch([pa.array([n for n, _ in rows]), pa.array([t for _, t in rows])], names=["id", "words"])
+    slices = [(len(ids), sum(len(t) for t in texts.to_pylist())) for ids, texts in text_analysis._some_texts(batch, 100)]
+    assert sum(n for n, _ in slices) == 42 and max(size for _, size in slices) <= 200 and len(slices) > 5
+    monkeypatch.setattr(text_analysis, "RANK_BYTES", 1)
+    alone = sorted(map(tuple, text_analysis.rank_scores(docs, 3).collect()))
+    assert [r[:2] for r in alone] == [r[:2] for r in every] == sorted({(n, w) for n, t in rows for w in t.split()})
+    assert [r[2] for r in alone] == pytest.approx([r[2] for r in every])
+
+
 def test_entities_of_several_words(spark):
     docs = spark.createDataFrame([(1, "Ada Lovelace met IBM.<br/>In London"), (2, "x")], "id int, content string")
     names = spark.createDataFrame([("ada lovelace", "nr"), ("ibm", "nt"), ("ibm in", "ns")], "surface string, type string")
