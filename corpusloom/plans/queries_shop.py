@@ -54,7 +54,8 @@ def _product_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
         when(n % 3 == 0, F.lit("<a href='https://shop.example.com/i/"), (n + 1).cast("string"), F.lit("'>other</a>")),
         F.lit("</div></body></html>"),
     )
-    return fx.table(spark, sf_dir, "part").select(
+    # A part is a few bytes in its file and takes long as a page.
+    return fx.spread(fx.table(spark, sf_dir, "part")).select(
         F.concat(F.lit("https://shop.example.com/i/"), key).alias("url"), html.alias("html")
     )
 

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from corpusloom.functions import tokens
 from corpusloom.operators import aggregates, documents, extraction, field_index, frontier, listing, mutations, search, similar, tasks, text_analysis
-from corpusloom.plans import queries_streams
+from corpusloom.plans import queries_shop, queries_streams
 from corpusloom.session import broadcast_if_small, is_small, new_path
 from corpusloom.sources import sinks, snapshots
 from corpusloom.sources.raw_pages import as_raw_pages
@@ -373,6 +373,19 @@ def test_streams_read_tables_of_one_file_and_of_many(spark, tmp_path):
         assert one and sorted(many) == sorted(one)
 
 
+def test_product_pages_are_dealt_out_and_parsed_once(spark, tmp_path):
+    part = "id as p_partkey, 'n' as p_name, 'b' as p_brand, 't' as p_type, 1 as p_size"
+    spark.range(0, 90, 1, 1).selectExpr(*part.split(", ")).write.parquet(f"{tmp_path}/part.parquet")
+    assert queries_shop._product_pages(spark, str(tmp_path)).rdd.getNumPartitions() == spark.sparkContext.defaultParallelism
+    found = queries_shop.other_colours(spark, str(tmp_path))
+    assert found.count() == 30
+    named = queries_shop.products(spark, str(tmp_path)).filter("name is not null")
+    for df in (found, named):
+        plan = df._jdf.queryExecution().optimizedPlan().toString()
+        assert plan.count("ArrowEvalPython") == 1
+        assert plan.index("ArrowEvalPython") < plan.index("Repartition")
+
+
 def test_run_state_is_dropped(spark):
     from corpusloom.plans.queries_streams import _in_two_batches  # noqa: F401
     from corpusloom.streaming import live
