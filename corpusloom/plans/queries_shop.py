@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from corpusloom.operators import frontier, shop
 from corpusloom.plans import fixtures as fx
 from corpusloom.plans.collect import shop_recipe
-from corpusloom.session import new_path
+from corpusloom.session import dealt, new_path
 from corpusloom.sources.sinks import product_sink
 
 
@@ -55,7 +55,7 @@ def _product_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.lit("</div></body></html>"),
     )
     # A part is a few bytes in its file and takes long as a page.
-    return fx.spread(fx.table(spark, sf_dir, "part")).select(
+    return dealt(fx.table(spark, sf_dir, "part")).select(
         F.concat(F.lit("https://shop.example.com/i/"), key).alias("url"), html.alias("html")
     )
 

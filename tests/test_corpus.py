@@ -13,8 +13,8 @@ from pyspark.sql import functions as F
 
 from corpusloom.functions import tokens
 from corpusloom.operators import aggregates, documents, extraction, field_index, frontier, listing, mutations, search, similar, tasks, text_analysis
-from corpusloom.plans import queries_shop, queries_streams
-from corpusloom.session import broadcast_if_small, is_small, new_path
+from corpusloom.plans import queries_extraction, queries_shop, queries_streams
+from corpusloom.session import broadcast_if_small, dealt, is_small, new_path
 from corpusloom.sources import sinks, snapshots
 from corpusloom.sources.raw_pages import as_raw_pages
 
@@ -386,6 +386,15 @@ def test_product_pages_are_dealt_out_and_parsed_once(spark, tmp_path):
         assert plan.index("ArrowEvalPython") < plan.index("Repartition")
 
 
+def test_short_rows_are_dealt_by_number(spark, tmp_path):
+    spark.range(0, 1000, 1, 1).selectExpr("id as event_id", "timestamp_seconds(id) as ts").write.parquet(f"{tmp_path}/events.parquet")
+    for query in (queries_extraction.dates_by_language, queries_extraction.format_date):
+        parts = query(spark, str(tmp_path)).rdd.glom().map(len).collect()
+        assert sum(parts) == 1000 and max(parts) <= 2 * 1000 / spark.sparkContext.defaultParallelism
+    cut = dealt(spark.range(0, 1000, 1, 2), 40).rdd.glom().map(len).collect()
+    assert len(cut) % spark.sparkContext.defaultParallelism == 0 and len(cut) >= 25 and max(cut) <= 40
+
+
 def test_run_state_is_dropped(spark):
     from corpusloom.plans.queries_streams import _in_two_batches  # noqa: F401
     from corpusloom.streaming import live
