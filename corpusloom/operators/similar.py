@@ -8,17 +8,28 @@ gives every query the score that a result has to reach. From then on
 * the others look up only postings that are heavy enough to reach it if all other terms were at their maximum.
   Postings lie in levels of weight, so lighter levels of a list are not even joined.
 
-Only what passes becomes a (query, document) row; each is then scored in full against the document's own terms.
-No result is lost: what is left out is below the score to be reached.
+``lookups`` and ``candidates`` give these pairs as tables, for an index whose pairs have room on disk.
+
+Pairs are neither written nor shuffled. Documents are dealt into blocks; a task holds the postings of a block, lets
+the queries of all documents pass by, adds up their scores in numbers, and makes rows only of a query's best of the
+block that reach that score. What is shuffled is the postings once, the queries once for each block, and the
+results. No result is lost: what is left out is below the score to be reached. The additions are as many as
+there are pairs of a query's term and a document with it.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from corpusloom.operators import search, text_analysis
-from corpusloom.session import broadcast_if_small
+from corpusloom.session import broadcast_if_small, giving_back
 
 #: Heaviest postings of a term that the first look takes, for each wanted result.
 CHAMPIONS = 4
@@ -26,7 +37,10 @@ CHAMPIONS = 4
 LEVELS = 16
 #: Scores are rounded to six places, so a bound must miss by more than this to count.
 SLACK = 2e-6
-
+#: Postings that a task holds.
+BLOCK_POSTINGS = 1 << 22
+#: Scores of pairs that a task holds at once.
+CELLS = 1 << 17
 
 def typical_of_all(index: search.TextIndex, most: int, min_doc_freq: int, min_match: float) -> DataFrame:
     """``seed_id, term, needed``: the query terms of every document, and how many of them a result must have."""
@@ -39,14 +53,19 @@ def typical_of_all(index: search.TextIndex, most: int, min_doc_freq: int, min_ma
     )
 
 
-def weighted_postings(index: search.TextIndex, wanted: DataFrame) -> DataFrame:
-    """``term, id, part, most, level``: the weight of every posting of the wanted terms, and the largest of its term."""
+def posting_weights(index: search.TextIndex, wanted: DataFrame) -> DataFrame:
+    """``term, id, part``: the weight of every posting of the wanted terms, as a stored table."""
     n_docs = index.totals.select("n_docs").scalar()
     mean_length = index.totals.select("mean_length").scalar()
     terms = index.terms.join(wanted.select("term").distinct(), "term", "left_semi").select("term", "df")
     part = search.bm25(F.col("tf"), F.col("df"), F.col("doc_length"), n_docs, mean_length)
     parts = index.postings.select("term", "id", "tf", "doc_length").join(broadcast_if_small(terms), "term")
-    parts = text_analysis.stored(parts.select("term", "id", part.alias("part")), "weights")
+    return text_analysis.stored(parts.select("term", "id", part.alias("part")), "weights")
+
+
+def weighted_postings(index: search.TextIndex, wanted: DataFrame) -> DataFrame:
+    """``term, id, part, most, level``: the weight of every posting of the wanted terms, and the largest of its term."""
+    parts = posting_weights(index, wanted)
     largest = broadcast_if_small(parts.groupBy("term").agg(F.max("part").alias("most")))
     return parts.join(largest, "term").withColumn("level", _level(F.col("part"), F.col("most")))
 
@@ -98,6 +117,121 @@ def candidates(looked: DataFrame, postings: DataFrame) -> DataFrame:
     return found.filter((F.col("part") >= F.col("least")) & (F.col("seed_id") != F.col("id"))).select("seed_id", "id").distinct()
 
 
+class _Block:
+    """The postings of some documents as lists by term, each sorted by id. Rows of one term and id count as one."""
+
+    def __init__(self, ids: pa.Array, terms: np.ndarray, parts: np.ndarray) -> None:
+        coded = ids.dictionary_encode()
+        order = pc.array_sort_indices(coded.dictionary)
+        self.ids = coded.dictionary.take(order)
+        place = np.empty(len(order), dtype=np.int32)
+        place[order.to_numpy()] = np.arange(len(order), dtype=np.int32)
+        docs = place[coded.indices.to_numpy()]
+        turn = np.lexsort((docs, terms))
+        terms, docs, parts = terms[turn], docs[turn], parts[turn]
+        first = np.ones(len(terms), dtype=bool)
+        first[1:] = (terms[1:] != terms[:-1]) | (docs[1:] != docs[:-1])
+        at = np.flatnonzero(first)
+        self.docs, self.parts = docs[at], np.add.reduceat(parts, at)
+        self.counts = np.diff(np.r_[at, len(terms)])
+        self.once = len(at) == len(terms)
+        self.terms, starts = np.unique(terms[at], return_index=True)
+        self.starts = np.r_[starts, len(at)]
+
+    def best(self, lists: np.ndarray, query: np.ndarray, needed: np.ndarray, bars: np.ndarray, own: np.ndarray, size: int):
+        """``(query, document, score)`` of the documents that may be among the best ``size`` of some queries.
+
+        ``lists`` are those of their terms and ``query`` says whose; ``own`` is the document that is the query."""
+        n = len(self.ids)
+        lengths = self.starts[lists + 1] - self.starts[lists]
+        at = np.repeat(self.starts[lists] - (np.cumsum(lengths) - lengths), lengths) + np.arange(lengths.sum())
+        cell = np.repeat(query * n, lengths) + self.docs[at]
+        score = np.bincount(cell, weights=self.parts[at], minlength=len(needed) * n).reshape(-1, n)
+        counts = None if self.once else self.counts[at]
+        matched = np.bincount(cell, weights=counts, minlength=len(needed) * n).reshape(-1, n)
+        kept = (matched >= needed[:, None]) & (score >= (bars - SLACK)[:, None])
+        kept[np.flatnonzero(own >= 0), own[own >= 0]] = False
+        row, doc = np.nonzero(kept)
+        score = score[row, doc]
+        order = np.lexsort((-score, row))
+        row, doc, score = row[order], doc[order], score[order]
+        first = np.searchsorted(row, np.arange(len(needed)))
+        # What differs from the last place by the rounding only goes on: ties are settled by the rounded score.
+        last = np.minimum(first + size, np.searchsorted(row, np.arange(len(needed)), side="right")) - 1
+        kept = score >= score[last[row]] - SLACK
+        return row[kept], doc[kept], score[kept]
+
+
+def _block_scorer(size: int) -> Callable:
+    """Rows come sorted by (block, kind): the postings of a block, then its queries."""
+
+    def answers(block: _Block, batch: pa.RecordBatch) -> pa.RecordBatch:
+        terms = batch.column(6).flatten().to_numpy(zero_copy_only=False)
+        lists = np.minimum(np.searchsorted(block.terms, terms), len(block.terms) - 1)
+        query = np.repeat(np.arange(len(batch)), batch.column(6).value_lengths().to_numpy(zero_copy_only=False))
+        known = block.terms[lists] == terms
+        own = pc.fill_null(pc.index_in(batch.column(2), value_set=block.ids), -1).to_numpy(zero_copy_only=False)
+        bars, needed = (batch.column(i).to_numpy(zero_copy_only=False) for i in (4, 5))
+        row, doc, score = block.best(lists[known], query[known], needed, bars, own, size)
+        return pa.record_batch(
+            [batch.column(2).take(pa.array(row)), block.ids.take(pa.array(doc)), pa.array(score)],
+            names=["seed_id", "id", "score"],
+        )
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, block = None, None
+        ids: list[pa.Array] = []
+        terms: list[np.ndarray] = []
+        parts: list[np.ndarray] = []
+        for batch in batches:
+            keys = batch.column(0).to_numpy().astype(np.int64) * 2 + batch.column(1).to_numpy()
+            edges = np.r_[0, np.flatnonzero(np.diff(keys)) + 1, len(keys)]
+            for first, last in zip(edges[:-1], edges[1:]):
+                if last == first:
+                    continue
+                rows = batch.slice(first, last - first)
+                if keys[first] >> 1 != key:
+                    key, block, ids, terms, parts = keys[first] >> 1, None, [], [], []
+                if keys[first] & 1 == 0:
+                    ids.append(rows.column(2))
+                    terms.append(rows.column(3).to_numpy(zero_copy_only=False).astype(np.int64))
+                    parts.append(rows.column(4).to_numpy(zero_copy_only=False))
+                elif block or ids:
+                    if block is None:
+                        block = _Block(pa.concat_arrays(ids), np.concatenate(terms), np.concatenate(parts))
+                        ids, terms, parts = [], [], []
+                    step = max(1, CELLS // len(block.ids))
+                    for at in range(0, len(rows), step):
+                        yield answers(block, rows.slice(at, step))
+
+    return run
+
+
+def best_of_blocks(wanted: DataFrame, postings: DataFrame, bars: DataFrame, size: int) -> DataFrame:
+    """``seed_id, id, score``: of every block of documents the best ``size`` of every query, and those that are
+    as good but for the rounding. A term that a query has twice counts twice."""
+    cores = postings.sparkSession.sparkContext.defaultParallelism
+    blocks = max(2 * cores, -(-postings.count() // BLOCK_POSTINGS))
+    id_type = postings.schema["id"].dataType
+    lists = postings.filter("id is not null").select(
+        F.pmod(F.xxhash64("id"), F.lit(blocks)).cast("int").alias("block"), F.lit(0).alias("kind"), "id",
+        F.xxhash64("term").alias("term"), "part", F.lit(0).cast("long").alias("needed"),
+        F.lit(None).cast("array<long>").alias("terms"),
+    )
+    queries = wanted.filter("seed_id is not null").groupBy("seed_id").agg(
+        F.collect_list(F.xxhash64("term")).alias("terms"), F.max("needed").cast("long").alias("needed")
+    )
+    queries = queries.join(bars, "seed_id", "left").fillna(0.0, ["bar"]).select(
+        F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("block"), F.lit(1).alias("kind"),
+        F.col("seed_id").alias("id"), F.lit(0).cast("long").alias("term"), F.col("bar").alias("part"), "needed", "terms",
+    )
+    both = lists.unionByName(queries).repartition(blocks, "block").sortWithinPartitions("block", "kind")
+    schema = T.StructType(
+        [T.StructField("seed_id", id_type), T.StructField("id", id_type), T.StructField("score", T.DoubleType())]
+    )
+    return both.mapInArrow(giving_back(_block_scorer(size)), schema)
+
+
 def similar_pages(
     index: search.TextIndex,
     size: int,
@@ -111,20 +245,9 @@ def similar_pages(
     typical terms has no results.
     """
     wanted = text_analysis.stored(typical_of_all(index, most_terms, min_doc_freq, min_match), "typical")
-    postings = text_analysis.stored(weighted_postings(index, wanted), "weighted")
+    postings = posting_weights(index, wanted)
     bars = text_analysis.stored(scores_to_reach(wanted, postings, size), "bars")
-    pairs = text_analysis.stored(candidates(lookups(wanted, postings, bars), postings), "candidates")
-
-    # A document's terms as numbers: a pair looks up the few of its query among them.
-    entry = F.struct(F.xxhash64("term").alias("t"), "part")
-    vectors = postings.groupBy("id").agg(F.map_from_entries(F.collect_list(entry)).alias("vector"))
-    queries = wanted.groupBy("seed_id").agg(
-        F.collect_list(F.xxhash64("term")).alias("terms"), F.max("needed").alias("needed")
-    )
-    both = pairs.join(queries, "seed_id").join(vectors, "id")
-    weights = F.array_compact(F.transform("terms", lambda t: F.try_element_at("vector", t)))
-    scored = both.select("seed_id", "id", "needed", weights.alias("weights")).filter(F.size("weights") >= F.col("needed"))
-    total = F.aggregate("weights", F.lit(0.0), lambda s, x: s + x)
-    scored = scored.select("seed_id", "id", F.round(total, 6).alias("score"))
+    found = best_of_blocks(wanted, postings, bars, size)
+    scored = found.select("seed_id", "id", F.round("score", 6).alias("score"))
     best = Window.partitionBy("seed_id").orderBy(F.col("score").desc(), "id")
     return scored.withColumn("position", F.row_number().over(best)).filter(F.col("position") <= size)

@@ -331,6 +331,20 @@ def test_similar_pages_are_those_of_each_seed_alone(spark, size):
     assert scored < matches / 4
 
 
+def test_similar_pages_of_documents_that_come_twice(spark, monkeypatch):
+    """In blocks of a few postings; no pairs are written on the way."""
+    words = [f"w{i}" for i in range(12)]
+    docs = [(i, " ".join(words[(i * k) % 12] for k in range(1, 8))) for i in range(40)]
+    frame = spark.createDataFrame(docs + docs[5:9], "id long, content string")
+    index, labels, stored = search.build_index(frame), [], text_analysis.stored
+    wanted = rows(search.more_like_this(index, frame, 3).select("seed_id", "id", "score"))
+    monkeypatch.setattr(similar, "BLOCK_POSTINGS", 10)
+    monkeypatch.setattr(similar, "CELLS", 7)
+    monkeypatch.setattr(text_analysis, "stored", lambda df, label: labels.append(label) or stored(df, label))
+    assert rows(similar.similar_pages(index, 3).select("seed_id", "id", "score")) == wanted and wanted
+    assert "candidates" not in labels
+
+
 def test_stream_of_log_entries(spark):
     """Messages out of order and over batches; entries over a batch edge, without a text, and still open."""
     from corpusloom.plans.queries_streams import _in_two_batches
