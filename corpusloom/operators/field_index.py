@@ -79,9 +79,17 @@ def write_field_index(
     rows_per_file: int = FILE_ROWS,
 ) -> None:
     """Index ``fields`` of ``docs`` by value or word, and ``ranges`` by order. Null values are not indexed."""
-    arrays = [F.coalesce(a, F.array().cast("array<string>")) for name in fields for a in _keys_of(docs, name)]
-    keys = F.explode(F.array_distinct(F.array_compact(F.concat(*arrays))))
-    entries = text_analysis.stored(docs.select("id", ORDER, keys.alias("key")), "field-entries")
+    # Words of whole texts are many: they are told apart outside the row's expressions.
+    texts = [name for name in dict.fromkeys(fields) if name == "content" and docs.schema[name].dataType.typeName() == "string"]
+    found = [
+        text_analysis.counted_terms(docs, F.col(name), "id", ORDER).select("id", ORDER, _key(name, _WORD, F.col("term")).alias("key"))
+        for name in texts
+    ]
+    arrays = [F.coalesce(a, F.array().cast("array<string>")) for name in fields if name not in texts for a in _keys_of(docs, name)]
+    if arrays:
+        keys = F.explode(F.array_distinct(F.array_compact(F.concat(*arrays))))
+        found.append(docs.select("id", ORDER, keys.alias("key")))
+    entries = text_analysis.stored(reduce(DataFrame.unionByName, found), "field-entries")
     files = max(1, -(-entries.count() // rows_per_file))
     dealt = entries.withColumn("bucket", search._bucket(F.col("key"), buckets)).repartitionByRange(files, "bucket", "key", "id")
     dealt.sortWithinPartitions("bucket", "key", "id").write.partitionBy("bucket").parquet(f"{path}/entries")

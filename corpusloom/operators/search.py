@@ -39,10 +39,19 @@ class TextIndex:
 
 
 def build_index(docs: DataFrame, only: Sequence[str] | None = None) -> TextIndex:
-    """Index of ``id, content``; ``only`` restricts the postings to a few terms, not the totals."""
-    postings = text_analysis.term_vectors(docs, None if only is None else list(only))
-    length = F.size(tokens.tokens(text_analysis.plain_content(F.col("content"))))
-    totals = docs.agg(F.count("*").alias("n_docs"), F.avg(length).alias("mean_length"))
+    """Index of ``id, content``; ``only`` restricts the postings to a few terms, not the totals.
+
+    The texts are cut once: all postings are stored, and the lengths add up from them.
+    """
+    if only is not None:
+        postings = text_analysis.term_vectors(docs, list(only))
+        length = F.size(tokens.tokens(text_analysis.plain_content(F.col("content"))))
+        totals = docs.agg(F.count("*").alias("n_docs"), F.avg(length).alias("mean_length"))
+        return TextIndex(postings, text_analysis.term_statistics(postings), totals)
+    postings = text_analysis.stored(text_analysis.term_vectors(docs), "postings")
+    counted = docs.agg(F.count("*").alias("n_docs"), F.count("content").alias("n_texts"))
+    all_tokens = postings.agg(F.coalesce(F.sum("tf"), F.lit(0)).alias("n_tokens"))
+    totals = counted.crossJoin(all_tokens).select("n_docs", F.try_divide("n_tokens", "n_texts").alias("mean_length"))
     return TextIndex(postings, text_analysis.term_statistics(postings), totals)
 
 
@@ -55,7 +64,7 @@ def write_index(
 ) -> None:
     """Postings in one folder per term bucket, sorted by term, so that a query opens few row groups.
 
-    Postings are cut from the texts once, counted, and dealt by ranges of (bucket, term, id) into as many
+    Postings are counted, and dealt by ranges of (bucket, term, id) into as many
     files as their number asks for; a term of every document fills several.
     """
 
@@ -66,8 +75,7 @@ def write_index(
         ranged.write.partitionBy("bucket").parquet(f"{path}/{name}")
         return table.sparkSession.read.parquet(f"{path}/{name}")
 
-    cut = text_analysis.stored(index.postings, "postings")
-    postings = placed(cut, "postings", "term", "id")
+    postings = placed(index.postings, "postings", "term", "id")
     placed(text_analysis.stored(text_analysis.term_statistics(postings), "terms"), "terms", "term")
     index.totals.withColumn("buckets", F.lit(buckets)).write.parquet(f"{path}/totals")
 

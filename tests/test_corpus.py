@@ -331,6 +331,18 @@ def test_similar_pages_are_those_of_each_seed_alone(spark, size):
     assert scored < matches / 4
 
 
+def test_terms_are_counted_in_odd_texts(spark):
+    """Empty and null texts have no terms but count as documents; a repeated id counts each time."""
+    docs = [(1, "B a<br/>a"), (2, ""), (3, None), (None, "x"), (1, "a"), (4, "日本語 ok"), (5, "...")]
+    frame = spark.createDataFrame(docs, "id long, content string")
+    wanted = [(1, "a", 2, 3), (1, "b", 1, 3), (None, "x", 1, 1), (1, "a", 1, 1), (4, "日本", 1, 3), (4, "本語", 1, 3), (4, "ok", 1, 3)]
+    assert sorted(map(str, map(tuple, text_analysis.term_vectors(frame).collect()))) == sorted(map(str, wanted))
+    index, path = search.build_index(frame), new_path(spark, "index")
+    assert tuple(index.totals.first()) == (7, 8 / 6)
+    search.write_index(index, path, buckets=2)
+    assert tuple(search.read_index(spark, path).totals.select("n_docs", "mean_length").first()) == (7, 8 / 6)
+
+
 def test_similar_pages_of_documents_that_come_twice(spark, monkeypatch):
     """In blocks of a few postings; no pairs are written on the way."""
     words = [f"w{i}" for i in range(12)]
