@@ -343,6 +343,14 @@ def test_terms_are_counted_in_odd_texts(spark):
     assert tuple(search.read_index(spark, path).totals.select("n_docs", "mean_length").first()) == (7, 8 / 6)
 
 
+def test_frequent_terms_do_not_travel_for_their_frequency(spark, monkeypatch):
+    docs = [(i, " ".join(["the", f"t{i % 3}", f"t{i % 3}", f"w{i % 7}", f"rare{i}"])) for i in range(30)]
+    frame = spark.createDataFrame(docs, "id long, content string")
+    wanted = rows(text_analysis.keyword_scores(frame))
+    monkeypatch.setattr(text_analysis, "FREQUENT_TERMS", 6)
+    assert rows(text_analysis.keyword_scores(frame)) == wanted and len(wanted) == 120
+
+
 def test_similar_pages_of_documents_that_come_twice(spark, monkeypatch):
     """In blocks of a few postings; no pairs are written on the way."""
     words = [f"w{i}" for i in range(12)]
