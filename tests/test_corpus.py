@@ -351,6 +351,19 @@ def test_frequent_terms_do_not_travel_for_their_frequency(spark, monkeypatch):
     assert rows(text_analysis.keyword_scores(frame)) == wanted and len(wanted) == 120
 
 
+def test_mentions_are_sorted_for_a_bounded_number_of_documents(spark, monkeypatch):
+    docs = spark.createDataFrame([(i % 20, f"ann{i} met bob") for i in range(40)] + [(None, "bob")], "id long, content string").coalesce(1)
+    names = [("bob", "nr")] + [(f"ann{i}", "ns") for i in range(40)]
+    path = new_path(spark, "names")
+    spark.createDataFrame(names, "surface string, type string").write.parquet(path)
+    monkeypatch.setattr(text_analysis, "DOCS_A_TASK", 2)
+    names = spark.read.parquet(path)
+    found = text_analysis.named_entities(docs, names)
+    assert found.rdd.getNumPartitions() >= 20
+    wanted = text_analysis.named_entities(docs, names, few=False)
+    assert sorted(map(str, found.collect())) == sorted(map(str, wanted.collect())) and found.count() == 21
+
+
 def test_similar_pages_of_documents_that_come_twice(spark, monkeypatch):
     """In blocks of a few postings; no pairs are written on the way."""
     words = [f"w{i}" for i in range(12)]
