@@ -20,8 +20,8 @@ of near copies without being linked with it.
 
 Lists of a signature are not expanded into all pairs. A short list gives its pairs, a long one the pairs
 with one of its first classes. Links found so contract into components. Classes of a long list that are still
-in different components are then compared, pair by pair for lists of rare tokens, in blocks for the
-overlapping lists of frequent ones, so no component falls apart.
+in different components are then compared: for lists of rare tokens in pairs that have enough of these lists in common
+for a link, in blocks for the overlapping lists of frequent ones, so no component falls apart.
 """
 
 from __future__ import annotations
@@ -31,7 +31,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from corpusloom.llm.common import ROW, bitmap_words, collect_bitmap, giving_back, in_bitmap, materialise, settle, take, with_row_numbers
@@ -496,13 +496,28 @@ def _open_members(candidates: DataFrame, alone: DataFrame, roots: DataFrame, per
 
 
 def _open_pairs(still_open: DataFrame, tested: DataFrame, percent: int) -> DataFrame:
-    """Pairs of different components from lists of rare tokens that have not been tested."""
-    left = still_open.filter("of_pairs = 0").select("sig", "cls", "n", "whole", "alone", "root")
-    right = left.toDF("sig", "b", "nb", "whole_b", "alone_b", "root_b")
+    """Pairs of different components from lists of rare tokens that have not been tested and can be linked.
+
+    Rare tokens that two untested classes have in common are all in open lists, as far as both index them. The set
+    whose index ends first has no other of its indexed tokens in common with the other set, so its open lists must
+    make up for what ``needed_overlap`` lacks to the overlap of the pair. It looks for partners in its short lists
+    first, and in each only for those that it and the lists still to come can suffice for. Which of two indexes ends
+    first isn't known here, so both look; a set that is indexed whole only looks for others of its kind.
+    """
+    members = still_open.filter("of_pairs = 0").select("sig", "cls", "n", "whole", "alone", "root")
+    others = members.toDF("sig", "b", "nb", "whole_b", "alone_b", "root_b")
     c = F.col
+    lengths = members.groupBy("sig").agg(F.count("*").alias("length"))
+    left = F.row_number().over(Window.partitionBy("cls").orderBy(F.desc("length"), "sig"))
+    looking = members.filter("whole = 0").join(lengths, "sig").withColumn("left", left)
+    most = F.ceil(percent * c("n") / 100) - 1 + c("left")
+    sizes = percent * F.greatest("n", "nb") <= 100 * F.least("n", "nb")
+    found = looking.join(others, "sig").filter((c("root") != c("root_b")) & sizes & _reaches(most, c("n"), c("nb"), percent))
     possible = _can_reach(c("n"), c("whole"), c("alone"), c("nb"), c("whole_b"), c("alone_b"), percent)
-    met = left.join(right, "sig").filter((c("cls") < c("b")) & (c("root") != c("root_b")) & possible)
-    pairs = met.select(c("cls").alias("a"), "b").distinct()
+    whole = members.filter("whole = 1").join(others.filter("whole_b = 1"), "sig")
+    whole = whole.filter((c("cls") < c("b")) & (c("root") != c("root_b")) & possible)
+    met = found.select("cls", "b").union(whole.select("cls", "b"))
+    pairs = met.select(F.least("cls", "b").alias("a"), F.greatest("cls", "b").alias("b")).distinct()
     return pairs.join(tested, ["a", "b"], "left_anti")
 
 

@@ -101,6 +101,30 @@ def test_groups_of_overlapping_lists_match_all_pairs(spark):
     assert sorted(map(tuple, got)) == sorted(plain.groups([r[:2] for r in rows]))
 
 
+@pytest.mark.parametrize("percent", [60, 80])
+def test_groups_of_long_lists_of_rare_tokens_match_all_pairs(spark, percent):
+    """Near copies dealt so thinly that none of their tokens is frequent anywhere, of sizes that differ."""
+    rng = random.Random(17)
+    texts = []
+    for size in (60, 90, 200):
+        base = text_of(rng, size, 10_000).split()
+        for _ in range(40):
+            start, end = rng.randrange(size // 8), size - rng.randrange(size // 8)
+            texts.append(edited(rng, " ".join(base[start:end]), rng.randrange(0, size // 12)))
+    rows = plain.rows_with_edges(texts)
+    got = jaccard_join.jaccard_groups(frame(spark, rows, parts=60), percent=percent).collect()
+    assert sorted(map(tuple, got)) == sorted(plain.groups([r[:2] for r in rows], percent))
+
+
+def test_open_pairs_have_enough_lists_in_common(spark):
+    """Of a list of 30 sets only two share so many lists that a link is possible; sizes alone would allow all pairs."""
+    schema = "sig long, of_pairs long, cls long, n long, whole int, alone long, root long, head long"
+    lists = [(1, cls) for cls in range(30)] + [(sig, cls) for sig in range(2, 11) for cls in (4, 9)]
+    still_open = spark.createDataFrame([(sig, 0, cls, 100, 0, None, cls, 0) for sig, cls in lists], schema)
+    tested = spark.createDataFrame([], "a long, b long")
+    assert [tuple(r) for r in jaccard_join._open_pairs(still_open, tested, 80).collect()] == [(4, 9)]
+
+
 @pytest.mark.parametrize("percent", [50, 80, 90])
 def test_smallest_sets_meet_sets_with_one_token_more(spark, percent):
     # Texts of n + 4 words have n shingles; the longer one of a pair holds all of the shorter one.
