@@ -569,6 +569,28 @@ def test_scores_are_those_of_a_plain_suffix_tree(spark, monkeypatch, common):
         assert abs(known + expected.p(context, "never seen") - 1) < 1e-9
 
 
+def test_runs_travel_packed_and_meet_in_many_parts(spark, monkeypatch):
+    """With a few tokens to a part, scores are those of a plain tree, and what is shuffled for counting and scoring has
+    rows by blocks and parts, not by runs."""
+    monkeypatch.setattr(suffix_tree_lm, "PART", 100)
+    rng = random.Random(11)
+    texts = [" ".join(rng.choice(["a b c", "a b d", "x b c", "y", f"z{rng.randrange(300)}"]) for _ in range(8)) for _ in range(300)]
+    texts += [None, "", "A b", "a b c " * 500]
+    docs = frame(spark, plain.rows_with_edges(texts)).coalesce(1)
+    tree = suffix_tree_lm.train(docs.select("text"))
+    assert tree.parts > 50
+    for length in (2, 3, 4):
+        counts = docs.select("text").mapInArrow(suffix_tree_lm._gram_counts(length, 0, tree.parts), suffix_tree_lm._COUNTS)
+        assert 0 < counts.count() <= tree.parts
+    expected = plain.SuffixTree(texts, suffix_tree_lm.DEPTH, suffix_tree_lm.LEAST, suffix_tree_lm.GAIN, suffix_tree_lm.PRIOR)
+    rows = plain.rows_with_edges([*texts[-40:], "a b q", "q", "b c a b d y", "z1 a b"])
+    by_id = {r[0]: r[1] for r in rows}
+    got = suffix_tree_lm.score(frame(spark, rows), tree, F.col("doc_id"), F.col("text"), F.lit(False)).collect()
+    assert len(got) == len(rows)
+    for r in got:
+        assert abs(r.score - expected.score(by_id[r.doc_id])) < 1e-6
+
+
 def test_rare_phrases_of_a_large_corpus_are_learned(spark):
     """A phrase that occurs eight times among a million tokens, less than a hundred-thousandth of them."""
     rng = random.Random(10)
