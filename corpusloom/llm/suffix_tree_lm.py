@@ -57,7 +57,7 @@ PART = 1 << 21
 #: Shares of the hashes of contexts, each counted and settled by itself.
 COUNT_SHARES = 2
 #: Shares of the hashes of runs, each scored by itself.
-SHARES = 4
+SHARES = 3
 #: Stands for the end of a text among the word hashes.
 END = np.uint64(0x5BF03635F0935A5D)
 
@@ -93,9 +93,7 @@ def _runs(tokens: np.ndarray, place: np.ndarray) -> Iterator[tuple[int, np.ndarr
     hash of the run that ends there."""
     key = np.zeros(len(tokens), dtype=np.uint64)
     for length in range(1, DEPTH + 2):
-        before = np.zeros_like(key)
-        before[1:] = key[:-1]
-        key = _longer(before if length > 1 else key, tokens, length)
+        key = _longer(np.r_[np.uint64(0), key[:-1]][: len(key)], tokens, length)
         yield length, np.flatnonzero(place >= length - 1), key
 
 
@@ -103,18 +101,24 @@ def _joined(arrays: list[np.ndarray]) -> np.ndarray:
     return arrays[0] if len(arrays) == 1 else np.concatenate(arrays)
 
 
-def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
-    """Tokens, their places and the numbers (the second column, if there is one) of texts that have ``BLOCK`` tokens together."""
-    gathered: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
-    size = 0
+def _pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """Tokens, their places and the numbers (the second column, if there is one) of a few texts at a time."""
     for batch in batches:
         rows = batch.column(1).to_numpy() if batch.num_columns > 1 else np.zeros(batch.num_rows, dtype=np.int64)
         for words in words_of(batch.column(0)):
-            gathered.append((*_with_ends(words), rows[words.first : words.last]))
-            size += len(gathered[-1][0])
-            if size >= BLOCK:
-                yield tuple(map(_joined, zip(*gathered)))
-                gathered, size = [], 0
+            yield (*_with_ends(words), rows[words.first : words.last])
+
+
+def _blocks(pieces: Iterator[tuple[int, tuple]]) -> Iterator[tuple[np.ndarray, ...]]:
+    """The arrays of pieces that have ``BLOCK`` tokens together, joined; a piece is its number of tokens and its arrays."""
+    gathered: list[tuple] = []
+    size = 0
+    for tokens, arrays in pieces:
+        gathered.append(arrays)
+        size += tokens
+        if size >= BLOCK:
+            yield tuple(map(_joined, zip(*gathered)))
+            gathered, size = [], 0
     if gathered:
         yield tuple(map(_joined, zip(*gathered)))
 
@@ -124,12 +128,45 @@ def _starts(values: np.ndarray) -> np.ndarray:
     return np.flatnonzero(np.r_[True, values[1:] != values[:-1]][: len(values)])
 
 
-def _find(keys: np.ndarray, values: np.ndarray) -> np.ndarray:
-    """Where each value stands in the ascending ``keys``, or -1."""
-    if not len(keys):
-        return np.full(len(values), -1)
-    at = np.minimum(np.searchsorted(keys, values), len(keys) - 1)
-    return np.where(keys[at] == values, at, -1)
+def _order(keys: np.ndarray) -> np.ndarray:
+    """``argsort`` of hashes: their first bits are sorted with the places in the last ones, which mostly suffices."""
+    low = (np.uint64(1) << np.uint64(max(1, len(keys)).bit_length())) - np.uint64(1)
+    order = (np.sort((keys & ~low) | np.arange(len(keys), dtype=np.uint64)) & low).astype(np.int64)
+    ordered = keys[order]
+    return np.argsort(keys) if (ordered[1:] < ordered[:-1]).any() else order
+
+
+class _Index:
+    """Ascending hashes, found by where those with the same first bits begin."""
+
+    def __init__(self, keys: np.ndarray) -> None:
+        self.keys = keys
+        if len(keys):
+            span = int(keys[-1]) - int(keys[0]) + 1
+            self.shift = np.uint64(max(0, span.bit_length() - len(keys).bit_length()))
+            buckets = (span >> int(self.shift)) + 1
+            self.starts = np.r_[0, np.cumsum(np.bincount(self._bucket(keys), minlength=buckets))]
+
+    def _bucket(self, values: np.ndarray) -> np.ndarray:
+        return ((values - self.keys[0]) >> self.shift).astype(np.int64)
+
+    def find(self, values: np.ndarray) -> np.ndarray:
+        """Where each value stands, or -1."""
+        found = np.full(len(values), -1)
+        if not len(self.keys):
+            return found
+        live = np.flatnonzero((values >= self.keys[0]) & (values <= self.keys[-1]))
+        values = values[live]
+        bucket = self._bucket(values)
+        at, end = self.starts[bucket], self.starts[bucket + 1]
+        while len(live):
+            go = np.flatnonzero(at < end)
+            live, values, at, end = live[go], values[go], at[go], end[go]
+            same = self.keys[at] == values
+            found[live[same]] = at[same]
+            go = np.flatnonzero(~same)
+            live, values, at, end = live[go], values[go], at[go] + 1, end[go]
+        return found
 
 
 def _part_of(keys: np.ndarray, parts: int) -> np.ndarray:
@@ -159,33 +196,38 @@ def _table_of(schema: str, rows: list[dict]) -> pa.Table:
 
 def _unpacked(table: pa.Table, **kinds: type) -> list[np.ndarray]:
     """Packed columns of all rows, one array each."""
-    return [np.frombuffer(b"".join(table[name].to_pylist()), dtype=kind) for name, kind in kinds.items()]
+    return [np.frombuffer(b"".join(table[name].drop_null().to_pylist()), dtype=kind) for name, kind in kinds.items()]
 
 
 def _single_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for tokens, place, _ in _blocks(batches):
-        _, _, key = next(_runs(tokens, place))
-        values, counts = np.unique(key, return_counts=True)
+    for (tokens,) in _blocks((len(tokens), (tokens,)) for tokens, _, _ in _pieces(batches)):
+        values, counts = np.unique(_longer(np.uint64(0), tokens, 1), return_counts=True)
         yield pa.record_batch([pa.array(values.view(np.int64)), pa.array(counts)], names=["key", "n"])
 
 
+def _grams(tokens: np.ndarray, place: np.ndarray, length: int, share: int) -> tuple[np.ndarray, ...]:
+    """Contexts, last tokens and hashes of the runs of ``length`` whose context is in ``share``."""
+    for reached, _, key in _runs(tokens, place):
+        if reached == length - 1:
+            break
+    in_share = key[:-1] % np.uint64(COUNT_SHARES) == share
+    at = np.flatnonzero((place[1:] >= length - 1) & in_share) + 1
+    context, token = key[at - 1], tokens[at]
+    return context, token, _longer(context, token, length)
+
+
 def _gram_counts(length: int, share: int, parts: int) -> Callable:
     """Counts of a block's runs of ``length`` whose context is in ``share``, dealt by their contexts."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for tokens, place, _ in _blocks(batches):
-            for reached, at, key in _runs(tokens, place):
-                if reached == length:
-                    break
-                shorter = key
-            at = at[shorter[at - 1] % np.uint64(COUNT_SHARES) == share]
-            grams = key[at]
-            order = np.argsort(grams)
+        pieces = ((len(tokens), _grams(tokens, place, length, share)) for tokens, place, _ in _pieces(batches))
+        for context, token, grams in _blocks(pieces):
+            order = _order(grams)
             starts = _starts(grams[order])
-            n = np.diff(np.r_[starts, len(at)])
-            at = at[order[starts]]
-            context = shorter[at - 1]
-            dealt = _dealt(_part_of(context, parts), context, tokens[at], n)
+            n = np.diff(np.r_[starts, len(grams)])
+            at = order[starts]
+            context = context[at]
+            dealt = _dealt(_part_of(context, parts), context, token[at], n.astype(np.uint32))
             yield _rows_of(_COUNTS, [{"part": part, "context": c, "token": t, "n": x} for part, (c, t, x) in dealt])
 
     return run
@@ -217,14 +259,14 @@ def _found(length: int, parts: int) -> Callable:
     def run(key: tuple, counts: pa.Table, level: pa.Table) -> pa.Table:
         contexts, links, occurs = _unpacked(level, key=np.uint64, suffix=np.uint64, n=np.int64)
         often = np.flatnonzero(occurs >= LEAST)
-        often = often[np.argsort(contexts[often])]
+        often = often[_order(contexts[often])]
         contexts, links, occurs = contexts[often], links[often], occurs[often]
-        context, token, n = _unpacked(counts, context=np.uint64, token=np.uint64, n=np.int64)
-        at = _find(contexts, context)
+        context, token, n = _unpacked(counts, context=np.uint64, token=np.uint64, n=np.uint32)
+        at = _Index(contexts).find(context)
         there = np.flatnonzero(at >= 0)
-        at, token, n = at[there], token[there], n[there]
+        at, token, n = at[there], token[there], n[there].astype(np.int64)
         gram = _longer(contexts[at], token, length)
-        order = np.argsort(gram)
+        order = _order(gram)
         starts = _starts(gram[order])
         n = np.add.reduceat(n[order], starts) if len(starts) else n
         enough = np.flatnonzero(n >= LEAST)
@@ -251,11 +293,11 @@ def _found(length: int, parts: int) -> Callable:
 def _answers(key: tuple, asks: pa.Table, level: pa.Table) -> pa.Table:
     """The probabilities of suffixes in a part."""
     keys, p = _unpacked(level, key=np.uint64, value=np.float64)
-    order = np.argsort(keys)
-    keys, p = keys[order], p[order]
+    order = _order(keys)
+    index, p = _Index(keys[order]), p[order]
     rows = []
     for ask in asks.select(["asked", "suffix"]).to_pylist():
-        at = _find(keys, np.frombuffer(ask["suffix"], dtype=np.uint64))
+        at = index.find(np.frombuffer(ask["suffix"], dtype=np.uint64))
         if len(at) and at.min() < 0:
             raise ValueError("a run occurs more often than its suffix")
         rows.append({"part": ask["asked"], "asked": key[0].as_py(), "p": p[at].tobytes()})
@@ -339,7 +381,7 @@ class Tree:
 
 def _summed(keys: np.ndarray, c: np.ndarray, value: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Ascending distinct keys with the sums of what they add."""
-    order = np.argsort(keys)
+    order = _order(keys)
     keys = keys[order]
     starts = _starts(keys)
     if not len(starts):
@@ -367,31 +409,42 @@ def _common_runs(tree: Tree) -> tuple[np.ndarray, ...]:
     return bitmap, *_adds((tree.total, tree.distinct), keys, c, value)
 
 
+def _pieces_of_share(shared, batches: Iterator[pa.RecordBatch], share: int) -> Iterator[tuple[int, tuple]]:
+    """Of the texts (``text, row``) of a piece: their numbers, tokens (in the first share) and what common runs of the share
+    add; how many others each has, and these, by length."""
+    bitmap, keys, *amounts = shared.value
+    index = _Index(keys)
+    for tokens, place, numbers in _pieces(batches):
+        owner = np.cumsum(place == 0) - 1
+        n_tokens = np.bincount(owner, minlength=len(numbers)) if share == 0 else np.zeros(len(numbers), dtype=np.int64)
+        sums = [np.zeros(len(numbers)) for _ in amounts]
+        others: list[tuple[np.ndarray, np.ndarray]] = []
+        for length, _, key in _runs(tokens, place):
+            at = np.flatnonzero((place >= length - 1) & (key % np.uint64(SHARES) == share))
+            wanted, text = key[at], owner[at]
+            is_common = in_bitmap(bitmap, wanted)
+            perhaps = np.flatnonzero(is_common)
+            entry = index.find(wanted[perhaps])
+            is_common[perhaps] = entry >= 0
+            met, entry = text[is_common], entry[entry >= 0]
+            for total, amount in zip(sums, amounts):
+                if length == 1 or amount is amounts[-1]:  # longer runs aren't words
+                    total += np.bincount(met, weights=amount[entry], minlength=len(numbers))
+            others.append((wanted[~is_common], text[~is_common]))
+        key, text = (np.concatenate(x) for x in zip(*others))
+        yield len(tokens), (key, text, numbers, n_tokens, *sums, np.array([len(key)]), np.array([len(numbers)]))
+
+
 def _lookups(shared, share: int, parts: int) -> Callable:
     """The runs of a share in the texts (``text, row``) of a block that are not common, dealt by their hashes; and
     a row with what common runs add. The first share counts the tokens."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bitmap, keys, *amounts = shared.value
-        for tokens, place, numbers in _blocks(batches):
-            owner = np.cumsum(place == 0) - 1
-            n_tokens = np.bincount(owner, minlength=len(numbers)) if share == 0 else np.zeros(len(numbers), dtype=np.int64)
-            sums = [np.zeros(len(numbers)) for _ in amounts]
-            others: list[tuple[np.ndarray, np.ndarray]] = []
-            for _, at, key in _runs(tokens, place):
-                at = at[key[at] % np.uint64(SHARES) == share]
-                wanted = key[at]
-                is_common = in_bitmap(bitmap, wanted)
-                perhaps = np.flatnonzero(is_common)
-                entry = _find(keys, wanted[perhaps])
-                is_common[perhaps] = entry >= 0
-                text, entry = owner[at[is_common]], entry[entry >= 0]
-                sums = [x + np.bincount(text, weights=y[entry], minlength=len(numbers)) for x, y in zip(sums, amounts)]
-                others.append((wanted[~is_common], owner[at[~is_common]].astype(np.uint32)))
-            key, text = (np.concatenate(x) for x in zip(*others))
-            block, low = int(numbers[0]), share * parts
-            own = dict(zip((ROW, "n_tokens", "known", "base", "gain"), (numbers, n_tokens, *sums)))
-            rows = [{"part": low + block % parts, "block": block} | {k: x.tobytes() for k, x in own.items()}]
+        for key, text, *own, n_keys, n_texts in _blocks(_pieces_of_share(shared, batches, share)):
+            text = (text + np.repeat(np.cumsum(n_texts) - n_texts, n_keys)).astype(np.uint32)
+            block, low = int(own[0][0]), share * parts
+            whole = dict(zip((ROW, "n_tokens", "known", "base", "gain"), own))
+            rows = [{"part": low + block % parts, "block": block} | {k: x.tobytes() for k, x in whole.items()}]
             for part, (x, y) in _dealt(_part_of(key, parts), key, text):
                 rows.append({"part": low + part, "block": block, "key": x, "owner": y})
             yield _rows_of(_LOOKUPS, rows)
@@ -404,13 +457,15 @@ def _met(tree_size: tuple[int, int]) -> Callable:
 
     def run(lookups: pa.Table, numbers: pa.Table) -> pa.Table:
         keys, *amounts = _adds(tree_size, *_unpacked(numbers, key=np.uint64, c=np.int64, value=np.float64))
-        rows = []
+        (wanted,) = _unpacked(lookups, key=np.uint64)
+        entries, done, rows = _Index(keys).find(wanted), 0, []
         for row in lookups.drop_columns("part").to_pylist():
-            wanted, owner = row.pop("key"), row["owner"]
-            if wanted is not None:
-                entry = _find(keys, np.frombuffer(wanted, dtype=np.uint64))
-                text = np.frombuffer(owner, dtype=np.uint32)[entry >= 0]
-                entry = entry[entry >= 0]
+            asked, owner = row.pop("key"), row["owner"]
+            if asked is not None:
+                text = np.frombuffer(owner, dtype=np.uint32)
+                entry = entries[done : done + len(text)]
+                done += len(text)
+                text, entry = text[entry >= 0], entry[entry >= 0]
                 texts = np.flatnonzero(np.bincount(text))
                 row["owner"] = texts.astype(np.uint32).tobytes()
                 for name, amount in zip(("known", "base", "gain"), amounts):
