@@ -52,12 +52,14 @@ GAIN = 4.0
 PRIOR = 2.0
 #: Tokens that are counted or scored together before they are shuffled.
 BLOCK = 1 << 21
+#: Hashes that are looked up together.
+SLICE = 1 << 17
 #: Training tokens to a part of the hashes.
 PART = 1 << 21
 #: Shares of the hashes of contexts, each counted and settled by itself.
 COUNT_SHARES = 2
 #: Shares of the hashes of runs, each scored by itself.
-SHARES = 3
+SHARES = 4
 #: Stands for the end of a text among the word hashes.
 END = np.uint64(0x5BF03635F0935A5D)
 
@@ -151,10 +153,13 @@ class _Index:
         return ((values - self.keys[0]) >> self.shift).astype(np.int64)
 
     def find(self, values: np.ndarray) -> np.ndarray:
-        """Where each value stands, or -1."""
+        """Where each value stands, or -1; in slices, so that little memory is held next to the result."""
         found = np.full(len(values), -1)
-        if not len(self.keys):
-            return found
+        for first in range(0, len(values) if len(self.keys) else 0, SLICE):
+            self._find_into(found[first : first + SLICE], values[first : first + SLICE])
+        return found
+
+    def _find_into(self, found: np.ndarray, values: np.ndarray) -> None:
         live = np.flatnonzero((values >= self.keys[0]) & (values <= self.keys[-1]))
         values = values[live]
         bucket = self._bucket(values)
@@ -166,7 +171,6 @@ class _Index:
             found[live[same]] = at[same]
             go = np.flatnonzero(~same)
             live, values, at, end = live[go], values[go], at[go] + 1, end[go]
-        return found
 
 
 def _part_of(keys: np.ndarray, parts: int) -> np.ndarray:
@@ -430,7 +434,7 @@ def _pieces_of_share(shared, batches: Iterator[pa.RecordBatch], share: int) -> I
             for total, amount in zip(sums, amounts):
                 if length == 1 or amount is amounts[-1]:  # longer runs aren't words
                     total += np.bincount(met, weights=amount[entry], minlength=len(numbers))
-            others.append((wanted[~is_common], text[~is_common]))
+            others.append((wanted[~is_common], text[~is_common].astype(np.uint32)))
         key, text = (np.concatenate(x) for x in zip(*others))
         yield len(tokens), (key, text, numbers, n_tokens, *sums, np.array([len(key)]), np.array([len(numbers)]))
 
@@ -441,7 +445,7 @@ def _lookups(shared, share: int, parts: int) -> Callable:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for key, text, *own, n_keys, n_texts in _blocks(_pieces_of_share(shared, batches, share)):
-            text = (text + np.repeat(np.cumsum(n_texts) - n_texts, n_keys)).astype(np.uint32)
+            text = text + np.repeat((np.cumsum(n_texts) - n_texts).astype(np.uint32), n_keys)
             block, low = int(own[0][0]), share * parts
             whole = dict(zip((ROW, "n_tokens", "known", "base", "gain"), own))
             rows = [{"part": low + block % parts, "block": block} | {k: x.tobytes() for k, x in whole.items()}]
