@@ -1,8 +1,8 @@
 """Similar pages for every document of an index: a top-k join with upper bounds of scores.
 
 A document's query are its most typical terms. Every term has a maximum weight over its postings, so the terms
-that a pair has not been seen to share still bound its score. A first look at the heaviest postings of each term
-gives every query the score that a result has to reach. From then on
+that a pair has not been seen to share still bound its score. A first look, at the heaviest postings of each term or at a
+sample of the documents, gives every query the score that a result has to reach. From then on
 
 * the lightest terms of a query, which cannot reach it together, or are too few for a match, look nothing up;
 * the others look up only postings that are heavy enough to reach it if all other terms were at their maximum.
@@ -11,10 +11,11 @@ gives every query the score that a result has to reach. From then on
 ``lookups`` and ``candidates`` give these pairs as tables, for an index whose pairs have room on disk.
 
 Pairs are neither written nor shuffled. Documents are dealt into blocks; a task holds the postings of a block, lets
-the queries of all documents pass by, adds up their scores in numbers, and makes rows only of a query's best of the
-block that reach that score. What is shuffled is the postings once, the queries once for each block, and the
-results. No result is lost: what is left out is below the score to be reached. The additions are as many as
-there are pairs of a query's term and a document with it.
+the queries of all documents pass by, and makes rows only of a query's best of the block that reach that score. What is
+shuffled is the postings once, the queries once for each block, and the results. In a block, the weights bound a score
+once more: postings of the terms that can't reach it together are not looked at, if the others have few; otherwise the
+block adds up its terms, those of many documents as whole rows. What is found is then scored from its postings. No
+result is lost: what is left out is below the score to be reached. The work still grows with the square of the corpus.
 """
 
 from __future__ import annotations
@@ -39,8 +40,17 @@ LEVELS = 16
 SLACK = 2e-6
 #: Postings that a task holds.
 BLOCK_POSTINGS = 1 << 22
-#: Scores of pairs that a task holds at once.
-CELLS = 1 << 17
+#: Queries that a task answers at once.
+QUERIES = 256
+#: A list of a block with a document in so many is also kept as a row, as far as the rows of a task have no more cells.
+ROW_SHARE = 16
+CELLS = 1 << 25
+#: Up to so many postings of a query are put together by sorting, more by adding up rows.
+LISTED = 400
+#: Indexes of more postings than this take their first scores from one document in ``SAMPLED``.
+SAMPLE_FROM = 1 << 21
+SAMPLED = 16
+
 
 def typical_of_all(index: search.TextIndex, most: int, min_doc_freq: int, min_match: float) -> DataFrame:
     """``seed_id, term, needed``: the query terms of every document, and how many of them a result must have."""
@@ -75,16 +85,25 @@ def _level(part: Column, most: Column) -> Column:
 
 
 def scores_to_reach(wanted: DataFrame, postings: DataFrame, size: int) -> DataFrame:
-    """``seed_id, bar``: a score that ``size`` documents at least reach, or 0, from the heaviest postings of each term."""
-    heaviest = Window.partitionBy("term").orderBy(F.col("part").desc(), "id")
-    champions = postings.withColumn("turn", F.row_number().over(heaviest)).filter(F.col("turn") <= CHAMPIONS * size)
-    seen = wanted.join(champions.select("term", "id", "part"), "term").filter("seed_id <> id")
-    # What is seen of a score is less than all of it; enough terms must be seen for the document to count.
-    seen = seen.groupBy("seed_id", "id").agg(
-        F.sum("part").alias("score"), F.count("*").alias("n"), F.max("needed").alias("needed")
-    )
+    """``seed_id, bar``: a score that ``size`` documents at least reach, or 0.
+
+    It comes from the heaviest postings of each term or, with many postings, from a sample of the documents, whose
+    scores are whole: few documents are the heaviest of several terms."""
+    if postings.count() > SAMPLE_FROM:
+        sampled = postings.filter(F.pmod(F.xxhash64("id", F.lit("sample")), F.lit(SAMPLED)) == 0)
+        no_bars = wanted.select("seed_id", F.lit(0.0).alias("bar")).limit(0)
+        ranked = best_of_blocks(wanted, sampled, no_bars, size, sliced=True)
+    else:
+        heaviest = Window.partitionBy("term").orderBy(F.col("part").desc(), "id")
+        champions = postings.withColumn("turn", F.row_number().over(heaviest)).filter(F.col("turn") <= CHAMPIONS * size)
+        seen = wanted.join(champions.select("term", "id", "part"), "term").filter("seed_id <> id")
+        # What is seen of a score is less than all of it; enough terms must be seen for the document to count.
+        seen = seen.groupBy("seed_id", "id").agg(
+            F.sum("part").alias("score"), F.count("*").alias("n"), F.max("needed").alias("needed")
+        )
+        ranked = seen.filter("n >= needed")
     best = Window.partitionBy("seed_id").orderBy(F.col("score").desc())
-    ranked = seen.filter("n >= needed").withColumn("turn", F.row_number().over(best)).filter(F.col("turn") <= size)
+    ranked = ranked.withColumn("turn", F.row_number().over(best)).filter(F.col("turn") <= size)
     bar = F.when(F.count("*") >= size, F.min("score")).otherwise(0.0)
     return ranked.groupBy("seed_id").agg(bar.alias("bar"))
 
@@ -118,7 +137,10 @@ def candidates(looked: DataFrame, postings: DataFrame) -> DataFrame:
 
 
 class _Block:
-    """The postings of some documents as lists by term, each sorted by id. Rows of one term and id count as one."""
+    """The postings of some documents as lists by term, each sorted by id. Rows of one term and id count as one.
+
+    The longest lists are also kept as rows with a place for every document, so that they are added up without looking
+    a document up. These rows are rounded and only find candidates; results come from the lists."""
 
     def __init__(self, ids: pa.Array, terms: np.ndarray, parts: np.ndarray) -> None:
         coded = ids.dictionary_encode()
@@ -137,22 +159,148 @@ class _Block:
         self.once = len(at) == len(terms)
         self.terms, starts = np.unique(terms[at], return_index=True)
         self.starts = np.r_[starts, len(at)]
-
-    def best(self, lists: np.ndarray, query: np.ndarray, needed: np.ndarray, bars: np.ndarray, own: np.ndarray, size: int):
-        """``(query, document, score)`` of the documents that may be among the best ``size`` of some queries.
-
-        ``lists`` are those of their terms and ``query`` says whose; ``own`` is the document that is the query."""
+        self.most = np.maximum.reduceat(self.parts, starts)
+        n, lengths = len(self.ids), np.diff(self.starts)
+        self.cells = np.repeat(np.arange(len(lengths)) * n, lengths) + self.docs
+        longest = np.argsort(-lengths, kind="stable")[: max(1, CELLS // n)]
+        longest = longest[lengths[longest] * ROW_SHARE >= n]
+        self.row = np.full(len(lengths), -1)
+        self.row[longest] = np.arange(len(longest))
+        self.rows = np.zeros((len(longest), n), dtype=np.float32)
+        for row, one in zip(self.rows, longest):
+            there = slice(self.starts[one], self.starts[one + 1])
+            row[self.docs[there]] = self.parts[there]
+
+    def scores(self, doc: np.ndarray, lists: np.ndarray, first: np.ndarray, number: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Score and number of matches of each of ``doc`` by ``number`` of the ``lists``, 1 at least, from ``first`` on."""
+        begin = np.cumsum(number) - number
+        one = lists[np.repeat(first - begin, number) + np.arange(number.sum())]
+        wanted = one * len(self.ids) + np.repeat(doc, number)
+        order = np.argsort(wanted)
+        at = np.empty(len(wanted), dtype=np.int64)
+        at[order] = np.minimum(np.searchsorted(self.cells, wanted[order]), len(self.cells) - 1)
+        hit = self.cells[at] == wanted
+        return np.add.reduceat(np.where(hit, self.parts[at], 0.0), begin), np.add.reduceat(np.where(hit, self.counts[at], 0), begin)
+
+    def _by_lists(
+        self, lists: np.ndarray, query: np.ndarray, bars: np.ndarray, lightest: np.ndarray, first: np.ndarray, idle: np.ndarray
+    ) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """``(query, document, score)`` of the documents in ``lists`` that may reach the bar with the terms left out: ``idle``
+        many of ``lightest``, from ``first`` on, by weight. These are followed from the heaviest one, as rows or bounds, so
+        the score is a bound as well."""
         n = len(self.ids)
         lengths = self.starts[lists + 1] - self.starts[lists]
         at = np.repeat(self.starts[lists] - (np.cumsum(lengths) - lengths), lengths) + np.arange(lengths.sum())
         cell = np.repeat(query * n, lengths) + self.docs[at]
-        score = np.bincount(cell, weights=self.parts[at], minlength=len(needed) * n).reshape(-1, n)
-        counts = None if self.once else self.counts[at]
-        matched = np.bincount(cell, weights=counts, minlength=len(needed) * n).reshape(-1, n)
-        kept = (matched >= needed[:, None]) & (score >= (bars - SLACK)[:, None])
-        kept[np.flatnonzero(own >= 0), own[own >= 0]] = False
-        row, doc = np.nonzero(kept)
-        score = score[row, doc]
+        order = np.argsort(cell)
+        cell = cell[order]
+        begin = np.flatnonzero(np.r_[True, cell[1:] != cell[:-1]])
+        row, doc = np.divmod(cell[begin], n)
+        score = np.add.reduceat(self.parts[at[order]], begin)
+        most = self.most[lightest]
+        upto = np.r_[0, np.cumsum(most)]
+        low = bars - SLACK - SLACK * (1 + upto[first + idle] - upto[first])
+        step = 0
+        while True:
+            left = idle[row] - step
+            rest = upto[first[row] + left.clip(0)] - upto[first[row]]
+            kept = score + rest >= low[row]
+            row, doc, score, left = row[kept], doc[kept], score[kept], left[kept]
+            if not (left > 0).any():
+                return row, doc, score
+            one = first[row] + (left - 1).clip(0)
+            its = self.row[lightest[one]]
+            more = np.where(its >= 0, self.rows.ravel()[its.clip(0) * n + doc], most[one]) if len(self.rows) else most[one]
+            score += np.where(left > 0, more, 0)
+            step += 1
+
+    def _by_rows(self, lists: np.ndarray, needed: int, bar: float, own: int, size: int) -> tuple[np.ndarray, np.ndarray]:
+        """The documents that may be among the best ``size`` of one query, and about their scores, from all of its lists."""
+        row_of = self.row[lists]
+        score = np.zeros(len(self.ids), dtype=np.float32)
+        for row in row_of[row_of >= 0].tolist():
+            score += self.rows[row]
+        for one in lists[row_of < 0].tolist():
+            there = slice(self.starts[one], self.starts[one + 1])
+            score[self.docs[there]] += self.parts[there]
+        if own >= 0:
+            score[own] = 0
+        rounding = SLACK * (1 + self.most[lists].sum())
+        found = np.flatnonzero(score >= max(bar - SLACK - rounding, 1e-30))
+        score = score[found]
+        if len(found) <= 16 * size:
+            return found, score
+        # Without a good bar, the best that match give one.
+        seen = size
+        while True:
+            seen = min(4 * seen, len(found))
+            best = found[np.argpartition(score, len(found) - seen)[-seen:]]
+            exact, matched = self.scores(best, lists, np.zeros(seen, dtype=np.int64), np.full(seen, len(lists)))
+            best, exact = best[matched >= needed], exact[matched >= needed]
+            if len(exact) >= size:
+                kept = score >= np.partition(exact, len(exact) - size)[-size] - SLACK - rounding
+                return found[kept], score[kept]
+            if seen == len(found):
+                return best, exact
+
+    def best(self, lists: np.ndarray, query: np.ndarray, needed: np.ndarray, bars: np.ndarray, own: np.ndarray, size: int):
+        """``(query, document, score)`` of the documents that may be among the best ``size`` of some queries.
+
+        ``lists`` are those of their terms and ``query``, ascending, says whose; ``own`` is the document that is the query."""
+        most = self.most[lists]
+        order = np.lexsort((most, query))
+        lists, most = lists[order], most[order]
+        number = np.bincount(query, minlength=len(needed))
+        first = np.cumsum(number) - number
+        upto = np.cumsum(most)
+        upto -= np.r_[0, upto][first[query]]
+        # The lightest lists together stay below the bar, or are fewer than a match needs.
+        idle = upto < bars[query] - SLACK
+        if self.once:
+            idle |= np.arange(len(lists)) - first[query] < needed[query] - 1
+        total = np.bincount(query, weights=most, minlength=len(needed))
+        left_out = np.bincount(query[idle], minlength=len(needed))
+        work = np.bincount(query[~idle], weights=(self.starts[lists + 1] - self.starts[lists])[~idle], minlength=len(needed))
+        by_rows = work > LISTED
+        rows: list[np.ndarray] = []
+        docs: list[np.ndarray] = []
+        about: list[np.ndarray] = []
+        listed = ~idle & ~by_rows[query]
+        if listed.any():
+            row, doc, score = self._by_lists(lists[listed], query[listed], bars, lists, first, left_out)
+            rows.append(row)
+            docs.append(doc)
+            about.append(score)
+        for one in np.flatnonzero(by_rows).tolist():
+            its = lists[first[one] : first[one] + number[one]]
+            found, score = self._by_rows(its, needed[one], bars[one], own[one], size)
+            rows.append(np.full(len(found), one))
+            docs.append(found)
+            about.append(score)
+        row, doc = (np.concatenate([np.zeros(0, dtype=np.int64), *some]) for some in (rows, docs))
+        most_of_all = np.concatenate([np.zeros(0), *about])
+        kept = doc != own[row]
+        row, doc, most_of_all = row[kept], doc[kept], most_of_all[kept]
+        if not len(row):
+            return row, doc, np.zeros(0)
+        order = np.lexsort((-most_of_all, row))
+        row, doc, most_of_all = row[order], doc[order], most_of_all[order]
+        # The foremost of a query raise its bar, if they all match; the others of less are not scored.
+        foremost = np.arange(len(row)) - np.searchsorted(row, row) < size
+        score, matched = np.zeros(len(row)), np.zeros(len(row), dtype=np.int64)
+
+        def scored(some: np.ndarray) -> None:
+            if some.any():
+                score[some], matched[some] = self.scores(doc[some], lists, first[row[some]], number[row[some]])
+
+        scored(foremost)
+        well = foremost & (matched >= needed[row])
+        least = np.full(len(needed), np.inf)
+        np.minimum.at(least, row[well], score[well])
+        low = np.where(np.bincount(row[well], minlength=len(needed)) >= size, np.maximum(bars, least), bars)
+        scored(~foremost & (most_of_all >= (low - SLACK - SLACK * (1 + total))[row]))
+        kept = (matched >= needed[row]) & (score >= low[row] - SLACK)
+        row, doc, score = row[kept], doc[kept], score[kept]
         order = np.lexsort((-score, row))
         row, doc, score = row[order], doc[order], score[order]
         first = np.searchsorted(row, np.arange(len(needed)))
@@ -200,32 +348,43 @@ def _block_scorer(size: int) -> Callable:
                     if block is None:
                         block = _Block(pa.concat_arrays(ids), np.concatenate(terms), np.concatenate(parts))
                         ids, terms, parts = [], [], []
-                    step = max(1, CELLS // len(block.ids))
-                    for at in range(0, len(rows), step):
-                        yield answers(block, rows.slice(at, step))
+                    for at in range(0, len(rows), QUERIES):
+                        yield answers(block, rows.slice(at, QUERIES))
 
     return run
 
 
-def best_of_blocks(wanted: DataFrame, postings: DataFrame, bars: DataFrame, size: int) -> DataFrame:
+def best_of_blocks(wanted: DataFrame, postings: DataFrame, bars: DataFrame, size: int, sliced: bool = False) -> DataFrame:
     """``seed_id, id, score``: of every block of documents the best ``size`` of every query, and those that are
-    as good but for the rounding. A term that a query has twice counts twice."""
-    cores = postings.sparkSession.sparkContext.defaultParallelism
-    blocks = max(2 * cores, -(-postings.count() // BLOCK_POSTINGS))
+    as good but for the rounding. A term that a query has twice counts twice.
+
+    ``sliced`` deals the queries, not the documents, over tasks where there are fewer blocks than that: for few postings."""
+    tasks = 2 * postings.sparkSession.sparkContext.defaultParallelism
+    blocks = max(1 if sliced else tasks, -(-postings.count() // BLOCK_POSTINGS))
+    slices = -(-tasks // blocks)
     id_type = postings.schema["id"].dataType
-    lists = postings.filter("id is not null").select(
-        F.pmod(F.xxhash64("id"), F.lit(blocks)).cast("int").alias("block"), F.lit(0).alias("kind"), "id",
-        F.xxhash64("term").alias("term"), "part", F.lit(0).cast("long").alias("needed"),
-        F.lit(None).cast("array<long>").alias("terms"),
+
+    def every(n: int) -> Column:
+        return F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+
+    def dealt_by(key: str, n: int) -> Column:
+        return F.pmod(F.xxhash64(key), F.lit(n))
+
+    task = (F.col("of_id") * slices + F.col("of_seed")).cast("int").alias("block")
+    lists = postings.filter("id is not null").select("term", "id", "part", dealt_by("id", blocks).alias("of_id"), every(slices).alias("of_seed"))
+    lists = lists.select(
+        task, F.lit(0).alias("kind"), "id", F.xxhash64("term").alias("term"), "part",
+        F.lit(0).cast("long").alias("needed"), F.array().cast("array<long>").alias("terms"),
     )
     queries = wanted.filter("seed_id is not null").groupBy("seed_id").agg(
         F.collect_list(F.xxhash64("term")).alias("terms"), F.max("needed").cast("long").alias("needed")
     )
-    queries = queries.join(bars, "seed_id", "left").fillna(0.0, ["bar"]).select(
-        F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("block"), F.lit(1).alias("kind"),
-        F.col("seed_id").alias("id"), F.lit(0).cast("long").alias("term"), F.col("bar").alias("part"), "needed", "terms",
+    queries = queries.join(bars, "seed_id", "left").fillna(0.0, ["bar"])
+    queries = queries.select("*", every(blocks).alias("of_id"), dealt_by("seed_id", slices).alias("of_seed")).select(
+        task, F.lit(1).alias("kind"), F.col("seed_id").alias("id"), F.lit(0).cast("long").alias("term"),
+        F.col("bar").alias("part"), "needed", "terms",
     )
-    both = lists.unionByName(queries).repartition(blocks, "block").sortWithinPartitions("block", "kind")
+    both = lists.unionByName(queries).repartitionById(blocks * slices, "block").sortWithinPartitions("block", "kind")
     schema = T.StructType(
         [T.StructField("seed_id", id_type), T.StructField("id", id_type), T.StructField("score", T.DoubleType())]
     )

@@ -6,6 +6,7 @@ import random
 import re
 from datetime import datetime
 
+import numpy as np
 import pyarrow as pa
 import pyarrow.parquet as pq
 import pytest
@@ -567,3 +568,61 @@ def test_listings_of_nothing(spark):
     assert listing.page(found, 5, 1, "hot").collect() == [] and listing.page(found, 0, 1).collect() == []
     with pytest.raises(ValueError):
         listing.page(found, 5, 0)
+
+
+@pytest.mark.parametrize("listed, cells, share", [(0, 1 << 20, 40), (3, 7, 8), (400, 300, 4), (400, 1 << 20, 16)])
+def test_best_of_a_block_are_those_of_plain_sums(monkeypatch, listed, cells, share):
+    """Queries with and without a bar, by lists and by rows; rows of one term and id count as one."""
+    monkeypatch.setattr(similar, "LISTED", listed)
+    monkeypatch.setattr(similar, "CELLS", cells)
+    monkeypatch.setattr(similar, "ROW_SHARE", share)
+    rng = np.random.default_rng(listed + cells)
+    for trial in range(30):
+        n_docs, n_terms, size = (int(rng.integers(*x)) for x in ((2, 60), (1, 30), (1, 6)))
+        pairs = np.stack([rng.integers(0, n_docs, 400) * 3, rng.zipf(1.5, 400) % n_terms], 1)[: rng.integers(1, 400)]
+        pairs = np.unique(pairs, axis=0) if trial % 2 else pairs
+        parts = np.round(rng.random(len(pairs)) * 5, 1) + 0.1
+        terms = [rng.integers(0, n_terms, rng.integers(1, 13)) for _ in range(20)]
+        needed = np.array([max(1, int(len(t) * 0.3)) for t in terms])
+        bars = np.where(rng.random(20) < 0.4, 0.0, rng.random(20) * 12)
+        own = rng.integers(0, n_docs + 3, 20) * 3
+        block = similar._Block(pa.array(pairs[:, 0]), pairs[:, 1], parts)
+        known = [np.searchsorted(block.terms, t[np.isin(t, block.terms)]) for t in terms]
+        query = np.repeat(np.arange(20), [len(t) for t in known])
+        ids = block.ids.to_pylist()
+        places = np.array([ids.index(i) if i in ids else -1 for i in own])
+        row, doc, score = block.best(np.concatenate(known), query, needed, bars, places, size)
+        wanted = {}
+        for q, its in enumerate(terms):
+            rows_of = [(i, p) for t in its for (i, u), p in zip(pairs, parts) if t == u]
+            sums = [(sum(p for j, p in rows_of if j == i), i) for i in {i for i, _ in rows_of} - {own[q]} if sum(j == i for j, _ in rows_of) >= needed[q]]
+            sums = sorted((s for s in sums if s[0] >= bars[q] - similar.SLACK), reverse=True)
+            wanted |= {(q, i): s for s, i in sums if s >= sums[min(size, len(sums)) - 1][0] - similar.SLACK}
+        found = {(q, ids[d]): s for q, d, s in zip(row, doc, score)}
+        assert found.keys() == wanted.keys() and all(abs(found[k] - wanted[k]) < 1e-9 for k in found)
+
+
+def test_a_bar_keeps_most_documents_of_a_block_from_being_scored(monkeypatch):
+    rng = np.random.default_rng(1)
+    pairs = np.unique(np.stack([rng.integers(0, 500, 9000), rng.zipf(1.3, 9000) % 200], 1), axis=0)
+    block = similar._Block(pa.array(pairs[:, 0]), pairs[:, 1], rng.random(len(pairs)) * 5)
+    scored, scores = [], similar._Block.scores
+    monkeypatch.setattr(similar._Block, "scores", lambda self, doc, *a: scored.append(len(doc)) or scores(self, doc, *a))
+    lists = np.tile(np.arange(12), 20)
+    query, needed, own = np.repeat(np.arange(20), 12), np.full(20, 3), np.full(20, -1)
+    top = block.best(lists, query, needed, np.zeros(20), own, 5)[2].reshape(20, -1).min(axis=1)
+    scored.clear()
+    assert len(block.best(lists, query, needed, top, own, 5)[0]) == 100
+    assert sum(scored) < 200
+
+
+@pytest.mark.parametrize("sampled", [1, 3, 50])
+def test_similar_pages_by_the_scores_of_a_sample(spark, monkeypatch, sampled):
+    rng = random.Random(sampled)
+    docs = [(i, " ".join(rng.choices([f"w{i % 4}{k}" for k in range(8)] + ["of", "and"], k=rng.randrange(0, 12)))) for i in range(60)]
+    frame = spark.createDataFrame(docs + docs[5:9] + [(None, "of and w00"), (70, None)], "id long, content string")
+    index = search.build_index(frame)
+    wanted = rows(search.more_like_this(index, frame, 3).select("seed_id", "id", "score"))
+    for name, value in (("SAMPLE_FROM", 0), ("SAMPLED", sampled), ("BLOCK_POSTINGS", 100)):
+        monkeypatch.setattr(similar, name, value)
+    assert rows(similar.similar_pages(index, 3).select("seed_id", "id", "score")) == wanted and wanted
