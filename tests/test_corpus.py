@@ -626,3 +626,28 @@ def test_similar_pages_by_the_scores_of_a_sample(spark, monkeypatch, sampled):
     for name, value in (("SAMPLE_FROM", 0), ("SAMPLED", sampled), ("BLOCK_POSTINGS", 100)):
         monkeypatch.setattr(similar, name, value)
     assert rows(similar.similar_pages(index, 3).select("seed_id", "id", "score")) == wanted and wanted
+
+
+def test_few_surfaces_that_are_no_names_are_shuffled(spark, monkeypatch):
+    surfaces = spark.range(4000).select("id", F.concat(F.lit("word"), F.col("id").cast("string")).alias("term"))
+    names = surfaces.filter("id % 16 = 3").select("term", F.lit("nr").alias("type"))
+    left = text_analysis.possible_names(surfaces, names)
+    assert left.columns == ["id", "term"] and left.filter("id % 16 = 3").count() == 250
+    assert left.count() < 800
+    monkeypatch.setattr(text_analysis, "FILTER_WORDS", 1)
+    assert text_analysis.possible_names(surfaces, names).filter("id % 16 = 3").count() == 250
+    assert text_analysis.possible_names(surfaces, names.limit(0)).count() == 0
+
+
+def test_mentions_by_shuffle_are_put_together_for_a_bounded_number_of_documents(spark, monkeypatch):
+    docs = [(i % 50, f"ann{i % 9} met bob and carl {i}") for i in range(60)] + [(None, "bob"), (None, "carl met"), (70, None), (71, "nobody")]
+    docs = spark.createDataFrame(docs, "id long, content string")
+    path = new_path(spark, "names")
+    names = [("bob", "nr"), ("bob", "ns"), ("carl", "nr"), ("met bob", "nt"), (None, "nr")] + [(f"ann{i}", "ns") for i in range(5)]
+    spark.createDataFrame(names, "surface string, type string").write.parquet(path)
+    names = spark.read.parquet(path)
+    wanted = text_analysis.named_entities(docs, names, few=True)
+    monkeypatch.setattr(text_analysis, "DOCS_A_SHUFFLE_TASK", 2)
+    found = text_analysis.named_entities(docs, names, few=False)
+    assert found.rdd.getNumPartitions() == 32
+    assert sorted(map(str, found.collect())) == sorted(map(str, wanted.collect())) and found.count() == 51
